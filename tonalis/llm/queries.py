@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 
+from tonalis.llm import garbled, leakage
 from tonalis.llm import survivors as survivors_op
 from tonalis.llm.top_groups import top_items
 from tonalis.plans.registry import Registry
@@ -72,3 +73,27 @@ def p5_found(t: Tables) -> DataFrame:
 def p5_precedence(t: Tables) -> DataFrame:
     """The learned precedence between states of a track, with the number of groups that show it."""
     return survivors_op.learn_precedence(survivors_op.grouped(t.pistas))
+
+
+@query()
+def p7_found(t: Tables) -> DataFrame:
+    """The test items that leaked into each document."""
+    return leakage.find_leaks(t.documents, t.prueba_items).select("doc_id", "item_id")
+
+
+@query()
+def p7_overlap(t: Tables) -> DataFrame:
+    """The same with the number of words of the document that come from the item."""
+    return leakage.find_leaks(t.documents, t.prueba_items)
+
+
+@query()
+def p8_found(t: Tables) -> DataFrame:
+    """The documents with at least one word in the wrong encoding."""
+    return garbled.restore(t.documents).select("doc_id").distinct()
+
+
+@query()
+def p8_restored(t: Tables) -> DataFrame:
+    """The same with the restored text."""
+    return garbled.restore(t.documents)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+from pathlib import Path
 
 from pyspark.sql import SparkSession
 
@@ -10,6 +11,8 @@ from pyspark.sql import SparkSession
 def local_session(cores: str | int = "*", partitions: int = 8, memory: str = "8g") -> SparkSession:
     """A local session with the settings the operators expect (UTC, AQE, ANSI left on)."""
     os.environ.setdefault("PYARROW_IGNORE_TIMEZONE", "1")
+    root = str(Path(__file__).resolve().parents[1])  # Python workers must find this package too
+    os.environ["PYTHONPATH"] = os.pathsep.join(dict.fromkeys([root, *filter(None, os.environ.get("PYTHONPATH", "").split(os.pathsep))]))
     spark = (
         SparkSession.builder.master(f"local[{cores}]")
         .appName("tonalis")

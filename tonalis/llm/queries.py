@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from tonalis.llm import garbled, leakage
+from tonalis.llm import garbled, leakage, neighbours
 from tonalis.llm import survivors as survivors_op
 from tonalis.llm.top_groups import top_items
 from tonalis.plans.registry import Registry
@@ -97,3 +98,16 @@ def p8_found(t: Tables) -> DataFrame:
 def p8_restored(t: Tables) -> DataFrame:
     """The same with the restored text."""
     return garbled.restore(t.documents)
+
+
+@query()
+def p1_found(t: Tables) -> DataFrame:
+    """The pairs of tracks of which one is among the five nearest of the other."""
+    near = neighbours.track_neighbours(t.ejes_pista)
+    return near.select(F.least("pista_id", "vecino_id").alias("pista_a"), F.greatest("pista_id", "vecino_id").alias("pista_b")).distinct()
+
+
+@query()
+def p1_neighbours(t: Tables) -> DataFrame:
+    """The five nearest of every track, with rank and similarity."""
+    return neighbours.track_neighbours(t.ejes_pista)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tonalis.llm import garbled, leakage, neighbours
+from tonalis.llm import garbled, leakage, names, neighbours
 from tonalis.llm import survivors as survivors_op
 from tonalis.llm.top_groups import top_items
 from tonalis.plans.registry import Registry
@@ -111,3 +111,15 @@ def p1_found(t: Tables) -> DataFrame:
 def p1_neighbours(t: Tables) -> DataFrame:
     """The five nearest of every track, with rank and similarity."""
     return neighbours.track_neighbours(t.ejes_pista)
+
+
+@query()
+def p3_found(t: Tables) -> DataFrame:
+    """All pairs of different spellings of one artist."""
+    return names.spelling_pairs(names.link_spellings(names.artist_spellings(t.artistas, t.pistas)))
+
+
+@query()
+def p3_linked(t: Tables) -> DataFrame:
+    """Each spelling with the number of the artist it means."""
+    return names.link_spellings(names.artist_spellings(t.artistas, t.pistas))

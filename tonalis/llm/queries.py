@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tonalis.llm import garbled, leakage, names, neighbours
+from tonalis.llm import garbled, leakage, names, neighbours, packing
 from tonalis.llm import survivors as survivors_op
 from tonalis.llm.top_groups import top_items
 from tonalis.plans.registry import Registry
@@ -123,3 +123,15 @@ def p3_found(t: Tables) -> DataFrame:
 def p3_linked(t: Tables) -> DataFrame:
     """Each spelling with the number of the artist it means."""
     return names.link_spellings(names.artist_spellings(t.artistas, t.pistas))
+
+
+@query()
+def p6_packed(t: Tables) -> DataFrame:
+    """Every document in a window of each container."""
+    return packing.pack(t.documents, t.contenedores)
+
+
+@query()
+def p6_filling(t: Tables) -> DataFrame:
+    """How well the windows of each container are filled."""
+    return packing.filling(packing.pack(t.documents, t.contenedores), t.contenedores)

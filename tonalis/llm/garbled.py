@@ -19,11 +19,11 @@ PAGES = ("cp1252", "cp437", "cp850", "mac_roman", "cp1251", "koi8_r", "cp866")
 #: Sources are told apart by cells of this number, so that what is learned per source has a fixed largest size.
 CELLS = 256
 #: Rounds of expectation-maximization; log-odds that a swap must win by; strength of the pooled mapping against a source's own.
-ROUNDS, MARGIN, POOL = 3, 3.0, 5.0
+ROUNDS, MARGIN, POOL = 3, 6.0, 5.0
 #: The same for a token of a single character, which has little context.
-ALONE = 6.0
-#: Bigrams of a character outside ASCII that are at least this likely need no second reading.
-PLAIN = -7.5
+ALONE = 9.0
+#: Bigrams of a character outside ASCII that are at least this likely need no second reading; weight of single characters in them.
+PLAIN, SHRINK = -7.0, 5e-5
 LOST, WIDE = "�", "一"
 
 _TOKEN = re.compile(r"[^ \t\r\n]+")
@@ -148,6 +148,8 @@ class Language:
         self.left = dict(left)
         self.one = {b: (n + 0.1) / (total + 500) for b, n in one.items()}
         self.floor = 0.1 / (total + 500)
+        #: Pseudo-counts grow with the corpus: the few bigrams of a wrong encoding stay rare whatever its size.
+        self.weight = 5 + SHRINK * total
         self.two = dict(two)
         self.case = {(a, b): math.log((case[a, b] + 0.5) / (case[a, "l"] + case[a, "u"] + 1)) for a in "uln" for b in "ul"}
         self.memo: dict[tuple[str, str], float] = {}
@@ -206,7 +208,8 @@ class Cipher:
         return math.log((self.own.get((cell, symbol, letter), 0.0) + POOL * whole) / (self.own_all.get((cell, symbol), 0.0) + POOL))
 
     def score(self, cell: int, seg: Segments) -> float:
-        return self.language.word("".join(m for _, m in seg)) + sum(self.log_p(cell, s, m) for s, m in seg if s >= "\x80")
+        """A swap is one event, so a reading is as likely as its least likely symbol."""
+        return self.language.word("".join(m for _, m in seg)) + min((self.log_p(cell, s, m) for s, m in seg if s >= "\x80"), default=0.0)
 
     def expect(self, cell: int, token: str, n: float) -> Iterator[tuple[int, str, str, float]]:
         """E-step: the expected counts that a token seen ``n`` times gives."""
@@ -253,7 +256,7 @@ class Cipher:
         scores = [self.score(cell, w) for w in ways]
         best = max(range(len(ways)), key=scores.__getitem__)
         damaged = bool(_CONTROL.search(token))
-        if best and (scores[best] - scores[0] > (MARGIN if len(token) > 1 else ALONE) or damaged):
+        if best and (scores[best] - scores[0] > (MARGIN if len(token) > 1 or token in _OPEN else ALONE) or damaged):
             word = "".join(m for _, m in ways[best])
             return True, word, word.count(LOST)
         return damaged, token, token.count(LOST)

@@ -7,6 +7,6 @@ from tonalis.plans.registry import Registry
 
 def all_registries() -> list[Registry]:
     """The registries of this package, in the order of their modules."""
-    from tonalis.plans import filling, listening
+    from tonalis.plans import filling, library, listening, text
 
-    return [m.query for m in (filling, listening)]
+    return [m.query for m in (filling, library, listening, text)]

@@ -44,6 +44,11 @@ def compare(spark, name: str, folder: str = DATA) -> str:
     if sorted(cols) != sorted(df.columns):
         return f"columns {sorted(df.columns)} against {sorted(cols)}"
     order = sorted(cols)
+    kinds = {"bigint": "BIGINT", "int": "INTEGER", "string": "VARCHAR", "double": "DOUBLE", "boolean": "BOOLEAN", "date": "DATE", "timestamp_ntz": "TIMESTAMP", "float": "FLOAT", "array<string>": "VARCHAR[]", "array<bigint>": "BIGINT[]", "tinyint": "TINYINT"}
+    types = {x[0]: str(x[1]) for x in cur.description}
+    odd = [(c, k, types[c]) for c, k in df.dtypes if kinds.get(k, k) != types[c]]
+    if odd:
+        return f"types {odd}"
     want = sorted(tuple(canon(r[cols.index(c)]) for c in order) for r in cur.fetchall())
     have = sorted(tuple(canon(r[c]) for c in order) for r in got)
     if want == have:

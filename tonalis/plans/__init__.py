@@ -7,6 +7,6 @@ from tonalis.plans.registry import Registry
 
 def all_registries() -> list[Registry]:
     """The registries of this package, in the order of their modules."""
-    from tonalis.plans import dedupe, features, filling, library, listening, quality, smartlists, text
+    from tonalis.plans import dedupe, features, filling, library, listening, planner, quality, smartlists, text
 
-    return [m.query for m in (dedupe, features, filling, library, listening, quality, smartlists, text)]
+    return [m.query for m in (dedupe, features, filling, library, listening, planner, quality, smartlists, text)]

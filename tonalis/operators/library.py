@@ -94,7 +94,7 @@ def number_rows(df: DataFrame, group: Sequence[str], order: Sequence[Column], na
     before = Window.partitionBy(*group).orderBy("_piece").rowsBetween(Window.unboundedPreceding, -1)
     start = cut.groupBy(*group, "_piece").agg(F.count("*").alias("_n")).withColumn("_start", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
     keys = [*group, "_piece"]
-    return cut.withColumn("_k", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).join(start, keys).withColumn(name, (F.col("_k") + F.col("_start")).cast("bigint")).drop("_piece", "_k", "_start")
+    return cut.withColumn("_inside", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).join(start, keys).withColumn(name, (F.col("_inside") + F.col("_start")).cast("bigint")).drop("_piece", "_inside", "_start")
 
 
 def sort_key(c: Column, folded: Column) -> Column:

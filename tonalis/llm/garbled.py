@@ -20,8 +20,8 @@ PAGES = ("cp1252", "cp437", "cp850", "mac_roman", "cp1251", "koi8_r", "cp866")
 CELLS = 256
 #: Rounds of expectation-maximization; log-odds that a swap must win by; strength of the pooled mapping against a source's own.
 ROUNDS, MARGIN, POOL = 3, 6.0, 5.0
-#: The same for a token of a single character, which has little context.
-ALONE = 9.0
+#: The same for a token of a single character, which has little context, and where only signs would come out.
+ALONE = 12.0
 #: Bigrams of a character outside ASCII that are at least this likely need no second reading; weight of single characters in them.
 PLAIN, SHRINK = -7.0, 5e-5
 LOST, WIDE = "�", "一"
@@ -129,8 +129,20 @@ def _case(c: str) -> str:
     return "u" if c.isupper() or c.istitle() else "l" if c.islower() else "n"
 
 
+def _script(c: str) -> str:
+    """What a character is followed by depends on this where the character itself is rare."""
+    if c < "\x80":
+        return "a" if c.isalpha() else " " if c.isspace() else "."
+    if not c.isalpha():
+        return "s"
+    return "e" if c < "ɐ" else "g" if c < "Ѐ" else "c" if c < "԰" else "w"
+
+
 class Language:
-    """Letter bigrams without case, times the case of a letter after the case of the one before."""
+    """Letter bigrams without case, times the case of a letter after the case of the one before.
+
+    A bigram falls back on what follows the script of its first character: text stays in its script.
+    """
 
     def __init__(self, pairs: Iterable[tuple[str, str, int]]) -> None:
         two: Counter = Counter()
@@ -140,14 +152,14 @@ class Language:
             if _case(b) != "n":
                 case[_case(a), _case(b)] += n
         left: Counter = Counter()
-        one: Counter = Counter()
+        after: Counter = Counter()
+        script: Counter = Counter()
         for (a, b), n in two.items():
             left[a] += n
-            one[b] += n
-        total = sum(one.values())
-        self.left = dict(left)
-        self.one = {b: (n + 0.1) / (total + 500) for b, n in one.items()}
-        self.floor = 0.1 / (total + 500)
+            after[_script(a), b] += n
+            script[_script(a)] += n
+        total = sum(left.values())
+        self.left, self.after, self.script = dict(left), dict(after), dict(script)
         #: Pseudo-counts grow with the corpus: the few bigrams of a wrong encoding stay rare whatever its size.
         self.weight = 5 + SHRINK * total
         self.two = dict(two)
@@ -164,7 +176,9 @@ class Language:
         else:
             x, y = (WIDE if c >= "⺀" else c.lower()[:1] for c in (a, b))
             n = self.left.get(x, 0)
-            p = math.log((self.two.get((x, y), 0) + 5 * self.one.get(y, self.floor)) / (n + 5))
+            s = _script(x)
+            back = (self.after.get((s, y), 0) + 0.1) / (self.script.get(s, 0) + 500)
+            p = math.log((self.two.get((x, y), 0) + self.weight * back) / (n + self.weight))
             if _case(b) != "n":
                 p += self.case[_case(a), _case(b)]
         if len(self.memo) < 500_000:
@@ -256,7 +270,9 @@ class Cipher:
         scores = [self.score(cell, w) for w in ways]
         best = max(range(len(ways)), key=scores.__getitem__)
         damaged = bool(_CONTROL.search(token))
-        if best and (scores[best] - scores[0] > (MARGIN if len(token) > 1 or token in _OPEN else ALONE) or damaged):
+        letters = any(s != m and m.isalpha() for s, m in ways[best])
+        need = MARGIN if letters and (len(token) > 1 or token in _OPEN) or any(len(s) > 1 for s, _ in ways[best]) else ALONE
+        if best and (scores[best] - scores[0] > need or damaged):
             word = "".join(m for _, m in ways[best])
             return True, word, word.count(LOST)
         return damaged, token, token.count(LOST)

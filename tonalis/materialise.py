@@ -82,7 +82,7 @@ def spread(df: DataFrame, *keys: str) -> DataFrame:
     """Enough input partitions for a CPU-bound Python step.
 
     Large inputs already come in enough splits and are left as they are; only a small one is redistributed by ``keys``
-    (which should be close to unique).
+    (which should be close to unique). ``df`` must be a plain scan: asking for the partitions of a plan with a shuffle runs it.
     """
     wanted = task_count(df.sparkSession)
     return df if df.rdd.getNumPartitions() >= wanted else df.repartition(wanted, *keys)

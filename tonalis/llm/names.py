@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tonalis.materialise import materialise, spread
+from tonalis.materialise import materialise, spread, task_count
 from tonalis.operators.components import connected_components
 
 #: Least Jaro-Winkler similarity of two core names, and of a mistyped known word to the word.
@@ -254,7 +254,7 @@ def link_spellings(spellings: DataFrame, column: str = "nombre") -> DataFrame:
     runs inside the join; abbreviations are resolved by one row per key (min and max of the owners), never by pairs.
     """
     names = spellings.select(F.col(column).alias("nombre")).filter(F.col("nombre").isNotNull()).distinct()
-    parsed = materialise(spread(names, "nombre").mapInPandas(_parse, "nombre string, core string, heads string, duo boolean, initials boolean, keys array<string>, glued string"), "parsed")
+    parsed = materialise(names.repartition(task_count(names.sparkSession), "nombre").mapInPandas(_parse, "nombre string, core string, heads string, duo boolean, initials boolean, keys array<string>, glued string"), "parsed")
     by_form = ["core", "heads", "duo"]
     forms = materialise(parsed.groupBy(*by_form).agg(F.first("initials").alias("initials"), F.first("keys").alias("keys")).withColumn("form", F.xxhash64(*by_form)), "forms")
     block = forms.select("form", "core", "heads", "duo", F.explode("keys").alias("key"))
@@ -320,11 +320,11 @@ def _asks(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def _resolve(owned: DataFrame) -> DataFrame:
     """(core, heads, duo, entidad): abbreviated forms take the artist they can only mean."""
     full = owned.filter(~F.col("initials")).select("core", "heads", "duo", "root")
-    offers = full.mapInPandas(_offers, "key string, root long, what string, of string")
+    offers = spread(full, "core", "heads").mapInPandas(_offers, "key string, root long, what string, of string")
     owner = offers.groupBy("key").agg(F.min("root").alias("owner"), F.min("what").alias("w1"), F.max("what").alias("w2"), F.min("of").alias("of"), F.max("of").alias("o2"))
     owner = owner.filter("w1 = w2 and (of = o2 or not startswith(key, '~'))").select("key", "owner", "of")
     short = owned.filter(F.col("initials") | (F.col("heads") == "") | (~F.col("duo") & ~F.col("heads").contains(" ") & (F.col("heads") != "@"))).select("core", "heads", "duo", "root")
-    asks = short.mapInPandas(_asks, "root long, key string, rank int, core string").distinct()
+    asks = spread(short, "core", "heads").mapInPandas(_asks, "root long, key string, rank int, core string").distinct()
     found = asks.join(owner, "key").filter((F.col("owner") != F.col("root")) & ((F.col("rank") == 1) | (F.levenshtein("core", "of", 2) >= 0)))
     one = found.groupBy("root", "rank").agg(F.min("owner").alias("owner"), F.max("owner").alias("o2")).filter("owner = o2")
     to = materialise(one.groupBy("root").agg(F.min_by("owner", "rank").alias("owner")), "owners")

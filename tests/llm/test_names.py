@@ -18,6 +18,7 @@ def test_measures():
 def test_parse():
     assert parse("Runchorux, Gérard") == ("runchorux", ["gerard"], False) == parse("GÉRARD_RUNCHORUX - Topic")
     assert parse("Xavier & Paty Rergorzoz")[2] and parse("Las Kirgachox") == ("kirgachox", ["@"], False)
+    assert parse("Mario Gómez") == ("gomez", ["mario"], False) and parse("Msrgaret Gómez") == ("gomez", ["margaret"], False) and parse("Ttío Gómez")[1] == ["roberto|trio"]
     assert parse("VV.AA.") is None and parse("") is None and parse("Artista  Desconocido") is None and parse("—") is None
 
 

@@ -107,18 +107,27 @@ def fold(text: str) -> str:
     return "".join(c for c in text if not unicodedata.combining(c)).lower()
 
 
-_near: dict[str, str | None] = {}
+_near: dict[str, str] = {}
 
 
-def nearest_word(token: str) -> str | None:
-    """The known word that the token is a mistyped form of."""
+def nearest_words(token: str) -> str:
+    """What the token may be a mistyped form of: all that the nearest known words stand for, joined by ``|``; empty if none is near.
+
+    Another ending is another name, as in Mario and María.
+    """
     if token not in _near:
         if len(_near) > 200_000:
             _near.clear()
-        best = max((w for w in _WORDS if len(w) > 3 and abs(len(w) - len(token)) <= 2), key=lambda w: (jaro_winkler(token, w), w), default="")
-        off = edits(token, best)
-        other = off == 1 and token[:-1] == best[:-1] and {token[-1], best[-1]} <= set("aeo")  # another ending is another name, as in Mario and María
-        _near[token] = best if not other and (off <= 1 or off == 2 and jaro_winkler(token, best) >= WORD_JW) else None
+        off = {}
+        for w in _WORDS:
+            if len(w) > 3 and abs(len(w) - len(token)) <= 2 and jaro_winkler(token, w) >= 0.75:
+                n = edits(token, w)
+                short, long = sorted((token, w), key=len)
+                ending = n == 1 and (token[:-1] == w[:-1] and {token[-1], w[-1]} <= set("aeo") or long[:-1] == short and long[-1] in "aeo")
+                if not ending and (n <= 1 or n == 2 and jaro_winkler(token, w) >= WORD_JW):
+                    off[w] = n
+        best = min(off.values(), default=0)
+        _near[token] = "|".join(sorted({full for w, n in off.items() if n == best for full in _WORDS[w]}))
     return _near[token]
 
 
@@ -175,11 +184,10 @@ def parse(name: str) -> tuple[str, list[str], bool] | None:
             rest.append(w)
     heads = heads or ([] if article else bracket)  # "(grupo)" after a name that has its kind is an addition
     if len(rest) > 1:
-        known = [(nearest_word(w), w) for w in rest]
-        for near, w in known:
+        for near, w in [(nearest_words(w), w) for w in rest]:
             if near and len(rest) > 1:
                 rest.remove(w)
-                heads.insert(0, "|".join(sorted(_WORDS[near])))
+                heads.insert(0, near)
     if not rest:  # every word is a known one: the last is the name
         full = [h for h in heads if not h.endswith(".")]
         if full:

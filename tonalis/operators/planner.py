@@ -203,3 +203,55 @@ def detect_concepts(texts: DataFrame, concepts: DataFrame, id_col: str, text: st
 
 def measurement(c: str) -> Column:
     return known(F.col(c))
+
+
+def refine_order(steps: DataFrame, style: str = "smooth", rounds: int = 8, gain: float = 0.01) -> DataFrame:
+    """(lista_id, pista_id, posicion): neighbours are swapped while that raises the sum of the transitions around them by more than ``gain``.
+
+    ``steps``: lista_id, posicion, pista_id, bpm, clave, energy; a session is a planned list, so it is bounded by POOL rows and
+    fits a task. The first track stays.
+    """
+    wb, wk, we = STYLES.get(style, (0.40, 0.30, 0.30))
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        rows = pdf.sort_values("posicion").to_dict("records")
+
+        def tempo(a, b):
+            if not (a and b and a > 0 and b > 0):
+                return NEUTRAL
+            d = min(abs(a - b), abs(a * 2 - b), abs(a / 2 - b))
+            return 1.0 if d <= BPM_NEAR else 1 - 0.5 * (d - BPM_NEAR) / BPM_NEAR if d <= 2 * BPM_NEAR else 0.5 - 0.5 * (d - 2 * BPM_NEAR) / (BPM_FAR - 2 * BPM_NEAR) if d <= BPM_FAR else 0.0
+
+        def key(a, b):
+            if not (a and b):
+                return 0.5
+            d = abs(int(a[:-1]) - int(b[:-1]))
+            d, same = min(d, 12 - d), a[-1] == b[-1]
+            return 1.0 if d == 0 and same else 0.85 if d == 0 or d == 1 and same else 0.6 if d == 2 and same else 0.3
+
+        def energy(a, b):
+            if a is None or b is None or a != a or b != b:
+                return NEUTRAL
+            d = abs(a - b)
+            return 1.0 if d <= 0.1 else 1 - (d - 0.1) / 0.3 if d <= 0.25 else max(0.0, 0.5 - (d - 0.25) * 2)
+
+        def score(x, y):
+            return wb * tempo(x["bpm"], y["bpm"]) + wk * key(x["clave"], y["clave"]) + we * energy(x["energy"], y["energy"])
+
+        for _ in range(rounds):
+            moved = False
+            for i in range(1, len(rows) - 2):
+                p, a, b, c = rows[i - 1 : i + 3]
+                if score(p, b) + score(b, a) + score(a, c) > score(p, a) + score(a, b) + score(b, c) + gain:
+                    rows[i], rows[i + 1] = b, a
+                    moved = True
+            if not moved:
+                break
+        return pd.DataFrame({"lista_id": [r["lista_id"] for r in rows], "pista_id": [r["pista_id"] for r in rows], "posicion": range(1, len(rows) + 1)})
+
+    return steps.filter(F.col("posicion") <= POOL).groupBy("lista_id").applyInPandas(run, "lista_id long, pista_id long, posicion long")
+
+
+def speed_class(factor: Column) -> Column:
+    """Whether a machine is fast enough, by its real-time factor."""
+    return F.when(factor <= 1.5, "alto").when(factor <= 5, "medio").otherwise("bajo")

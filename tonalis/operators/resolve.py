@@ -97,3 +97,45 @@ def first_rule(keys: DataFrame, rules: DataFrame) -> DataFrame:
 
 def code(c: str) -> Column:
     return isrc_code(F.col(c))
+
+
+def solid_identity() -> Column:
+    """Whether title and artist agree well enough: with an identifier, or very well without."""
+    t, a = F.col("s_titulo"), F.col("s_artista")
+    return (t >= 0.75) & (a >= 0.65) & (F.col("isrc").isNotNull() | F.col("mb_recording_id").isNotNull() | ((t >= 0.90) & (a >= 0.85)))
+
+
+def sources_used() -> Column:
+    """The kinds of evidence that a pair has, as an array."""
+    return F.array_compact(F.array(F.when(F.col("isrc") == F.col("c_isrc"), "isrc"), F.when(F.col("mb_recording_id") == F.col("c_mb_recording_id"), "mb"), F.when(F.col("s_titulo") >= 0.75, "titulo"), F.when(F.col("s_artista") >= 0.70, "artista")))
+
+
+def agreement_bonus(title: Column, artist: Column) -> Column:
+    """A bonus for sources that agree independently: on both, or on one of the two."""
+    both = (title >= 0.75).cast("int") + (artist >= 0.70).cast("int")
+    return F.when(both == 2, 0.06).when(both == 1, 0.03).otherwise(0.0)
+
+
+def filter_or_all(pairs: DataFrame, rule: Column) -> DataFrame:
+    """For each record the candidates that meet a rule, or all of them if none does: one flag a record, joined back."""
+    flagged = pairs.withColumn("_hit", F.coalesce(rule, F.lit(False)))
+    some = flagged.groupBy("id").agg(F.bool_or("_hit").alias("_some"))
+    return flagged.join(some, "id").filter(F.col("_hit") | ~F.col("_some")).drop("_hit", "_some")
+
+
+def promoted(evidence: DataFrame, least: float = 0.86, gap: float = 0.12) -> DataFrame:
+    """(id, c_id, evidencia, brecha): records whose best evidence is high, well ahead of the second, and backed by an identifier.
+
+    ``evidence``: id, c_id, evidencia, fuerte.
+    """
+    w = Window.partitionBy("id").orderBy(F.desc("evidencia"), "c_id")
+    two = evidence.withColumn("_n", F.row_number().over(w)).filter(F.col("_n") <= 2)
+    best = two.groupBy("id").agg(F.max_by(F.struct("c_id", "fuerte"), -F.col("_n")).alias("b"), F.max("evidencia").alias("evidencia"), F.round(F.max("evidencia") - F.when(F.count("*") > 1, F.min("evidencia")).otherwise(0.0), 6).alias("brecha"))
+    return best.filter((F.col("evidencia") >= least) & (F.col("brecha") >= gap) & F.col("b.fuerte")).select("id", "b.c_id", "evidencia", "brecha")
+
+
+def folder_of(kind: Column, title: Column, album: Column, exact: bool = False) -> Column:
+    """The folder of a release: by its type, else by whether the release is named like the track."""
+    k = F.lower(F.trim(F.coalesce(kind, F.lit(""))))
+    like = similarity(strip_version(title), strip_version(album), exact)
+    return F.when(k == "album", "albumes").when(k.isin("single", "ep"), "singles_y_ep").when(k != "", "otros").when(F.coalesce(album, F.lit("")) == "", "otros").when(like >= 0.75, "singles_y_ep").otherwise("albumes")

@@ -101,3 +101,28 @@ def signature(members: DataFrame, group: str, item: str, position: str) -> DataF
 def hamming(a: Column, b: Column) -> Column:
     """Different bits of two perceptual hashes."""
     return F.bit_count(a.bitwiseXOR(b))
+
+
+def pick_distinct(items: DataFrame, group: str, key: str, order: str, bits: str, n: int = 4, apart: int = 6) -> DataFrame:
+    """(group, puesto, key): up to n items of each group in order, each more than ``apart`` bits from those picked before.
+
+    One aggregate a pick finds the next item of every group; a group of any size is never held in one place.
+    """
+    left = items.select(group, key, order, bits).filter(F.col(bits).isNotNull())
+    out = None
+    for k in range(n):
+        pick = left.groupBy(group).agg(F.min(F.struct(order, key, bits)).alias("_p"))
+        row = pick.select(group, F.lit(k + 1).alias("puesto"), F.col(f"_p.{key}").alias(key))
+        out = row if out is None else out.unionByName(row)
+        if k + 1 < n:
+            left = left.join(pick, group).filter(hamming(F.col(bits), F.col(f"_p.{bits}")) > apart).drop("_p")
+    return out
+
+
+def catalogue(lists: dict[str, DataFrame], least: dict[str, int]) -> DataFrame:
+    """(regla, n, basta): the size of every list and whether it reaches its minimum."""
+    out = None
+    for name, df in lists.items():
+        one = df.agg(F.count("*").alias("n")).select(F.lit(name).alias("regla"), "n", (F.col("n") >= least.get(name, 1)).alias("basta"))
+        out = one if out is None else out.unionByName(one)
+    return out

@@ -137,3 +137,39 @@ def prompt_intents(t: Tables) -> DataFrame:
 def discovery_coverage(t: Tables) -> DataFrame:
     n = F.count("*")
     return t.pista_candidata.agg(n.alias("pistas"), F.count_if(F.col("mood_sad").isNotNull()).alias("profundas"), F.round(F.count_if(F.col("mood_sad").isNotNull()) / n, 6).alias("parte"))
+
+
+_P = {"tempo": "bpm", "rms": "energy / 3", "spread": "mood_relaxed / 2", "onset": "danceability_proxy * 5", "centroid": "brightness * 4000", "zero": "aggressiveness_proxy / 5"}
+
+
+def _c01(x: str) -> str:
+    return f"least(1.0, greatest(0.0, {x}))"
+
+
+@query(f"""WITH r AS (SELECT id, bpm AS tempo, energy / 3 AS rms, mood_relaxed / 2 AS spread, danceability_proxy * 5 AS onset, brightness * 4000 AS centroid, aggressiveness_proxy / 5 AS zero FROM pista_candidata WHERE bpm > 0 AND NOT isnan(bpm) AND NOT isnan(energy) AND NOT isnan(mood_relaxed) AND NOT isnan(danceability_proxy) AND NOT isnan(brightness) AND NOT isnan(aggressiveness_proxy)),
+a AS (SELECT *, {_c01('centroid / 4000')} AS b, {_c01('rms * 3')} AS e FROM r), c AS (SELECT *, {_c01('0.6 * e + 0.4 * ' + _c01('tempo / 180'))} AS ar FROM a), d AS (SELECT *, 1 - ar AS ca, {_c01('0.5 * b + 0.5 * ar')} AS va FROM c), f AS (SELECT *, {_c01('(1 - va) * 0.7 + ca * 0.3')} AS me, {_c01('0.5 * ' + _c01('tempo / 140') + ' + 0.5 * ' + _c01('onset / 5'))} AS da FROM d)
+SELECT id, round(va, 8) AS valence, round(me, 8) AS melancholy, round({_c01('0.4 * da + 0.4 * e + 0.2 * va')}, 8) AS party, round({_c01('0.5 * e + 0.3 * ' + _c01('tempo / 160') + ' + 0.2 * ' + _c01('onset / 6'))}, 8) AS workout, round({_c01('0.5 * ca + 0.3 * (1 - spread) + 0.2 * (1 - zero * 5)')}, 8) AS focus, round({_c01('0.6 * (1 - b) + 0.4 * me')}, 8) AS night FROM f""")
+def feature_proxies(t: Tables) -> DataFrame:
+    """Proxies from raw descriptors, here recovered from the stored features."""
+    names = ("bpm", "energy", "mood_relaxed", "danceability_proxy", "brightness", "aggressiveness_proxy")
+    rows = t.pista_candidata.filter(F.col("bpm") > 0)
+    for n in names:
+        rows = rows.filter(F.col(n).isNotNull() & ~F.isnan(n))
+    p = U.proxies(F.col("bpm"), F.col("energy") / 3, F.col("mood_relaxed") / 2, F.col("danceability_proxy") * 5, F.col("brightness") * 4000, F.col("aggressiveness_proxy") / 5)
+    return rows.select("id", *[F.round(p[k], 8).alias(k) for k in ("valence", "melancholy", "party", "workout", "focus", "night")])
+
+
+@query("""SELECT doc_id, CASE WHEN contains(lower(text), 'no such file') THEN 'file_not_found' WHEN contains(lower(text), 'codec') OR contains(lower(text), 'format') OR contains(lower(text), 'decode') THEN 'codec_error' WHEN contains(lower(text), 'memory') THEN 'memory_error' ELSE 'analysis_error' END AS clase FROM documents WHERE tipo = 'nota_import' AND NOT contains(lower(text), 'no module named')""")
+def error_classes(t: Tables) -> DataFrame:
+    """The kind of failure that an import note tells of."""
+    return t.documents.filter("tipo = 'nota_import'").filter(~F.contains(F.lower("text"), F.lit("no module named"))).select("doc_id", U.error_class(F.col("text")).alias("clase"))
+
+
+_WANTED = {"melancholy": 0.8, "calmness": 0.6, "energy": -0.5}
+
+
+@query("""WITH e AS (SELECT pista_id, valores['melancholy'] AS m, valores['calmness'] AS c, valores['energy'] AS e FROM ejes_pista WHERE valores IS NOT NULL)
+SELECT pista_id, round(((CASE WHEN m IS NULL OR isnan(m) THEN 0.5 ELSE m END - 0.5) * 1.6 + (CASE WHEN c IS NULL OR isnan(c) THEN 0.5 ELSE c END - 0.5) * 1.2 - (CASE WHEN e IS NULL OR isnan(e) THEN 0.5 ELSE e END - 0.5) * 1.0) / 1.9::DOUBLE, 8) AS puntaje FROM e""")
+def axes_fit(t: Tables) -> DataFrame:
+    """How well every track fits wanted axes."""
+    return t.ejes_pista.filter("valores is not null").select("pista_id", F.round(U.axes_score(F.col("valores"), _WANTED), 8).alias("puntaje"))

@@ -134,3 +134,28 @@ def recent_artists(t: Tables) -> DataFrame:
     """Artists by their newest track, with the path of that track."""
     per = L.in_library(t.pistas).filter("artista_id is not null").groupBy("artista_id").agg(F.max("indexado_en").alias("ultimo"), F.max_by("ruta_archivo", F.struct("indexado_en", "id")).alias("portada"))
     return t.artistas.join(per, F.col("id") == F.col("artista_id")).select("id", "nombre", "ultimo", "portada").orderBy(F.desc("ultimo"), "id").limit(12)
+
+
+@query("""WITH b AS (SELECT album_id AS id, count(*) AS pistas, round(sum(coalesce(duracion_seg, 0)), 2) AS duracion, arg_min(titulo, (coalesce(track_number, 9999), id)) AS primera FROM pistas WHERE estado = 'biblioteca' AND album_id IS NOT NULL GROUP BY 1)
+SELECT a.id, a.titulo, r.nombre AS artista, a.anio, b.pistas, b.duracion, b.primera FROM albums a JOIN artistas r ON r.id = a.artista_id JOIN b ON b.id = a.id""")
+def album_detail(t: Tables) -> DataFrame:
+    """Every album with its artist, its size and its first track."""
+    p = L.in_library(t.pistas).filter("album_id is not null").groupBy(F.col("album_id").alias("id")).agg(F.count("*").alias("pistas"), F.round(F.sum(F.coalesce("duracion_seg", F.lit(0.0))), 2).alias("duracion"), F.min_by("titulo", F.struct(F.coalesce("track_number", F.lit(9999)), "id")).alias("primera"))
+    r = t.artistas.select(F.col("id").alias("artista_id"), F.col("nombre").alias("artista"))
+    return t.albums.join(r, "artista_id").join(p, "id").select("id", "titulo", "artista", "anio", "pistas", "duracion", "primera")
+
+
+@query("""SELECT artista_id, id, titulo, CAST(row_number() OVER (PARTITION BY artista_id ORDER BY veces_reproducida DESC, id) AS INT) AS puesto FROM pistas WHERE estado = 'biblioteca' AND artista_id IS NOT NULL QUALIFY puesto <= 10""")
+def artist_top(t: Tables) -> DataFrame:
+    """The ten most played tracks of every artist."""
+    from tonalis.operators.listening import top_by_group
+
+    p = L.in_library(t.pistas).filter("artista_id is not null").select("artista_id", "id", "titulo", "veces_reproducida")
+    return top_by_group(p, "artista_id", [F.desc("veces_reproducida"), F.asc("id")], 10, "puesto").select("artista_id", "id", "titulo", "puesto")
+
+
+@query("""SELECT t.titulo, CASE WHEN n = 1 THEN t.titulo ELSE t.titulo || ' ' || n END AS libre FROM (SELECT titulo, count(*) + 1 AS n FROM albums GROUP BY 1) t""")
+def unique_names(t: Tables) -> DataFrame:
+    """A free name for a copy of every album."""
+    n = t.albums.groupBy("titulo").agg((F.count("*") + 1).alias("n"))
+    return n.select("titulo", F.when(F.col("n") == 1, F.col("titulo")).otherwise(F.concat("titulo", F.lit(" "), F.col("n").cast("string"))).alias("libre"))

@@ -166,3 +166,59 @@ def energy_steps(t: Tables) -> DataFrame:
     return G.neighbours(o, "artista_id", "n").select("id", F.col("sig_id").alias("siguiente"), F.round(F.col("sig_energy") - F.col("energy"), 6).alias("salto"))
 
 
+
+
+@query(_SEQUENCE + """, o2 AS (SELECT lista_id, CASE WHEN 0.45 * fb + 0.30 * fk + 0.25 * fe >= 0.80 AND dist <= 1 AND fb >= 0.85 THEN 8.0 WHEN 0.45 * fb + 0.30 * fk + 0.25 * fe >= 0.6 THEN 5.0 ELSE 3.0 END::DOUBLE AS solape, pista_id FROM s), d AS (SELECT o.lista_id, sum(p.duracion_seg) AS d FROM o JOIN pista_candidata p ON p.id = o.pista_id GROUP BY 1), x AS (SELECT lista_id, sum(solape) AS s FROM o2 GROUP BY 1)
+SELECT d.lista_id, round(d.d, 3) AS duracion, round(d.d - coalesce(x.s, 0), 3) AS efectiva FROM d LEFT JOIN x USING (lista_id)""")
+def session_blocks(t: Tables) -> DataFrame:
+    """The length of every session, and what is left of it after the overlaps of its transitions."""
+    m = membership(t.score_detalle).join(t.pista_candidata.select(F.col("id").alias("pista_id"), "duracion_seg"), "pista_id")
+    d = m.groupBy("lista_id").agg(F.sum("duracion_seg").alias("d"))
+    o = G.with_transition(_sequence(t)).groupBy("lista_id").agg(F.sum("solape").alias("s"))
+    return d.join(o, "lista_id", "left").select("lista_id", F.round("d", 3).alias("duracion"), F.round(F.col("d") - F.coalesce("s", F.lit(0.0)), 3).alias("efectiva"))
+
+
+@query()
+def session_refined(t: Tables) -> DataFrame:
+    """Planned sessions with neighbours swapped for better transitions."""
+    p = t.pista_candidata.select(F.col("id").alias("pista_id"), G.measurement("bpm").alias("bpm"), G.measurement("energy").alias("energy"), G.wheel_code(F.col("key_name"), F.col("mode")).alias("clave"))
+    plan = session_plans(t).select(F.col("sesion_id").alias("lista_id"), "posicion", "pista_id")
+    return G.refine_order(plan.join(p, "pista_id"))
+
+
+@query("SELECT event_id, CASE WHEN value / 10 <= 1.5 THEN 'alto' WHEN value / 10 <= 5 THEN 'medio' ELSE 'bajo' END AS clase FROM events")
+def speed_classes(t: Tables) -> DataFrame:
+    """Classes by a real-time factor, here a tenth of the events' values."""
+    return t.events.select("event_id", G.speed_class(F.col("value") / 10).alias("clase"))
+
+
+@query(_SEQUENCE + """SELECT lista_id, posicion, CASE WHEN posicion % 4 = 0 AND abs(bpm - b2) <= 2 THEN 'hard_cut' WHEN posicion % 4 = 1 THEN 'energy_blend' WHEN posicion % 2 = 0 AND fk >= 0.6 AND fb >= 0.6 THEN 'harmonic_mix' WHEN fb >= 0.75 THEN 'eq_kill_bass' ELSE 'filter_sweep' END AS tecnica FROM s""")
+def mix_techniques(t: Tables) -> DataFrame:
+    """The technique of every step, with phases and stems derived from the position."""
+    s = G.with_transition(_sequence(t))
+    phase = F.when(F.col("posicion") % 4 == 0, "peak").when(F.col("posicion") % 4 == 1, "release").otherwise("groove")
+    return s.select("lista_id", "posicion", G.technique(phase, F.col("bpm"), F.col("sig_bpm"), F.col("f_bpm"), F.col("f_tono"), F.col("posicion") % 2 == 0).alias("tecnica"))
+
+
+@query("SELECT event_id, CAST(json_extract(props, '$.k') AS INT) AS k, ts FROM events WHERE user_id = 7")
+def session_events(t: Tables) -> DataFrame:
+    """The events of one session in order, their JSON parsed."""
+    return t.events.filter("user_id = 7").select("event_id", F.from_json("props", "k int")["k"].alias("k"), "ts").orderBy("ts", "event_id")
+
+
+@query()
+def session_axes(t: Tables) -> DataFrame:
+    """The axes that the concepts of every prompt ask for."""
+    from tonalis.operators.features import concept_axes
+
+    table = t.spark.createDataFrame([("noche", "night_score", 0.8), ("noche", "darkness", 0.4), ("tranquilo", "calmness", 0.7), ("tranquilo", "energy", -0.4), ("manejar", "focus_score", 0.5)], "concepto string, eje string, peso double")
+    return concept_axes(session_concepts(t), table, "id")
+
+
+@query()
+def session_contradictions(t: Tables) -> DataFrame:
+    """Prompts that ask for opposite things."""
+    from tonalis.operators.features import contradictions
+
+    pairs = t.spark.createDataFrame([("fiesta", "tranquilo"), ("entrenar", "tranquilo")], "a string, b string")
+    return contradictions(session_concepts(t), pairs, "id")

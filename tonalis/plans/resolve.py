@@ -89,3 +89,35 @@ def override_precedence(t: Tables) -> DataFrame:
     keys = p.select("id", F.explode(e).alias("k")).select("id", "k.rango", "k.clave")
     rules = keys.groupBy("clave").agg(F.min("id").cast("string").alias("valor"))
     return E.first_rule(keys, rules)
+
+
+@query(_PAIRS + """SELECT p.id, p.c_id, (s_titulo >= 0.75 AND s_artista >= 0.65 AND (r.isrc IS NOT NULL OR r.mb_recording_id IS NOT NULL OR (s_titulo >= 0.90 AND s_artista >= 0.85))) AS solida,
+list_filter([CASE WHEN same_code THEN 'isrc' END, CASE WHEN same_id THEN 'mb' END, CASE WHEN s_titulo >= 0.75 THEN 'titulo' END, CASE WHEN s_artista >= 0.70 THEN 'artista' END], lambda x: x IS NOT NULL) AS fuentes,
+CAST(CASE WHEN s_titulo >= 0.75 AND s_artista >= 0.70 THEN 0.06 WHEN s_titulo >= 0.75 OR s_artista >= 0.70 THEN 0.03 ELSE 0 END AS DOUBLE) AS bono FROM p JOIN r ON r.id = p.id""")
+def match_identity(t: Tables) -> DataFrame:
+    """Whether a pair is one identity, the evidence it has, and the bonus for agreement."""
+    return _pairs(t, True).select("id", "c_id", E.solid_identity().alias("solida"), E.sources_used().alias("fuentes"), E.agreement_bonus(F.col("s_titulo"), F.col("s_artista")).alias("bono"))
+
+
+@query(_PAIRS + """, h AS (SELECT id, c_id, coalesce(s_isrc = 1.0, false) AS hit FROM p), g AS (SELECT id, bool_or(hit) AS alguno FROM h GROUP BY id) SELECT h.id, h.c_id FROM h JOIN g USING (id) WHERE hit OR NOT alguno""")
+def match_filter_or_all(t: Tables) -> DataFrame:
+    """The candidates with the record's code, or all where none has it."""
+    return E.filter_or_all(_pairs(t, True), F.col("s_isrc") == 1.0).select("id", "c_id")
+
+
+@query(_PAIRS + """, e AS (SELECT id, c_id, round_even(CAST(s_titulo * 0.28 + s_artista * 0.26 + coalesce(CASE WHEN d <= 2 THEN 1.0 WHEN d <= 5 THEN 0.8 WHEN d <= 12 THEN 0.6 WHEN d IS NOT NULL THEN 0.2 END, 0.5) * 0.18 + coalesce(same_code::INT, 0) * 0.18 + coalesce(same_id::INT, 0) * 0.10 AS DOUBLE), 4) AS evidencia, coalesce(same_code, false) OR coalesce(same_id, false) AS fuerte FROM p),
+w AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY evidencia DESC, c_id) AS n FROM e), b AS (SELECT id, max(c_id) FILTER (n = 1) AS c_id, bool_or(fuerte) FILTER (n = 1) AS fuerte, max(evidencia) AS evidencia, round(max(evidencia) - CASE WHEN count(*) > 1 THEN min(evidencia) ELSE 0.0 END, 6) AS brecha FROM w WHERE n <= 2 GROUP BY id)
+SELECT id, c_id, evidencia, brecha FROM b WHERE evidencia >= 0.86 AND brecha >= 0.12 AND fuerte""")
+def match_promoted(t: Tables) -> DataFrame:
+    """Records whose best candidate wins on a second look."""
+    df = _pairs(t, True)
+    strong = F.coalesce(F.col("isrc") == F.col("c_isrc"), F.lit(False)) | F.coalesce(F.col("mb_recording_id") == F.col("c_mb_recording_id"), F.lit(False))
+    return E.promoted(df.select("id", "c_id", E.second_evidence(df).alias("evidencia"), strong.alias("fuerte")))
+
+
+@query(f"""WITH x AS (SELECT p.id, lower(trim(coalesce(b.tipo, ''))) AS k, coalesce(p.album_titulo, '') AS album, {tokens_sql(strip_sql('p.titulo'))} AS a, {tokens_sql(strip_sql('p.album_titulo'))} AS c FROM pistas p LEFT JOIN albums b ON b.id = p.album_id)
+SELECT id, CASE WHEN k = 'album' THEN 'albumes' WHEN k IN ('single', 'ep') THEN 'singles_y_ep' WHEN k <> '' THEN 'otros' WHEN album = '' THEN 'otros' WHEN {jaccard_sql('a', 'c')} >= 0.75 THEN 'singles_y_ep' ELSE 'albumes' END AS carpeta FROM x""")
+def match_folders(t: Tables) -> DataFrame:
+    """The folder of every track's release."""
+    j = t.pistas.join(t.albums.select(F.col("id").alias("album_id"), "tipo"), "album_id", "left")
+    return j.select("id", E.folder_of(F.col("tipo"), F.col("titulo"), F.col("album_titulo"), True).alias("carpeta"))

@@ -109,3 +109,17 @@ def smart_signature(t: Tables) -> DataFrame:
 def smart_hamming(t: Tables) -> DataFrame:
     """Hamming distance of two 64-bit hashes."""
     return t.pistas.select("id", R.hamming(F.col("id") * F.lit(2654435761), F.col("tamano_bytes")).alias("distancia"))
+
+
+@query()
+def smart_distinct_covers(t: Tables) -> DataFrame:
+    """Up to four tracks of each album whose 16-bit hashes differ by more than six bits."""
+    i = t.pistas.filter("album_id is not null").select("album_id", "id", F.col("id").alias("orden"), (F.col("id") * F.lit(2654435761) % 65536).alias("h"))
+    return R.pick_distinct(i, "album_id", "id", "orden", "h")
+
+
+@query(f"""SELECT regla, n, n >= m AS basta FROM (SELECT 'favoritas' AS regla, least(50, count(*) FILTER (favorita = 1 AND plays > 0)) AS n, 12 AS m FROM {_C} UNION ALL SELECT 'nuevas', least(50, count(*) FILTER (plays = 0)), 20 FROM {_C} UNION ALL SELECT 'descubrir', least(50, count(*) FILTER (plays < 10)), 25 FROM {_C})""")
+def smart_catalogue(t: Tables) -> DataFrame:
+    """The size of several lists and whether each reaches its minimum."""
+    c = _c(t)
+    return R.catalogue({"favoritas": R.favourites_playing(c), "nuevas": R.recent_unplayed(c), "descubrir": R.to_discover(c)}, {"favoritas": 12, "nuevas": 20, "descubrir": 25})

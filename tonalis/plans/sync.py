@@ -166,3 +166,19 @@ def run_ewma(t: Tables) -> DataFrame:
 @query("SELECT user_id, round(avg(value), 6) AS media, count(*) AS n FROM events WHERE value > 0 GROUP BY 1")
 def run_means(t: Tables) -> DataFrame:
     return t.events.filter("value > 0").groupBy("user_id").agg(F.round(F.avg("value"), 6).alias("media"), F.count("*").alias("n"))
+
+
+@query("SELECT event_id, user_id, ts, CAST(row_number() OVER (ORDER BY ts, event_id) AS BIGINT) AS turno FROM events WHERE event_type IN ('signup', 'click')")
+def job_listing(t: Tables) -> DataFrame:
+    """The active jobs in order of arrival, numbered over pieces."""
+    from tonalis.operators.library import number_rows
+
+    a = t.events.filter(F.col("event_type").isin("signup", "click")).select(F.lit(0).alias("g"), "event_id", "user_id", "ts")
+    return number_rows(a, ["g"], [F.asc("ts"), F.asc("event_id")], "turno").select("event_id", "user_id", "ts", "turno")
+
+
+@query("""SELECT id, coalesce(finalizado_en, (SELECT max(creado_en) FROM dj_sesiones)) AS fin, finalizado_en IS NULL AS cerrada FROM dj_sesiones""")
+def job_close_orphans(t: Tables) -> DataFrame:
+    """Sessions that never ended are closed at the time of the newest."""
+    last = t.dj_sesiones.agg(F.max("creado_en")).scalar()
+    return t.dj_sesiones.select("id", F.coalesce("finalizado_en", last).alias("fin"), F.col("finalizado_en").isNull().alias("cerrada"))

@@ -123,7 +123,7 @@ def nearest_words(token: str) -> str:
             if len(w) > 3 and abs(len(w) - len(token)) <= 2 and jaro_winkler(token, w) >= 0.75:
                 n = edits(token, w)
                 short, long = sorted((token, w), key=len)
-                ending = n == 1 and (token[:-1] == w[:-1] and {token[-1], w[-1]} <= set("aeo") or long[:-1] == short and long[-1] in "aeo")
+                ending = n == 1 and (token[:-1] == w[:-1] and {token[-1], w[-1]} <= set("aeo") or long[:-1] == short and long[-1] in "aeo" and long[-1] != short[-1])
                 if not ending and (n <= 1 or n == 2 and jaro_winkler(token, w) >= WORD_JW):
                     off[w] = n
         best = min(off.values(), default=0)

@@ -183,3 +183,30 @@ def test_match_scores(spark):
 
 def test_validation_names_the_first_failure(spark):
     assert one(spark, files.first_failure({"a": F.lit(True), "b": F.lit(None).cast("boolean"), "c": F.lit(False)})) == "b"
+
+
+def test_suggestions_leave_out_the_recent_and_the_current_artist_as_long_as_something_remains(spark):
+    rows = [dict(id=1), dict(id=2), dict(id=3, artista_id=2, album_id=2), dict(id=4, artista_id=2, album_id=3, favorita=1)]
+    recent = spark.createDataFrame([(4,)], "pista_id long")
+    assert [r.id for r in interface.suggest(tracks(spark, rows), recent, 1).collect()] == [3]
+    everything = spark.createDataFrame([(2,), (3,), (4,)], "pista_id long")
+    assert {r.id for r in interface.suggest(tracks(spark, rows), everything, 1).collect()} == {3, 4}
+
+
+def test_distinct_covers_are_far_apart(spark):
+    df = spark.createDataFrame([(1, k, k, h) for k, h in enumerate((0, 1, 0xFF, 0xFF00, 0xFFFF, 0xF0F0, 3))] + [(2, 50, 0, None)], "g long, id long, o long, h long")
+    got = sorted((r.puesto, r.id) for r in smartlists.pick_distinct(df, "g", "id", "o", "h").collect())
+    assert got == [(1, 0), (2, 2), (3, 3), (4, 4)]
+
+
+def test_refined_order_keeps_the_first_and_all_tracks(spark):
+    rows = [(1, k + 1, k, b, "8A", 0.5) for k, b in enumerate((100.0, 160.0, 101.0, 161.0, 102.0))]
+    got = planner.refine_order(spark.createDataFrame(rows, "lista_id long, posicion long, pista_id long, bpm double, clave string, energy double")).orderBy("posicion").collect()
+    assert got[0].pista_id == 0 and sorted(r.pista_id for r in got) == list(range(5))
+
+
+def test_filter_or_all_and_promotion(spark):
+    pairs = spark.createDataFrame([(1, 1, True), (1, 2, False), (2, 3, False), (2, 4, None)], "id long, c_id long, ok boolean")
+    assert {(r.id, r.c_id) for r in resolve.filter_or_all(pairs, F.col("ok")).collect()} == {(1, 1), (2, 3), (2, 4)}
+    ev = spark.createDataFrame([(1, 1, 0.9, True), (1, 2, 0.7, True), (2, 3, 0.95, True), (2, 4, 0.9, True), (3, 5, 0.9, False)], "id long, c_id long, evidencia double, fuerte boolean")
+    assert [(r.id, r.c_id, r.brecha) for r in resolve.promoted(ev).collect()] == [(1, 1, 0.2)]

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tonalis.functions.text import collapse
+from tonalis.materialise import materialise
 
 
 def keep_unless_empty(df: DataFrame, rule: Column) -> DataFrame:
@@ -14,6 +15,24 @@ def keep_unless_empty(df: DataFrame, rule: Column) -> DataFrame:
     return df.withColumn("_any", any_hit).filter(rule | ~F.col("_any")).drop("_any")
 
 
+def first_filters(df: DataFrame, rules: list[str]) -> DataFrame:
+    """:func:`keep_unless_empty` for boolean columns one after the other, in a single pass over ``df``.
+
+    Which combinations of the columns occur is counted once (at most two to the power of their number); the chain is decided on
+    that, and the rows are filtered by the result.
+    """
+    seen = [tuple(r) for r in df.select(*rules).distinct().collect()]
+    for k in range(len(rules)):
+        seen = [r for r in seen if r[k]] or seen
+    keep = F.lit(False)
+    for r in seen:
+        same = F.lit(True)
+        for name, value in zip(rules, r):
+            same &= F.col(name) == F.lit(value)
+        keep |= same
+    return df.filter(keep)
+
+
 def suggestion_score() -> Column:
     """How welcome a track is next: counts, favourites, quality and length add, having been heard subtracts."""
     zero = F.lit(0.0)
@@ -32,12 +51,18 @@ def suggest(tracks: DataFrame, recent: DataFrame, current: int, n: int = 40, see
 
     Recent tracks, then the current artist and album, are left out as long as something remains.
     """
-    now = tracks.filter(F.col("id") == current).select(F.col("artista_id").alias("_a"), F.col("album_id").alias("_b")).limit(1)
-    pool = tracks.filter(F.col("id") != current).join(recent.select(F.col("pista_id").alias("_r")).distinct(), F.col("id") == F.col("_r"), "left")
-    pool = keep_unless_empty(pool, F.col("_r").isNull())
-    pool = keep_unless_empty(pool.withColumn("_ca", now.select("_a").scalar()), ~F.col("artista_id").eqNullSafe(F.col("_ca")))
-    pool = keep_unless_empty(pool.withColumn("_cb", now.select("_b").scalar()), ~F.col("album_id").eqNullSafe(F.col("_cb")) | F.col("_cb").isNull())
-    top = pool.select("id", F.round(suggestion_score(), 6).alias("puntaje")).orderBy(F.desc("puntaje"), "id").limit(n)
+    now = tracks.filter(F.col("id") == current).select("artista_id", "album_id").head(1)
+    artist, album = (now[0].artista_id, now[0].album_id) if now else (None, None)
+    heard = recent.select(F.col("pista_id").alias("_r")).filter("_r is not null").distinct()
+    scored = tracks.filter(F.col("id") != current).join(heard, F.col("id") == F.col("_r"), "left").select(
+        "id",
+        F.round(suggestion_score(), 6).alias("puntaje"),
+        F.col("_r").isNull().alias("fresh"),
+        F.coalesce(F.col("artista_id") != F.lit(artist), F.lit(True)).alias("other_artist"),
+        F.coalesce(F.col("album_id") != F.lit(album), F.lit(True)).alias("other_album"),
+    )
+    pool = first_filters(materialise(scored, "suggest"), ["fresh", "other_artist", "other_album"])
+    top = pool.select("id", "puntaje").orderBy(F.desc("puntaje"), "id").limit(n)
     rank = F.row_number().over(Window.orderBy(F.desc("puntaje"), "id"))  # n rows
     draw = (F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(seed), F.col("id").cast("string"))), 1, 8), 16, 10).cast("double") + 1) / 4294967297.0
     return top.withColumn("_k", n + 1 - rank).withColumn("_d", -F.log(draw) / F.col("_k")).select("id", "puntaje", F.row_number().over(Window.orderBy("_d", "id")).alias("puesto"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tonalis.materialise import materialise
 from tonalis.operators import listening as S
 from tonalis.operators.library import LIBRARY, album_listing, in_library, number_rows
 from tonalis.plans.registry import Registry
@@ -121,11 +122,12 @@ def plays_by_hour(t: Tables) -> DataFrame:
 (SELECT count(DISTINCT CAST(reproducido_en AS DATE)) FROM a WHERE date_trunc('month', reproducido_en) = date_trunc('month', hoy)) AS dias_activos_mes""")
 def profile_peaks(t: Tables) -> DataFrame:
     """Peak hour, peak year, and days with a play in the month of the last play."""
-    h = S.distinct_plays(t.historial)
-    hour = h.groupBy(F.hour("reproducido_en").alias("k")).agg(F.count("*").alias("n")).agg(F.max_by("k", F.struct("n", -F.col("k"))))
-    year = h.groupBy(F.year("reproducido_en").alias("k")).agg(F.count("*").alias("n")).agg(F.max_by("k", F.struct("n", -F.col("k"))))
-    month = h.filter(F.date_trunc("month", "reproducido_en") == F.date_trunc("month", S.as_of(t.historial))).agg(F.countDistinct(F.to_date("reproducido_en")).alias("dias_activos_mes"))
-    return month.select(hour.scalar().alias("hora_pico"), year.scalar().alias("anio_pico"), "dias_activos_mes")
+    # one pass over the log; the rest reads a row per hour of each day
+    per = materialise(S.distinct_plays(t.historial).groupBy(F.to_date("reproducido_en").alias("dia"), F.hour("reproducido_en").alias("hora")).agg(F.count("*").alias("n")), "hours")
+    peak = lambda k: per.groupBy(k.alias("k")).agg(F.sum("n").alias("n")).agg(F.max_by("k", F.struct("n", -F.col("k")))).scalar()
+    last = per.agg(F.max("dia")).scalar()
+    month = per.filter(F.trunc("dia", "month") == F.trunc(last, "month")).agg(F.countDistinct("dia").alias("dias_activos_mes"))
+    return month.select(peak(F.col("hora")).alias("hora_pico"), peak(F.year("dia")).alias("anio_pico"), "dias_activos_mes")
 
 
 @query(f"SELECT p.genero, count(*) AS n FROM {_PLAYS} h JOIN pistas p ON p.id = h.pista_id WHERE trim(coalesce(p.genero, '')) <> '' GROUP BY 1 ORDER BY n DESC, p.genero LIMIT 6")

@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tonalis.session import findable
 from tonalis.tables import Tables
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -25,7 +26,7 @@ class Registry:
             key = name or build.__name__
             if key in self.queries:
                 raise ValueError(f"{key} is registered twice")
-            self.queries[key] = lambda spark, folder: build(Tables(spark, folder))
+            self.queries[key] = lambda spark, folder: build(Tables(findable(spark), folder))
             if sql:
                 self.sql[key] = sql
             return build

@@ -44,3 +44,9 @@ def test_readings_start_with_the_stored_one():
 
 def test_bigrams_without_data_do_not_fail():
     assert Language([]).pair("a", "b") < 0
+
+
+def test_a_very_long_text_with_one_garbled_word(spark):
+    text = CLEAN * 700 + " canci" + wrong("ó", "utf-8", "latin-1") + "n " + CLEAN * 10
+    got = run(spark, [(1001, text, "s1", ""), (1002, CLEAN * 700, "s1", "")])
+    assert set(got) == {1001} and got[1001].palabras == 1 and " canción " in got[1001].texto

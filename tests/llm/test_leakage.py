@@ -60,3 +60,9 @@ def test_against_brute_force_with_common_words(spark):
 def test_thresholds_bound_every_run():
     index = ItemIndex([(1, [f"a{k % 9}" for k in range(40)]), (2, [f"b{k}" for k in range(9)])])
     assert all((w.sum(axis=0) > 0).any() for w in index.weight)
+
+
+def test_a_very_long_text(spark):
+    item = " ".join(f"i{k}" for k in range(12))
+    text = " ".join(f"n{k % 991}" for k in range(60_000))
+    assert leaks(spark, [(1, text + " " + item), (2, text)], [(3, item)]) == {(1, 3): 12}

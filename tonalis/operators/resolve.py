@@ -44,15 +44,21 @@ def similarity(a: Column, b: Column, exact: bool = False) -> Column:
     return token_jaccard(a, b) if exact else combined_similarity(a, b)
 
 
+def blocks() -> Column:
+    """The blocks of a record: its code, and its title without version with its artist, in comparison form."""
+    words = F.concat(F.lit("t:"), compare_form(strip_version(F.col("titulo"))), F.lit("|"), compare_form(F.col("artista_nombre")))
+    return F.array_compact(F.array(F.when(F.col("isrc").isNotNull(), F.concat(F.lit("i:"), "isrc")), words))
+
+
 def block_pairs(records: DataFrame, candidates: DataFrame) -> DataFrame:
-    """Records with candidates that share a block: the artist's id, or the title's comparison form; each pair once.
+    """Records with the candidate of each of their blocks, candidate columns as ``c_*``; each pair once, none with itself.
 
-    ``records`` and ``candidates`` have id, titulo, artista_nombre, artista_id, ...; candidate columns come out as ``c_*``.
+    A block is represented by its first candidate (an aggregate), so a record meets at most one a block however many rows share
+    it: pairs grow with the records, never with the square of a hot block.
     """
-    r = records.withColumn("_block", F.explode(F.array_compact(F.array(F.when(F.col("isrc").isNotNull(), F.concat(F.lit("i:"), "isrc")), F.concat(F.lit("t:"), compare_form(strip_version(F.col("titulo"))), F.lit("|"), compare_form(F.col("artista_nombre")))))))
-    c = candidates.select(*[F.col(x).alias(f"c_{x}") for x in candidates.columns])
-    c = c.withColumn("_block", F.explode(F.array_compact(F.array(F.when(F.col("c_isrc").isNotNull(), F.concat(F.lit("i:"), "c_isrc")), F.concat(F.lit("t:"), compare_form(strip_version(F.col("c_titulo"))), F.lit("|"), compare_form(F.col("c_artista_nombre")))))))
-    return r.join(c, "_block").filter(F.col("id") != F.col("c_id")).drop("_block").dropDuplicates(["id", "c_id"])
+    c = candidates.withColumn("_block", F.explode(blocks())).groupBy("_block").agg(F.min_by(F.struct(*candidates.columns), "id").alias("_c"))
+    c = c.select("_block", *[F.col(f"_c.{x}").alias(f"c_{x}") for x in candidates.columns])
+    return records.withColumn("_block", F.explode(blocks())).join(c, "_block").filter(F.col("id") != F.col("c_id")).drop("_block").dropDuplicates(["id", "c_id"])
 
 
 def scored(pairs: DataFrame, exact: bool = False) -> DataFrame:

@@ -45,7 +45,7 @@ def page(log: DataFrame, since: int, limit: int) -> DataFrame:
 
 
 def ordered_members(members: DataFrame, group: str, item: str, position: str) -> DataFrame:
-    """(group, ids): the ids of each group as an array in order."""
+    """(group, ids): the ids of each group as an array in order. The result has one row a group, so a group must fit a row."""
     return members.groupBy(group).agg(F.transform(F.array_sort(F.collect_list(F.struct(position, item))), lambda s: s[item]).alias("ids"))
 
 

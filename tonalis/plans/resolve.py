@@ -23,7 +23,7 @@ def strip_sql(x: str) -> str:
 _CODE = r"CASE WHEN regexp_matches(upper(regexp_replace(isrc, '[\s\-]', '', 'g')), '^[A-Z]{2}[A-Z0-9]{3}[0-9]{7}$') THEN upper(regexp_replace(isrc, '[\s\-]', '', 'g')) END"
 _PAIRS = f"""WITH r AS (SELECT p.id, titulo, artista_nombre, album_titulo, duracion_seg, track_number, p.anio, {_CODE} AS isrc, mb_recording_id, b.tipo FROM pistas p LEFT JOIN (SELECT id, tipo FROM albums) b ON b.id = p.album_id),
 k AS (SELECT *, 'i:' || isrc AS block FROM r WHERE isrc IS NOT NULL UNION ALL SELECT *, 't:' || {cmp_sql(strip_sql('titulo'))} || '|' || {cmp_sql('artista_nombre')} FROM r),
-q AS (SELECT DISTINCT a.id, b.id AS c_id FROM k a JOIN k b ON a.block = b.block WHERE a.id <> b.id),
+q AS (SELECT DISTINCT a.id, b.c_id FROM k a JOIN (SELECT block, min(id) AS c_id FROM k GROUP BY block) b ON a.block = b.block WHERE a.id <> b.c_id),
 t AS (SELECT *, {tokens_sql(strip_sql('titulo'))} AS tt, {tokens_sql('artista_nombre')} AS ta, {tokens_sql('album_titulo')} AS tb FROM r),
 s AS (SELECT q.id, q.c_id, {jaccard_sql('a.tt', 'b.tt')} AS s_titulo, {jaccard_sql('a.ta', 'b.ta')} AS s_artista, {jaccard_sql('a.tb', 'b.tb')} AS s_album, abs(a.duracion_seg - b.duracion_seg) AS d, a.track_number - b.track_number AS n,
  CASE WHEN lower(trim(b.tipo)) IN ('album', 'single', 'ep') THEN 1.0 WHEN lower(trim(b.tipo)) IN ('compilation', 'live', 'remix', 'dj-mix') THEN 0.2 WHEN coalesce(lower(trim(b.tipo)), '') = '' THEN 0.4 ELSE 0.5 END AS s_tipo,

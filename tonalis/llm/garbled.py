@@ -273,7 +273,9 @@ class Cipher:
         letters = any(s != m and m.isalpha() for s, m in ways[best])
         need = MARGIN if letters and (len(token) > 1 or token in _OPEN) or any(len(s) > 1 for s, _ in ways[best]) else ALONE
         if best and (scores[best] - scores[0] > need or damaged):
-            word = "".join(m for _, m in ways[best])
+            way = ways[best]
+            # a single-byte swap is a substitution of characters; in the others a symbol has several
+            word = token.translate({ord(s): m for s, m in way}) if all(len(s) == 1 for s, _ in way) else "".join(m for _, m in way)
             return True, word, word.count(LOST)
         return damaged, token, token.count(LOST)
 

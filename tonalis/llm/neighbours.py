@@ -23,7 +23,7 @@ AXES = (
 NEUTRAL = 0.5
 #: Rows that the lists' centres are fitted on at most (every row is indexed), and the largest number of lists.
 FIT_ROWS, MAX_LISTS = 50_000, 4096
-#: Lists that a vector is looked for in; half-width of the error bound in standard deviations.
+#: Lists that a vector is looked for in at least (the root of their number if that is more); half-width of the error bound in standard deviations.
 PROBES, WIDTH = 16, 2.5
 #: Bits of a code, bits of a query's coordinate; index rows and queries of one task.
 BITS, QUERY_BITS = 64, 4
@@ -161,7 +161,7 @@ def nearest(vectors: DataFrame, *, id_col: str, vector: Column, k: int = 5) -> D
     """(id, vecino_id, puesto, similitud): the k nearest of every row by cosine similarity rounded to 6 decimals.
 
     Equal similarity goes to the smaller id; a row is never its own neighbour. The search is approximate: a vector is looked
-    for in the PROBES lists nearest to it, and inside a list every vector is estimated from its one-bit code; those whose error
+    for in the lists nearest to it (PROBES or the root of their number), and inside a list every vector is estimated from its one-bit code; those whose error
     bound reaches the k-th best are compared exactly. Recall is measured against brute force in the tests.
 
     Defined cases: rows without id or vector take no part; a vector of norm 0 has similarity 0 with all and gets the smallest ids;
@@ -184,7 +184,7 @@ def nearest(vectors: DataFrame, *, id_col: str, vector: Column, k: int = 5) -> D
     data = _unit(np.array(sample, dtype=np.float64).reshape(-1, dim))
     lists = max(1, min(MAX_LISTS, round(math.sqrt(total)), len(data)))
     centres, rotation = (fit_centres(data, lists) if len(data) else np.zeros((1, dim))), _rotation(dim)
-    probes = min(PROBES, len(centres))
+    probes = min(len(centres), max(PROBES, round(math.sqrt(len(centres)))))  # more lists, more of them: recall holds as the table grows
     model = spark.sparkContext.broadcast((centres, rotation))
     coded = materialise(
         classes.mapInPandas(lambda it: _encode(it, *model.value, probes), "cls long, ids array<long>, probes array<int>, code long, norm double, align double, unit binary, vec array<double>"), "codes"

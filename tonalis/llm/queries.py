@@ -70,13 +70,28 @@ def p5_found(t: Tables) -> DataFrame:
     return survivors_op.survivors(t.pistas)
 
 
-@query()
+_PRECEDENCE = (
+    _SURVIVORS[: _SURVIVORS.index("w AS (SELECT g.grupo_id")]
+    + """f AS (SELECT grupo_id, coalesce(p.estado, '') AS s, min(p.actualizado_en) AS since FROM g JOIN pistas p USING (id) GROUP BY 1, 2),
+v AS (SELECT lag(s) OVER w AS antes, s AS despues, lag(since) OVER w < since AS later FROM f WINDOW w AS (PARTITION BY grupo_id ORDER BY since, s)),
+c AS (SELECT antes, despues, count(*) AS n FROM v WHERE later GROUP BY 1, 2)
+SELECT c.antes, c.despues, c.n FROM c LEFT JOIN c b ON b.antes = c.despues AND b.despues = c.antes WHERE c.n >= 3 AND c.n >= 0.6 * (c.n + coalesce(b.n, 0))"""
+)
+
+
+@query(_PRECEDENCE)
 def p5_precedence(t: Tables) -> DataFrame:
     """The learned precedence between states of a track, with the number of groups that show it."""
     return survivors_op.learn_precedence(survivors_op.grouped(t.pistas))
 
 
-@query()
+def _runs(table: str, key: str) -> str:
+    """The distinct runs of eight words of every text, in SQL."""
+    return rf"""(SELECT DISTINCT {key}, g FROM (SELECT {key}, unnest(list_transform(range(1, len(w) - 6), lambda k: array_to_string(w[k:k + 7], ' '))) AS g
+ FROM (SELECT {key}, regexp_extract_all(strip_accents(lower(text)), '[\p{{L}}\p{{N}}]+') AS w FROM {table}) WHERE len(w) >= 8))"""
+
+
+@query(f"SELECT DISTINCT d.doc_id, i.item_id FROM {_runs('documents', 'doc_id')} d JOIN {_runs('prueba_items', 'item_id')} i USING (g)")
 def p7_found(t: Tables) -> DataFrame:
     """The test items that leaked into each document."""
     return leakage.find_leaks(t.documents, t.prueba_items).select("doc_id", "item_id")

@@ -12,6 +12,8 @@ WEIGHTS = {"titulo": 0.28, "artista": 0.23, "duracion": 0.18, "album": 0.10, "tr
 ACCEPT, REVIEW, GAP, PENALTY_GAP = 0.82, 0.55, 0.10, 0.15
 YEAR, CODE = 0.04, 0.22
 MOST_CANDIDATES = 8
+#: Candidates of a block whose records one task takes; beyond that they are dealt over several.
+HOT_BLOCK = 256
 
 
 def duration_score(a: Column, b: Column) -> Column:
@@ -51,14 +53,18 @@ def blocks() -> Column:
 
 
 def block_pairs(records: DataFrame, candidates: DataFrame) -> DataFrame:
-    """Records with the candidate of each of their blocks, candidate columns as ``c_*``; each pair once, none with itself.
+    """Records with every candidate that shares one of their blocks, candidate columns as ``c_*``; each pair once, none with itself.
 
-    A block is represented by its first candidate (an aggregate), so a record meets at most one a block however many rows share
-    it: pairs grow with the records, never with the square of a hot block.
+    ``id`` is unique on both sides. The records of a block that many candidates share are dealt over several tasks, each with all of
+    its candidates. A pair that shares both blocks is kept from the code's block alone, so no pair has to be shuffled.
     """
-    c = candidates.withColumn("_block", F.explode(blocks())).groupBy("_block").agg(F.min_by(F.struct(*candidates.columns), "id").alias("_c"))
-    c = c.select("_block", *[F.col(f"_c.{x}").alias(f"c_{x}") for x in candidates.columns])
-    return records.withColumn("_block", F.explode(blocks())).join(c, "_block").filter(F.col("id") != F.col("c_id")).drop("_block").dropDuplicates(["id", "c_id"])
+    c = candidates.withColumn("_block", F.explode(blocks()))
+    c = c.select("_block", *[F.col(x).alias(f"c_{x}") for x in candidates.columns])
+    hot = c.groupBy("_block").agg(F.count("*").alias("_n")).filter(F.col("_n") > HOT_BLOCK).select("_block", F.ceil(F.col("_n") / HOT_BLOCK).cast("int").alias("_parts"))
+    dealt = records.withColumn("_block", F.explode(blocks())).join(hot, "_block", "left").withColumn("_part", F.coalesce(F.pmod(F.hash("id"), F.col("_parts")), F.lit(0))).drop("_parts")
+    every = c.join(hot, "_block", "left").withColumn("_part", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("_parts") - 1, F.lit(0))))).drop("_parts")
+    once = F.col("_block").startswith("i:") | ~F.coalesce(F.col("isrc") == F.col("c_isrc"), F.lit(False))
+    return dealt.join(every, ["_block", "_part"]).filter((F.col("id") != F.col("c_id")) & once).drop("_block", "_part")
 
 
 def scored(pairs: DataFrame, exact: bool = False) -> DataFrame:

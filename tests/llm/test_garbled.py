@@ -50,3 +50,20 @@ def test_a_very_long_text_with_one_garbled_word(spark):
     text = CLEAN * 700 + " canci" + wrong("ó", "utf-8", "latin-1") + "n " + CLEAN * 10
     got = run(spark, [(1001, text, "s1", ""), (1002, CLEAN * 700, "s1", "")])
     assert set(got) == {1001} and got[1001].palabras == 1 and " canción " in got[1001].texto
+
+
+def test_damage_whose_bigrams_are_usual_in_the_corpus_is_still_compared_with_the_other_readings():
+    import pandas as pd
+
+    from tonalis.llm import garbled as G
+
+    bad = wrong(CLEAN.split(" —")[0], "cp1252", "mac_roman")
+    texts = pd.DataFrame({"text": [CLEAN] * 2 + [bad], "source": ["a", "b", "roto"]})
+    pairs = pd.concat(G._count_pairs([pd.concat([texts] * 60)]))
+    cipher = G.Cipher(Language([(chr(a), chr(b), n) for a, b, n in pairs.itertuples(index=False)]))
+    tokens = pd.concat(G._count_tokens([pd.concat([texts] * 60)]))
+    for _ in range(G.ROUNDS):
+        cipher.learn(list(pd.concat(G._expected([tokens], cipher)).itertuples(index=False, name=None)))
+    stored = wrong("íntima", "cp1252", "mac_roman")
+    assert cipher.decide(G.cell_of("roto"), stored)[:2] == (True, "íntima")
+    assert cipher.decide(G.cell_of("a"), "íntima")[0] is False

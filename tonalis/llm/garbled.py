@@ -22,8 +22,8 @@ CELLS = 256
 ROUNDS, MARGIN, POOL = 3, 6.0, 5.0
 #: The same for a token of a single character, which has little context, and where only signs would come out.
 ALONE = 12.0
-#: Bigrams of a character outside ASCII that are at least this likely need no second reading; weight of single characters in them.
-PLAIN, SHRINK = -7.0, 5e-5
+#: Weight of single characters in bigrams.
+SHRINK = 5e-5
 LOST, WIDE = "�", "一"
 
 _TOKEN = re.compile(r"[^ \t\r\n]+")
@@ -188,12 +188,6 @@ class Language:
     def word(self, text: str) -> float:
         return sum(map(self.pair, " " + text, text + " "))
 
-    def plain(self, token: str) -> bool:
-        """Whether every bigram with a character outside ASCII is a usual one."""
-        if _CONTROL.search(token):
-            return False
-        return all(a < "\x80" and b < "\x80" or self.pair(a, b) > PLAIN for a, b in zip(" " + token, token + " "))
-
 
 class Cipher:
     """What stored symbols stand for: for each cell of sources a distribution over letters, on top of a pooled one."""
@@ -227,11 +221,6 @@ class Cipher:
 
     def expect(self, cell: int, token: str, n: float) -> Iterator[tuple[int, str, str, float]]:
         """E-step: the expected counts that a token seen ``n`` times gives."""
-        if self.language.plain(token):
-            for c in token:
-                if c >= "\x80":
-                    yield cell, c, c, n
-            return
         ways = readings(token)
         scores = [self.score(cell, w) for w in ways]
         top = max(scores)
@@ -264,7 +253,7 @@ class Cipher:
         return known
 
     def _decide(self, cell: int, token: str) -> tuple[bool, str, int]:
-        if token.isascii() or self.language.plain(token):
+        if token.isascii():
             return False, token, 0
         ways = readings(token)
         scores = [self.score(cell, w) for w in ways]

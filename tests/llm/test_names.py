@@ -41,3 +41,8 @@ def test_nulls_empties_labels_repeats_and_empty_table(spark):
 def test_pairs_are_in_binary_order(spark):
     df = spark.createDataFrame([("b", 1), ("é", 1), ("Z", 1), ("x", 2)], "nombre string, entidad long")
     assert {(r.nombre_a, r.nombre_b) for r in spelling_pairs(df).collect()} == {("Z", "b"), ("Z", "é"), ("b", "é")}
+
+
+def test_reordered_names_outside_the_table_link(spark):
+    names = ["Carlos Pérez", "Pérez Carlos", "PEREZ CARLOS", "Perez Crlos", "Carla Pérez", "Carlos Gómez", "Gómez Pérez"]
+    assert groups(spark, names) == sorted([sorted(names[:4]), ["Carla Pérez"], ["Carlos Gómez"], ["Gómez Pérez"]])

@@ -224,7 +224,10 @@ def _parse(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 cuts = {code, *(code[:k] + code[k + 1 :] for k in range(len(code)))} if len(code) > 2 else {code}
                 lead = " ".join(heads) if initials else " ".join(sorted(heads)[:1]) if duo else " ".join(heads[:1])
                 known = lead if lead in _WORDS or initials or lead in ("", "@") else sound(lead)
-                out.append((name, core, " ".join(heads), duo, initials, [f"{known}/{c}" for c in sorted(cuts)], re.sub(r"[\W_]", "", fold(name))))
+                keys = [f"{known}/{c}" for c in sorted(cuts)]
+                if heads and not initials and "@" not in heads:  # the same words in another order, whichever of them is the core
+                    keys.append("#" + " ".join(sorted(map(sound, [core, *heads]))))
+                out.append((name, core, " ".join(heads), duo, initials, keys, re.sub(r"[\W_]", "", fold(name))))
         yield pd.DataFrame(out, columns=["nombre", "core", "heads", "duo", "initials", "keys", "glued"])
 
 
@@ -234,13 +237,22 @@ def _same(heads_a: str, heads_b: str) -> bool:
     return len(a) == len(b) and all(x == y or not {x, y} & _WORDS.keys() and x[-1] != "." and y[-1] != "." and jaro_winkler(x, y) >= WORD_JW for x, y in zip(a, b))
 
 
+def _reordered(core_a: str, heads_a: str, core_b: str, heads_b: str) -> bool:
+    """Whether two forms have the same words in another order: the core of one is a head of the other. A known word is not mistyped."""
+    a, b = (sorted([core, *heads.split()], key=lambda w: (sound(w), w)) for core, heads in ((core_a, heads_a), (core_b, heads_b)))
+    alike = lambda x, y: x == y or not {x, y} & _WORDS.keys() and edits(x, y) <= 1 and jaro_winkler(x, y) >= CORE_JW
+    if len(a) != len(b) or not any(alike(core_a, h) for h in heads_b.split()):
+        return False
+    return all(map(alike, a, b))
+
+
 def _accept(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
         keep = []
         for ca, ha, cb, hb in zip(batch["core_a"], batch["heads_a"], batch["core_b"], batch["heads_b"]):
             far = 0 if ca == cb else edits(ca, cb)
             allowed = 2 if min(len(ca), len(cb)) > 7 or sound(ca) == sound(cb) and min(len(ca), len(cb)) > 4 else 1
-            keep.append(far <= allowed and (far == 0 or jaro_winkler(ca, cb) >= CORE_JW) and _same(ha, hb))
+            keep.append(far <= allowed and (far == 0 or jaro_winkler(ca, cb) >= CORE_JW) and _same(ha, hb) or _reordered(ca, ha, cb, hb))
         yield batch.loc[keep, ["a", "b"]]
 
 
@@ -250,7 +262,8 @@ def link_spellings(spellings: DataFrame, column: str = "nombre") -> DataFrame:
 
     Spellings with the same core name and heads are one form. Forms that share a block - the phonetic code of the head and that
     of the core, or the latter less one sound - are linked if the cores agree by Jaro-Winkler and edit distance and
-    the heads by the nickname table; connected components give the artists. A form with less (an initial, no middle
+    the heads by the nickname table. Forms that share the sorted phonetic codes of all their words are linked if they have the
+    same words in another order. Connected components give the artists. A form with less (an initial, no middle
     name, no head at all) then joins the artist whose heads it abbreviates, if all artists of that core that it could
     mean have the same head.
 
@@ -267,7 +280,7 @@ def link_spellings(spellings: DataFrame, column: str = "nombre") -> DataFrame:
     forms = materialise(parsed.groupBy(*by_form).agg(F.first("initials").alias("initials"), F.first("keys").alias("keys")).withColumn("form", F.xxhash64(*by_form)), "forms")
     block = forms.select("form", "core", "heads", "duo", F.explode("keys").alias("key"))
     a, b = (block.select(F.col("key"), F.col("duo"), *[F.col(c).alias(f"{c}_{s}") for c in ("form", "core", "heads")]) for s in "ab")
-    pairs = a.join(b, ["key", "duo"]).filter((F.col("form_a") < F.col("form_b")) & (F.levenshtein("core_a", "core_b", 4) >= 0)).select(F.col("form_a").alias("a"), F.col("form_b").alias("b"), "core_a", "heads_a", "core_b", "heads_b").distinct()
+    pairs = a.join(b, ["key", "duo"]).filter((F.col("form_a") < F.col("form_b")) & (F.col("key").startswith("#") | (F.levenshtein("core_a", "core_b", 4) >= 0))).select(F.col("form_a").alias("a"), F.col("form_b").alias("b"), "core_a", "heads_a", "core_b", "heads_b").distinct()
     links = pairs.mapInPandas(_accept, "a long, b long")
     # the same letters with other blanks between them ("LosNirvindo") are one form: a star to the smallest, no pairs
     joined = parsed.select("glued", F.xxhash64(*by_form).alias("a")).distinct()

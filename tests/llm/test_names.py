@@ -1,4 +1,6 @@
-from tonalis.llm.names import edits, jaro_winkler, link_spellings, parse, sound, spelling_pairs
+import random
+
+from tonalis.llm.names import core_cost, edits, jaro_winkler, link_spellings, parse, sound, spelling_pairs, typing_cost
 
 
 def groups(spark, names):
@@ -46,3 +48,50 @@ def test_pairs_are_in_binary_order(spark):
 def test_reordered_names_outside_the_table_link(spark):
     names = ["Carlos Pérez", "Pérez Carlos", "PEREZ CARLOS", "Perez Crlos", "Carla Pérez", "Carlos Gómez", "Gómez Pérez"]
     assert groups(spark, names) == sorted([sorted(names[:4]), ["Carla Pérez"], ["Carlos Gómez"], ["Gómez Pérez"]])
+
+
+def test_typing_cost():
+    assert typing_cost("gomez", "gomez") == 0 and typing_cost("gomez", "gomwz") == 0.5 == typing_cost("gomez", "ogmez") == typing_cost("gomez", "gommez")
+    assert typing_cost("gomez", "gmez") == 0.8 and typing_cost("gomez", "gopez") == 1.2
+    assert core_cost("firrdabel", "fordabel") is not None and core_cost("gomez", "lopez") is None and core_cost("abc", "abd") is None
+
+
+def test_very_long_names_do_not_grow_without_bound(spark):
+    long = "Isabel " + "pneumo" * 4000
+    assert groups(spark, [long, long.upper(), "x " * 3000]) == sorted([sorted([long, long.upper()]), ["x " * 3000]])
+
+
+def planted(seed, artists):
+    """Invented artists with typed variants: (spelling, artist). Half of the given names stand in no table."""
+    rng = random.Random(seed)
+    part = lambda: rng.choice("bdfgklmnprstvz") + rng.choice("aeiou") + rng.choice(["", "n", "r", "l", "s"])
+    given = ["isabel", "eduardo", "roberto", "patricia", "wenceslao", "begoña", "hildegard", "thorsten", "marisol", "evaristo"]
+    out, taken = [], set()
+    while len(taken) < artists:
+        core, first = part() + part() + part() + rng.choice("zxnr"), rng.choice(given)
+        if core[:4] in taken:  # no two artists that a person could confuse
+            continue
+        taken.add(core[:4])
+        name = f"{first.title()} {core.title()}"
+        k = rng.randrange(1, len(core) - 2)
+        swapped = core[:k] + core[k + 1] + core[k] + core[k + 2 :]
+        j = rng.randrange(1, len(core))
+        out += [(v, core) for v in {
+            name, name.upper(), name.lower().replace(" ", "_"), f"{core.title()}, {first.title()}", f"{first.title()} {swapped.title()}", f"{first.title()} {(core[:j] + core[j] + core[j:]).title()}",
+            f"{first.title()}  {(swapped[:2] + swapped[1:]).title()}", f"{first[0].upper()}. {core.title()}", f"{name} (Oficial)", f"{name} Records", name.replace(" ", "  "),
+        }]
+    return out
+
+
+def test_recall_and_precision_on_planted_variants(spark):
+    rows = planted(5, 150)
+    df = link_spellings(spark.createDataFrame([(n, 1) for n, _ in rows], "nombre string, entidad int"))
+    found = {r.nombre: r.entidad for r in df.collect()}
+    true, by = {}, {}
+    for n, a in rows:
+        true.setdefault(a, set()).add(n)
+        by.setdefault(found[n], set()).add(a)
+    whole = sum(len(v) * (len(v) - 1) // 2 for v in true.values())
+    hit = sum(found[x] == found[y] for v in true.values() for x in v for y in v if x < y)
+    assert hit / whole >= 0.97, hit / whole
+    assert all(len(v) == 1 for v in by.values())

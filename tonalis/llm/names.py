@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import re
 import unicodedata
-from collections.abc import Iterable, Iterator
+from collections.abc import Collection, Iterable, Iterator
+from itertools import combinations
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -15,6 +16,16 @@ from tonalis.operators.components import connected_components
 
 #: Least Jaro-Winkler similarity of two core names, and of a mistyped known word to the word.
 CORE_JW, WORD_JW = 0.90, 0.87
+#: Below CORE_JW two core names still agree from this similarity on if slips of typing explain the difference: the cost of the
+#: slips at most, by the length of the shorter name. A pair that costs more than SURE counts only as the nearest of one of its ends.
+TYPED_JW, TYPED_COST, SURE = 0.70, {5: 0.8, 6: 1.3, 7: 1.7}, 1.0
+#: A word is common if it stands beside this many different rarer words; it is an addition if it follows the rare word in this share
+#: of its names, or if this share of its names also occurs without it.
+COMPANIONS, TRAILING, SPARED = 10, 0.8, 0.5
+#: A word that all but never makes a difference is an addition beside this many rarer words already, from this share.
+FEW, NEARLY_ALL = 4, 0.9
+#: Longest core whose forms less two letters are block keys; longest code whose forms less one sound are (halves beyond).
+TYPED_LENGTH, CODE_LENGTH = 24, 32
 
 # Given names with their familiar forms.
 NICKNAMES = {
@@ -29,13 +40,13 @@ NICKNAMES = {
     "teresa": "tere teresita", "theodore": "ted theo teddy", "ursula": "uxi uschi ursi", "valentina": "vale valen tina",
     "william": "bill will billy wally willy", "xavier": "javi xavi javier", "yolanda": "yoli yola", "zacarias": "zaca zac",
 }
-# Words for kinds of performers with their short forms; articles; what is only added to a name.
+# Words for kinds of performers with their short forms; articles; marks of channels. Other additions are learned.
 KINDS = {
     "banda": "bda", "conjunto": "conj cjto cto", "coro": "", "grupo": "gpo grup gr", "hermanos": "hnos hnas hermanas", "orquesta": "orq orkesta",
     "trio": "3o", "dj": "deejay", "mc": "emcee", "don": "dn", "lady": "leidy",
 }
 ARTICLES = "the los las el la l lo"
-ADDED = "oficial official topic tv vv mx mix musica music band co company ensemble collective sound club nocturna norte sur barrio del de"
+ADDED = "oficial official topic"
 CONNECTORS = "y e i and con with et und &"
 NO_ONE = "variosartistas variousartists varios various vvaa vva va unknown unknownartist artistadesconocido desconocido desconocida anonimo anonymous interpretesvarios sinartista sinnombre nn na none null"
 
@@ -90,6 +101,36 @@ def edits(a: str, b: str) -> int:
     return row[-1]
 
 
+# The rows of the Latin keyboard.
+KEYBOARD = ("qwertyuiop", "asdfghjklñ", "zxcvbnm")
+_AT = {c: (row, place + row / 4) for row, keys in enumerate(KEYBOARD) for place, c in enumerate(keys)}
+
+
+def slip(x: str, y: str) -> float:
+    """Cost of one letter typed for another: half for neighbours on the keyboard and letters of the same sound."""
+    if x in _AT and y in _AT:
+        (r, i), (s, j) = _AT[x], _AT[y]
+        if abs(r - s) <= 1 and abs(i - j) <= 1:
+            return 0.5
+    return 0.5 if x.translate(_SOUND) == y.translate(_SOUND) or {x, y} == {"i", "y"} else 1.2
+
+
+def typing_cost(a: str, b: str) -> float:
+    """The cheapest slips that turn ``a`` into ``b``: swaps of neighbours and repeated letters cost half, lost and added letters 0.8."""
+    lone = lambda s, k: 0.5 if k and s[k] == s[k - 1] else 0.8
+    before, row = [], [0.0]
+    for j in range(len(b)):
+        row.append(row[-1] + lone(b, j))
+    for i, x in enumerate(a):
+        last, before, row = before, row, [row[0] + lone(a, i)]
+        for j, y in enumerate(b):
+            best = min(before[j + 1] + lone(a, i), row[j] + lone(b, j), before[j] + (0 if x == y else slip(x, y)))
+            if i and j and x == b[j - 1] and a[i - 1] == y and x != y:
+                best = min(best, last[j - 1] + 0.5)
+            row.append(best)
+    return row[-1]
+
+
 _SOUND = str.maketrans({**dict.fromkeys("bvw", "b"), **dict.fromkeys("ckq", "k"), **dict.fromkeys("szx", "s"), **dict.fromkeys("gjh", "j"), **dict.fromkeys("dt", "t"), **dict.fromkeys("mn", "n"), **dict.fromkeys("pf", "p")})
 
 
@@ -131,12 +172,8 @@ def nearest_words(token: str) -> str:
     return _near[token]
 
 
-def parse(name: str) -> tuple[str, list[str], bool] | None:
-    """(core name, heads, whether two persons) of a spelling; None for what names no one.
-
-    The core is the word that is no given name, kind, article or addition. Heads are given names or kinds in full (alternatives
-    joined by ``|``), ``@`` for an article alone, or an initial with a full stop; duos have theirs sorted.
-    """
+def split_name(name: str) -> list[tuple[str, bool]] | None:
+    """The words of a spelling, each with whether it stands in brackets, what follows a comma first; None for what names no one."""
     text = fold(re.sub(r"(?<=[a-zß-ÿ])(?=[A-ZÀ-Þ])", " ", name) if not re.search(r"[\s_\-]", name.strip()) else name)
     if re.sub(r"[\W_]", "", text) in _NO_ONE or not re.search(r"[^\W_]", text):
         return None
@@ -163,8 +200,22 @@ def parse(name: str) -> tuple[str, list[str], bool] | None:
             if words[0][0].startswith(w) and len(words[0][0]) - len(w) >= 4:
                 words = [(w, False), (words[0][0][len(w) :], False)]
                 break
+    return words
+
+
+def parse(name: str, known: Collection[str] = (), additions: Collection[str] = ()) -> tuple[str, list[str], bool] | None:
+    """(core name, heads, whether two persons) of a spelling; None for what names no one.
+
+    The core is the word that is no given name, kind, article or addition. Heads are given names or kinds in full (alternatives
+    joined by ``|``), ``@`` for an article alone, or an initial with a full stop; duos have theirs sorted. ``known`` and ``additions`` are
+    the words of the name that the corpus shows to be heads and additions.
+    """
+    words = split_name(name)
+    if words is None:
+        return None
     duo = False
     heads: list[str] = []
+    places: list[int] = []  # of the heads
     rest: list[str] = []
     article = False
     added: list[str] = []
@@ -172,22 +223,28 @@ def parse(name: str) -> tuple[str, list[str], bool] | None:
     for k, (w, b) in enumerate(words):
         if w in _LINKS:
             duo |= 0 < k < len(words) - 1
-        elif w.endswith("."):
+        elif w.endswith(".") or w in known and w not in _ARTICLES and w not in _WORDS and w not in additions:
             heads.append(w)
+            places.append(k)
         elif w in _ARTICLES:
             article = True
-        elif w in _ADDED:
+        elif w in _ADDED or w not in _WORDS and w in additions:
             added.append(w)
         elif w in _WORDS:
             (bracket if b else heads).append("|".join(sorted(_WORDS[w])))
+            if not b:
+                places.append(k)
         else:
             rest.append(w)
-    heads = heads or ([] if article else bracket)  # "(grupo)" after a name that has its kind is an addition
     if len(rest) > 1:
         for near, w in [(nearest_words(w), w) for w in rest]:
             if near and len(rest) > 1:
                 rest.remove(w)
-                heads.insert(0, near)
+                at = next(k for k, (x, _) in enumerate(words) if x == w)
+                where = sum(k < at for k in places)
+                heads.insert(where, near)
+                places.insert(where, at)
+    heads = heads or ([] if article else bracket)  # "(grupo)" after a name that has its kind is an addition
     if not rest:  # every word is a known one: the last is the name
         full = [h for h in heads if not h.endswith(".")]
         if full:
@@ -212,19 +269,63 @@ def parse(name: str) -> tuple[str, list[str], bool] | None:
     return core, heads, duo
 
 
+def _tokens(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for batch in batches:
+        split = [(n, split_name(n)) for n in batch["nombre"]]
+        rows = [(n, [w for w, _ in words if not w.endswith(".")], not any(w.endswith(".") for w, _ in words)) for n, words in split if words]
+        yield pd.DataFrame(rows, columns=["nombre", "words", "whole"])
+
+
+def learn_words(names: DataFrame) -> DataFrame:
+    """(nombre, known, additions): the words of each name that the whole collection shows to be common, by what they are.
+
+    A word's names are looked at from their rarest word (the last one of several). A word beside COMPANIONS different rarer
+    words is common. It is an addition if it mostly follows the rare word, or if most of its names also occur
+    without it; else it is a head, as given names are. Nothing is typed in, and what is learned joins back by name: no list is
+    collected or sent.
+    """
+    split = materialise(names.mapInPandas(_tokens, "nombre string, words array<string>, whole boolean"), "words")
+    at = split.select("nombre", F.posexplode("words").alias("at", "word"), F.array_distinct("words").alias("bag"))
+    often = at.select("nombre", "word").distinct().groupBy("word").agg(F.count("*").alias("n"))
+    seen = at.join(often, "word").groupBy("nombre").agg(F.min(F.struct("n", (-F.col("at")).alias("at"), "word")).alias("rare"), F.collect_list(F.struct("word", "at", "n")).alias("all"), F.first("bag").alias("bag"))
+    key = lambda a: F.xxhash64(F.array_join(F.array_sort(a), " "))
+    beside = seen.select("nombre", "rare", "bag", F.explode("all").alias("w")).filter("w.n > rare.n")
+    beside = beside.select("nombre", F.col("w.word").alias("word"), F.col("rare.word").alias("rare"), (F.col("w.at") > -F.col("rare.at")).cast("int").alias("after"), key(F.array_remove("bag", F.col("w.word"))).alias("less"))
+    whole = split.filter("whole").select(key(F.array_distinct("words")).alias("less"), F.lit(1).alias("spared")).distinct()
+    per = beside.join(whole, "less", "left").groupBy("word", "rare").agg(F.count("*").alias("n"), F.sum("after").alias("after"), F.sum(F.coalesce("spared", F.lit(0))).alias("spared"))
+    stats = per.groupBy("word").agg(F.count("*").alias("beside"), (F.sum("after") / F.sum("n")).alias("after"), (F.sum("spared") / F.sum("n")).alias("spared"))
+    common = materialise(stats.filter((F.col("beside") >= COMPANIONS) | (F.col("beside") >= FEW) & (F.col("spared") >= NEARLY_ALL)).select("word", ((F.col("after") >= TRAILING) | (F.col("spared") >= SPARED)).alias("addition")), "common")
+    by = beside.select("nombre", "word").distinct().join(common, "word").groupBy("nombre").agg(F.collect_list(F.when(~F.col("addition"), F.col("word"))).alias("known"), F.collect_list(F.when(F.col("addition"), F.col("word"))).alias("additions"))
+    return by
+
+
+def _less(word: str, most: int) -> set[str]:
+    """The word, and what is left of it without one letter, or without two."""
+    return {"".join(c for k, c in enumerate(word) if k not in gone) for n in range(most + 1) for gone in combinations(range(len(word)), n)}
+
+
+def _sound_keys(core: str) -> set[str]:
+    """The phonetic code and what is left of it without one sound; of a very long code its halves, of which one slip leaves one whole."""
+    code = sound(core)
+    if len(code) > CODE_LENGTH:
+        half = len(code) // 2
+        return {code, f"{code[:half]}<", f">{code[-half:]}"}
+    return _less(code, 1) if len(code) > 2 else {code}
+
+
 def _parse(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
         out = []
-        for name in batch["nombre"]:
-            p = parse(name)
+        for name, heads_known, additions in zip(batch["nombre"], batch["known"], batch["additions"]):
+            p = parse(name, () if heads_known is None else set(heads_known), () if additions is None else set(additions))
             if p:
                 core, heads, duo = p
                 initials = any(h.endswith(".") or "|" in h for h in heads)  # may stand for several names
-                code = sound(core)
-                cuts = {code, *(code[:k] + code[k + 1 :] for k in range(len(code)))} if len(code) > 2 else {code}
                 lead = " ".join(heads) if initials else " ".join(sorted(heads)[:1]) if duo else " ".join(heads[:1])
                 known = lead if lead in _WORDS or initials or lead in ("", "@") else sound(lead)
-                keys = [f"{known}/{c}" for c in sorted(cuts)]
+                keys = [f"{known}/{c}" for c in sorted(_sound_keys(core))]
+                if min(TYPED_COST) <= len(core) <= TYPED_LENGTH:  # two slips of typing may change every sound
+                    keys += [f"{known}~{c}" for c in sorted(_less(core, 2 if len(core) > 5 else 1))]
                 if heads and not initials and "@" not in heads:  # the same words in another order, whichever of them is the core
                     keys.append("#" + " ".join(sorted(map(sound, [core, *heads]))))
                 out.append((name, core, " ".join(heads), duo, initials, keys, re.sub(r"[\W_]", "", fold(name))))
@@ -246,42 +347,67 @@ def _reordered(core_a: str, heads_a: str, core_b: str, heads_b: str) -> bool:
     return all(map(alike, a, b))
 
 
+def core_cost(a: str, b: str) -> float | None:
+    """What the difference of two core names costs in slips of typing, or None if they are different names."""
+    if a == b:
+        return 0.0
+    cost, near, short = typing_cost(a, b), jaro_winkler(a, b), min(len(a), len(b))
+    allowed = 2 if short > 7 or sound(a) == sound(b) and short > 4 else 1
+    if near >= CORE_JW and edits(a, b) <= allowed:
+        return min(cost, SURE)
+    return cost if near >= TYPED_JW and cost <= TYPED_COST.get(min(short, max(TYPED_COST)), 0.0) else None
+
+
 def _accept(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
-        keep = []
-        for ca, ha, cb, hb in zip(batch["core_a"], batch["heads_a"], batch["core_b"], batch["heads_b"]):
-            far = 0 if ca == cb else edits(ca, cb)
-            allowed = 2 if min(len(ca), len(cb)) > 7 or sound(ca) == sound(cb) and min(len(ca), len(cb)) > 4 else 1
-            keep.append(far <= allowed and (far == 0 or jaro_winkler(ca, cb) >= CORE_JW) and _same(ha, hb) or _reordered(ca, ha, cb, hb))
-        yield batch.loc[keep, ["a", "b"]]
-
+        out = []
+        for a, b, ca, ha, cb, hb in zip(batch["a"], batch["b"], batch["core_a"], batch["heads_a"], batch["core_b"], batch["heads_b"]):
+            cost = core_cost(ca, cb) if _same(ha, hb) else None
+            if cost is not None and cost > SURE and "." in ha:
+                cost = None  # an initial says too little to make up for another core
+            if cost is None and _reordered(ca, ha, cb, hb):
+                cost = 0.0
+            if cost is not None:
+                out.append((a, b, cost))
+        yield pd.DataFrame(out, columns=["a", "b", "cost"]).astype({"a": "int64", "b": "int64", "cost": "float64"})
+
+
+def _nearest(accepted: DataFrame) -> DataFrame:
+    """(a, b): the sure links, and of the others those to the nearest form of one of their ends."""
+    sure = accepted.filter(F.col("cost") <= SURE)
+    rest = accepted.filter(F.col("cost") > SURE)
+    best = accepted.select(F.explode(F.array("a", "b")).alias("n"), "cost").groupBy("n").agg(F.min("cost").alias("best"))
+    near = [rest.join(best.withColumnRenamed("n", end), end).filter("cost = best").select("a", "b") for end in "ab"]
+    return sure.select("a", "b").unionByName(near[0]).unionByName(near[1]).distinct()
 
 
 def link_spellings(spellings: DataFrame, column: str = "nombre") -> DataFrame:
     """(nombre, entidad): each distinct spelling that names someone, with the number of the artist it means.
 
     Spellings with the same core name and heads are one form. Forms that share a block - the phonetic code of the head and that
-    of the core, or the latter less one sound - are linked if the cores agree by Jaro-Winkler and edit distance and
-    the heads by the nickname table. Forms that share the sorted phonetic codes of all their words are linked if they have the
-    same words in another order. Connected components give the artists. A form with less (an initial, no middle
-    name, no head at all) then joins the artist whose heads it abbreviates, if all artists of that core that it could
-    mean have the same head.
+    of the core, or the latter less one sound, or the core less two letters - are linked if the cores agree by Jaro-Winkler, or by a
+    lower one and slips of typing, and the heads by the nickname table. Forms that share the sorted phonetic codes of all their
+    words are linked if they have the same words in another order. Connected components give the artists. A form with less
+    (an initial, no middle name, no head at all) is then compared with the artists whose heads it abbreviates and linked if all
+    artists that it could mean have the same head; connected components of these links give the result. Common words that
+    no table has are learned from the whole collection (:func:`learn_words`).
 
     Defined cases: null, empty and blank names and the labels for various or unknown artists name no one and are left out; exact
     repeats count once; names without letters of any script are left out, others are compared as they are; an empty table
     gives an empty result; further columns are ignored.
 
     Plan: distinct spellings are parsed once; only distinct forms are joined by block, the cheap bound on the edit distance
-    runs inside the join; abbreviations are resolved by one row per key (min and max of the owners), never by pairs.
+    runs inside the join; abbreviations meet one row per key (min and max of the owners) or per key, core and head, never all pairs.
     """
-    names = spellings.select(F.col(column).alias("nombre")).filter(F.col("nombre").isNotNull()).distinct()
-    parsed = materialise(names.repartition(task_count(names.sparkSession), "nombre").mapInPandas(_parse, "nombre string, core string, heads string, duo boolean, initials boolean, keys array<string>, glued string"), "parsed")
+    names = materialise(spellings.select(F.col(column).alias("nombre")).filter(F.col("nombre").isNotNull()).distinct(), "names")
+    learned = learn_words(spread(names, "nombre"))
+    parsed = materialise(names.join(learned, "nombre", "left").repartition(task_count(names.sparkSession), "nombre").mapInPandas(_parse, "nombre string, core string, heads string, duo boolean, initials boolean, keys array<string>, glued string"), "parsed")
     by_form = ["core", "heads", "duo"]
     forms = materialise(parsed.groupBy(*by_form).agg(F.first("initials").alias("initials"), F.first("keys").alias("keys")).withColumn("form", F.xxhash64(*by_form)), "forms")
     block = forms.select("form", "core", "heads", "duo", F.explode("keys").alias("key"))
     a, b = (block.select(F.col("key"), F.col("duo"), *[F.col(c).alias(f"{c}_{s}") for c in ("form", "core", "heads")]) for s in "ab")
     pairs = a.join(b, ["key", "duo"]).filter((F.col("form_a") < F.col("form_b")) & (F.col("key").startswith("#") | (F.levenshtein("core_a", "core_b", 4) >= 0))).select(F.col("form_a").alias("a"), F.col("form_b").alias("b"), "core_a", "heads_a", "core_b", "heads_b").distinct()
-    links = pairs.mapInPandas(_accept, "a long, b long")
+    links = _nearest(materialise(pairs.repartition(task_count(names.sparkSession), "a", "b").mapInPandas(_accept, "a long, b long, cost double"), "accepted"))
     # the same letters with other blanks between them ("LosNirvindo") are one form: a star to the smallest, no pairs
     joined = parsed.select("glued", F.xxhash64(*by_form).alias("a")).distinct()
     stars = joined.join(joined.groupBy("glued").agg(F.min("a").alias("b")), "glued").select("a", "b").filter("a <> b")
@@ -292,8 +418,7 @@ def link_spellings(spellings: DataFrame, column: str = "nombre") -> DataFrame:
 
 
 def _near_keys(core: str) -> set[str]:
-    code = sound(core)
-    return {f"~{code}"} | ({f"~{code[:k]}{code[k + 1 :]}" for k in range(len(code))} if len(code) > 3 else set())
+    return {f"~{k}" for k in _sound_keys(core)}
 
 
 def _offers(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -338,23 +463,32 @@ def _asks(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame(out, columns=["root", "key", "rank", "core"])
 
 
+def _agree(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for batch in batches:
+        keep = [core_cost(a, b) is not None for a, b in zip(batch["core"], batch["of"])]
+        yield batch.loc[keep, ["root", "rank", "lo", "hi", "what", "of"]]
+
+
 def _resolve(owned: DataFrame) -> DataFrame:
     """(core, heads, duo, entidad): abbreviated forms take the artist they can only mean."""
     full = owned.filter(~F.col("initials")).select("core", "heads", "duo", "root")
     offers = spread(full, "core", "heads").mapInPandas(_offers, "key string, root long, what string, of string")
-    owner = offers.groupBy("key").agg(F.min("root").alias("owner"), F.min("what").alias("w1"), F.max("what").alias("w2"), F.min("of").alias("of"), F.max("of").alias("o2"))
-    owner = owner.filter("w1 = w2 and (of = o2 or not startswith(key, '~'))").select("key", "owner", "of")
+    owner = offers.filter(~F.col("key").startswith("~")).groupBy("key").agg(F.min("root").alias("owner"), F.min("what").alias("w1"), F.max("what").alias("w2")).filter("w1 = w2").select("key", "owner")
     short = owned.filter(F.col("initials") | (F.col("heads") == "") | (~F.col("duo") & ~F.col("heads").contains(" ") & (F.col("heads") != "@"))).select("core", "heads", "duo", "root")
-    asks = spread(short, "core", "heads").mapInPandas(_asks, "root long, key string, rank int, core string").distinct()
-    found = asks.join(owner, "key").filter((F.col("owner") != F.col("root")) & ((F.col("rank") == 1) | (F.levenshtein("core", "of", 2) >= 0)))
-    one = found.groupBy("root", "rank").agg(F.min("owner").alias("owner"), F.max("owner").alias("o2")).filter("owner = o2")
+    asks = materialise(spread(short, "core", "heads").mapInPandas(_asks, "root long, key string, rank int, core string").distinct(), "asks")
+    exact = asks.filter("rank = 1").join(owner, "key").select("root", "rank", F.col("owner").alias("lo"), F.col("owner").alias("hi"), F.lit("").alias("what"), F.lit("").alias("of"))
+    # a core that was mistyped as well: one row for each (core, head) that is offered, compared as other cores are
+    near = offers.filter(F.col("key").startswith("~")).groupBy("key", "of", "what").agg(F.min("root").alias("lo"), F.max("root").alias("hi"))
+    near = asks.filter("rank = 2").join(near, "key").filter((F.col("core") != F.col("of")) & (F.levenshtein("core", "of", 3) >= 0)).select("root", "rank", "lo", "hi", "what", "core", "of").distinct()
+    near = near.mapInPandas(_agree, "root long, rank int, lo long, hi long, what string, of string")
+    found = exact.unionByName(near).filter("lo <> root or hi <> root")
+    one = found.groupBy("root", "rank").agg(F.min("lo").alias("owner"), F.max("hi").alias("hi"), F.min("what").alias("w1"), F.max("what").alias("w2"), F.min("of").alias("of"), F.max("of").alias("o2"))
+    one = one.filter("w1 = w2 and (owner = hi or rank = 2 and of = o2)").filter("owner <> root")
     to = materialise(one.groupBy("root").agg(F.min_by("owner", "rank").alias("owner")), "owners")
     # an owner may itself be short for another one: from an initial to a given name to a given and a middle name
-    final = owned.join(to, "root", "left").withColumn("entidad", F.coalesce("owner", "root")).drop("owner")
-    for _ in range(2):
-        step = to.select(F.col("root").alias("entidad"), F.col("owner").alias("next"))
-        final = final.join(step, "entidad", "left").withColumn("entidad", F.coalesce("next", "entidad")).drop("next")
-    return final.select("core", "heads", "duo", "entidad")
+    whole = connected_components(to, "root", "owner")
+    final = owned.join(whole.select(F.col("node").alias("root"), F.col("root").alias("entidad")), "root", "left")
+    return final.select("core", "heads", "duo", F.coalesce("entidad", "root").alias("entidad"))
 
 
 def spelling_pairs(linked: DataFrame) -> DataFrame:

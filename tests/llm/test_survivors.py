@@ -1,6 +1,6 @@
 from datetime import datetime, timedelta
 
-from tonalis.llm.survivors import currency_levels, grouped, learn_precedence, survivors
+from tonalis.llm.survivors import current_rows, group_orders, grouped, learn_precedence, survivors, without_cycles
 
 SCHEMA = "id long, isrc string, hash_sha256 string, mb_recording_id string, bitrate_kbps int, actualizado_en timestamp_ntz, estado string, root string"
 T0 = datetime(2024, 1, 1)
@@ -50,7 +50,6 @@ def test_precedence_is_learned_and_places_rows_without_a_time(spark):
     rows = [*history(), row(1, h=H, t=9, estado="cuarentena"), row(2, h=H, t=None, estado="biblioteca"), row(3, h=H, t=None, estado="cuarentena")]
     learned = learn_precedence(grouped(spark.createDataFrame(rows, SCHEMA)))
     assert [(r.antes, r.despues) for r in learned.collect()] == [("cuarentena", "biblioteca")]
-    assert {r["_state"]: r.nivel for r in currency_levels(learned).collect()} == {"cuarentena": 0, "biblioteca": 1}
     assert found(spark, rows)[1, "hash_sha256"] == 2  # later than the dated row by its state
     rows = [*history(), row(1, h=H, t=9, estado="biblioteca"), row(2, h=H, t=None, estado="cuarentena")]
     assert found(spark, rows)[1, "hash_sha256"] == 1
@@ -58,9 +57,40 @@ def test_precedence_is_learned_and_places_rows_without_a_time(spark):
     assert found(spark, rows)[1, "hash_sha256"] == 2
 
 
-def test_cycles_of_precedence_are_opened(spark):
-    df = spark.createDataFrame([("a", "b", 5), ("b", "c", 5), ("c", "a", 3)], "antes string, despues string, n long")
-    assert {r["_state"]: r.nivel for r in currency_levels(df).collect()} == {"a": 0, "b": 1, "c": 2}
+def test_cycles_of_precedence_are_opened_and_orders_stay_within_a_group(spark):
+    df = spark.createDataFrame([("estado", "a", "b", 5), ("estado", "b", "c", 5), ("estado", "c", "a", 3)], "campo string, antes string, despues string, n long")
+    order = without_cycles(df)
+    assert {(r.antes, r.despues) for r in order.collect()} == {("a", "b"), ("b", "c")}
+    values = spark.createDataFrame([(1, "estado", v) for v in "abc"] + [(2, "estado", v) for v in "ac"] + [(3, "bitrate_kbps", v) for v in "ab"], "root long, campo string, valor string")
+    # without b in the group there is no path from a to c
+    assert {(r.root, r.antes, r.despues) for r in group_orders(values, order).collect()} == {(1, "a", "b"), (1, "b", "c"), (1, "a", "c")}
+
+
+def test_values_without_a_path_leave_the_dated_row(spark):
+    rows = [*history(), row(1, h=H, t=9, estado="otra"), row(2, h=H, t=None, estado="biblioteca")]
+    assert found(spark, rows)[1, "hash_sha256"] == 1
+    got = {(r.campo): (r.pista_id, r.por_orden) for r in current_rows(spark.createDataFrame([*history(), row(1, h=H, t=9, estado="cuarentena"), row(2, h=H, t=None)], SCHEMA)).filter("grupo_id = 1").collect()}
+    assert got["hash_sha256"] == (2, True) and got["registro"] == (1, False)
+
+
+def test_transitions_of_two_fields_that_disagree_decide_nothing(spark):
+    up = [row(300 + k, h=f"{k // 2 + 1:02x}" * 31 + "8b", b=(128, 320)[k % 2], t=1 + k % 2, estado="x") for k in range(8)]
+    base = [*history(), *up]
+    # the state says later, the bitrate says earlier
+    assert found(spark, [*base, row(1, h=H, b=320, t=9, estado="cuarentena"), row(2, h=H, b=128, t=None, estado="biblioteca")])[1, "hash_sha256"] == 1
+    assert found(spark, [*base, row(1, h=H, b=128, t=9, estado="cuarentena"), row(2, h=H, b=320, t=None, estado="cuarentena")])[1, "hash_sha256"] == 2
+
+
+def test_planted_missing_times_are_recovered_by_the_order(spark):
+    """Records age x -> y -> z; the times of a third of the latest rows are taken away, and the order finds them again."""
+    rows, true = [], {}
+    for k in range(60):
+        h = f"{k + 1:02x}" * 31 + "7c"
+        for n, s in enumerate("xyz"):
+            rows.append(row(1000 + 10 * k + n, h=h, t=None if k % 3 == 0 and s == "z" else 10 * n + k % 5, estado=s))
+        true[1000 + 10 * k] = 1002 + 10 * k
+    got = found(spark, rows)
+    assert {g: i for (g, c), i in got.items() if c == "hash_sha256"} == true
 
 
 def test_a_hot_identifier_is_one_group(spark):

@@ -50,3 +50,21 @@ def test_neighbours_share_a_window():
 
 def test_best_fit_uses_the_largest_that_fits():
     assert [sorted(w) for w in packing.fill_windows(np.array([6, 5, 4, 3, 2]), 10)] == [[0, 2], [1, 3, 4]]
+
+
+def test_all_terms_and_all_neighbours_of_a_seed_count():
+    # the seed's 300 terms: one item shares only the last of them; 200 items share a term, all follow while they fit
+    terms = [np.arange(300, dtype=np.int32)] + [np.array([k], dtype=np.int32) for k in range(100, 300)] + [np.array([999], dtype=np.int32)] * 2
+    counts = [np.ones(len(t), dtype=np.int32) for t in terms]
+    index = packing._Index(terms, counts, np.ones(packing.BUCKETS, dtype=np.float32), 2.0)
+    assert (index.score[0, 1:201] > 0).all() and (index.score[0, 201:] == 0).all()
+    size, how = np.array([50] + [1] * 202), np.empty(203, dtype=np.int8)
+    windows = packing.fill_windows(size, 250, index, np.arange(203), how)
+    assert sorted(windows[0]) == list(range(201)) and (how[1:201] == packing.NEIGHBOUR).all() and how[0] == packing.SEED
+
+
+def test_shares_by_reason(spark):
+    docs = [(i, "sol luna mar viento " * (i % 7 + 1)) for i in range(60)]
+    made = packing.pack(spark.createDataFrame([(i, t, "") for i, t in docs], DOCS), spark.createDataFrame([("a", 64, "")], BOXES), reasons=True)
+    row = packing.placed(made).first()
+    assert abs(row.semilla + row.vecinos + row.tamano - 1) < 1e-9 and row.vecinos > 0

@@ -18,18 +18,22 @@ from pyspark.sql import functions as F
 from tonalis.llm.leakage import words
 from tonalis.materialise import discard, materialise, spread
 
-#: The rank file that counts tokens (a parameter, never part of this repository) and its splitting pattern (fixed value).
+#: The rank file that counts tokens: a parameter, or the setting TONALIS_VOCABULARY, never part of this repository. Without either the
+#: file of that name in the folder of tokenizers. Its splitting pattern is a fixed value.
 VOCABULARY = os.environ.get("TONALIS_VOCABULARY", "/opt/tokenizers/byte_bpe_multi_50k.tiktoken")
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Documents and terms of a shard of the index at most, on average; buckets that terms are hashed into.
-SHARD_DOCS, SHARD_TERMS, BUCKETS = 4000, 2_000_000, 1 << 18
-#: Most telling terms of a seed that query the index; neighbours looked at for each seed before a window is topped up by size.
-QUERY_TERMS, NEIGHBOURS = 24, 64
+SHARD_DOCS, SHARD_TERMS, BUCKETS = 2000, 1_000_000, 1 << 18
+#: Terms of a shard that are multiplied at a time.
+COLUMNS = 4096
+#: How a piece came into its window: it opened it, as a neighbour of the seed, or because it was the largest that fitted.
+SEED, NEIGHBOUR, LARGEST = range(3)
 #: A window that is filled less than this goes back to the common pool; pieces of one pool.
 FULL, POOL_ITEMS = 0.97, 20_000
 K1, B = 1.2, 0.75
 
-_COLUMNS = "contenedor string, ventana string, orden int, doc_id {}, parte int, desde int, hasta int, tokens int"
+_COLUMNS = "contenedor string, ventana string, orden int, doc_id {}, parte int, desde int, hasta int, tokens int, modo int"
+_NAMES = [c.split()[0] for c in _COLUMNS.split(", ")]
 _encodings: dict[str, tiktoken.Encoding] = {}
 
 
@@ -95,68 +99,68 @@ class _Sizes:
 
 
 class _Index:
-    """BM25 postings of a shard; document frequencies come from the whole corpus."""
+    """Inverted BM25 index of a shard, asked with all its documents at once; document frequencies come from the whole corpus.
+
+    The postings are sorted by term and evaluated COLUMNS terms at a time, so memory has a bound whatever the texts.
+    ``score[a, b]`` is the score of document b for all terms of document a. Terms that only one document of the shard has
+    can't bring two together and are left out of the product.
+    """
 
     def __init__(self, terms: Sequence[np.ndarray], counts: Sequence[np.ndarray], idf: np.ndarray, mean: float) -> None:
+        self.n = n = len(terms)
         length = np.array([c.sum() for c in counts], dtype=np.float64)
-        doc = np.repeat(np.arange(len(terms)), [len(t) for t in terms])
-        term = np.concatenate(terms) if len(terms) else np.empty(0, dtype=np.int32)
-        tf = np.concatenate(counts).astype(np.float64) if len(terms) else np.empty(0)
-        weight = idf[term] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * length[doc] / max(mean, 1.0)))
-        order = np.argsort(term, kind="stable")
-        self.doc, self.weight = doc[order], weight[order].astype(np.float32)
-        self.term, start = np.unique(term[order], return_index=True)
-        self.start = np.append(start, len(order))
-        self.n = len(terms)
-        self.query = [t[np.argsort(-idf[t] * np.minimum(c, 3), kind="stable")[:QUERY_TERMS]] for t, c in zip(terms, counts)]
-
-    def neighbours(self, doc: int, fits: np.ndarray) -> np.ndarray:
-        """The best documents for the seed among those that ``fits`` allows, best first."""
-        at = np.searchsorted(self.term, self.query[doc])
-        if not len(at):
-            return at
-        where = np.concatenate([np.arange(self.start[k], self.start[k + 1]) for k in at])
-        score = np.bincount(self.doc[where], weights=self.weight[where], minlength=self.n)
-        score[~fits] = 0
-        some = np.argpartition(-score, NEIGHBOURS)[:NEIGHBOURS] if self.n > NEIGHBOURS else np.arange(self.n)
-        some = some[score[some] > 0]
-        return some[np.lexsort((some, -score[some]))]
-
-
-def fill_windows(size: np.ndarray, capacity: int, index: _Index | None = None, owner: np.ndarray | None = None) -> list[list[int]]:
-    """Windows as lists of items: the largest unused item opens one, its neighbours follow while they fit, then the largest that fit.
-
-    ``owner`` is the document of each item in ``index``. Items without size join the first window.
+        doc = np.repeat(np.arange(n), [len(t) for t in terms])
+        term = np.concatenate(terms) if n else np.empty(0, dtype=np.int32)
+        tf = np.concatenate(counts).astype(np.float64) if n else np.empty(0)
+        weight = (idf[term] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * length[doc] / max(mean, 1.0)))).astype(np.float32)
+        shared, place, many = np.unique(term, return_inverse=True, return_counts=True)
+        kept = many > 1
+        column = (np.cumsum(kept) - 1)[place]
+        keep = kept[place]
+        doc, column, weight = doc[keep], column[keep], weight[keep]
+        order = np.argsort(column, kind="stable")
+        doc, column, weight = doc[order], column[order], weight[order]
+        self.score = np.zeros((n, n), dtype=np.float32)
+        for lo in range(0, int(kept.sum()), COLUMNS):
+            a, b = np.searchsorted(column, [lo, lo + COLUMNS])
+            has, w = np.zeros((n, COLUMNS), dtype=np.float32), np.zeros((n, COLUMNS), dtype=np.float32)
+            has[doc[a:b], column[a:b] - lo] = 1
+            w[doc[a:b], column[a:b] - lo] = weight[a:b]
+            self.score += has @ w.T
+
+
+def fill_windows(size: np.ndarray, capacity: int, index: _Index | None = None, owner: np.ndarray | None = None, how: np.ndarray | None = None) -> list[list[int]]:
+    """Windows as lists of items: the largest unused item opens one, its neighbours follow, best first, until none fits, then the largest that fit.
+
+    ``owner`` is the document of each item in ``index``; ``how`` is filled with SEED, NEIGHBOUR or LARGEST. Items without size join the first window.
     """
     sizes, unused, windows = _Sizes(size), size > 0, []
-    items: dict[int, list[int]] = {}
-    if index is not None:
-        for k, d in enumerate(owner):
-            items.setdefault(int(d), []).append(k)
+    how = np.empty(len(size), dtype=np.int8) if how is None else how
+    how[:] = LARGEST
     least = int(size[unused].min()) if unused.any() else 0
     for k in np.nonzero(~unused)[0]:
         sizes.use(k)
+
+    def put(window: list[int], k: int, reason: int) -> int:
+        window.append(k)
+        unused[k] = False
+        sizes.use(k)
+        how[k] = reason
+        return int(size[k])
+
     while (seed := sizes.largest(capacity)) >= 0:
-        window, room = [seed], capacity - int(size[seed])
-        unused[seed] = False
-        sizes.use(seed)
+        window: list[int] = []
+        room = capacity - put(window, seed, SEED)
         if index is not None and room >= least:
-            smallest = np.full(index.n, np.iinfo(np.int64).max)
-            np.minimum.at(smallest, owner[unused], size[unused])
-            for d in index.neighbours(int(owner[seed]), smallest <= room):
-                for k in items[int(d)]:
-                    if unused[k] and size[k] <= room:
-                        window.append(k)
-                        room -= int(size[k])
-                        unused[k] = False
-                        sizes.use(k)
-                if room < least:
-                    break
+            score = index.score[owner[seed], owner]
+            near = np.nonzero(unused & (size <= room) & (score > 0))[0]
+            near = near[np.lexsort((near, -score[near]))]
+            while len(near):  # every neighbour that still fits
+                room -= put(window, int(near[0]), NEIGHBOUR)
+                near = near[1:]
+                near = near[size[near] <= room]
         while room >= least and (k := sizes.largest(room)) >= 0:
-            window.append(k)
-            room -= int(size[k])
-            unused[k] = False
-            sizes.use(k)
+            room -= put(window, k, LARGEST)
         windows.append(window)
     empty = [int(k) for k in np.nonzero(size == 0)[0]]
     if empty:
@@ -182,19 +186,21 @@ def _pack_shard(batches: Iterable[pd.DataFrame], idf: np.ndarray, mean: float, c
     for name, capacity in containers:
         piece = np.array(_pieces(tokens, capacity), dtype=np.int64).reshape(-1, 4)
         size = piece[:, 3] - piece[:, 2]
-        rows = [(w, o, k) for w, window in enumerate(fill_windows(size, capacity, index, piece[:, 0])) for o, k in enumerate(window)]
+        how = np.empty(len(size), dtype=np.int8)
+        rows = [(w, o, k) for w, window in enumerate(fill_windows(size, capacity, index, piece[:, 0], how)) for o, k in enumerate(window)]
         w, o, k = np.array(rows, dtype=np.int64).T
         p = piece[k]
-        yield pd.DataFrame({"contenedor": name, "ventana": [f"{shard}-{x}" for x in w], "orden": o, "doc_id": ids.iloc[p[:, 0]].to_numpy(), "parte": p[:, 1], "desde": p[:, 2], "hasta": p[:, 3], "tokens": size[k]})
+        yield pd.DataFrame({"contenedor": name, "ventana": [f"{shard}-{x}" for x in w], "orden": o, "doc_id": ids.iloc[p[:, 0]].to_numpy(), "parte": p[:, 1], "desde": p[:, 2], "hasta": p[:, 3], "tokens": size[k], "modo": how[k]})
 
 
-def pack(documents: DataFrame, containers: DataFrame, *, vocabulary: str = VOCABULARY) -> DataFrame:
+def pack(documents: DataFrame, containers: DataFrame, *, vocabulary: str = VOCABULARY, reasons: bool = False) -> DataFrame:
     """(contenedor, ventana, orden, doc_id, parte, desde, hasta, tokens): every document in a window of each container.
 
     ``desde`` and ``hasta`` are token positions. A document is cut only if it alone exceeds the capacity: into full pieces and
     a rest. A window is opened by the largest unused document of its shard and filled with the best unused neighbours
-    by BM25 as long as they fit, then with the largest documents that fit. Windows that stay under FULL go to a common pool
-    and are filled again by size alone.
+    by BM25 on all its terms, best first, until no unused document that shares a term with it fits; then with the largest
+    that fit. The few windows that stay under FULL (the last of a shard) go to a common pool and are filled again by size alone.
+    ``reasons`` adds ``modo``, how each piece was placed (SEED, NEIGHBOUR, LARGEST); :func:`placed` sums it up.
 
     Defined cases: null and empty texts have 0 tokens and sit in any window; rows without doc_id are left out; repeated
     rows are packed as often as they occur; containers without name or with a capacity below 1 are left out, of one name the
@@ -242,13 +248,24 @@ def pack(documents: DataFrame, containers: DataFrame, *, vocabulary: str = VOCAB
     def repack(key: tuple, items: pd.DataFrame) -> pd.DataFrame:
         items = items.sort_values(["doc_id", "parte"], ignore_index=True)
         size = items["tokens"].to_numpy().astype(np.int64)
-        rows = [(w, o, k) for w, window in enumerate(fill_windows(size, capacity[key[0]])) for o, k in enumerate(window)]
+        how = np.empty(len(size), dtype=np.int8)
+        rows = [(w, o, k) for w, window in enumerate(fill_windows(size, capacity[key[0]], how=how)) for o, k in enumerate(window)]
         w, o, k = np.array(rows, dtype=np.int64).T
         out = items.iloc[k].reset_index(drop=True)
-        return out.assign(ventana=[f"p{key[1]}-{x}" for x in w], orden=o)[["contenedor", "ventana", "orden", "doc_id", "parte", "desde", "hasta", "tokens"]]
+        return out.assign(ventana=[f"p{key[1]}-{x}" for x in w], orden=o, modo=how[k])[_NAMES]
 
     closed = packed.join(loose, ["contenedor", "ventana"], "left_anti")
-    return closed.select("contenedor", "ventana", "orden", "doc_id", "parte", "desde", "hasta", "tokens").unionByName(pooled.groupBy("contenedor", "pool").applyInPandas(repack, schema))
+    out = closed.select(*_NAMES).unionByName(pooled.groupBy("contenedor", "pool").applyInPandas(repack, schema))
+    return out if reasons else out.drop("modo")
+
+
+def placed(packed: DataFrame) -> DataFrame:
+    """(contenedor, semilla, vecinos, tamano): the share of tokens that opened a window, came as neighbours, and by size alone.
+
+    ``packed`` has ``modo`` (:func:`pack` with ``reasons``).
+    """
+    share = lambda m: F.sum(F.when(F.col("modo") == m, F.col("tokens")).otherwise(0)) / F.sum("tokens")
+    return packed.groupBy("contenedor").agg(share(SEED).alias("semilla"), share(NEIGHBOUR).alias("vecinos"), share(LARGEST).alias("tamano"))
 
 
 def filling(packed: DataFrame, containers: DataFrame) -> DataFrame:

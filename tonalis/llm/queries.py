@@ -180,6 +180,12 @@ def p6_packed(t: Tables) -> DataFrame:
     return packing.pack(t.documents, t.contenedores)
 
 
+@query()
+def p6_placed(t: Tables) -> DataFrame:
+    """The share of tokens that opened windows, followed as neighbours, and were placed by size alone."""
+    return packing.placed(packing.pack(t.documents, t.contenedores, reasons=True))
+
+
 @query()
 def p6_filling(t: Tables) -> DataFrame:
     """How well the windows of each container are filled."""

@@ -1,7 +1,7 @@
 import numpy as np
 from pyspark.sql import functions as F
 
-from tonalis.llm.neighbours import AXES, axis_vector, brute_force, nearest, track_neighbours
+from tonalis.llm.neighbours import AXES, PROBES, axis_vector, brute_force, fit_lists, nearest, nearest_lists, track_neighbours
 
 SCHEMA = "pista_id long, valores map<string,double>, vecino_id string"
 
@@ -45,3 +45,27 @@ def test_axis_vector_uses_every_axis(spark):
     df = spark.createDataFrame([(1, {"workout_score": 0.9}, "")], SCHEMA)
     v = df.select(axis_vector("valores").alias("v")).first().v
     assert len(v) == 24 and v[-1] == 0.9 and v[0] == 0.5
+
+
+def test_two_levels_of_centres_find_the_true_neighbours():
+    rng = np.random.default_rng(11)
+    centres = rng.random((40, 24))
+    u = centres[rng.integers(0, 40, 8000)] + rng.normal(0, 0.15, (8000, 24))
+    u /= np.linalg.norm(u, axis=1, keepdims=True)
+    first, second = fit_lists(u, 32, most=8)
+    assert len(first) == 8 and len(second) == 4
+    number = nearest_lists(u, first, second, PROBES)
+    far = ((u[:50, None, :] - (first[:, None] + second[None]).reshape(-1, 24)[None]) ** 2).sum(-1)
+    assert (number[:50, 0] == far.argmin(1)).mean() >= 0.9 and number.max() < 32
+    asked = np.arange(0, 8000, 50)
+    sim = u[asked] @ u.T
+    sim[np.arange(len(asked)), asked] = -1
+    best = np.argsort(-sim, axis=1)[:, :5]
+    assert (number[best, 0][:, :, None] == number[asked][:, None, :]).any(-1).mean() >= 0.95
+
+
+def test_one_level_where_the_lists_are_few_and_no_vector_is_lost():
+    u = np.eye(6)
+    first, second = fit_lists(u, 3)
+    assert len(first) == 3 and second.shape == (1, 6) and not second.any()
+    assert nearest_lists(u, first, second, 8).shape == (6, 3) and nearest_lists(u[:0], first, second, 8).shape == (0, 3)

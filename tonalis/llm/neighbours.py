@@ -21,10 +21,12 @@ AXES = (
     "orchestral_weight", "rhythmic_density", "storytelling", "tension", "vocal_female", "vocal_focus", "vocal_male", "workout_score",
 )
 NEUTRAL = 0.5
-#: Rows that the lists' centres are fitted on at most (every row is indexed), and the largest number of lists.
-FIT_ROWS, MAX_LISTS = 50_000, 4096
-#: Lists that a vector is looked for in at least (the root of their number if that is more); half-width of the error bound in standard deviations.
-PROBES, WIDTH = 16, 2.5
+#: Rows that the lists' centres are fitted on at most (every row is indexed), and the largest number of centres of one level.
+FIT_ROWS, MAX_CENTRES = 50_000, 4096
+#: Vectors of a list on average: the number of lists grows with the table, the work for a vector does not.
+LIST_ROWS = 1024
+#: Lists that a vector is looked for in; half-width of the error bound in standard deviations.
+PROBES, WIDTH = 10, 2.5
 #: Bits of a code, bits of a query's coordinate; index rows and queries of one task.
 BITS, QUERY_BITS = 64, 4
 CHUNK, QUERIES = 16_384, 65_536
@@ -70,16 +72,41 @@ def fit_centres(sample: np.ndarray, lists: int, rounds: int = 10) -> np.ndarray:
     return centres
 
 
-def _encode(batches: Iterable[pd.DataFrame], centres: np.ndarray, rotation: np.ndarray, probes: int) -> Iterator[pd.DataFrame]:
+def _residuals(data: np.ndarray, centres: np.ndarray) -> np.ndarray:
+    own = np.concatenate([(2 * data[b] @ centres.T - (centres**2).sum(1)).argmax(1) for b in _blocks(len(data), 4096)])
+    return data - centres[own]
+
+
+def fit_lists(sample: np.ndarray, wanted: int, most: int = MAX_CENTRES) -> tuple[np.ndarray, np.ndarray]:
+    """Centres of two levels: a list's centre is the sum of one of each. Up to ``most`` lists the second level is the origin alone;
+    beyond it refines every cell, so that ``most`` squared lists are told apart by two small tables."""
+    first = fit_centres(sample, max(1, min(wanted, most, len(sample))))
+    fine = min(-(-wanted // len(first)), most, len(sample))
+    second = fit_centres(_residuals(sample, first), fine) if fine > 1 else np.zeros((1, sample.shape[1]))
+    return first, second
+
+
+def nearest_lists(u: np.ndarray, first: np.ndarray, second: np.ndarray, probes: int) -> np.ndarray:
+    """The numbers of the lists nearest to each vector, nearest first: the best cells of the first level with all their refinements."""
+    near, width = [], min(probes, len(first) * len(second))
+    for b in _blocks(len(u), max(1, 4_000_000 // (len(first) + probes * len(second)))):
+        v = u[b]
+        far = (first**2).sum(1) - 2 * v @ first.T
+        cells = np.argpartition(far, width - 1, axis=1)[:, :width] if width < len(first) else np.tile(np.arange(len(first)), (len(v), 1))
+        far = np.take_along_axis(far, cells, 1)[:, :, None] + ((second**2).sum(1) - 2 * v @ second.T)[:, None, :] + 2 * (first @ second.T)[cells]
+        number, far = (cells[:, :, None] * len(second) + np.arange(len(second))).reshape(len(v), -1), far.reshape(len(v), -1)
+        part = np.argpartition(far, width - 1, axis=1)[:, :width] if width < far.shape[1] else np.tile(np.arange(far.shape[1]), (len(v), 1))
+        best = np.take_along_axis(part, np.argsort(np.take_along_axis(far, part, 1), axis=1, kind="stable"), 1)
+        near.append(np.take_along_axis(number, best, 1))
+    return np.concatenate(near).astype(np.int32) if near else np.empty((0, width), dtype=np.int32)
+
+
+def _encode(batches: Iterable[pd.DataFrame], first: np.ndarray, second: np.ndarray, rotation: np.ndarray, probes: int) -> Iterator[pd.DataFrame]:
     """The lists to look in (the first is the vector's own), code and correction scalars of each vector."""
     for batch in batches:
         u = _unit(np.array(batch["vec"].tolist(), dtype=np.float64).reshape(len(batch), -1))
-        near = np.empty((len(u), probes), dtype=np.int32)
-        for b in _blocks(len(u), 2048):
-            score = 2 * u[b] @ centres.T - (centres**2).sum(1)
-            part = np.argpartition(-score, probes - 1, axis=1)[:, :probes] if probes < len(centres) else np.tile(np.arange(len(centres)), (len(score), 1))
-            near[b] = np.take_along_axis(part, np.argsort(-np.take_along_axis(score, part, 1), axis=1, kind="stable"), 1)
-        rest = u - centres[near[:, 0]]
+        near = nearest_lists(u, first, second, probes)
+        rest = u - first[near[:, 0] // len(second)] - second[near[:, 0] % len(second)]
         turned = rest @ rotation.T
         norm = np.linalg.norm(rest, axis=1)
         sign = turned >= 0
@@ -161,7 +188,7 @@ def nearest(vectors: DataFrame, *, id_col: str, vector: Column, k: int = 5) -> D
     """(id, vecino_id, puesto, similitud): the k nearest of every row by cosine similarity rounded to 6 decimals.
 
     Equal similarity goes to the smaller id; a row is never its own neighbour. The search is approximate: a vector is looked
-    for in the lists nearest to it (PROBES or the root of their number), and inside a list every vector is estimated from its one-bit code; those whose error
+    for in the PROBES lists nearest to it, and inside a list every vector is estimated from its one-bit code; those whose error
     bound reaches the k-th best are compared exactly. Recall is measured against brute force in the tests.
 
     Defined cases: rows without id or vector take no part; a vector of norm 0 has similarity 0 with all and gets the smallest ids;
@@ -171,7 +198,8 @@ def nearest(vectors: DataFrame, *, id_col: str, vector: Column, k: int = 5) -> D
 
     Plan: classes of equal vectors (group limit before the shuffle); centres fitted on at most FIT_ROWS of them; one
     table of codes; index and queries meet by (list, piece of the list, block of queries), each of bounded size; the best of each
-    piece are merged per class. Broadcast: centres and rotation only (at most MAX_LISTS rows).
+    piece are merged per class. A list has LIST_ROWS vectors on average whatever the size of the table, so the work grows in
+    proportion to it. Broadcast: two levels of centres (at most MAX_CENTRES rows each) and the rotation.
     """
     spark = vectors.sparkSession
     base = vectors.select(F.col(id_col).cast("long").alias("id"), vector.alias("vec")).filter(F.col("id").isNotNull() & F.col("vec").isNotNull())
@@ -182,12 +210,10 @@ def nearest(vectors: DataFrame, *, id_col: str, vector: Column, k: int = 5) -> D
     least = [r.id for r in base.select("id").distinct().orderBy("id").limit(k + 1).collect()]
     dim = len(sample[0]) if sample else 1
     data = _unit(np.array(sample, dtype=np.float64).reshape(-1, dim))
-    lists = max(1, min(MAX_LISTS, round(math.sqrt(total)), len(data)))
-    centres, rotation = (fit_centres(data, lists) if len(data) else np.zeros((1, dim))), _rotation(dim)
-    probes = min(len(centres), max(PROBES, round(math.sqrt(len(centres)))))  # more lists, more of them: recall holds as the table grows
-    model = spark.sparkContext.broadcast((centres, rotation))
+    first, second = fit_lists(data, max(1, round(total / LIST_ROWS))) if len(data) else (np.zeros((1, dim)), np.zeros((1, dim)))
+    model = spark.sparkContext.broadcast((first, second, _rotation(dim)))
     coded = materialise(
-        classes.mapInPandas(lambda it: _encode(it, *model.value, probes), "cls long, ids array<long>, probes array<int>, code long, norm double, align double, unit binary, vec array<double>"), "codes"
+        classes.mapInPandas(lambda it: _encode(it, *model.value, PROBES), "cls long, ids array<long>, probes array<int>, code long, norm double, align double, unit binary, vec array<double>"), "codes"
     )
     at = coded.select("cls", "ids", "code", "norm", "align", "unit", F.col("probes")[0].alias("list"))
     ask = coded.select(F.col("cls").alias("asked"), F.col("unit").alias("of"), F.explode("probes").alias("list"))
@@ -200,8 +226,9 @@ def nearest(vectors: DataFrame, *, id_col: str, vector: Column, k: int = 5) -> D
     def piece(i: pa.Table, q: pa.Table) -> pa.Table:
         if not len(i) or not len(q):
             return pa.table({"cls": pa.array([], pa.int64()), "ids": pa.array([], pa.list_(pa.int64())), "sims": pa.array([], pa.list_(pa.float64()))})
-        c, r = model.value
-        return _search(i, q, c[i["list"][0].as_py()], r, k)
+        one, two, r = model.value
+        cell, fine = divmod(i["list"][0].as_py(), len(two))
+        return _search(i, q, one[cell] + two[fine], r, k)
 
     keys = ["list", "piece", "block"]
     part = index.groupBy(*keys).cogroup(wanted.groupBy(*keys)).applyInArrow(piece, "cls long, ids array<long>, sims array<double>")

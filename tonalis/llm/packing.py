@@ -23,7 +23,7 @@ from tonalis.materialise import discard, materialise, spread
 VOCABULARY = os.environ.get("TONALIS_VOCABULARY", "/opt/tokenizers/byte_bpe_multi_50k.tiktoken")
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Documents and terms of a shard of the index at most, on average; buckets that terms are hashed into.
-SHARD_DOCS, SHARD_TERMS, BUCKETS = 2000, 1_000_000, 1 << 18
+SHARD_DOCS, SHARD_TERMS, BUCKETS = 1000, 500_000, 1 << 18
 #: Terms of a shard that are multiplied at a time.
 COLUMNS = 4096
 #: How a piece came into its window: it opened it, as a neighbour of the seed, or because it was the largest that fitted.
@@ -46,13 +46,20 @@ def encoding(path: str) -> tiktoken.Encoding:
 
 
 def _features(batches: Iterable[pd.DataFrame], path: str) -> Iterator[pd.DataFrame]:
-    enc = encoding(path)
+    enc, memo = encoding(path), {}
     for batch in batches:
         sizes, terms, counts = [], [], []
         for text in batch["text"]:
             text = text or ""
             sizes.append(len(enc.encode_ordinary(text)))
-            c = Counter(zlib.crc32(w.encode()) % BUCKETS for w in words(text))
+            c: dict[int, int] = {}
+            for w, k in Counter(words(text)).items():
+                b = memo.get(w)
+                if b is None:
+                    if len(memo) > 500_000:
+                        memo.clear()
+                    b = memo[w] = zlib.crc32(w.encode()) % BUCKETS
+                c[b] = c.get(b, 0) + k
             terms.append(np.fromiter(c.keys(), dtype=np.int32, count=len(c)))
             counts.append(np.fromiter(c.values(), dtype=np.int32, count=len(c)))
         yield pd.DataFrame({"doc_id": batch["doc_id"], "tokens": sizes, "terms": terms, "counts": counts})

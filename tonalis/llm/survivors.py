@@ -14,31 +14,29 @@ BROADCAST_ROWS = 100_000
 MIN_SUPPORT, MIN_SHARE = 3, 0.6
 
 
-def identifier(column: str, label: str, whole: str, tail: int) -> Column:
-    """The identifier in its compared form, or null if it is not usable.
+def identifier(column: str, pattern: str) -> Column:
+    """The identifier in its compared form, or an empty text if it is not usable: what the first group of ``pattern`` takes
+    of the value in capitals without blanks, hyphens and braces."""
+    return F.coalesce(F.regexp_extract(F.regexp_replace(F.upper(F.col(column)), r"[\s\p{Z}{}\-]", ""), pattern, 1), F.lit(""))
 
-    Case, blanks, hyphens, braces and the leading ``label`` are dropped; ``whole`` is the pattern it must then match, and the
-    characters after the first ``tail`` must not all be the same.
-    """
-    bare = F.regexp_replace(F.upper(F.col(column)), r"[\s\p{Z}{}\-]", "")
-    bare = F.when(bare.rlike(whole), bare).otherwise(F.regexp_replace(bare, f"^(?:{label})", ""))
-    return F.when(bare.rlike(whole) & ~bare.rlike(rf"^.{{{tail}}}(.)\1*$"), bare)
+
+#: An optional label, the form, and nowhere one single character throughout (isrc: after its two letters).
+PATTERNS = {
+    "isrc": r"^(?:ISRC:?)?([A-Z]{2}(?!(.)\2*$)[A-Z0-9]{3}[0-9]{7})$",
+    "hash_sha256": r"^(?:SHA256:)?((?!(.)\2*$)[0-9A-F]{64})$",
+    "mb_recording_id": r"^(?:URN:UUID:)?((?!(.)\2*$)[0-9A-F]{32})$",
+}
 
 
 def with_identifiers(tracks: DataFrame, time: str = "actualizado_en") -> DataFrame:
     """id, the three identifiers in compared form (null if unusable), usable bitrate, time and state of each track."""
-    return tracks.filter(F.col("id").isNotNull()).select(
-        "id",
-        identifier("isrc", "ISRC:?", "^[A-Z]{2}[A-Z0-9]{3}[0-9]{7}$", 2).alias("isrc"),
-        identifier("hash_sha256", "SHA256:", "^[0-9A-F]{64}$", 0).alias("hash_sha256"),
-        identifier("mb_recording_id", "URN:UUID:", "^[0-9A-F]{32}$", 0).alias("mb_recording_id"),
-        F.when(F.col("bitrate_kbps").between(32, 2000), F.col("bitrate_kbps")).alias("bitrate_kbps"),
-        F.col(time).alias("_t"),
-        F.coalesce(F.col("estado"), F.lit("")).alias("_state"),
-    )
+    rest = [F.when(F.col("bitrate_kbps").between(32, 2000), F.col("bitrate_kbps")).alias("bitrate_kbps"), F.col(time).alias("_t"), F.coalesce(F.col("estado"), F.lit("")).alias("_state")]
+    bare = tracks.filter(F.col("id").isNotNull()).select("id", *[identifier(c, p).alias(c) for c, p in PATTERNS.items()], *rest)
+    return bare.select("id", *[F.when(F.col(c) != "", F.col(c)).alias(c) for c in PATTERNS], "bitrate_kbps", "_t", "_state")
 
 
-IDENTIFIERS = ("isrc", "hash_sha256", "mb_recording_id")
+IDENTIFIERS = tuple(PATTERNS)
+NODES = tuple(f"_n_{c}" for c in IDENTIFIERS)
 #: The fields whose values follow each other as a record ages.
 ATTRIBUTES = {"estado": "_state", "bitrate_kbps": "bitrate_kbps"}
 
@@ -55,10 +53,10 @@ def _values() -> Column:
 
 
 def _summaries(rows: DataFrame) -> DataFrame:
-    """Per (first identifier, state, bitrate) what any choice needs; a row for each, however many tracks share them."""
+    """Per (identifiers, state, bitrate) what any choice needs; a row for each, however many tracks share them."""
     minus = (-F.col("id")).alias("i")
     full = F.struct(sum((F.col(c).isNotNull().cast("int") for c in (*IDENTIFIERS, "bitrate_kbps")), F.lit(0)).alias("n"), F.coalesce("bitrate_kbps", F.lit(-1)).alias("b"), F.col("_t").alias("t"), minus)
-    return rows.groupBy("_key", "_state", "bitrate_kbps").agg(
+    return rows.groupBy(*NODES, "_state", "bitrate_kbps").agg(
         F.min("id").alias("low"),
         F.max("id").alias("high"),
         F.min("_t").alias("since"),
@@ -114,15 +112,15 @@ def group_orders(values: DataFrame, order: DataFrame) -> DataFrame:
 def grouped(tracks: DataFrame, time: str = "actualizado_en") -> DataFrame:
     """The summaries of :func:`_summaries` with the ``root`` of their duplicate group, materialised.
 
-    Tracks are linked through identifiers: an identifier is a node, a track links the identifiers it has. Only one row per (identifier,
-    state, bitrate) is joined to the components, never the tracks of a hot identifier.
+    Tracks are linked through identifiers: an identifier is a node, a track links the identifiers it has. One pass over the tracks; only
+    one row per (identifiers, state, bitrate) is linked and joined to the components.
     """
     rows = with_identifiers(tracks, time)
-    keyed = rows.withColumn("_nodes", F.array_compact(F.array(*[F.when(F.col(c).isNotNull(), _node(c)) for c in IDENTIFIERS]))).filter(F.size("_nodes") > 0).withColumn("_key", F.col("_nodes")[0])
-    per_key = materialise(_summaries(keyed), "summaries")
-    links = keyed.filter(F.size("_nodes") > 1).select(F.col("_key").alias("a"), F.explode("_nodes").alias("b")).filter("a <> b").distinct()
+    keyed = rows.select("*", *[F.when(F.col(c).isNotNull(), _node(c)).alias(n) for c, n in zip(IDENTIFIERS, NODES)]).filter(F.coalesce(*NODES).isNotNull())
+    per_key = materialise(_summaries(keyed).withColumn("_key", F.coalesce(*NODES)), "summaries")
+    links = per_key.select(F.col("_key").alias("a"), F.explode(F.array_compact(F.array(*NODES))).alias("b")).filter("a <> b").distinct()
     roots = connected_components(links)
-    out = per_key.join(roots.withColumnRenamed("node", "_key"), "_key", "left").withColumn("root", F.coalesce("root", "_key"))
+    out = per_key.drop(*NODES).join(roots.withColumnRenamed("node", "_key"), "_key", "left").withColumn("root", F.coalesce("root", "_key"))
     made = materialise(out, "grouped")
     discard(per_key)
     return made

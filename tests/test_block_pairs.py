@@ -31,3 +31,15 @@ def test_the_gap_is_to_the_second_best_candidate(spark):
     df = spark.createDataFrame([(9, 1, 0.9), (9, 2, 0.85), (9, 3, 0.1)], "id long, c_id long, puntaje double")
     r = E.decided(df).first()
     assert (r.candidato, r.brecha, r.puntaje, r.ruta) == (1, 0.05, 0.75, "revision")
+
+
+def test_ten_candidates_of_one_block_are_all_scored(spark):
+    rows = [(k, "la misma", "x", None) for k in range(11)]
+    got = pairs(spark, rows)
+    assert sum(1 for a, _ in got if a == 0) == 10
+
+
+def test_ambiguity_never_sinks_a_score_from_review_on_below_it(spark):
+    df = spark.createDataFrame([(9, 1, 0.60), (9, 2, 0.58), (8, 1, 0.54), (8, 2, 0.50), (7, 1, 0.05)], "id long, c_id long, puntaje double")
+    got = {r.id: (r.puntaje, r.ruta) for r in E.decided(df).collect()}
+    assert got == {9: (0.55, "revision"), 8: (0.39, "cuarentena"), 7: (0.05, "cuarentena")}

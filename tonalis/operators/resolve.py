@@ -5,13 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tonalis.functions.text import combined_similarity, compare_form, isrc_code, strip_version, token_jaccard
+from tonalis.functions.text import combined_similarity, compare_form, isrc_code, strip_version, token_jaccard, variant_type
 
 # Weights of the criteria, thresholds, bonuses.
 WEIGHTS = {"titulo": 0.28, "artista": 0.23, "duracion": 0.18, "album": 0.10, "track_number": 0.07, "tipo_release": 0.07, "isrc": 0.07}
 ACCEPT, REVIEW, GAP, PENALTY_GAP = 0.82, 0.55, 0.10, 0.15
+ACCEPTED_TYPES = ("Album", "Single", "EP")
 YEAR, CODE = 0.04, 0.22
-MOST_CANDIDATES = 8
 #: Candidates of a block whose records one task takes; beyond that they are dealt over several.
 HOT_BLOCK = 256
 
@@ -83,16 +83,34 @@ def scored(pairs: DataFrame, exact: bool = False) -> DataFrame:
 def decided(pairs: DataFrame) -> DataFrame:
     """The best candidate of each record, its gap to the second, and the route: aceptado, revision or cuarentena.
 
-    A small gap costs PENALTY_GAP. Only the two best of a record are ranked (group limit), so a record with many candidates is cheap.
+    A gap below GAP to a second candidate costs PENALTY_GAP, but never takes a score from REVIEW on below it. Only the two best of a
+    record are ranked (group limit), so a record with many candidates is cheap.
     """
     w = Window.partitionBy("id").orderBy(F.desc("puntaje"), "c_id")
     two = pairs.select("id", "c_id", "puntaje").withColumn("_n", F.row_number().over(w)).filter(F.col("_n") <= 2)
-    best = two.groupBy("id").agg(F.max_by("c_id", -F.col("_n")).alias("candidato"), F.max("puntaje").alias("_p"), (F.max("puntaje") - F.when(F.count("*") > 1, F.min("puntaje")).otherwise(0.0)).alias("brecha"))
-    p = F.when(F.col("brecha") < GAP, F.greatest(F.lit(0.0), F.col("_p") - PENALTY_GAP)).otherwise(F.col("_p"))
+    best = two.groupBy("id").agg(F.max_by("c_id", -F.col("_n")).alias("candidato"), F.max("puntaje").alias("_p"), (F.max("puntaje") - F.when(F.count("*") > 1, F.min("puntaje")).otherwise(0.0)).alias("brecha"), F.count("*").alias("_many"))
+    floor = F.when(F.col("_p") >= REVIEW, REVIEW).otherwise(0.0)
+    p = F.when((F.col("_many") > 1) & (F.col("brecha") < GAP), F.greatest(floor, F.col("_p") - PENALTY_GAP)).otherwise(F.col("_p"))
     out = best.withColumn("puntaje", F.round(p, 6)).withColumn("brecha", F.round("brecha", 6))
     return out.select("id", "candidato", "puntaje", "brecha", F.when(F.col("puntaje") >= ACCEPT, "aceptado").when(F.col("puntaje") >= REVIEW, "revision").otherwise("cuarentena").alias("ruta"))
 
 
+def causes(pairs: DataFrame, title: str = "titulo") -> DataFrame:
+    """(id, ruta, causa): why a record is not accepted, from its best candidate, first rule first.
+
+    For review: a second candidate as good, a doubtful type of release (unless the title itself names a variant), a marginal length, else the
+    score. For quarantine: a title that says too little, else the score. ``pairs`` as from :func:`scored`.
+    """
+    w = Window.partitionBy("id").orderBy(F.desc("puntaje"), "c_id")
+    best = pairs.select("id", "c_id", "puntaje", "c_tipo", "s_titulo", "s_duracion", variant_type(F.col(title)).alias("variante")).withColumn("_n", F.row_number().over(w)).filter("_n = 1")
+    d = decided(pairs).select("id", "ruta", "brecha", F.col("puntaje").alias("_final"))
+    j = best.join(d, "id").withColumn("_unclear", F.col("_final") < F.round("puntaje", 6))
+    typed = F.coalesce(F.col("c_tipo").isin(*ACCEPTED_TYPES), F.lit(False))
+    review = F.when(F.col("_unclear"), "candidatos_ambiguos").when(~typed & F.col("variante").isNull(), "tipo_dudoso").when(F.col("s_duracion") < 0.3, "duracion_marginal").otherwise("puntaje_intermedio")
+    low = F.when(F.col("s_titulo") < 0.3, "metadata_insuficiente").otherwise("puntaje_bajo")
+    return j.filter("ruta <> 'aceptado'").select("id", "ruta", F.when(F.col("ruta") == "revision", review).otherwise(low).alias("causa"))
+
+
 def second_evidence(pairs: DataFrame) -> Column:
     """The evidence of the second look at a pair."""
     c = F.col

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tonalis.operators import resolve as E
 from tonalis.plans.registry import Registry
-from tonalis.plans.text import cmp_sql, jaccard_sql, tokens_sql
+from tonalis.plans.text import VARIANT_SQL, cmp_sql, jaccard_sql, tokens_sql
 from tonalis.functions.text import VERSION_WORDS
 from tonalis.tables import Tables
 
@@ -23,7 +23,7 @@ def strip_sql(x: str) -> str:
 _CODE = r"CASE WHEN regexp_matches(upper(regexp_replace(isrc, '[\s\-]', '', 'g')), '^[A-Z]{2}[A-Z0-9]{3}[0-9]{7}$') THEN upper(regexp_replace(isrc, '[\s\-]', '', 'g')) END"
 _PAIRS = f"""WITH r AS (SELECT p.id, titulo, artista_nombre, album_titulo, duracion_seg, track_number, p.anio, {_CODE} AS isrc, mb_recording_id, b.tipo FROM pistas p LEFT JOIN (SELECT id, tipo FROM albums) b ON b.id = p.album_id),
 k AS (SELECT *, 'i:' || isrc AS block FROM r WHERE isrc IS NOT NULL UNION ALL SELECT *, 't:' || {cmp_sql(strip_sql('titulo'))} || '|' || {cmp_sql('artista_nombre')} FROM r),
-q AS (SELECT DISTINCT a.id, b.c_id FROM k a JOIN (SELECT block, min(id) AS c_id FROM k GROUP BY block) b ON a.block = b.block WHERE a.id <> b.c_id),
+q AS (SELECT DISTINCT a.id, b.id AS c_id FROM k a JOIN k b ON a.block = b.block WHERE a.id <> b.id),
 t AS (SELECT *, {tokens_sql(strip_sql('titulo'))} AS tt, {tokens_sql('artista_nombre')} AS ta, {tokens_sql('album_titulo')} AS tb FROM r),
 s AS (SELECT q.id, q.c_id, {jaccard_sql('a.tt', 'b.tt')} AS s_titulo, {jaccard_sql('a.ta', 'b.ta')} AS s_artista, {jaccard_sql('a.tb', 'b.tb')} AS s_album, abs(a.duracion_seg - b.duracion_seg) AS d, a.track_number - b.track_number AS n,
  CASE WHEN lower(trim(b.tipo)) IN ('album', 'single', 'ep') THEN 1.0 WHEN lower(trim(b.tipo)) IN ('compilation', 'live', 'remix', 'dj-mix') THEN 0.2 WHEN coalesce(lower(trim(b.tipo)), '') = '' THEN 0.4 ELSE 0.5 END AS s_tipo,
@@ -58,14 +58,25 @@ def match_score(t: Tables) -> DataFrame:
     return _pairs(t, True).select("id", "c_id", "puntaje")
 
 
-@query(_PAIRS + """, w AS (SELECT id, c_id, puntaje, row_number() OVER (PARTITION BY id ORDER BY puntaje DESC, c_id) AS n FROM p), b AS (SELECT id, max(c_id) FILTER (n = 1) AS candidato, max(puntaje) AS pm, max(puntaje) - CASE WHEN count(*) > 1 THEN min(puntaje) ELSE 0.0 END AS brecha FROM w WHERE n <= 2 GROUP BY id),
-c AS (SELECT id, candidato, round(CASE WHEN brecha < 0.1 THEN greatest(0.0, pm - 0.15) ELSE pm END, 6) AS puntaje, round(brecha, 6) AS brecha FROM b)
+@query(_PAIRS + """, w AS (SELECT id, c_id, puntaje, row_number() OVER (PARTITION BY id ORDER BY puntaje DESC, c_id) AS n FROM p), b AS (SELECT id, max(c_id) FILTER (n = 1) AS candidato, max(puntaje) AS pm, max(puntaje) - CASE WHEN count(*) > 1 THEN min(puntaje) ELSE 0.0 END AS brecha, count(*) AS many FROM w WHERE n <= 2 GROUP BY id),
+c AS (SELECT id, candidato, round(CASE WHEN many > 1 AND brecha < 0.1 THEN greatest(CASE WHEN pm >= 0.55 THEN 0.55 ELSE 0.0 END, pm - 0.15) ELSE pm END, 6) AS puntaje, round(brecha, 6) AS brecha FROM b)
 SELECT *, CASE WHEN puntaje >= 0.82 THEN 'aceptado' WHEN puntaje >= 0.55 THEN 'revision' ELSE 'cuarentena' END AS ruta FROM c""")
 def match_route(t: Tables) -> DataFrame:
     """The best candidate of every record and its route."""
     return E.decided(_pairs(t, True))
 
 
+@query(_PAIRS + f""", w AS (SELECT p.*, row_number() OVER (PARTITION BY p.id ORDER BY p.puntaje DESC, p.c_id) AS lugar, lead(p.puntaje) OVER (PARTITION BY p.id ORDER BY p.puntaje DESC, p.c_id) AS segundo FROM p),
+b AS (SELECT w.*, segundo IS NOT NULL AND puntaje - segundo < 0.1 AS ambigua, CASE WHEN segundo IS NOT NULL AND puntaje - segundo < 0.1 THEN greatest(CASE WHEN puntaje >= 0.55 THEN 0.55 ELSE 0.0 END, puntaje - 0.15) ELSE puntaje END AS final, c.tipo AS ctipo, {VARIANT_SQL} AS variante
+ FROM w JOIN r ON r.id = w.id LEFT JOIN (SELECT id AS c_id, tipo FROM r) c ON c.c_id = w.c_id WHERE lugar = 1),
+d AS (SELECT *, CASE WHEN round(final, 6) >= 0.82 THEN 'aceptado' WHEN round(final, 6) >= 0.55 THEN 'revision' ELSE 'cuarentena' END AS ruta FROM b)
+SELECT id, ruta, CASE WHEN ruta = 'revision' THEN CASE WHEN ambigua AND final < puntaje THEN 'candidatos_ambiguos' WHEN NOT coalesce(ctipo IN ('Album', 'Single', 'EP'), false) AND variante IS NULL THEN 'tipo_dudoso' WHEN s_duracion < 0.3 THEN 'duracion_marginal' ELSE 'puntaje_intermedio' END
+ WHEN s_titulo < 0.3 THEN 'metadata_insuficiente' ELSE 'puntaje_bajo' END AS causa FROM d WHERE ruta <> 'aceptado'""")
+def match_causes(t: Tables) -> DataFrame:
+    """Why a record is left for review or in quarantine."""
+    return E.causes(_pairs(t, True))
+
+
 @query()
 def match_score_full(t: Tables) -> DataFrame:
     """The same pairs with the full similarity of texts (sequence ratio in Arrow batches)."""

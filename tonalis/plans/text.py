@@ -169,10 +169,10 @@ def text_isrc(t: Tables) -> DataFrame:
     return t.pistas.select("id", X.isrc_code(F.col("isrc")).alias("isrc"))
 
 
-_VARIANT_SQL = "CASE " + " ".join(f"WHEN regexp_matches(titulo, '(?i){p}') THEN '{k}'" for k, p in X.VARIANTS.items()) + " END"
+VARIANT_SQL = "CASE " + " ".join(f"WHEN regexp_matches(titulo, '(?i){p}') THEN '{k}'" for k, p in X.VARIANTS.items()) + " END"
 
 
-@query(rf"""SELECT id, {_VARIANT_SQL} AS variante, CASE WHEN {_VARIANT_SQL} IS NOT NULL THEN coalesce(nullif(trim(regexp_replace(titulo,
+@query(rf"""SELECT id, {VARIANT_SQL} AS variante, CASE WHEN {VARIANT_SQL} IS NOT NULL THEN coalesce(nullif(trim(regexp_replace(titulo,
 '\s*[\(\[]\s*(?:(?:[^\)\]]*\s+)?(?:remix|rmx|rework|bootleg|flip|[a-z]+ mix)|live(?:\s+[^\)\]]*)?|en vivo|acoustic(?:\s+version)?|instrumental|demo(?:\s+version)?)\s*[\)\]]', '', 'gi')), ''), titulo) ELSE titulo END AS base FROM pistas""")
 def text_variant(t: Tables) -> DataFrame:
     """The variant of a recording and the title without it."""

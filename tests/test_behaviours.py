@@ -210,3 +210,52 @@ def test_filter_or_all_and_promotion(spark):
     assert {(r.id, r.c_id) for r in resolve.filter_or_all(pairs, F.col("ok")).collect()} == {(1, 1), (2, 3), (2, 4)}
     ev = spark.createDataFrame([(1, 1, 0.9, True), (1, 2, 0.7, True), (2, 3, 0.95, True), (2, 4, 0.9, True), (3, 5, 0.9, False)], "id long, c_id long, evidencia double, fuerte boolean")
     assert [(r.id, r.c_id, r.brecha) for r in resolve.promoted(ev).collect()] == [(1, 1, 0.2)]
+
+
+def test_changes_of_equal_version_are_not_lost_between_pages(spark):
+    log = spark.createDataFrame([(e, k, 5) for e in ("album", "pista") for k in range(1, 8)] + [("pista", 99, 6)], "entidad string, entidad_id long, version long")
+    since, after, seen = 0, None, []
+    while True:
+        rows = sync.page(log, since, 4, after).collect()
+        seen += [(r.entidad, r.entidad_id) for r in rows]
+        since, after = rows[0].siguiente, (rows[0].siguiente_entidad, rows[0].siguiente_id)
+        if not rows[0].hay_mas:
+            break
+    assert seen == [(e, k) for e in ("album", "pista") for k in range(1, 8)] + [("pista", 99)]
+
+
+def test_free_names_fill_the_first_hole(spark):
+    from tonalis.operators.library import free_names
+
+    taken = spark.createDataFrame([(n,) for n in ("Mix", "Mix 2", "Mix 4", "Rock", "Rock 3", "Solo 2", None)], "nombre string")
+    wanted = spark.createDataFrame([("Mix",), ("Rock",), ("Jazz",), ("Solo",), (None,)], "nombre string")
+    assert {r.nombre: r.libre for r in free_names(wanted, taken).collect()} == {"Mix": "Mix 3", "Rock": "Rock 2", "Jazz": "Jazz", "Solo": "Solo"}
+
+
+def test_this_is_exceeds_fifty_or_fills_with_similar_tracks(spark):
+    own = [dict(id=k, artista_id=1, album_id=None, favorita=k % 2) for k in range(1, 101)]
+    few = [dict(id=500 + k, artista_id=2) for k in range(10)] + [dict(id=600 + k, artista_id=3 + k // 6) for k in range(60)]
+    c = tracks(spark, own + few).withColumn("plays", F.col("id") % 7)
+    got = smartlists.this_is(c, 1).collect()
+    assert len(got) == 80 and all(r.propia for r in got)
+    got = smartlists.this_is(c, 2).collect()
+    assert sum(r.propia for r in got) == 10 and len(got) > 25 and not {r.id for r in got if not r.propia} & {r.id for r in got if r.propia}
+
+
+def test_error_classes_of_missing_modules(spark):
+    for text, kind in (("No module named 'librosa'", "librosa_missing"), ("no module named soundfile", "soundfile_missing"), ("No module named audioread", "audioread_missing"), ("no module named x", "dependency_missing"), ("bad codec", "codec_error")):
+        assert one(spark, features.error_class(F.lit(text))) == kind
+
+
+def test_digests_of_files_equal_hashlib(spark, tmp_path):
+    import hashlib
+
+    from tonalis.sources import files
+
+    body = {"b.bin": b"x" * 100, "c.bin": bytes(range(256)) * 10_000}
+    for n, b in body.items():
+        (tmp_path / n).write_bytes(b)
+    got = {r.path.rsplit("/", 1)[1]: r for r in files.digests(files.scan_files(spark, str(tmp_path)), head=64, end=1000).collect()}
+    for n, b in body.items():
+        d = lambda x: hashlib.sha256(x).hexdigest()
+        assert (got[n].entero, got[n].cabeza, got[n].extremos) == (d(b), d(b[:64]), d(b if len(b) <= 2000 else b[:1000] + b[-1000:]))

@@ -101,3 +101,18 @@ def sort_key(c: Column, folded: Column) -> Column:
     """A key that sorts digits, then Latin letters, then other scripts, then blanks."""
     bucket = F.when(c.isNull() | (F.trim(c) == ""), "3").when(folded.rlike("^[0-9]"), "0").when(folded.rlike("^[a-z]"), "1").otherwise("2")
     return F.concat(bucket, F.coalesce(folded, F.lit("")))
+
+
+def free_names(wanted: DataFrame, taken: DataFrame) -> DataFrame:
+    """(nombre, libre): each wanted name itself if it is free, else with the smallest number from 2 on that makes it free.
+
+    Both tables have ``nombre``. Only taken names that are a wanted one with a number are ranked, so a window holds the copies of one name.
+    """
+    parts = r"^(.*) ([1-9][0-9]{0,17})$"
+    names = taken.select("nombre").filter("nombre is not null").distinct()
+    numbered = names.select(F.regexp_extract("nombre", parts, 1).alias("nombre"), F.expr("try_cast(regexp_extract(nombre, '^(.*) ([1-9][0-9]{0,17})$', 2) as bigint)").alias("k")).filter("k >= 2")
+    want = wanted.select("nombre").filter("nombre is not null").distinct()
+    ranked = want.join(numbered, "nombre").withColumn("_due", F.row_number().over(Window.partitionBy("nombre").orderBy("k")) + 1)
+    first = ranked.groupBy("nombre").agg(F.coalesce(F.min(F.when(F.col("k") != F.col("_due"), F.col("_due"))), F.max("k") + 1).alias("n"))
+    j = want.join(names.withColumn("_taken", F.lit(True)), "nombre", "left").join(first, "nombre", "left")
+    return j.select("nombre", F.when(F.col("_taken").isNull(), F.col("nombre")).otherwise(F.concat_ws(" ", "nombre", F.coalesce("n", F.lit(2)).cast("string"))).alias("libre"))

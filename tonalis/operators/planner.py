@@ -206,7 +206,7 @@ def measurement(c: str) -> Column:
 
 
 def refine_order(steps: DataFrame, style: str = "smooth", rounds: int = 8, gain: float = 0.01) -> DataFrame:
-    """(lista_id, pista_id, posicion): neighbours are swapped while that raises the sum of the transitions around them by more than ``gain``.
+    """(lista_id, pista_id, posicion): neighbours are swapped while that raises the sum of the transition into the pair and the one inside it by more than ``gain``.
 
     ``steps``: lista_id, posicion, pista_id, bpm, clave, energy; a session is a planned list, so it is bounded by POOL rows and
     fits a task. The first track stays.
@@ -241,8 +241,8 @@ def refine_order(steps: DataFrame, style: str = "smooth", rounds: int = 8, gain:
         for _ in range(rounds):
             moved = False
             for i in range(1, len(rows) - 2):
-                p, a, b, c = rows[i - 1 : i + 3]
-                if score(p, b) + score(b, a) + score(a, c) > score(p, a) + score(a, b) + score(b, c) + gain:
+                p, a, b = rows[i - 1 : i + 2]
+                if score(p, b) + score(b, a) > score(p, a) + score(a, b) + gain:
                     rows[i], rows[i + 1] = b, a
                     moved = True
             if not moved:

@@ -14,6 +14,7 @@ FORGOTTEN_DAYS, DISCOVER_BELOW = 60, 10
 ARTISTS, PER_ARTIST, ALBUMS, PER_ALBUM = 10, 5, 10, 4
 RETURN_TRACKS, RETURN_PLAYS, RETURN_FAVOURITES, RETURN_TOP = 6, 6, 2, 6
 SIMILAR_PER_ARTIST, SOFT_PER_ALBUM = 4, 8
+THIS_IS, THIS_IS_LEAST = 80, 25
 
 COLUMNS = ("id", "titulo", "artista_id", "album_id", "genero", "favorita", "veces_reproducida", "ultimo_acceso", "indexado_en")
 
@@ -76,19 +77,26 @@ def albums_to_return(c: DataFrame) -> DataFrame:
     return top_by_group(own.join(good, "album_id", "left_semi"), "album_id", [F.desc("plays"), F.asc("id")], RETURN_TOP, "puesto").select("id", "titulo", F.col("album_id").alias("grupo"), "puesto")
 
 
-def similar_to(c: DataFrame, artist: int) -> DataFrame:
+def similar_to(c: DataFrame, artist: int, cap: int = CAP) -> DataFrame:
     """Tracks of other artists in a genre of the artist, at most SIMILAR_PER_ARTIST of each."""
     genres = c.filter((F.col("artista_id") == artist) & F.col("genero").isNotNull()).select("genero").distinct()
     others = c.filter(F.col("artista_id").isNotNull() & (F.col("artista_id") != artist)).join(genres, "genero", "left_semi")
-    return capped(top_by_group(others, "artista_id", [F.desc("plays"), F.asc("id")], SIMILAR_PER_ARTIST), F.desc("plays"))
+    return capped(top_by_group(others, "artista_id", [F.desc("plays"), F.asc("id")], SIMILAR_PER_ARTIST), F.desc("plays"), cap=cap)
 
 
 def this_is(c: DataFrame, artist: int) -> DataFrame:
-    """The artist's own tracks by favourites and plays; those past SOFT_PER_ALBUM of one album come after the rest."""
+    """(id, titulo, propia): the artist's own tracks by favourites and plays, those past SOFT_PER_ALBUM of one album after the rest; an
+    artist with fewer than THIS_IS_LEAST is filled up with similar tracks. Tracks without an album have no such limit."""
     own = c.filter(F.col("artista_id") == artist)
     order = [F.desc("favorita"), F.desc("plays"), F.asc("id")]
-    ranked = own.withColumn("_rn", F.row_number().over(Window.partitionBy("album_id").orderBy(*order)))
-    return capped(ranked, F.asc(F.col("_rn") > SOFT_PER_ALBUM), *order)
+    first = own.orderBy(*order).limit(4 * THIS_IS)
+    ranked = first.withColumn("_rn", F.row_number().over(Window.partitionBy("album_id").orderBy(*order)))  # 4 * THIS_IS rows
+    mine = capped(ranked, F.asc((F.col("_rn") > SOFT_PER_ALBUM) & F.col("album_id").isNotNull()), *order, cap=THIS_IS)
+    have = mine.agg(F.count("*")).scalar()
+    others = similar_to(c, artist, THIS_IS).join(c.select("id", "plays"), "id")
+    rank = F.row_number().over(Window.orderBy(F.desc("plays"), "id"))  # THIS_IS rows
+    fill = others.withColumn("_k", rank).filter((have < THIS_IS_LEAST) & (F.col("_k") <= THIS_IS - have))
+    return mine.withColumn("propia", F.lit(True)).unionByName(fill.select("id", "titulo", F.lit(False).alias("propia")))
 
 
 def signature(members: DataFrame, group: str, item: str, position: str) -> DataFrame:

@@ -32,16 +32,20 @@ def entities(parts: dict[str, DataFrame]) -> DataFrame:
     return out
 
 
-def page(log: DataFrame, since: int, limit: int) -> DataFrame:
-    """The next ``limit`` changes after a version, with ``siguiente`` (where the next page begins) and ``hay_mas``.
-
-    One row more than asked tells whether more follow. Rows of equal version stay together only if versions are unique.
+def page(log: DataFrame, since: int, limit: int, after: tuple[str, int] | None = None) -> DataFrame:
+    """The next ``limit`` changes after a version, with ``hay_mas`` and where the next page begins: ``siguiente``, ``siguiente_entidad``
+    and ``siguiente_id``, which the next call takes as ``since`` and ``after``. Changes of equal version are told apart by
+    entity and id, so none is lost at the edge of a page.
     """
-    top = log.filter(F.col("version") > since).orderBy("version", "entidad", "entidad_id").limit(limit + 1)
+    later = F.col("version") > since
+    if after is not None:
+        later |= (F.col("version") == since) & ((F.col("entidad") > after[0]) | (F.col("entidad") == after[0]) & (F.col("entidad_id") > after[1]))
+    top = log.filter(later).orderBy("version", "entidad", "entidad_id").limit(limit + 1)
     ranked = top.withColumn("_n", F.row_number().over(Window.orderBy("version", "entidad", "entidad_id")))  # limit + 1 rows
     whole = Window.partitionBy()
     out = ranked.withColumn("hay_mas", F.max("_n").over(whole) > limit).filter(F.col("_n") <= limit)
-    return out.withColumn("siguiente", F.max("version").over(whole)).drop("_n")
+    last = F.max(F.struct("version", "entidad", "entidad_id")).over(whole)
+    return out.withColumn("_last", last).select(*log.columns, "hay_mas", F.col("_last.version").alias("siguiente"), F.col("_last.entidad").alias("siguiente_entidad"), F.col("_last.entidad_id").alias("siguiente_id"))
 
 
 def ordered_members(members: DataFrame, group: str, item: str, position: str) -> DataFrame:

@@ -121,7 +121,7 @@ def discovery_sections(t: Tables) -> DataFrame:
 
 
 def _weight(k: str) -> str:
-    hits = " + ".join(f"contains(q, '{w}')::INT" for w in U.KEYWORDS[k].split())
+    hits = " + ".join(f"contains(q, '{w}')::INT" for w in U.KEYWORDS[k])
     phrase = "greatest(0.0, " + ", ".join(f"CASE WHEN contains(q, '{p}') THEN {w} ELSE 0.0 END" for p, i, w in U.PHRASES if i == k) + ")" if any(i == k for _, i, _ in U.PHRASES) else "0.0"
     w = f"CASE WHEN {hits} > 0 THEN least(1.0, 0.75 + ({hits}) * 0.15) ELSE {phrase} END"
     return f"CASE WHEN (contains(q, 'baja energia') OR contains(q, 'energia baja')) AND NOT regexp_matches(q, 'entren|gym|correr|workout|run|caminar') THEN 0.0 ELSE {w} END" if k == "workout" else w
@@ -159,10 +159,10 @@ def feature_proxies(t: Tables) -> DataFrame:
     return rows.select("id", *[F.round(p[k], 8).alias(k) for k in ("valence", "melancholy", "party", "workout", "focus", "night")])
 
 
-@query("""SELECT doc_id, CASE WHEN contains(lower(text), 'no such file') THEN 'file_not_found' WHEN contains(lower(text), 'codec') OR contains(lower(text), 'format') OR contains(lower(text), 'decode') THEN 'codec_error' WHEN contains(lower(text), 'memory') THEN 'memory_error' ELSE 'analysis_error' END AS clase FROM documents WHERE tipo = 'nota_import' AND NOT contains(lower(text), 'no module named')""")
+@query("""SELECT doc_id, CASE WHEN contains(lower(text), 'no module named') THEN CASE WHEN contains(lower(text), 'librosa') THEN 'librosa_missing' WHEN contains(lower(text), 'soundfile') THEN 'soundfile_missing' WHEN contains(lower(text), 'audioread') THEN 'audioread_missing' ELSE 'dependency_missing' END WHEN contains(lower(text), 'no such file') THEN 'file_not_found' WHEN contains(lower(text), 'codec') OR contains(lower(text), 'format') OR contains(lower(text), 'decode') THEN 'codec_error' WHEN contains(lower(text), 'memory') THEN 'memory_error' ELSE 'analysis_error' END AS clase FROM documents WHERE tipo = 'nota_import'""")
 def error_classes(t: Tables) -> DataFrame:
     """The kind of failure that an import note tells of."""
-    return t.documents.filter("tipo = 'nota_import'").filter(~F.contains(F.lower("text"), F.lit("no module named"))).select("doc_id", U.error_class(F.col("text")).alias("clase"))
+    return t.documents.filter("tipo = 'nota_import'").select("doc_id", U.error_class(F.col("text")).alias("clase"))
 
 
 _WANTED = {"melancholy": 0.8, "calmness": 0.6, "energy": -0.5}

@@ -59,12 +59,12 @@ def circular_hues(t: Tables) -> DataFrame:
     return rows.groupBy("artista_id").agg(F.round(circular_mean(F.col("valence"), F.col("energy")), 6).alias("tono"), F.count("*").alias("_n")).filter("_n >= 2").drop("_n")
 
 
-@query("""WITH RECURSIVE s AS (SELECT id, ruta_archivo AS r, 1 AS k, 2166136261::BIGINT AS h FROM albums JOIN (SELECT album_id, min(titulo_slug) AS ruta_archivo FROM (SELECT id AS album_id, titulo_slug FROM albums WHERE regexp_full_match(titulo_slug, '[ -~]+')) GROUP BY 1) ON album_id = id
-UNION ALL SELECT id, r, k + 1, ((xor(h, ascii(r[k])::BIGINT) * 16777619::BIGINT) & 4294967295::BIGINT) FROM s WHERE k <= length(r))
+@query("""WITH RECURSIVE s AS (SELECT id, ruta_archivo AS r, 1 AS k, 2166136261::BIGINT AS h FROM albums JOIN (SELECT album_id, min(titulo_slug) AS ruta_archivo FROM (SELECT id AS album_id, titulo_slug FROM albums) GROUP BY 1) ON album_id = id
+UNION ALL SELECT id, r, k + 1, ((xor(h, unicode(r[k])::BIGINT) * 16777619::BIGINT) & 4294967295::BIGINT) FROM s WHERE k <= length(r))
 SELECT id, h, round(h % 360 / 360.0::DOUBLE, 6) AS tono FROM s WHERE k = length(r) + 1""")
 def hash_colours(t: Tables) -> DataFrame:
-    """A hash and a hue for every album with an ASCII slug."""
-    return t.albums.filter(F.col("titulo_slug").rlike("^[ -~]+$")).select("id", V.string_hash(F.col("titulo_slug")).alias("h"), F.round(V.hash_colour(F.col("titulo_slug"))["h"], 6).alias("tono"))
+    """A hash and a hue for every album, from the code points of its slug."""
+    return t.albums.select("id", V.string_hash(F.col("titulo_slug")).alias("h"), F.round(V.hash_colour(F.col("titulo_slug"))["h"], 6).alias("tono"))
 
 
 @query("""WITH c AS (SELECT id, CASE id % 5 WHEN 0 THEN 'theaudiodb' WHEN 1 THEN 'deezer' WHEN 2 THEN 'itunes' WHEN 3 THEN 'wikipedia' ELSE 'otro' END AS p, (id * 37 % 100) / 100.0::DOUBLE AS raw, id * 13 % 1000 AS lado FROM albums)

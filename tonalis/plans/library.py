@@ -154,8 +154,10 @@ def artist_top(t: Tables) -> DataFrame:
     return top_by_group(p, "artista_id", [F.desc("veces_reproducida"), F.asc("id")], 10, "puesto").select("artista_id", "id", "titulo", "puesto")
 
 
-@query("""SELECT t.titulo, CASE WHEN n = 1 THEN t.titulo ELSE t.titulo || ' ' || n END AS libre FROM (SELECT titulo, count(*) + 1 AS n FROM albums GROUP BY 1) t""")
+@query(r"""WITH d AS (SELECT DISTINCT titulo FROM albums), n AS (SELECT regexp_extract(titulo, '^(.*) ([1-9][0-9]*)$', 1) AS stem, TRY_CAST(regexp_extract(titulo, '^(.*) ([1-9][0-9]*)$', 2) AS BIGINT) AS k FROM d),
+s AS (SELECT d.titulo, n.k, row_number() OVER (PARTITION BY d.titulo ORDER BY n.k) + 1 AS expect FROM d JOIN n ON n.stem = d.titulo WHERE n.k >= 2), g AS (SELECT titulo, min(CASE WHEN k <> expect THEN expect END) AS hole, max(k) + 1 AS nxt FROM s GROUP BY 1)
+SELECT d.titulo, d.titulo || ' ' || coalesce(g.hole, g.nxt, 2) AS libre FROM d LEFT JOIN g USING (titulo)""")
 def unique_names(t: Tables) -> DataFrame:
     """A free name for a copy of every album."""
-    n = t.albums.groupBy("titulo").agg((F.count("*") + 1).alias("n"))
-    return n.select("titulo", F.when(F.col("n") == 1, F.col("titulo")).otherwise(F.concat("titulo", F.lit(" "), F.col("n").cast("string"))).alias("libre"))
+    names = t.albums.select(F.col("titulo").alias("nombre")).distinct()
+    return L.free_names(names, names).select(F.col("nombre").alias("titulo"), "libre")

@@ -82,12 +82,26 @@ def smart_similar_artist(t: Tables) -> DataFrame:
     return R.similar_to(_c(t), 1)
 
 
-@query(f"""WITH o AS (SELECT *, row_number() OVER (PARTITION BY album_id ORDER BY favorita DESC, plays DESC, id) AS rn FROM {_C} WHERE artista_id = 1)
-SELECT id, titulo FROM o ORDER BY rn > 8, favorita DESC, plays DESC, id LIMIT 50""")
+def _this_is(artist: int) -> str:
+    return f"""WITH c AS {_C}, f AS (SELECT * FROM c WHERE artista_id = {artist} ORDER BY favorita DESC, plays DESC, id LIMIT 320), o AS (SELECT *, row_number() OVER (PARTITION BY album_id ORDER BY favorita DESC, plays DESC, id) AS rn FROM f),
+a AS (SELECT id, titulo FROM o ORDER BY rn > 8 AND album_id IS NOT NULL, favorita DESC, plays DESC, id LIMIT 80),
+s AS (SELECT * FROM c WHERE artista_id <> {artist} AND genero IN (SELECT genero FROM c WHERE artista_id = {artist} AND genero IS NOT NULL) QUALIFY row_number() OVER (PARTITION BY artista_id ORDER BY plays DESC, id) <= 4),
+z AS (SELECT id, titulo, row_number() OVER (ORDER BY plays DESC, id) AS k FROM s)
+SELECT id, titulo, true AS propia FROM a UNION ALL SELECT id, titulo, false FROM z WHERE (SELECT count(*) FROM a) < 25 AND k <= 80 - (SELECT count(*) FROM a)"""
+
+
+@query(_this_is(1))
 def smart_this_is(t: Tables) -> DataFrame:
+    """An artist with many tracks of their own."""
     return R.this_is(_c(t), 1)
 
 
+@query(_this_is(5))
+def smart_this_is_filled(t: Tables) -> DataFrame:
+    """An artist with few tracks, filled up with similar ones."""
+    return R.this_is(_c(t), 5)
+
+
 @query("""SELECT id AS pista_id, row_number() OVER (ORDER BY titulo, id) AS posicion FROM pistas WHERE favorita = 1 AND estado = 'biblioteca'""")
 def smart_favourites_mirror(t: Tables) -> DataFrame:
     """All favourites, numbered over pieces rather than in one window."""

@@ -22,9 +22,9 @@ query = Registry()
 
 @query()
 def source_files(t: Tables) -> DataFrame:
-    """The files of two small tables with their size and three digests."""
-    f = S.scan_files(t.spark, t.folder, "[rn]*ion.parquet", content=True)
-    return f.select("nombre", "bytes", S.extension(F.col("nombre")).alias("extension"), S.full_digest(F.col("content")).alias("entero"), S.head_digest(F.col("content"), 256).alias("cabeza"), S.ends_digest(F.col("content"), 256).alias("extremos"))
+    """Every table file of the folder with its size and three digests."""
+    f = S.scan_files(t.spark, t.folder, "*.parquet").filter(S.extension(F.col("nombre")) == ".parquet").filter("bytes > 0")
+    return S.digests(f).select(F.substring_index("path", "/", -1).alias("nombre"), "bytes", "entero", "cabeza", "extremos")
 
 
 @query("""SELECT id, CASE WHEN NOT coalesce(tamano_bytes >= 1000000, false) THEN 'pequeno' WHEN NOT coalesce(duracion_seg BETWEEN 30 AND 3600, false) THEN 'duracion' WHEN NOT coalesce(bitrate_kbps BETWEEN 64 AND 2000, false) THEN 'bitrate' END AS causa FROM pistas""")

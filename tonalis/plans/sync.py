@@ -41,7 +41,7 @@ def sync_log(t: Tables) -> DataFrame:
 
 
 @query(f"""WITH x AS (SELECT *, row_number() OVER (ORDER BY version, entidad, entidad_id) AS n FROM {_LOG} WHERE version > 1609500000000000)
-SELECT entidad, entidad_id, version, (SELECT count(*) FROM x) > 100 AS hay_mas, (SELECT max(version) FROM x WHERE n <= 100) AS siguiente FROM x WHERE n <= 100""")
+SELECT entidad, entidad_id, version, (SELECT count(*) FROM x) > 100 AS hay_mas, (SELECT version FROM x WHERE n <= 100 ORDER BY n DESC LIMIT 1) AS siguiente, (SELECT entidad FROM x WHERE n <= 100 ORDER BY n DESC LIMIT 1) AS siguiente_entidad, (SELECT entidad_id FROM x WHERE n <= 100 ORDER BY n DESC LIMIT 1) AS siguiente_id FROM x WHERE n <= 100""")
 def sync_page(t: Tables) -> DataFrame:
     """A page of the merged change log."""
     return Y.page(_log(t), 1609500000000000, 100)

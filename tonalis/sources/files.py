@@ -2,12 +2,21 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterable, Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tonalis.materialise import task_count
+
+#: Bytes read at a time.
+PART = 1 << 20
+
 
 def scan_files(spark: SparkSession, folder: str, pattern: str = "*", recursive: bool = True, content: bool = False) -> DataFrame:
-    """(path, nombre, bytes, modificado[, content]) of the files under a folder; contents are only read if asked for."""
+    """(path, nombre, bytes, modificado[, content]) of the files under a folder; contents are only read if asked for. Empty files are not listed."""
     df = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", str(recursive).lower()).load(folder)
     out = df.select("path", F.substring_index("path", "/", -1).alias("nombre"), F.col("length").alias("bytes"), F.col("modificationTime").alias("modificado"), *(["content"] if content else []))
     return out
@@ -25,19 +34,37 @@ def first_failure(rules: dict[str, Column]) -> Column:
     return out
 
 
-def full_digest(content: Column) -> Column:
-    return F.sha2(content, 256)
-
-
-def head_digest(content: Column, size: int = 65_536) -> Column:
-    """Of the first bytes only."""
-    return F.sha2(F.substring(content, 1, size), 256)
-
-
-def ends_digest(content: Column, size: int = 524_288) -> Column:
-    """Of the first and the last bytes; of the whole where they would overlap."""
-    n = F.length(content)
-    return F.when(n <= 2 * size, F.sha2(content, 256)).otherwise(F.sha2(F.concat(F.substring(content, 1, size), F.substring(content, -size, size)), 256))
+def _digest(batches: Iterable[pd.DataFrame], head: int, end: int) -> Iterator[pd.DataFrame]:
+    from pyarrow import fs
+
+    for batch in batches:
+        out = []
+        for path, size in zip(batch["path"], batch["bytes"].tolist()):
+            system, place = fs.FileSystem.from_uri(path)
+            whole, first, ends = hashlib.sha256(), hashlib.sha256(), hashlib.sha256()
+            with system.open_input_file(place) as f:
+                at = 0
+                while data := f.read(PART):
+                    whole.update(data)
+                    first.update(data[: max(0, head - at)])
+                    if size > 2 * end:
+                        ends.update(data[: max(0, end - at)])
+                    at += len(data)
+                if size > 2 * end:
+                    f.seek(size - end)
+                    ends.update(f.read(end))
+            out.append((path, size, whole.hexdigest(), first.hexdigest(), ends.hexdigest() if size > 2 * end else whole.hexdigest()))
+        yield pd.DataFrame(out, columns=["path", "bytes", "entero", "cabeza", "extremos"])
+
+
+def digests(files: DataFrame, head: int = 65_536, end: int = 524_288) -> DataFrame:
+    """(path, bytes, entero, cabeza, extremos): SHA-256 of each whole file, of its first ``head`` bytes, and of its first and last
+    ``end`` bytes (of the whole where these would overlap).
+
+    ``files``: path and bytes. A file is read in parts of PART bytes on the executors and never becomes one value, however large.
+    """
+    spread = files.select("path", "bytes").repartition(task_count(files.sparkSession), "path")
+    return spread.mapInPandas(lambda it: _digest(it, head, end), "path string, bytes long, entero string, cabeza string, extremos string")
 
 
 def checksum_differences(left: DataFrame, right: DataFrame, key: str, digest: str) -> DataFrame:

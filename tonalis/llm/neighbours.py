@@ -135,30 +135,35 @@ def _search(index: pa.Table, queries: pa.Table, centre: np.ndarray, rotation: np
     members, many = _lists(index["ids"])
     offset = np.concatenate([[0], np.cumsum(many)])
     ones = np.bitwise_count(code).astype(np.float32)
-    scale = (norm / align).astype(np.float32)
+    scale = (norm / align / math.sqrt(BITS)).astype(np.float32)
     spread_o = (norm * np.sqrt(np.maximum(0, 1 - align**2)) / align / math.sqrt(BITS - 1) * WIDTH).astype(np.float32)
     base_o = (o @ centre - centre @ centre).astype(np.float32)
+    fixed = np.stack([ones * scale, scale, base_o, np.ones_like(scale)])
     q_all, q_id = _matrix(queries["of"], dim), queries["asked"].to_numpy()
     top = min(k + 1, len(o))
     out_q, out_n, out_id, out_sim = [], [], [], []
-    for b in _blocks(len(q_all), max(1, min(512, 4_000_000 // max(1, len(o))))):
+    for b in _blocks(len(q_all), max(1, min(512, 64_000 // max(1, len(o))))):
         q = q_all[b]
         rest = q - centre
         turned = rest @ rotation.T
         low = turned.min(axis=1)
         step = np.maximum((turned.max(axis=1) - low) / (2**QUERY_BITS - 1), 1e-12)
         level = np.rint((turned - low[:, None]) / step[:, None]).astype(np.uint8)
-        dot = np.zeros((len(q), len(o)), dtype=np.float32)
-        for j in range(QUERY_BITS):
-            plane = np.packbits((level >> j) & 1, axis=1, bitorder="little").view("<u8").reshape(-1, 1)
-            dot += np.bitwise_count(plane & code).astype(np.float32) * np.float32(2**j)
-        dot = (dot * step[:, None].astype(np.float32) + low[:, None].astype(np.float32) * ones) * 2 - turned.sum(axis=1, keepdims=True).astype(np.float32)
-        guess = dot * (scale / np.float32(math.sqrt(BITS))) + base_o + (q @ centre)[:, None].astype(np.float32)
-        reach = guess + np.linalg.norm(rest, axis=1)[:, None].astype(np.float32) * spread_o + np.float32(2e-6)
-        some = np.argpartition(-guess, top - 1, axis=1)[:, :top] if top < len(o) else np.tile(np.arange(len(o)), (len(q), 1))
+        total = np.zeros((len(q), len(o)), dtype=np.uint16)
+        for bit in reversed(range(QUERY_BITS)):
+            plane = np.packbits((level >> bit) & 1, axis=1, bitorder="little").view("<u8").reshape(-1, 1)
+            total <<= 1
+            total += np.bitwise_count(plane & code)
+        # the estimate is 2 * (step * total + low * ones) - sum, scaled; all but the first term is a product of a few columns
+        own = np.stack([2 * low, -turned.sum(axis=1), np.ones(len(q)), q @ centre], axis=1).astype(np.float32)
+        guess = total * (2 * step[:, None]).astype(np.float32)
+        guess *= scale
+        guess += own @ fixed
+        some = np.argpartition(guess, len(o) - top, axis=1)[:, len(o) - top :] if top < len(o) else np.tile(np.arange(len(o)), (len(q), 1))
         floor = np.round(np.einsum("qd,qtd->qt", q, o[some]), 6).min(axis=1)  # top of them are at least this near
-        reach[np.arange(len(q))[:, None], some] = np.inf
-        row, col = np.nonzero(reach >= floor[:, None].astype(np.float32) - np.float32(1e-6))
+        guess += np.linalg.norm(rest, axis=1)[:, None].astype(np.float32) * spread_o + np.float32(2e-6)
+        guess[np.arange(len(q))[:, None], some] = np.inf
+        row, col = np.nonzero(guess >= floor[:, None].astype(np.float32) - np.float32(1e-6))
         sim = np.empty(len(row))
         for s in _blocks(len(row), 200_000):
             sim[s] = np.einsum("pd,pd->p", q[row[s]], o[col[s]])

@@ -53,17 +53,37 @@ def test_a_very_long_text_with_one_garbled_word(spark):
 
 
 def test_damage_whose_bigrams_are_usual_in_the_corpus_is_still_compared_with_the_other_readings():
+    from collections import Counter
+
     import pandas as pd
 
     from tonalis.llm import garbled as G
 
     bad = wrong(CLEAN.split(" —")[0], "cp1252", "mac_roman")
-    texts = pd.DataFrame({"text": [CLEAN] * 2 + [bad], "source": ["a", "b", "roto"]})
-    pairs = pd.concat(G._count_pairs([pd.concat([texts] * 60)]))
+    seen = Counter((source, t) for source, text in (("a", CLEAN), ("b", CLEAN), ("roto", bad)) for _ in range(60) for t in text.split(" "))
+    rows = pd.DataFrame([(t, n) for (_, t), n in seen.items()], columns=["token", "clean"])
+    pairs = pd.concat(G._count_pairs([rows]))
     cipher = G.Cipher(Language([(chr(a), chr(b), n) for a, b, n in pairs.itertuples(index=False)]))
-    tokens = pd.concat(G._count_tokens([pd.concat([texts] * 60)]))
+    ways = {t: G.weighed(t, cipher.language) for _, t in seen if not t.isascii()}
     for _ in range(G.ROUNDS):
-        cipher.learn(list(pd.concat(G._expected([tokens], cipher)).itertuples(index=False, name=None)))
+        cipher.learn([e for (source, t), n in seen.items() if t in ways for e in cipher.expect(source, ways[t], n)])
     stored = wrong("íntima", "cp1252", "mac_roman")
-    assert cipher.decide(G.cell_of("roto"), stored)[:2] == (True, "íntima")
-    assert cipher.decide(G.cell_of("a"), "íntima")[0] is False
+    assert cipher.decide("roto", stored)[:2] == (True, "íntima")
+    assert cipher.decide("a", "íntima")[0] is False
+
+
+def test_every_source_has_its_own_cipher_however_many_there_are(spark):
+    """900 sources, one of which swaps pages: its damage is restored, and what is correct elsewhere stays."""
+    page = "la canción más íntima según contó después la grabación"
+    broken = [(5000 + k, wrong(page, "cp1252", "mac_roman"), "roto", "") for k in range(30)]
+    got = run(spark, [(2000 + k, page, f"fuente {k}", "") for k in range(900)] + broken)
+    assert set(got) == {i for i, *_ in broken} and {r.texto for r in got.values()} == {page}
+
+
+def test_a_large_source_is_dealt_over_several_tasks(spark, monkeypatch):
+    from tonalis.llm import garbled as G
+
+    extra = [(1001, "la " + wrong("canción más íntima", "utf-8", "cp437"), "s1", ""), (1002, wrong("según contó después", "utf-8", "cp1252"), "s2", "")]
+    whole = {i: r.texto for i, r in run(spark, extra).items()}
+    monkeypatch.setattr(G, "CELL_TOKENS", 7)
+    assert {i: r.texto for i, r in run(spark, extra).items()} == whole and set(whole) == {1001, 1002}

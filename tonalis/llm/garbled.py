@@ -3,21 +3,21 @@
 from __future__ import annotations
 
 import math
+import pickle
 import re
-import zlib
 from collections import Counter, defaultdict
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tonalis.materialise import discard, materialise, spread
 
 #: Code pages that occur as the true or the assumed encoding of a text.
 PAGES = ("cp1252", "cp437", "cp850", "mac_roman", "cp1251", "koi8_r", "cp866")
-#: Sources are told apart by cells of this number, so that what is learned per source has a fixed largest size.
-CELLS = 256
+#: Distinct tokens of a task on average: small sources share one, a large one is dealt over several.
+CELL_TOKENS = 20_000
 #: Rounds of expectation-maximization; log-odds that a swap must win by; strength of the pooled mapping against a source's own.
 ROUNDS, MARGIN, POOL = 3, 6.0, 5.0
 #: The same for a token of a single character, which has little context, and where only signs would come out.
@@ -190,156 +190,194 @@ class Language:
 
 
 class Cipher:
-    """What stored symbols stand for: for each cell of sources a distribution over letters, on top of a pooled one."""
+    """What stored symbols stand for: for each source a distribution over letters, on top of one pooled over all sources."""
 
     def __init__(self, language: Language) -> None:
         self.language = language
-        self.own: dict[tuple[int, str, str], float] = {}
-        self.own_all: dict[tuple[int, str], float] = {}
+        self.own: dict[tuple[str, str, str], float] = {}
+        self.own_all: dict[tuple[str, str], float] = {}
         self.pool: dict[tuple[str, str], float] = {}
         self.pool_all: dict[str, float] = {}
-        self.memo: dict[tuple[int, str], tuple] = {}
-
-    def learn(self, counts: Iterable[tuple[int, str, str, float]]) -> None:
-        """M-step: expected counts of (cell, symbol, letter) become the mapping."""
-        own, own_all, pool, pool_all = defaultdict(float), defaultdict(float), defaultdict(float), defaultdict(float)
-        for cell, symbol, letter, n in counts:
-            own[cell, symbol, letter] += n
-            own_all[cell, symbol] += n
+
+    def learn_pool(self, counts: Iterable[tuple[str, str, float]]) -> None:
+        """M-step of all sources together: expected counts of (symbol, letter)."""
+        pool, pool_all = defaultdict(float), defaultdict(float)
+        for symbol, letter, n in counts:
             pool[symbol, letter] += n
             pool_all[symbol] += n
-        self.own, self.own_all, self.pool, self.pool_all = dict(own), dict(own_all), dict(pool), dict(pool_all)
-        self.memo = {}
-
-    def log_p(self, cell: int, symbol: str, letter: str) -> float:
+        self.pool, self.pool_all = dict(pool), dict(pool_all)
+
+    def learn_own(self, counts: Iterable[tuple[str, str, str, float]]) -> None:
+        """M-step of the sources at hand: expected counts of (source, symbol, letter)."""
+        own, own_all = defaultdict(float), defaultdict(float)
+        for source, symbol, letter, n in counts:
+            own[source, symbol, letter] += n
+            own_all[source, symbol] += n
+        self.own, self.own_all = dict(own), dict(own_all)
+
+    def learn(self, counts: Iterable[tuple[str, str, str, float]]) -> None:
+        counts = list(counts)
+        self.learn_own(counts)
+        self.learn_pool((symbol, letter, n) for _, symbol, letter, n in counts)
+
+    def log_p(self, source: str, symbol: str, letter: str) -> float:
         whole = (self.pool.get((symbol, letter), 0.0) + 0.05 * (0.5 if symbol == letter or len(symbol) > 1 else 0.02)) / (self.pool_all.get(symbol, 0.0) + 0.05)
-        return math.log((self.own.get((cell, symbol, letter), 0.0) + POOL * whole) / (self.own_all.get((cell, symbol), 0.0) + POOL))
+        return math.log((self.own.get((source, symbol, letter), 0.0) + POOL * whole) / (self.own_all.get((source, symbol), 0.0) + POOL))
 
-    def score(self, cell: int, seg: Segments) -> float:
+    def score(self, source: str, way: Way) -> float:
         """A swap is one event, so a reading is as likely as its least likely symbol."""
-        return self.language.word("".join(m for _, m in seg)) + min((self.log_p(cell, s, m) for s, m in seg if s >= "\x80"), default=0.0)
+        return way[0] + min((self.log_p(source, s, m) for s, m in way[1]), default=0.0)
 
-    def expect(self, cell: int, token: str, n: float) -> Iterator[tuple[int, str, str, float]]:
-        """E-step: the expected counts that a token seen ``n`` times gives."""
-        ways = readings(token)
-        scores = [self.score(cell, w) for w in ways]
+    def expect(self, source: str, ways: list[Way], n: float) -> Iterator[tuple[str, str, str, float]]:
+        """E-step: the expected counts that a token with these readings, seen ``n`` times, gives."""
+        scores = [self.score(source, w) for w in ways]
         top = max(scores)
         weight = [math.exp(s - top) for s in scores]
         total = sum(weight)
-        clusters = {s for w in ways[1:] for s, _ in w if len(s) > 1}
+        clusters = {s for w in ways[1:] for s, _ in w[2] if len(s) > 1}
         for k, (way, w) in enumerate(zip(ways, weight)):
             share = n * w / total
             if share < 1e-3:
                 continue
-            for s, m in way:
+            for s, m in way[2]:
                 if s >= "\x80":
-                    yield cell, s, m, share
+                    yield source, s, m, share
                     if len(s) > 1:  # its characters don't stand for themselves here
                         for c in s:
-                            yield cell, c, "", share
+                            yield source, c, "", share
             if k == 0:
                 for s in clusters:  # as many chances to be a cipher symbol that it didn't take
-                    yield cell, s, s, share
+                    yield source, s, s, share
 
-    def decide(self, cell: int, token: str) -> tuple[bool, str, int]:
+    def decide(self, source: str, token: str, ways: list[Way] | None = None) -> tuple[bool, str, int]:
         """(garbled?, restored token, characters lost beyond repair)."""
-        key = cell, token
-        known = self.memo.get(key)
-        if known is None:
-            known = self._decide(cell, token)
-            if len(self.memo) > 200_000:
-                self.memo.clear()
-            self.memo[key] = known
-        return known
-
-    def _decide(self, cell: int, token: str) -> tuple[bool, str, int]:
         if token.isascii():
             return False, token, 0
-        ways = readings(token)
-        scores = [self.score(cell, w) for w in ways]
+        ways = weighed(token, self.language) if ways is None else ways
+        scores = [self.score(source, w) for w in ways]
         best = max(range(len(ways)), key=scores.__getitem__)
         damaged = bool(_CONTROL.search(token))
-        letters = any(s != m and m.isalpha() for s, m in ways[best])
-        need = MARGIN if letters and (len(token) > 1 or token in _OPEN) or any(len(s) > 1 for s, _ in ways[best]) else ALONE
+        way = ways[best][2]
+        letters = any(s != m and m.isalpha() for s, m in way)
+        need = MARGIN if letters and (len(token) > 1 or token in _OPEN) or any(len(s) > 1 for s, _ in way) else ALONE
         if best and (scores[best] - scores[0] > need or damaged):
-            way = ways[best]
             # a single-byte swap is a substitution of characters; in the others a symbol has several
             word = token.translate({ord(s): m for s, m in way}) if all(len(s) == 1 for s, _ in way) else "".join(m for _, m in way)
             return True, word, word.count(LOST)
         return damaged, token, token.count(LOST)
 
 
-def cell_of(source: str | None) -> int:
-    return zlib.crc32((source or "").encode("utf-8", "replace")) % CELLS
+Way = tuple[float, list[tuple[str, str]], Segments]  # (log-likelihood as language, its symbols outside ASCII, the reading)
 
 
-def _count_pairs(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    blanks = re.compile(r"[ \t\r\n]+")
-    for batch in batches:
-        n: Counter = Counter()
-        for text in batch["text"]:
-            text = " " + blanks.sub(" ", _WIDE.sub(WIDE, text)).strip() + " "
-            n.update(zip(text, text[1:]))
-        yield pd.DataFrame([(ord(a), ord(b), c) for (a, b), c in n.items()], columns=["a", "b", "n"])
+def weighed(token: str, language: Language) -> list[Way]:
+    """The readings of a token, each with what the language makes of it: computed once, whatever the rounds."""
+    return [(language.word("".join(m for _, m in seg)), list({(s, m) for s, m in seg if s >= "\x80"}), seg) for seg in readings(token)]
 
 
-def _count_tokens(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _count_pairs(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
         n: Counter = Counter()
-        for text, source in zip(batch["text"], batch["source"]):
-            if not text.isascii():
-                cell = cell_of(source)
-                n.update((cell, t) for t in _TOKEN.findall(text) if not t.isascii())
-        yield pd.DataFrame([(c, t, k) for (c, t), k in n.items()], columns=["cell", "token", "n"])
+        for token, k in zip(batch["token"], batch["clean"].tolist()):
+            text = f" {_WIDE.sub(WIDE, token)} "
+            for pair in zip(text, text[1:]):
+                n[pair] += k
+        yield pd.DataFrame([(ord(a), ord(b), c) for (a, b), c in n.items()], columns=["a", "b", "n"])
 
 
-def _expected(batches: Iterable[pd.DataFrame], cipher: Cipher) -> Iterator[pd.DataFrame]:
+def _weigh(batches: Iterable[pd.DataFrame], language: Language) -> Iterator[pd.DataFrame]:
     for batch in batches:
-        sums: dict[tuple[int, str, str], float] = defaultdict(float)
-        for cell, token, n in zip(batch["cell"].tolist(), batch["token"], batch["n"].tolist()):
-            for c, s, m, e in cipher.expect(cell, token, n):
-                sums[c, s, m] += e
-        yield pd.DataFrame([(*k, v) for k, v in sums.items()], columns=["cell", "symbol", "letter", "n"])
-
-
-def learn(documents: DataFrame) -> Cipher:
-    """The cipher of every source, from all documents (columns ``text`` and ``source``).
-
-    Language bigrams come from the documents without a plain mark of damage; the mapping is learned in ROUNDS rounds over the
-    distinct tokens of each cell of sources. The driver gets the bigram table and the expected counts: their sizes depend
-    on the alphabet (scripts above U+2E80 count as one letter) and on CELLS, not on the number of documents.
-    """
-    spark = documents.sparkSession
-    pairs = documents.filter(~F.col("text").rlike(MARKED)).select("text").mapInPandas(_count_pairs, "a int, b int, n long").groupBy("a", "b").agg(F.sum("n").alias("n"))
-    cipher = Cipher(Language([(chr(r.a), chr(r.b), r.n) for r in pairs.collect()]))
-    tokens = materialise(documents.mapInPandas(_count_tokens, "cell int, token string, n long").groupBy("cell", "token").agg(F.sum("n").alias("n")), "tokens")
-    work = spread(tokens, "token")
-    for _ in range(ROUNDS):
-        sent = spark.sparkContext.broadcast(cipher)
-        counts = work.mapInPandas(lambda it, sent=sent: _expected(it, sent.value), "cell int, symbol string, letter string, n double").groupBy("cell", "symbol", "letter").agg(F.sum("n").alias("n")).filter("n > 0.01")
-        cipher.learn([(r.cell, r.symbol, r.letter, r.n) for r in counts.collect()])
-        cipher.language.memo = {}
-    discard(tokens)
-    return cipher
-
-
-def _apply(batches: Iterable[pd.DataFrame], cipher: Cipher) -> Iterator[pd.DataFrame]:
+        yield batch.assign(ways=[pickle.dumps(weighed(t, language), protocol=5) for t in batch["token"]])
+
+
+def _tokens(docs: DataFrame, *keep: str) -> DataFrame:
+    """The tokens of each document, split where blanks are."""
+    return docs.select(*keep, F.explode(F.split("text", "[ \t\r\n]+")).alias("token")).filter("token <> ''")
+
+
+def _outside_ascii(column: str) -> Column:
+    return F.length(column) < F.octet_length(column)
+
+
+class Learned:
+    """The ciphers of all sources as tables: the weighed tokens in cells, and what each source's symbols stand for."""
+
+    def __init__(self, docs: DataFrame) -> None:
+        """``docs``: text and source (not null). Language bigrams come from the documents without a plain mark of damage."""
+        spark = docs.sparkSession
+        marked = docs.withColumn("clean", (~F.col("text").rlike(MARKED)).cast("int"))
+        counted = materialise(_tokens(marked, "source", "clean").groupBy("source", "token").agg(F.count("*").alias("n"), F.sum("clean").alias("clean")), "tokens")
+        pairs = spread(counted.filter("clean > 0").select("token", "clean"), "token").mapInPandas(_count_pairs, "a int, b int, n long").groupBy("a", "b").agg(F.sum("n").alias("n"))
+        self.cipher = Cipher(Language([(chr(r.a), chr(r.b), r.n) for r in pairs.collect()]))
+        odd = counted.filter(_outside_ascii("token")).select("source", "token", "n")
+        cells = max(1, math.ceil(odd.count() / CELL_TOKENS))
+        # a source with more than a task's tokens is dealt over several: at most as many rows as there are cells
+        self.parts = materialise(odd.groupBy("source").agg(F.ceil(F.count("*") / CELL_TOKENS).cast("int").alias("parts")).filter("parts > 1"), "parts")
+        self.cell = F.pmod(F.xxhash64("source"), F.lit(cells)).cast("int")
+        dealt = odd.join(self.parts, "source", "left").select("source", "token", "n", self.cell.alias("cell"), F.coalesce(F.pmod(F.xxhash64("token"), F.col("parts")).cast("int"), F.lit(0)).alias("part"))
+        language = spark.sparkContext.broadcast(self.cipher.language)
+        self.work = materialise(spread(dealt, "token").mapInPandas(lambda it: _weigh(it, language.value), "source string, token string, n long, cell int, part int, ways binary"), "ways")
+        discard(counted)
+        self.own = materialise(spark.createDataFrame([], "source string, symbol string, letter string, n double"), "own")
+        for _ in range(ROUNDS):
+            self._round()
+
+    def _asked(self, run: Callable[[Cipher, pd.DataFrame], pd.DataFrame], schema: str) -> DataFrame:
+        """``run`` over the tokens of each cell, with the cipher of the sources in it."""
+        pool = self.work.sparkSession.sparkContext.broadcast(self.cipher)
+        own = self.own.join(self.parts, "source", "left").select("source", "symbol", "letter", "n", self.cell.alias("cell"), F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1)).alias("part"))
+        empty = [f.split()[0] for f in schema.split(", ")]
+
+        def cell(tokens: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
+            if not len(tokens):
+                return pd.DataFrame([], columns=empty)
+            cipher = pool.value
+            cipher.learn_own(known[["source", "symbol", "letter", "n"]].itertuples(index=False, name=None))
+            return run(cipher, tokens)
+
+        return self.work.groupBy("cell", "part").cogroup(own.groupBy("cell", "part")).applyInPandas(cell, schema)
+
+    def _round(self) -> None:
+        """One round of expectation-maximization. The driver gets the pooled counts: their number depends on the alphabet (scripts above
+        U+2E80 count as one letter), not on the number of documents or sources."""
+
+        def expected(cipher: Cipher, tokens: pd.DataFrame) -> pd.DataFrame:
+            sums: dict[tuple[str, str, str], float] = defaultdict(float)
+            for source, ways, n in zip(tokens["source"], tokens["ways"], tokens["n"].tolist()):
+                for c, s, m, e in cipher.expect(source, pickle.loads(ways), n):
+                    sums[c, s, m] += e
+            return pd.DataFrame([(*k, v) for k, v in sums.items()], columns=["source", "symbol", "letter", "n"])
+
+        new = materialise(self._asked(expected, "source string, symbol string, letter string, n double").groupBy("source", "symbol", "letter").agg(F.sum("n").alias("n")), "own")
+        discard(self.own)
+        self.own = new
+        self.cipher.learn_pool((r.symbol, r.letter, r.n) for r in new.groupBy("symbol", "letter").agg(F.sum("n").alias("n")).collect())
+
+    def decisions(self) -> DataFrame:
+        """(source, token, word, lost, strong): the garbled tokens of each source. A single character proves nothing by itself: it is
+        restored only beside other garbled words."""
+
+        def decided(cipher: Cipher, tokens: pd.DataFrame) -> pd.DataFrame:
+            out = []
+            for source, token, ways in zip(tokens["source"], tokens["token"], tokens["ways"]):
+                bad, word, lost = cipher.decide(source, token, pickle.loads(ways))
+                if bad:
+                    out.append((source, token, word, lost, len(token) > 1 or token in _OPEN or bool(_CONTROL.match(token))))
+            return pd.DataFrame(out, columns=["source", "token", "word", "lost", "strong"])
+
+        return self._asked(decided, "source string, token string, word string, lost int, strong boolean")
+
+    def close(self) -> None:
+        for table in (self.work, self.own, self.parts):
+            discard(table)
+
+
+def _substitute(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
         out = []
-        for doc, text, source in zip(batch["doc"].tolist(), batch["text"], batch["source"]):
-            if text.isascii():
-                continue
-            cell, changed, lost, swap = cell_of(source), 0, 0, {}
-            for token in set(_TOKEN.findall(text)):
-                if not token.isascii():
-                    bad, word, gone = cipher.decide(cell, token)
-                    if bad:
-                        # a single character proves nothing by itself: it is restored only beside other garbled words
-                        changed += len(token) > 1 or token in _OPEN or bool(_CONTROL.match(token))
-                        lost += gone
-                        swap[token] = word
-            if changed:
-                out.append((doc, _TOKEN.sub(lambda m: swap.get(m.group(), m.group()), text), changed, lost))
+        for doc, text, words in zip(batch["doc"].tolist(), batch["text"], batch["words"]):
+            swap = {w["token"]: w["word"] for w in words}
+            out.append((doc, _TOKEN.sub(lambda m: swap.get(m.group(), m.group()), text), sum(w["strong"] for w in words), sum(w["lost"] for w in words)))
         yield pd.DataFrame(out, columns=["doc", "texto", "palabras", "perdidos"])
 
 
@@ -355,13 +393,20 @@ def restore(documents: DataFrame, *, doc_id: str = "doc_id", text: str = "text",
     on several rows gives one row each time its text is garbled, exact repeats count once; an empty table gives an empty
     result; further columns are ignored.
 
-    Plan: three passes over the texts (bigrams, tokens, application), none of which shuffles text except the last one's result;
-    the rounds run over distinct tokens, counted before the shuffle, so a hot source costs no more than its vocabulary.
+    Plan: one pass over the texts counts tokens per source, all else runs over distinct tokens: each is weighed once, the rounds
+    meet it with its own source's cipher in cells of bounded size, so a hot source costs no more than its vocabulary, and every
+    source has its own cipher however many there are. The garbled tokens join back to the documents as a table; only
+    documents that hold one reach Python.
     """
-    docs = documents.filter(F.col(doc_id).isNotNull() & F.col(text).isNotNull()).select(F.col(doc_id).alias("doc"), F.col(text).alias("text"), F.col(source).alias("source"))
+    docs = documents.filter(F.col(doc_id).isNotNull() & F.col(text).isNotNull()).select(F.col(doc_id).alias("doc"), F.col(text).alias("text"), F.coalesce(F.concat(F.lit("="), F.col(source).cast("string")), F.lit("")).alias("source"))
     docs = spread(docs, "doc")
-    cipher = learn(docs)
-    sent = docs.sparkSession.sparkContext.broadcast(cipher)
+    learned = Learned(docs.select("text", "source"))
+    bad = materialise(learned.decisions(), "garbled")
+    learned.close()
+    odd = docs.filter(_outside_ascii("text")).withColumn("mark", F.xxhash64("text"))
+    held = _tokens(odd, "doc", "mark", "source").filter(_outside_ascii("token")).join(bad, ["source", "token"])
+    # a word counts once, however often the document holds it
+    held = held.groupBy("doc", "mark").agg(F.collect_set(F.struct("token", "word", "lost", "strong")).alias("words")).filter(F.exists("words", lambda w: w["strong"]))
     kind = dict(docs.dtypes)["doc"]
-    found = docs.filter(F.length("text") < F.octet_length("text")).mapInPandas(lambda it: _apply(it, sent.value), f"doc {kind}, texto string, palabras int, perdidos int")
-    return found.distinct().withColumnRenamed("doc", doc_id)
+    found = odd.select("doc", "mark", "text").join(held, ["doc", "mark"]).select("doc", "text", "words")
+    return found.mapInPandas(_substitute, f"doc {kind}, texto string, palabras int, perdidos int").distinct().withColumnRenamed("doc", doc_id)

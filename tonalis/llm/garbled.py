@@ -234,17 +234,16 @@ class Cipher:
         top = max(scores)
         weight = [math.exp(s - top) for s in scores]
         total = sum(weight)
-        clusters = {s for w in ways[1:] for s, _ in w[2] if len(s) > 1}
+        clusters = {s for w in ways[1:] for s, _ in w[1] if len(s) > 1}
         for k, (way, w) in enumerate(zip(ways, weight)):
             share = n * w / total
             if share < 1e-3:
                 continue
-            for s, m in way[2]:
-                if s >= "\x80":
-                    yield source, s, m, share
-                    if len(s) > 1:  # its characters don't stand for themselves here
-                        for c in s:
-                            yield source, c, "", share
+            for s, m in way[1]:
+                yield source, s, m, share
+                if len(s) > 1:  # its characters don't stand for themselves here
+                    for c in s:
+                        yield source, c, "", share
             if k == 0:
                 for s in clusters:  # as many chances to be a cipher symbol that it didn't take
                     yield source, s, s, share
@@ -257,22 +256,24 @@ class Cipher:
         scores = [self.score(source, w) for w in ways]
         best = max(range(len(ways)), key=scores.__getitem__)
         damaged = bool(_CONTROL.search(token))
-        way = ways[best][2]
+        if not best:
+            return damaged, token, token.count(LOST)
+        way = readings(token)[best]
         letters = any(s != m and m.isalpha() for s, m in way)
         need = MARGIN if letters and (len(token) > 1 or token in _OPEN) or any(len(s) > 1 for s, _ in way) else ALONE
-        if best and (scores[best] - scores[0] > need or damaged):
+        if scores[best] - scores[0] > need or damaged:
             # a single-byte swap is a substitution of characters; in the others a symbol has several
             word = token.translate({ord(s): m for s, m in way}) if all(len(s) == 1 for s, _ in way) else "".join(m for _, m in way)
             return True, word, word.count(LOST)
         return damaged, token, token.count(LOST)
 
 
-Way = tuple[float, list[tuple[str, str]], Segments]  # (log-likelihood as language, its symbols outside ASCII, the reading)
+Way = tuple[float, list[tuple[str, str]]]  # (log-likelihood as language, the symbols outside ASCII with what they mean) of a reading
 
 
 def weighed(token: str, language: Language) -> list[Way]:
     """The readings of a token, each with what the language makes of it: computed once, whatever the rounds."""
-    return [(language.word("".join(m for _, m in seg)), list({(s, m) for s, m in seg if s >= "\x80"}), seg) for seg in readings(token)]
+    return [(language.word("".join(m for _, m in seg)), [(s, m) for s, m in seg if s >= "\x80"]) for seg in readings(token)]
 
 
 def _count_pairs(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -400,7 +400,6 @@ def restore(documents: DataFrame, *, doc_id: str = "doc_id", text: str = "text",
     documents that hold one reach Python.
     """
     docs = documents.filter(F.col(doc_id).isNotNull() & F.col(text).isNotNull()).select(F.col(doc_id).alias("doc"), F.col(text).alias("text"), F.coalesce(F.concat(F.lit("="), F.col(source).cast("string")), F.lit("")).alias("source"))
-    docs = spread(docs, "doc")
     learned = Learned(docs.select("text", "source"))
     bad = materialise(learned.decisions(), "garbled")
     learned.close()

@@ -259,3 +259,64 @@ def test_digests_of_files_equal_hashlib(spark, tmp_path):
     for n, b in body.items():
         d = lambda x: hashlib.sha256(x).hexdigest()
         assert (got[n].entero, got[n].cabeza, got[n].extremos) == (d(b), d(b[:64]), d(b if len(b) <= 2000 else b[:1000] + b[-1000:]))
+
+
+def concepts():
+    from tonalis.operators.intents import Concept
+
+    return (
+        Concept("calma", ("tranquilo", "calma"), {"calmness": 0.8, "energy": -0.4}, role="priority", genres=("folk",), boosts=("noche",), opposites=("fiesta",)),
+        Concept("noche", ("noche", "de noche"), {"night_score": 1.0, "calmness": 0.2}, 0.5, genres=("ambient", "jazz")),
+        Concept("fiesta", ("fiesta",), {"energy": 1.0}, 1.0, opposites=("calma",)),
+        Concept("metal", ("metal",), {"aggressiveness": 0.6}, 1.0, genres=("metal",)),
+        Concept("muy", ("muy",), {}, role="strong"),
+        Concept("poco", ("un poco",), {}, role="weak"),
+    )
+
+
+def test_phrases_with_negations_degrees_boosts_and_contradictions():
+    from tonalis.operators.intents import parse
+
+    x = parse("algo muy tranquilo sin metal", concepts())
+    assert x.axes == pytest.approx({"calmness": 1.28, "energy": -0.64, "aggressiveness": -0.6}) and x.focus == ["calma"] and x.excluded == ["metal"] and x.excluded_genres == ["metal"]
+    assert parse("sin fiesta pero metal", concepts()).axes == pytest.approx({"aggressiveness": 0.6, "energy": -1.0})
+    assert parse("un poco fiesta", concepts()).axes == pytest.approx({"energy": 0.55})
+    x = parse("tranquilo de noche", concepts())  # calma supports noche: the shared axis is raised
+    assert x.axes == pytest.approx({"calmness": (0.8 + 0.1) * 1.25, "energy": -0.4, "night_score": 0.5}) and x.genres == pytest.approx({"folk": 1.0, "ambient": 0.25, "jazz": 0.25})
+    x = parse("tranquilo o fiesta", concepts())  # of equal weights the later one stays
+    assert x.contradictions == ["calma|fiesta"] and x.axes == pytest.approx({"energy": 1.0})
+    assert parse("", concepts()).axes == {} and parse("nada conocido", concepts()).vector == [0.0] * len(parse("", concepts()).vector)
+
+
+def test_tracks_are_scored_and_excluded(spark):
+    from tonalis.operators import intents as I
+
+    x = I.parse("tranquilo sin metal", concepts())
+    feats = ", ".join(f"{f} double" for f in I.FEATURE_AXES)
+    rows = [(1, "a", "b", "metal", ["x"], {"calmness": 1.0}, *[None] * len(I.FEATURE_AXES)), (2, "a", "b", None, ["metal"], {"calmness": 1.0}, *[0.5] * len(I.FEATURE_AXES)), (3, "calma", "b", "folk", None, {"calmness": float("nan")}, *[float("nan")] * len(I.FEATURE_AXES))]
+    df = spark.createDataFrame(rows, f"id long, titulo string, artista_nombre string, genero string, vibe_tags array<string>, valores map<string,double>, {feats}")
+    scored = df.select("*", I.track_score(x, concepts()).alias("puntaje"))
+    full = {r.id: r.puntaje for r in scored.collect()}
+    left = {r.id: r.puntaje for r in I.without_excluded(scored, x, concepts()).collect()}
+    assert set(left) == {2, 3} and left[2] == pytest.approx(full[2] / 2) and left[3] == full[3] > 0
+    got = I.intents(spark.createDataFrame([(1, "tranquilo"), (2, None)], "id long, t string"), concepts(), "id", "t")
+    assert {r.id: dict(r.ejes) for r in got.collect()} == {1: {"calmness": 0.8, "energy": -0.4}, 2: {}}
+
+
+def test_bm25_prefers_the_title_and_rare_words(spark):
+    from tonalis.operators.search import match_tokens, search_bm25, token_index
+
+    t = tracks(spark, [dict(id=1, titulo="luna llena", artista_nombre="sol"), dict(id=2, titulo="mar", artista_nombre="luna"), dict(id=3, titulo="sol"), dict(id=4, titulo="luna", estado="revision"), *[dict(id=k, titulo="otra") for k in range(5, 15)]])
+    assert [r.id for r in search_bm25(t, "lun").collect()] == [1, 2] and search_bm25(t, "").count() == 0
+    assert [r.id for r in match_tokens(token_index(t), "lun so").collect()] == [1] and match_tokens(token_index(t), "zz").count() == 0
+
+
+def test_bounded_ratio_equals_the_sequence_ratio_from_its_limit_on():
+    from difflib import SequenceMatcher
+    from itertools import product
+
+    from tonalis.operators.search import bounded_ratio
+
+    for a, b in product(("cancion", "canson", "", "mar azul", "luz"), repeat=2):
+        r = SequenceMatcher(None, a, b).ratio()
+        assert bounded_ratio(a, b, 0.8) == (r if r >= 0.8 and (a or b) else 0.0)

@@ -12,6 +12,7 @@ from tonalis.operators.library import number_rows
 from tonalis.operators.listening import membership
 from tonalis.plans.features import known_sql
 from tonalis.plans.registry import Registry
+from tonalis.plans.text import cmp_sql
 from tonalis.tables import Tables
 
 query = Registry()
@@ -129,10 +130,14 @@ def session_plans(t: Tables) -> DataFrame:
     return G.plan_sessions(s.join(p, "pista_id"))
 
 
-@query()
+_ALIASES = [("noche", "noche"), ("noche", "de noche"), ("noche", "night"), ("manejar", "manejar"), ("manejar", "para manejar"), ("piano", "piano"), ("tranquilo", "algo tranquilo"), ("tranquilo", "tranquilo"), ("fiesta", "fiesta"), ("entrenar", "entrenar"), ("cena", "cenar")]
+_CONCEPTS = f"""c(concepto, alias) AS (VALUES {", ".join(map(str, _ALIASES))}), x AS (SELECT id, ' ' || coalesce({cmp_sql("prompt_original")}, '') || ' ' AS t FROM dj_sesiones), k AS (SELECT DISTINCT id, concepto FROM x JOIN c ON contains(t, ' ' || alias || ' '))"""
+
+
+@query(f"WITH {_CONCEPTS} SELECT * FROM k")
 def session_concepts(t: Tables) -> DataFrame:
     """Concepts in the prompts of the sessions, from a small table of aliases."""
-    table = [("noche", "noche"), ("noche", "de noche"), ("noche", "night"), ("manejar", "manejar"), ("manejar", "para manejar"), ("piano", "piano"), ("tranquilo", "algo tranquilo"), ("tranquilo", "tranquilo"), ("fiesta", "fiesta"), ("entrenar", "entrenar"), ("cena", "cenar")]
+    table = _ALIASES
     texts = t.dj_sesiones.select("id", compare_form(F.col("prompt_original")).alias("texto"))
     return G.detect_concepts(texts, t.spark.createDataFrame(table, "concepto string, alias string"), "id", "texto")
 
@@ -206,19 +211,25 @@ def session_events(t: Tables) -> DataFrame:
     return t.events.filter("user_id = 7").select("event_id", F.from_json("props", "k int")["k"].alias("k"), "ts").orderBy("ts", "event_id")
 
 
-@query()
+_AXES = [("noche", "night_score", 0.8), ("noche", "darkness", 0.4), ("tranquilo", "calmness", 0.7), ("tranquilo", "energy", -0.4), ("manejar", "focus_score", 0.5), ("manejar", "energy", 0.2)]
+
+
+@query(f"WITH {_CONCEPTS}, a(concepto, eje, peso) AS (VALUES {', '.join(map(str, _AXES))}) SELECT id, eje, round(sum(peso)::DOUBLE, 6) AS peso FROM k JOIN a USING (concepto) GROUP BY 1, 2")
 def session_axes(t: Tables) -> DataFrame:
     """The axes that the concepts of every prompt ask for."""
     from tonalis.operators.features import concept_axes
 
-    table = t.spark.createDataFrame([("noche", "night_score", 0.8), ("noche", "darkness", 0.4), ("tranquilo", "calmness", 0.7), ("tranquilo", "energy", -0.4), ("manejar", "focus_score", 0.5)], "concepto string, eje string, peso double")
+    table = t.spark.createDataFrame(_AXES, "concepto string, eje string, peso double")
     return concept_axes(session_concepts(t), table, "id")
 
 
-@query()
+_OPPOSITES = [("fiesta", "tranquilo"), ("entrenar", "tranquilo"), ("fiesta", "manejar"), ("cena", "fiesta"), ("noche", "piano")]
+
+
+@query(f"WITH {_CONCEPTS}, o(a, b) AS (VALUES {', '.join(map(str, _OPPOSITES))}) SELECT k.id, a, b FROM k JOIN o ON o.a = k.concepto JOIN k l ON l.id = k.id AND l.concepto = o.b")
 def session_contradictions(t: Tables) -> DataFrame:
     """Prompts that ask for opposite things."""
     from tonalis.operators.features import contradictions
 
-    pairs = t.spark.createDataFrame([("fiesta", "tranquilo"), ("entrenar", "tranquilo")], "a string, b string")
+    pairs = t.spark.createDataFrame(_OPPOSITES, "a string, b string")
     return contradictions(session_concepts(t), pairs, "id")

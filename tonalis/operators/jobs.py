@@ -63,3 +63,27 @@ def mixed_mean(recent: Column, overall: Column) -> Column:
 def attempts(events: DataFrame, key: str, state: str, start: str) -> DataFrame:
     """(key, intentos, ultimo): starts of each job and its last state, folded from its events."""
     return events.groupBy(key).agg(F.count_if(F.col(state) == start).alias("intentos"), F.max_by(state, F.struct("ts", "event_id")).alias("ultimo"))
+
+
+def smoothed_rest(steps: DataFrame, run: str, order: str, elapsed: str, total: str, share: float = 0.25) -> DataFrame:
+    """(run, hechos, resto): the seconds that a run still needs, from the exponentially smoothed mean time of an item after each step.
+
+    ``steps``: one row each time an item is done, ``elapsed`` seconds after the start. Unknown (null) before 3 seconds or 2 items, or when all is done. The
+    fold is a weighted sum (the newest has ``share``, each older one what is left), so a run is aggregated and never collected.
+    """
+    numbered = number_rows(steps, [run], [F.asc(order), F.asc(elapsed)], "_k")
+    usable = numbered.filter((F.col(elapsed) >= 3) & (F.col("_k") >= 2)).withColumn("_v", F.col(elapsed) / F.col("_k"))
+    done = numbered.groupBy(run).agg(F.max("_k").alias("hechos"), F.max(total).alias("_t"))
+    first = usable.groupBy(run).agg(F.min("_k").alias("_f"))  # time only grows, so the usable steps are the last ones
+    ranked = usable.join(done.select(run, "hechos"), run).join(first, run)
+    weight = F.pow(F.lit(1 - share), F.col("hechos") - F.col("_k")) * F.when(F.col("_k") == F.col("_f"), 1.0).otherwise(share)
+    mean = ranked.groupBy(run).agg(F.sum(F.col("_v") * weight).alias("_m"))
+    rest = F.when(F.col("_t") > F.col("hechos"), F.greatest(F.lit(1), F.round(F.col("_m") * (F.col("_t") - F.col("hechos"))).cast("int")))
+    return done.join(mean, run, "left").select(run, F.col("hechos").cast("int").alias("hechos"), rest.alias("resto"))
+
+
+def queue_rest(done: Column, total: Column, elapsed: Column, share_of_job: Column, job_elapsed: Column) -> Column:
+    """The seconds that a queue still needs: from the mean of finished jobs, else from the progress of the running one (over 5 %), else unknown."""
+    left = F.greatest(F.lit(0), total - done)
+    one = F.greatest(F.lit(0.001), job_elapsed) / share_of_job
+    return F.when((done > 0) & (elapsed > 0), F.greatest(F.lit(0.001), elapsed) / done * left).when((share_of_job > 0.05) & (job_elapsed > 0) & (left > 0), one * (1 - share_of_job) + one * F.greatest(F.lit(0), left - 1))

@@ -255,3 +255,11 @@ def refine_order(steps: DataFrame, style: str = "smooth", rounds: int = 8, gain:
 def speed_class(factor: Column) -> Column:
     """Whether a machine is fast enough, by its real-time factor."""
     return F.when(factor <= 1.5, "alto").when(factor <= 5, "medio").otherwise("bajo")
+
+
+def volumes(technique: Column, progress: Column) -> Column:
+    """struct(sale, entra): the volumes of the outgoing and the incoming track as a transition advances from 0 to 1."""
+    p = F.least(F.lit(1.0), F.greatest(F.lit(0.0), progress))
+    out = F.when(technique == "hard_cut", F.when(p < 0.5, 1.0).otherwise(0.0)).when(technique == "energy_blend", F.sqrt(1 - p)).when(technique == "harmonic_mix", F.greatest(F.lit(0.0), 1 - p * 0.6)).otherwise(1 - p)
+    come = F.when(technique == "hard_cut", F.when(p < 0.5, 0.0).otherwise(1.0)).when(technique == "energy_blend", F.sqrt(p)).when(technique == "harmonic_mix", F.least(F.lit(1.0), 0.4 + p * 0.6)).otherwise(p)
+    return F.struct(out.alias("sale"), come.alias("entra"))

@@ -65,3 +65,18 @@ def sample_round(candidates: DataFrame, seen: DataFrame, key: str, n: int, seed:
 def fragment_start(duration: Column) -> Column:
     """Where a preview starts: at the beginning of short tracks, else at 30 %."""
     return F.when(duration <= 60, 0.0).otherwise(duration * 0.30)
+
+
+def never_pool(tracks: DataFrame, history: DataFrame, most: int = 50) -> DataFrame:
+    """Library tracks without a play and with a counter of 0; if there is none, those played at most twice."""
+    heard = history.filter("pista_id is not null").select(F.col("pista_id").alias("id")).distinct()
+    fresh = tracks.filter(F.coalesce("veces_reproducida", F.lit(0)) == 0).join(heard, "id", "left_anti")
+    none = in_library(fresh).agg(F.count("*") == 0).scalar()
+    relaxed = tracks.filter((F.coalesce("veces_reproducida", F.lit(0)) <= 2) & none)
+    return pool(fresh.select("id", "titulo", "estado").unionByName(relaxed.select("id", "titulo", "estado")), F.lit(True), most)
+
+
+def lacking(rows: DataFrame, key: str, needed: dict[str, str]) -> DataFrame:
+    """(key, faltan): the names of the columns (name -> column) that are null in each row; complete rows are left out."""
+    names = F.array_compact(F.array(*[F.when(F.col(c).isNull(), F.lit(n)) for n, c in needed.items()]))
+    return rows.select(key, names.alias("faltan")).filter(F.size("faltan") > 0)

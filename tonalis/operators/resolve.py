@@ -169,3 +169,44 @@ def folder_of(kind: Column, title: Column, album: Column, exact: bool = False) -
     k = F.lower(F.trim(F.coalesce(kind, F.lit(""))))
     like = similarity(strip_version(title), strip_version(album), exact)
     return F.when(k == "album", "albumes").when(k.isin("single", "ep"), "singles_y_ep").when(k != "", "otros").when(F.coalesce(album, F.lit("")) == "", "otros").when(like >= 0.75, "singles_y_ep").otherwise("albumes")
+
+
+def fused(rows: DataFrame, exact: bool = False) -> DataFrame:
+    """(id, titulo, artista, fuente_titulo, fuente_artista, isrc, confianza): local tags completed and confirmed by two other sources.
+
+    ``rows``: id, titulo, artista_nombre, isrc; x_titulo, x_artista, x_isrc of a source that names the recording (null if it does not); huella, the
+    score of one that only recognises it. A local text that is too short for a comparison gives way; a code from outside always counts.
+    Confidence: with a code 0.30, else 0.15 for each text that agrees and 0.10 for each that was missing (0.35 at most), plus 0.25, 0.15 or 0.05 by the score.
+    """
+    c = F.col
+    titles, artists = (compare_form(F.coalesce(c(x), F.lit(""))) for x in ("titulo", "artista_nombre"))
+    x_title, x_artist = (compare_form(F.coalesce(c(x), F.lit(""))) for x in ("x_titulo", "x_artista"))
+    df = rows.withColumns({"_t": titles, "_a": artists, "_xt": x_title, "_xa": x_artist})
+    no_title, no_artist = F.length("_t") < 1, F.length("_a") < 2
+    df = df.withColumns({"_nt": no_title & (c("_xt") != ""), "_na": no_artist & (c("_xa") != "")})
+    ft, fa = F.when(c("_nt"), c("_xt")).otherwise(c("_t")), F.when(c("_na"), c("_xa")).otherwise(c("_a"))
+    code = F.coalesce(isrc_code(c("x_isrc")), isrc_code(c("isrc")))
+    named = (c("_xt") != "") | (c("_xa") != "")
+    agree = lambda a, b: F.when((a != "") & (b != ""), F.when(similarity(a, b, exact) >= 0.75, 0.15).otherwise(0.0)).otherwise(0.0)
+    told = F.least(F.lit(0.35), agree(ft, c("_xt")) + agree(fa, c("_xa")) + F.when((ft == "") & (c("_xt") != ""), 0.10).otherwise(0.0) + F.when((fa == "") & (c("_xa") != ""), 0.10).otherwise(0.0))
+    first = F.when(named, F.when(code.isNotNull(), 0.30).otherwise(told)).otherwise(0.0)
+    heard = F.when(c("huella") >= 0.90, 0.25).when(c("huella") >= 0.75, 0.15).when(c("huella").isNotNull(), 0.05).otherwise(0.0)
+    source = lambda x: F.when(x, "externa").otherwise("local")
+    return df.select(
+        "id", F.when(c("_nt"), c("x_titulo")).otherwise(c("titulo")).alias("titulo"), F.when(c("_na"), c("x_artista")).otherwise(c("artista_nombre")).alias("artista"), source(c("_nt")).alias("fuente_titulo"),
+        source(c("_na")).alias("fuente_artista"), code.alias("isrc"), F.round(F.least(F.lit(1.0), first + heard), 4).alias("confianza"),
+    )
+
+
+def hint_evidence(title: Column, artist: Column, seconds_apart: Column, same_code: Column) -> Column:
+    """How far a hint from a third source supports a record: title, artist, length and code."""
+    length = F.when(seconds_apart <= 3, 1.0).when(seconds_apart <= 8, 0.8).when(seconds_apart.isNotNull(), 0.35).otherwise(0.5)
+    return F.bround(title * 0.40 + artist * 0.35 + length * 0.15 + F.coalesce(same_code.cast("double"), F.lit(0.0)) * 0.10, 4)
+
+
+def third_look(evidence: DataFrame, hints: DataFrame) -> DataFrame:
+    """(id, c_id, evidencia, brecha): records promoted on a third look: evidence of 0.90 and 0.14 ahead, a hard sign, and a hint of 0.80 or more.
+
+    ``evidence`` as for :func:`promoted`; ``hints``: id, pista.
+    """
+    return promoted(evidence, 0.90, 0.14).join(hints.filter("pista >= 0.8").select("id"), "id", "left_semi")

@@ -134,3 +134,52 @@ def catalogue(lists: dict[str, DataFrame], least: dict[str, int]) -> DataFrame:
         one = df.agg(F.count("*").alias("n")).select(F.lit(name).alias("regla"), "n", (F.col("n") >= least.get(name, 1)).alias("basta"))
         out = one if out is None else out.unionByName(one)
     return out
+
+
+def mood_lists(features: DataFrame, moods: dict[str, dict[str, float]], least: float = 0.35, per: int = 30) -> DataFrame:
+    """(animo, puesto, id, puntaje): the best tracks of every mood (weights of intents), all moods in one scan and one group limit."""
+    from tonalis.operators.features import weighted_intents
+
+    each = F.array(*[F.struct(F.lit(k).alias("animo"), F.round(weighted_intents(w), 6).alias("puntaje")) for k, w in moods.items()])
+    rows = features.select("id", F.explode(each).alias("m")).select("id", "m.*").filter(F.col("puntaje") >= least)
+    return top_by_group(rows, "animo", [F.desc("puntaje"), F.asc("id")], per, "puesto").select("animo", "puesto", "id", "puntaje")
+
+
+def dispatched(rules: DataFrame, lists: dict[str, DataFrame]) -> DataFrame:
+    """(regla_id, id): for each rule, a JSON object with ``regla`` and perhaps ``limite``, the tracks of the list that it names; unknown or broken rules give none.
+
+    ``lists`` maps a name to ids with their ``puesto``. The lists have fixed sizes, the rules are joined by name.
+    """
+    spec = rules.select("regla_id", F.from_json("regla_json", "regla string, limite int").alias("r")).select("regla_id", "r.regla", F.coalesce("r.limite", F.lit(CAP)).alias("limite"))
+    all_lists = None
+    for name, df in lists.items():
+        one = df.select(F.lit(name).alias("regla"), "id", "puesto")
+        all_lists = one if all_lists is None else all_lists.unionByName(one)
+    return spec.join(all_lists, "regla").filter(F.col("puesto") <= F.col("limite")).select("regla_id", "id")
+
+
+# The label of each kind of list.
+LABELS = {
+    "favoritos": "Me gusta", "usuario": "Manual", "this_is": "This is...", "mood": "Inteligente", "top_canciones": "Top", "top_artistas": "Mix", "top_albumes": "Mix", "album_mix": "Mix", "artist_mix": "Mix",
+    "recientes": "Para ti", "descubrimiento_local": "Para ti",
+}
+
+
+def list_class(kind: Column, tipo: Column, origin: Column) -> Column:
+    """struct(categoria, etiqueta) of a playlist by its kind, type and origin, first rule first."""
+    made = (tipo == "automatica") | (origin == "generado")
+    category = F.when(kind == "favoritos", "me_gusta").when(kind == "this_is", "this_is").when((tipo == "manual") & (origin == "usuario"), "creada").when(made, "inteligente").when(tipo == "sistema", "sistema").otherwise("creada")
+    known = F.element_at(F.create_map(*[F.lit(x) for p in LABELS.items() for x in p]), kind)
+    label = F.coalesce(known, F.when(made, "Para ti").when(tipo == "sistema", "Sistema").otherwise("Manual"))
+    return F.struct(category.alias("categoria"), label.alias("etiqueta"))
+
+
+def picture_hash(grey: Column, red: Column, green: Column, blue: Column) -> Column:
+    """struct(forma, color): the perceptual hash of a picture: a bit for each of 64 grey values, set from their mean on, and its mean colour in 12 bits.
+
+    ``grey`` is an array of 64 numbers, the colours are 0 to 255.
+    """
+    mean = F.aggregate(grey, F.lit(0.0), lambda s, x: s + x) / F.greatest(F.lit(1), F.size(grey))
+    shape = F.aggregate(grey, F.lit(0).cast("bigint"), lambda s, x: F.shiftleft(s, 1).bitwiseOR(F.when(x >= mean, F.lit(1).cast("bigint")).otherwise(F.lit(0).cast("bigint"))))
+    part = lambda c: F.floor(c / 16).cast("int")
+    return F.struct(shape.alias("forma"), (F.shiftleft(part(red), 8) + F.shiftleft(part(green), 4) + part(blue)).alias("color"))

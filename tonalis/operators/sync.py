@@ -85,3 +85,33 @@ def active_since(events: DataFrame, who: str, time: str, days: int) -> DataFrame
     """Who was seen in the last ``days`` days before the newest event."""
     last = events.agg(F.max(time)).scalar()
     return events.filter(F.col(time) >= last - F.expr(f"INTERVAL '{days}' DAY")).groupBy(who).agg(F.max(time).alias("visto"), F.count("*").alias("n"))
+
+
+def playlist_closure(tracks: DataFrame, lists: DataFrame, members: DataFrame, chosen: list[int]) -> DataFrame:
+    """(entidad, entidad_id): the chosen playlists, their tracks, and the albums and artists of these. ``members``: lista_id, pista_id."""
+    ids = members.filter(F.col("lista_id").isin(chosen)).select(F.col("pista_id").alias("id")).distinct()
+    own = tracks.join(ids, "id", "left_semi").select("id", "album_id", "artista_id")
+    named = F.array(*[F.struct(F.lit(e).alias("entidad"), F.col(c).alias("entidad_id")) for e, c in (("pista", "id"), ("album", "album_id"), ("artista", "artista_id"))])
+    things = own.select(F.explode(named).alias("x")).select("x.*").filter("entidad_id is not null")
+    return things.unionByName(lists.filter(F.col("id").isin(chosen)).select(F.lit("lista").alias("entidad"), F.col("id").alias("entidad_id"))).distinct()
+
+
+def manifest(log: DataFrame, since: int, newest: int) -> DataFrame:
+    """(entidad, n, ultima, version_actual, recientes): what changed after a version, per entity, with its ``newest`` newest ids.
+
+    ``version_actual`` is the last version of the whole log. Only the newest ids are ranked (group limit), no list of all is made.
+    """
+    changed = delta(log, "version", since)
+    rank = F.row_number().over(Window.partitionBy("entidad").orderBy(F.desc("version"), "entidad_id"))
+    few = changed.withColumn("_k", rank).filter(F.col("_k") <= newest).groupBy("entidad").agg(F.transform(F.array_sort(F.collect_list(F.struct("_k", "entidad_id"))), lambda s: s["entidad_id"]).alias("recientes"))
+    per = changed.groupBy("entidad").agg(F.count("*").alias("n"), F.max("version").alias("ultima"))
+    now = log.agg(F.max("version")).scalar()
+    return per.join(few, "entidad").select("entidad", "n", "ultima", now.alias("version_actual"), "recientes")
+
+
+def toggled(rows: DataFrame, chosen: DataFrame, flag: str) -> DataFrame:
+    """The rows (id, ``flag`` of 0 or 1, version) with the flag of the chosen ids switched and new versions after the last one, in the order of the ids."""
+    last = rows.agg(F.max("version")).scalar()
+    new = stamp(chosen.select("id").distinct(), [F.asc("id")], 0).select("id", F.col("version").alias("_k"))
+    j = rows.join(new, "id", "left")
+    return j.select("id", F.when(F.col("_k").isNull(), F.col(flag)).otherwise(1 - F.col(flag)).alias(flag), F.when(F.col("_k").isNull(), F.col("version")).otherwise(last + F.col("_k")).alias("version"))

@@ -161,3 +161,26 @@ def unique_names(t: Tables) -> DataFrame:
     """A free name for a copy of every album."""
     names = t.albums.select(F.col("titulo").alias("nombre")).distinct()
     return L.free_names(names, names).select(F.col("nombre").alias("titulo"), "libre")
+
+
+@query("""WITH u AS (SELECT pista_id, arg_max(titulo_snap, (reproducido_en, id)) AS titulo_visto, max(reproducido_en) AS ultima FROM (SELECT DISTINCT id, pista_id, titulo_snap, reproducido_en FROM historial) WHERE pista_id IS NOT NULL GROUP BY 1),
+v AS (SELECT pista_id, arg_max(sesion_id, (registrado_en, sesion_id)) AS ultima_sesion FROM score_detalle GROUP BY 1) SELECT p.id, p.titulo, u.ultima, v.ultima_sesion FROM pistas p LEFT JOIN u ON u.pista_id = p.id LEFT JOIN v ON v.pista_id = p.id WHERE p.estado = 'biblioteca' ORDER BY u.ultima DESC NULLS LAST, p.id LIMIT 100""")
+def tracks_latest(t: Tables) -> DataFrame:
+    """A page of tracks, each with its latest play and the last session that scored it: one aggregate a table instead of a subquery a row."""
+    u = t.historial.filter("pista_id is not null").groupBy(F.col("pista_id").alias("id")).agg(F.max("reproducido_en").alias("ultima"))
+    v = t.score_detalle.groupBy(F.col("pista_id").alias("id")).agg(F.max_by("sesion_id", F.struct("registrado_en", "sesion_id")).alias("ultima_sesion"))
+    return L.in_library(t.pistas).select("id", "titulo").join(u, "id", "left").join(v, "id", "left").orderBy(F.desc_nulls_last("ultima"), "id").limit(100)
+
+
+@query("""WITH c AS (SELECT CAST(id AS VARCHAR) AS clave, energy FROM pista_candidata) SELECT p.id, c.energy FROM pistas p JOIN c ON c.clave = CAST(p.id AS VARCHAR) WHERE c.energy IS NOT NULL AND NOT isnan(c.energy)""")
+def tracks_by_text_id(t: Tables) -> DataFrame:
+    """A join of numbers with ids kept as text: the text is cast once, so the join is on numbers; what is no number joins nothing."""
+    c = t.pista_candidata.select(F.col("id").cast("string").alias("clave"), "energy").filter("energy is not null and not isnan(energy)")
+    return t.pistas.select("id").join(c.select(F.col("clave").try_cast("bigint").alias("id"), "energy"), "id")
+
+
+@query("""SELECT artista_id, arg_max(doc_id, (creado_en, doc_id)) AS doc_id, max(creado_en) AS creado_en, count(*) AS n FROM documents WHERE artista_id IS NOT NULL AND tipo = 'biografia' GROUP BY 1""")
+def latest_biography(t: Tables) -> DataFrame:
+    """The latest document of a kind for each entity."""
+    d = t.documents.filter("artista_id is not null and tipo = 'biografia'")
+    return d.groupBy("artista_id").agg(F.max_by("doc_id", F.struct("creado_en", "doc_id")).alias("doc_id"), F.max("creado_en").alias("creado_en"), F.count("*").alias("n"))

@@ -233,3 +233,12 @@ def session_contradictions(t: Tables) -> DataFrame:
 
     pairs = t.spark.createDataFrame(_OPPOSITES, "a string, b string")
     return contradictions(session_concepts(t), pairs, "id")
+
+
+@query("""WITH x AS (SELECT id, least(1.0, greatest(0.0, energy)) AS p, CASE id % 4 WHEN 0 THEN 'hard_cut' WHEN 1 THEN 'energy_blend' WHEN 2 THEN 'harmonic_mix' ELSE 'filter_sweep' END AS k FROM pista_candidata WHERE energy IS NOT NULL AND NOT isnan(energy))
+SELECT id, round(CASE k WHEN 'hard_cut' THEN CASE WHEN p < 0.5 THEN 1.0 ELSE 0.0 END WHEN 'energy_blend' THEN sqrt(1 - p) WHEN 'harmonic_mix' THEN greatest(0.0, 1 - p * 0.6) ELSE 1 - p END, 6) AS sale, round(CASE k WHEN 'hard_cut' THEN CASE WHEN p < 0.5 THEN 0.0 ELSE 1.0 END WHEN 'energy_blend' THEN sqrt(p) WHEN 'harmonic_mix' THEN least(1.0, 0.4 + p * 0.6) ELSE p END, 6) AS entra FROM x""")
+def mix_volumes(t: Tables) -> DataFrame:
+    """Volume curves of four techniques, here at points taken from a measured column."""
+    rows = t.pista_candidata.filter("energy is not null and not isnan(energy)")
+    kind = F.element_at(F.array(*[F.lit(x) for x in ("hard_cut", "energy_blend", "harmonic_mix", "filter_sweep")]), (F.col("id") % 4 + 1).cast("int"))
+    return rows.select("id", G.volumes(kind, F.col("energy")).alias("v")).select("id", F.round("v.sale", 6).alias("sale"), F.round("v.entra", 6).alias("entra"))

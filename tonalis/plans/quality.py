@@ -110,3 +110,39 @@ def pool_round(t: Tables) -> DataFrame:
 @query("SELECT id, round(CASE WHEN duracion_seg <= 60 THEN 0.0 ELSE duracion_seg * 0.3 END, 4) AS inicio FROM pistas WHERE duracion_seg IS NOT NULL")
 def pool_fragments(t: Tables) -> DataFrame:
     return t.pistas.filter("duracion_seg is not null").select("id", F.round(A.fragment_start(F.col("duracion_seg")), 4).alias("inicio"))
+
+
+@query("SELECT p.id, p.titulo FROM pistas p JOIN albums a ON a.id = p.album_id WHERE p.estado = 'biblioteca' AND a.mb_release_id IS NOT NULL AND a.mb_release_id <> '' AND p.ruta_archivo <> '' ORDER BY md5(CAST(p.id AS VARCHAR)), p.id LIMIT 50")
+def pool_cover(t: Tables) -> DataFrame:
+    """Tracks whose album has a cover to show, here a release id."""
+    covered = t.albums.filter("mb_release_id is not null and mb_release_id <> ''").select(F.col("id").alias("album_id"))
+    return A.pool(t.pistas.join(covered, "album_id", "left_semi"), F.col("ruta_archivo") != "")
+
+
+_NEVER = "SELECT id, titulo FROM pistas WHERE estado = 'biblioteca' AND coalesce(veces_reproducida, 0) = 0 AND id NOT IN (SELECT pista_id FROM historial WHERE pista_id IS NOT NULL)"
+
+
+@query(f"""WITH n AS ({_NEVER}), r AS (SELECT id, titulo FROM pistas WHERE estado = 'biblioteca' AND coalesce(veces_reproducida, 0) <= 2) SELECT * FROM (SELECT id, titulo FROM n UNION ALL SELECT id, titulo FROM r WHERE NOT EXISTS (SELECT 1 FROM n)) ORDER BY md5(CAST(id AS VARCHAR)), id LIMIT 50""")
+def pool_never(t: Tables) -> DataFrame:
+    """Tracks that were never chosen; the relaxed pool if there is none."""
+    return A.never_pool(t.pistas, t.historial)
+
+
+@query("""SELECT p.id, CASE WHEN c.id IS NULL THEN 'faltan' WHEN c.mood_sad IS NULL OR isnan(c.mood_sad) THEN 'sin_profundas' WHEN c.analizado_en < p.actualizado_en THEN 'viejas' ELSE 'otra_version' END AS causa FROM pistas p LEFT JOIN pista_candidata c ON c.id = p.id
+WHERE p.estado = 'biblioteca' AND (c.id IS NULL OR c.mood_sad IS NULL OR isnan(c.mood_sad) OR c.analizado_en < p.actualizado_en OR c.titulo <> p.titulo)""")
+def audit_feature_versions(t: Tables) -> DataFrame:
+    """Tracks whose features are missing, without deep analysis, older than the track, or made from another version of it (here another title)."""
+    c = t.pista_candidata.select("id", F.lit(True).alias("_c"), (F.col("mood_sad").isNotNull() & ~F.isnan("mood_sad")).alias("_deep"), "analizado_en", F.col("titulo").alias("_t"))
+    j = in_library(t.pistas).select("id", "titulo", "actualizado_en").join(c, "id", "left")
+    cause = F.when(F.col("_c").isNull(), "faltan").when(~F.col("_deep"), "sin_profundas").when(F.col("analizado_en") < F.col("actualizado_en"), "viejas").when(F.col("_t") != F.col("titulo"), "otra_version")
+    return j.select("id", cause.alias("causa")).filter("causa is not null")
+
+
+@query("""SELECT p.id, list_filter([CASE WHEN p.album_id IS NULL OR a.mb_release_id IS NULL THEN 'portada' END, CASE WHEN p.isrc IS NULL THEN 'codigo' END, CASE WHEN c.id IS NULL THEN 'rasgos' END, CASE WHEN e.valores IS NULL THEN 'ejes' END], lambda x: x IS NOT NULL) AS faltan FROM pistas p
+LEFT JOIN albums a ON a.id = p.album_id LEFT JOIN pista_candidata c ON c.id = p.id LEFT JOIN ejes_pista e ON e.pista_id = p.id WHERE p.estado = 'biblioteca' AND (p.album_id IS NULL OR a.mb_release_id IS NULL OR p.isrc IS NULL OR c.id IS NULL OR e.valores IS NULL)""")
+def audit_needed_assets(t: Tables) -> DataFrame:
+    """What every track still lacks; tracks that lack nothing are left out."""
+    a = t.albums.filter("mb_release_id is not null").select(F.col("id").alias("album_id"), F.lit(True).alias("_cover"))
+    c, e = t.pista_candidata.select("id", F.lit(True).alias("_features")), t.ejes_pista.filter("valores is not null").select(F.col("pista_id").alias("id"), F.lit(True).alias("_axes"))
+    j = in_library(t.pistas).select("id", "album_id", "isrc").join(a, "album_id", "left").join(c, "id", "left").join(e, "id", "left")
+    return A.lacking(j, "id", {"portada": "_cover", "codigo": "isrc", "rasgos": "_features", "ejes": "_axes"})

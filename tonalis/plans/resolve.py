@@ -132,3 +132,47 @@ def match_folders(t: Tables) -> DataFrame:
     """The folder of every track's release."""
     j = t.pistas.join(t.albums.select(F.col("id").alias("album_id"), "tipo"), "album_id", "left")
     return j.select("id", E.folder_of(F.col("tipo"), F.col("titulo"), F.col("album_titulo"), True).alias("carpeta"))
+
+
+_TAGS = f"""WITH j AS (SELECT p.id, p.titulo, p.artista_nombre, p.isrc, c.titulo AS x_titulo, c.artista_nombre AS x_artista, {{huella}} AS huella, {cmp_sql("coalesce(p.titulo, '')")} AS t, {cmp_sql("coalesce(p.artista_nombre, '')")} AS a, {cmp_sql("coalesce(c.titulo, '')")} AS xt, {cmp_sql("coalesce(c.artista_nombre, '')")} AS xa FROM pistas p LEFT JOIN pista_candidata c ON c.id = p.id),
+n AS (SELECT *, length(t) < 1 AND xt <> '' AS nt, length(a) < 2 AND xa <> '' AS na, {_CODE} AS code FROM j),
+f AS (SELECT *, CASE WHEN nt THEN xt ELSE t END AS ft, CASE WHEN na THEN xa ELSE a END AS fa FROM n),
+k AS (SELECT *, {tokens_sql('ft')} AS k1, {tokens_sql('xt')} AS k2, {tokens_sql('fa')} AS k3, {tokens_sql('xa')} AS k4 FROM f),
+s AS (SELECT *, CASE WHEN xt <> '' OR xa <> '' THEN CASE WHEN code IS NOT NULL THEN 0.30 ELSE least(0.35, CASE WHEN ft <> '' AND xt <> '' AND {jaccard_sql('k1', 'k2')} >= 0.75 THEN 0.15 ELSE 0 END + CASE WHEN fa <> '' AND xa <> '' AND {jaccard_sql('k3', 'k4')} >= 0.75 THEN 0.15 ELSE 0 END
+ + CASE WHEN ft = '' AND xt <> '' THEN 0.10 ELSE 0 END + CASE WHEN fa = '' AND xa <> '' THEN 0.10 ELSE 0 END) END ELSE 0.0 END AS dicho FROM k)
+""".replace("{huella}", "CASE WHEN c.brightness IS NOT NULL AND NOT isnan(c.brightness) THEN c.brightness END")
+
+
+@query(_TAGS + """SELECT id, CASE WHEN nt THEN x_titulo ELSE titulo END AS titulo, CASE WHEN na THEN x_artista ELSE artista_nombre END AS artista, CASE WHEN nt THEN 'externa' ELSE 'local' END AS fuente_titulo, CASE WHEN na THEN 'externa' ELSE 'local' END AS fuente_artista, code AS isrc,
+CAST(round(least(1.0, dicho + CASE WHEN huella >= 0.90 THEN 0.25 WHEN huella >= 0.75 THEN 0.15 WHEN huella IS NOT NULL THEN 0.05 ELSE 0 END), 4) AS DOUBLE) AS confianza FROM s""")
+def match_fused(t: Tables) -> DataFrame:
+    """The tags of every track, completed and confirmed by its analysed row; a measured column stands for the score of recognition."""
+    c = t.pista_candidata.select("id", F.col("titulo").alias("x_titulo"), F.col("artista_nombre").alias("x_artista"), F.lit(None).cast("string").alias("x_isrc"), F.when(~F.isnan("brightness"), F.col("brightness")).alias("huella"))
+    return E.fused(t.pistas.select("id", "titulo", "artista_nombre", "isrc").join(c, "id", "left"), True)
+
+
+_HINT = f"""h AS (SELECT p.id, round_even(CAST({jaccard_sql('p.k1', 'c.k1')} * 0.40 + {jaccard_sql('p.k2', 'c.k2')} * 0.35 + CASE WHEN abs(p.d - c.d) <= 3 THEN 1.0 WHEN abs(p.d - c.d) <= 8 THEN 0.8 WHEN abs(p.d - c.d) IS NOT NULL THEN 0.35 ELSE 0.5 END * 0.15 AS DOUBLE), 4) AS pista
+ FROM (SELECT id, duracion_seg AS d, {tokens_sql(strip_sql('titulo'))} AS k1, {tokens_sql('artista_nombre')} AS k2 FROM pistas) p JOIN (SELECT id, duracion_seg AS d, {tokens_sql(strip_sql('titulo'))} AS k1, {tokens_sql('artista_nombre')} AS k2 FROM pista_candidata) c ON c.id = p.id)"""
+
+
+def _hints(t: Tables) -> DataFrame:
+    c = t.pista_candidata.select("id", F.col("titulo").alias("x_titulo"), F.col("artista_nombre").alias("x_artista"), F.col("duracion_seg").alias("x_d"))
+    j = t.pistas.select("id", "titulo", "artista_nombre", "duracion_seg").join(c, "id")
+    title = E.similarity(E.strip_version(F.col("titulo")), E.strip_version(F.col("x_titulo")), True)
+    return j.select("id", E.hint_evidence(title, E.similarity(F.col("artista_nombre"), F.col("x_artista"), True), F.abs(F.col("duracion_seg") - F.col("x_d")), F.lit(False)).alias("pista"))
+
+
+@query(f"WITH {_HINT} SELECT * FROM h")
+def match_hints(t: Tables) -> DataFrame:
+    """How far the analysed row of a track supports it."""
+    return _hints(t)
+
+
+@query(_PAIRS + f""", e AS (SELECT id, c_id, round_even(CAST(s_titulo * 0.28 + s_artista * 0.26 + coalesce(CASE WHEN d <= 2 THEN 1.0 WHEN d <= 5 THEN 0.8 WHEN d <= 12 THEN 0.6 WHEN d IS NOT NULL THEN 0.2 END, 0.5) * 0.18 + coalesce(same_code::INT, 0) * 0.18 + coalesce(same_id::INT, 0) * 0.10 AS DOUBLE), 4) AS evidencia, coalesce(same_code, false) OR coalesce(same_id, false) AS fuerte FROM p),
+w AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY evidencia DESC, c_id) AS n FROM e), b AS (SELECT id, max(c_id) FILTER (n = 1) AS c_id, bool_or(fuerte) FILTER (n = 1) AS fuerte, max(evidencia) AS evidencia, round(max(evidencia) - CASE WHEN count(*) > 1 THEN min(evidencia) ELSE 0.0 END, 6) AS brecha FROM w WHERE n <= 2 GROUP BY id), {_HINT}
+SELECT b.id, c_id, evidencia, brecha FROM b JOIN h ON h.id = b.id WHERE evidencia >= 0.90 AND brecha >= 0.14 AND fuerte AND pista >= 0.8""")
+def match_third(t: Tables) -> DataFrame:
+    """Records whose best candidate wins on a third look."""
+    df = _pairs(t, True)
+    strong = F.coalesce(F.col("isrc") == F.col("c_isrc"), F.lit(False)) | F.coalesce(F.col("mb_recording_id") == F.col("c_mb_recording_id"), F.lit(False))
+    return E.third_look(df.select("id", "c_id", E.second_evidence(df).alias("evidencia"), strong.alias("fuerte")), _hints(t))

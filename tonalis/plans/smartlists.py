@@ -137,3 +137,53 @@ def smart_catalogue(t: Tables) -> DataFrame:
     """The size of several lists and whether each reaches its minimum."""
     c = _c(t)
     return R.catalogue({"favoritas": R.favourites_playing(c), "nuevas": R.recent_unplayed(c), "descubrir": R.to_discover(c)}, {"favoritas": 12, "nuevas": 20, "descubrir": 25})
+
+
+_MOODS = {"triste": {"sad": 0.9, "slow": 0.6}, "alegre": {"happy": 1.0}, "fiesta": {"party": 1.0, "fast": 0.3}, "concentracion": {"focus": 1.0}, "noche": {"dark": 0.8, "soft": 0.4}, "intensa": {"intense": 1.0}, "entrenar": {"workout": 1.0}}
+
+
+def _moods_sql() -> str:
+    from tonalis.plans.features import _INTENT_SQL
+
+    one = lambda w: " + ".join(f"({v / sum(w.values())}) * ({_INTENT_SQL[k]})" for k, v in w.items())
+    parts = " UNION ALL ".join(f"SELECT '{m}' AS animo, id, round(least(1.0, greatest(0.0, {one(w)}))::DOUBLE, 6) AS puntaje FROM pista_candidata" for m, w in _MOODS.items())
+    return f"SELECT animo, CAST(row_number() OVER (PARTITION BY animo ORDER BY puntaje DESC, id) AS INT) AS puesto, id, puntaje FROM ({parts}) WHERE puntaje >= 0.35 QUALIFY puesto <= 30"
+
+
+@query(_moods_sql())
+def smart_moods(t: Tables) -> DataFrame:
+    """The lists of seven moods."""
+    return R.mood_lists(t.pista_candidata, _MOODS)
+
+
+@query(f"""WITH l AS (SELECT 'favoritas' AS regla, id, row_number() OVER (ORDER BY plays DESC, reciente DESC NULLS LAST, id) AS k FROM {_C} WHERE favorita = 1 AND plays > 0 UNION ALL SELECT 'nuevas', id, row_number() OVER (ORDER BY indexado_en DESC, id) FROM {_C} WHERE plays = 0),
+r(regla_id, regla, limite) AS (VALUES (1, 'favoritas', 10), (2, 'nuevas', 50), (3, 'nuevas', 5)) SELECT r.regla_id, l.id FROM r JOIN l ON l.regla = r.regla WHERE l.k <= least(r.limite, 50)""")
+def smart_dispatched(t: Tables) -> DataFrame:
+    """Lists made by rules written as JSON; a rule without a name and a broken one make none."""
+    from pyspark.sql import Window
+
+    c = _c(t)
+    number = lambda df, *order: df.withColumn("puesto", F.row_number().over(Window.orderBy(*order, "id"))).select("id", "puesto")
+    fav = c.filter("favorita = 1 and plays > 0").orderBy(F.desc("plays"), F.desc_nulls_last("reciente"), "id").limit(R.CAP)
+    new = c.filter("plays = 0").orderBy(F.desc("indexado_en"), "id").limit(R.CAP)
+    rules = t.spark.createDataFrame([(1, '{"regla": "favoritas", "limite": 10}'), (2, '{"regla": "nuevas"}'), (3, '{"regla": "nuevas", "limite": 5}'), (4, '{"regla": "otra"}'), (5, "{"), (6, None)], "regla_id int, regla_json string")
+    return R.dispatched(rules, {"favoritas": number(fav, F.desc("plays"), F.desc_nulls_last("reciente")), "nuevas": number(new, F.desc("indexado_en"))})
+
+
+@query("""SELECT id, CASE WHEN tipo = 'Single' THEN 'me_gusta' WHEN tipo = 'EP' THEN 'this_is' WHEN lower(tipo) = 'album' AND anio IS NULL THEN 'creada' WHEN anio >= 2000 THEN 'inteligente' WHEN anio < 1970 THEN 'sistema' ELSE 'creada' END AS categoria,
+CASE WHEN tipo = 'Single' THEN 'Me gusta' WHEN tipo = 'EP' THEN 'This is...' WHEN anio >= 2000 THEN 'Para ti' WHEN anio < 1970 AND NOT coalesce(lower(tipo) = 'album' AND anio IS NULL, false) THEN 'Sistema' ELSE 'Manual' END AS etiqueta FROM albums""")
+def smart_classes(t: Tables) -> DataFrame:
+    """Category and label of lists; kind, type and origin are derived from the albums' type and year."""
+    kind = F.when(F.col("tipo") == "Single", "favoritos").when(F.col("tipo") == "EP", "this_is").otherwise("otro")
+    manual = F.lower("tipo") == "album"
+    tipo = F.when(manual & F.col("anio").isNull(), "manual").when(F.col("anio") >= 2000, "automatica").when(F.col("anio") < 1970, "sistema").otherwise("otra")
+    c = t.albums.select("id", R.list_class(kind, tipo, F.when(F.col("anio").isNull(), "usuario").otherwise("otro")).alias("c"))
+    return c.select("id", "c.categoria", "c.etiqueta")
+
+
+@query("""WITH e AS (SELECT vec_id, embedding, list_avg(list_transform(embedding, lambda x: x::DOUBLE)) AS m FROM embeddings) SELECT vec_id, CAST(list_sum(list_transform(embedding, lambda x: CASE WHEN x::DOUBLE >= m THEN 1 ELSE 0 END)) AS INT) AS bits, CAST(floor(vec_id % 256 / 16) * 256 + floor(vec_id * 7 % 256 / 16) * 16 + floor(vec_id * 13 % 256 / 16) AS INT) AS color FROM e""")
+def smart_picture_hashes(t: Tables) -> DataFrame:
+    """The perceptual hash of 8 x 8 pictures, here the vectors of 64 numbers: its set bits, and the mean colour."""
+    i = F.col("vec_id")
+    h = t.embeddings.select("vec_id", R.picture_hash(F.transform("embedding", lambda x: x.cast("double")), i % 256, i * 7 % 256, i * 13 % 256).alias("h"))
+    return h.select("vec_id", F.bit_count("h.forma").alias("bits"), "h.color")

@@ -182,3 +182,47 @@ def job_close_orphans(t: Tables) -> DataFrame:
     """Sessions that never ended are closed at the time of the newest."""
     last = t.dj_sesiones.agg(F.max("creado_en")).scalar()
     return t.dj_sesiones.select("id", F.coalesce("finalizado_en", last).alias("fin"), F.col("finalizado_en").isNull().alias("cerrada"))
+
+
+_RUNS = """s AS (SELECT user_id, ts, epoch_us(ts) / 1e6 - min(epoch_us(ts)) OVER (PARTITION BY user_id) / 1e6 AS e, event_id FROM events WHERE event_type <> 'error'), t AS (SELECT user_id, count(*) AS total FROM events GROUP BY 1)"""
+
+
+@query(f"""WITH {_RUNS}, n AS (SELECT s.user_id, e, total, row_number() OVER (PARTITION BY s.user_id ORDER BY ts, e) AS k FROM s JOIN t ON t.user_id = s.user_id), u AS (SELECT *, e / k AS v, row_number() OVER (PARTITION BY user_id ORDER BY k DESC) - 1 AS b, count(*) OVER (PARTITION BY user_id) AS n FROM n WHERE e >= 3 AND k >= 2),
+m AS (SELECT user_id, sum(v * pow(0.75, b) * CASE WHEN b = n - 1 THEN 1.0 ELSE 0.25 END) AS m FROM u GROUP BY 1), d AS (SELECT user_id, max(k) AS hechos, max(total) AS total FROM n GROUP BY 1)
+SELECT d.user_id, CAST(hechos AS INT) AS hechos, CASE WHEN total > hechos THEN greatest(1, CAST(round(m * (total - hechos)) AS INT)) END AS resto FROM d LEFT JOIN m ON m.user_id = d.user_id""")
+def import_eta(t: Tables) -> DataFrame:
+    """What every run still needs by a smoothed mean; here a user is a run and an error an item that is still to be done."""
+    start = t.events.filter("event_type <> 'error'").groupBy("user_id").agg(F.min("ts").alias("_s"))
+    total = t.events.groupBy("user_id").agg(F.count("*").alias("total"))
+    seconds = (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6) - (F.unix_micros(F.col("_s").cast("timestamp")) / 1e6)
+    steps = t.events.filter("event_type <> 'error'").join(start, "user_id").join(total, "user_id").select("user_id", "ts", seconds.alias("e"), "total")
+    return K.smoothed_rest(steps, "user_id", "ts", "e", "total")
+
+
+@query("""WITH q AS (SELECT user_id, count(*) AS total, count(*) FILTER (event_type = 'purchase') AS hechos, sum(value) AS pasado, max(value) / 100 AS parte, min(value) AS actual FROM events WHERE CAST(ts AS DATE) = (SELECT min(CAST(ts AS DATE)) FROM events) GROUP BY 1)
+SELECT user_id, round(CASE WHEN hechos > 0 AND pasado > 0 THEN greatest(0.001, pasado) / hechos * greatest(0, total - hechos) WHEN parte > 0.05 AND actual > 0 AND total - hechos > 0 THEN greatest(0.001, actual) / parte * (1 - parte) + greatest(0.001, actual) / parte * greatest(0, total - hechos - 1) END, 4) AS resto FROM q""")
+def queue_eta(t: Tables) -> DataFrame:
+    """What every queue still needs; here the events of the first day by user."""
+    first = t.events.agg(F.to_date(F.min("ts"))).scalar()
+    q = t.events.filter(F.to_date("ts") == first).groupBy("user_id").agg(F.count("*").alias("total"), F.count_if(F.col("event_type") == "purchase").alias("hechos"), F.sum("value").alias("pasado"), (F.max("value") / 100).alias("parte"), F.min("value").alias("actual"))
+    return q.select("user_id", F.round(K.queue_rest(*[F.col(c) for c in ("hechos", "total", "pasado", "parte", "actual")]), 4).alias("resto"))
+
+
+@query("""WITH m AS (SELECT DISTINCT pista_id FROM score_detalle WHERE sesion_id IN (2, 3, 4)), p AS (SELECT id, album_id, artista_id FROM pistas WHERE id IN (SELECT pista_id FROM m))
+SELECT DISTINCT entidad, entidad_id FROM (SELECT 'pista' AS entidad, id AS entidad_id FROM p UNION ALL SELECT 'album', album_id FROM p WHERE album_id IS NOT NULL UNION ALL SELECT 'artista', artista_id FROM p WHERE artista_id IS NOT NULL UNION ALL SELECT 'lista', id FROM dj_sesiones WHERE id IN (2, 3, 4))""")
+def sync_playlist_selection(t: Tables) -> DataFrame:
+    """What a choice of playlists needs: their tracks with albums and artists, and the lists."""
+    return Y.playlist_closure(t.pistas, t.dj_sesiones.select("id"), t.score_detalle.select(F.col("sesion_id").alias("lista_id"), "pista_id"), [2, 3, 4])
+
+
+@query(f"""WITH l AS (SELECT * FROM {_LOG} WHERE version > 1609500000000000), v AS (SELECT max(version) AS v FROM {_LOG}) SELECT entidad, count(*) AS n, max(version) AS ultima, (SELECT v FROM v) AS version_actual, list(entidad_id ORDER BY version DESC, entidad_id)[1:5] AS recientes FROM l GROUP BY 1""")
+def sync_manifest(t: Tables) -> DataFrame:
+    """The manifest of the changes after a version: per entity how many, the last one, and the five newest ids."""
+    return Y.manifest(_log(t), 1609500000000000, 5)
+
+
+@query("""WITH m AS (SELECT epoch_us(max(actualizado_en)) AS v FROM pistas), c AS (SELECT id, row_number() OVER (ORDER BY id) AS k FROM pistas WHERE genero = 'jazz') SELECT p.id, CASE WHEN c.id IS NULL THEN p.favorita ELSE 1 - p.favorita END AS favorita, CASE WHEN c.id IS NULL THEN epoch_us(p.actualizado_en) ELSE (SELECT v FROM m) + c.k END AS version FROM pistas p LEFT JOIN c ON c.id = p.id""")
+def sync_toggle(t: Tables) -> DataFrame:
+    """Favourites of one genre switched over and stamped with new versions."""
+    rows = t.pistas.select("id", "favorita", Y.version_of(F.col("actualizado_en")).alias("version"))
+    return Y.toggled(rows, t.pistas.filter("genero = 'jazz'").select("id"), "favorita")

@@ -17,6 +17,20 @@ MINOR = {"A": 8, "A#": 3, "B": 10, "C": 5, "C#": 12, "D": 7, "D#": 2, "E": 9, "F
 STYLES = {"smooth": (0.45, 0.30, 0.25), "harmonic": (0.25, 0.55, 0.20), "energetic": (0.40, 0.15, 0.45), "aggressive": (0.25, 0.15, 0.60), "cinematic": (0.20, 0.30, 0.50)}
 BPM_NEAR, BPM_FAR = 8.0, 30.0
 PER_ARTIST, POOL, OVER = 2, 200, 1.05
+# The phases of each curve with their share of the time; what each phase asks of the axes; the axes' shares in the distance.
+CURVES = {
+    "progressive": (("warmup", 0.15), ("groove", 0.35), ("peak", 0.30), ("release", 0.15), ("cooldown", 0.05)),
+    "peak": (("warmup", 0.10), ("groove", 0.20), ("peak", 0.45), ("release", 0.15), ("cooldown", 0.10)),
+    "descending": (("warmup", 0.10), ("groove", 0.25), ("release", 0.35), ("cooldown", 0.30)),
+    "wave": (("warmup", 0.15), ("groove", 0.20), ("peak", 0.25), ("groove", 0.25), ("cooldown", 0.15)),
+    "stable": (("warmup", 0.10), ("groove", 0.75), ("cooldown", 0.15)),
+}
+PHASE_AXES = ("energy", "tension", "rhythmic_density", "brightness", "calmness")
+PHASE_TARGETS = {
+    "warmup": (0.45, 0.30, 0.40, 0.55, 0.55), "groove": (0.60, 0.45, 0.55, 0.55, 0.45), "peak": (0.85, 0.65, 0.75, 0.60, 0.20),
+    "release": (0.55, 0.40, 0.45, 0.50, 0.55), "cooldown": (0.35, 0.25, 0.30, 0.45, 0.75),
+}
+PHASE_SHARES = (0.40, 0.20, 0.15, 0.10, 0.15)
 
 
 def wheel_code(key: Column, mode: Column) -> Column:
@@ -59,6 +73,7 @@ def energy_factor(a: Column, b: Column, style: str = "smooth") -> Column:
     d = b - a
     x = F.abs(d)
     zero = F.lit(0.0)
+    # The shape of each style.
     f = {
         "smooth": F.when(x <= 0.10, 1.0).when(x <= 0.25, 1.0 - (x - 0.10) / 0.30).otherwise(F.greatest(zero, 0.5 - (x - 0.25) * 2)),
         "aggressive": F.when(x >= 0.30, 1.0).otherwise(0.5 + x),
@@ -140,12 +155,27 @@ def technique(phase: Column, bpm_a: Column, bpm_b: Column, f_tempo: Column, f_ke
     )
 
 
-def plan_sessions(candidates: DataFrame, *, minutes: int = 60, seed: int = 7, curve: tuple[float, float] = (0.35, 0.90)) -> DataFrame:
-    """(sesion_id, posicion, pista_id, puntaje): a greedy order for every session.
+def phase_at(curve: str, t: float) -> tuple[str, tuple[float, ...]]:
+    """The phase of a curve at time t from 0 to 1, and its targets on PHASE_AXES, which move to the next phase's in its last quarter."""
+    phases, begin = CURVES.get(curve, CURVES["stable"]), 0.0
+    for k, (name, share) in enumerate(phases):
+        last = k + 1 == len(phases)
+        if t < begin + share or last:
+            own = PHASE_TARGETS[name]
+            done = (t - begin) / max(share, 1e-6)
+            part = (done - 0.75) / 0.25 if done > 0.75 and not last else 0.0
+            return name, tuple((1 - part) * a + part * b for a, b in zip(own, own if last else PHASE_TARGETS[phases[k + 1][0]]))
+        begin += share
+    raise AssertionError
 
-    ``candidates``: sesion_id, pista_id, artista_id, duracion_seg, energy, score_total. The POOL best of each session are found in
-    Spark (group limit); the sequential choice among these runs per session: 65 % score and 35 % closeness to the energy curve,
-    at most PER_ARTIST tracks of an artist, until 105 % of the time. The same seed gives the same order.
+
+def plan_sessions(candidates: DataFrame, *, minutes: int = 60, seed: int = 7, curve: str = "progressive") -> DataFrame:
+    """(sesion_id, posicion, pista_id, fase, puntaje): a greedy order for every session.
+
+    ``candidates``: sesion_id, pista_id, artista_id, duracion_seg, score_total, and those of PHASE_AXES that are known. The POOL best of each
+    session are found in Spark (group limit; the choice looks at no more by definition); the sequential choice among these runs per
+    session: 65 % score and 35 % closeness to what the phase at that time asks of the axes, at most PER_ARTIST tracks of an
+    artist, until 105 % of the time. The same seed gives the same order.
     """
     rank = F.row_number().over(Window.partitionBy("sesion_id").orderBy(F.desc("score_total"), "pista_id"))
     pool = candidates.withColumn("_rn", rank).filter(F.col("_rn") <= POOL).drop("_rn")
@@ -153,28 +183,27 @@ def plan_sessions(candidates: DataFrame, *, minutes: int = 60, seed: int = 7, cu
     def choose(pdf: pd.DataFrame) -> pd.DataFrame:
         rows = pdf.sort_values(["score_total", "pista_id"], ascending=[False, True]).to_dict("records")
         rng, used, out, spent, goal = random.Random(seed), {}, [], 0.0, minutes * 60.0
+        for r in rows:
+            r["_axes"] = [NEUTRAL if (v := r.get(a)) is None or v != v else v for a in PHASE_AXES]
         while rows and spent < goal * OVER:
-            t = min(1.0, spent / goal)
-            target = curve[0] + (curve[1] - curve[0]) * t
+            phase, target = phase_at(curve, min(1.0, spent / goal))
             best, value = None, float("-inf")
             for r in rows:
                 if r["artista_id"] == r["artista_id"] and r["artista_id"] is not None and used.get(r["artista_id"], 0) >= PER_ARTIST:
                     continue
-                e = r["energy"] if r["energy"] is not None and r["energy"] == r["energy"] else NEUTRAL
-                v = 0.65 * r["score_total"] + 0.35 * (1 - abs(e - target)) + rng.uniform(-0.001, 0.001)
+                far = sum(w * abs(x - y) for w, x, y in zip(PHASE_SHARES, r["_axes"], target))
+                v = 0.65 * r["score_total"] + 0.35 * (1 - far) + rng.uniform(-0.001, 0.001)
                 if v > value:
                     best, value = r, v
             if best is None:
                 break
             rows.remove(best)
             used[best["artista_id"]] = used.get(best["artista_id"], 0) + 1
-            out.append((best["sesion_id"], len(out) + 1, best["pista_id"], round(value, 6)))
+            out.append((best["sesion_id"], len(out) + 1, best["pista_id"], phase, round(value, 6)))
             spent += best["duracion_seg"] if best["duracion_seg"] == best["duracion_seg"] and best["duracion_seg"] else 0.0
-            if not best["duracion_seg"] > 0 and len(out) > POOL:
-                break
-        return pd.DataFrame(out, columns=["sesion_id", "posicion", "pista_id", "puntaje"])
+        return pd.DataFrame(out, columns=["sesion_id", "posicion", "pista_id", "fase", "puntaje"])
 
-    return pool.groupBy("sesion_id").applyInPandas(choose, "sesion_id long, posicion int, pista_id long, puntaje double")
+    return pool.groupBy("sesion_id").applyInPandas(choose, "sesion_id long, posicion int, pista_id long, fase string, puntaje double")
 
 
 def detect_concepts(texts: DataFrame, concepts: DataFrame, id_col: str, text: str) -> DataFrame:

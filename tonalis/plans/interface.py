@@ -45,7 +45,13 @@ def document_like(t: Tables) -> DataFrame:
     return t.documents.select("doc_id", V.document_like(F.col("text")).alias("prosa"))
 
 
-@query()
+_STAMP = r"^(?:\[[0-9]{1,3}:[0-5][0-9](?:[.:][0-9]{1,3})?\]\s*)+"
+
+
+@query(rf"""WITH l AS (SELECT doc_id, text, {_L} AS l FROM documents), m AS (SELECT doc_id, CASE WHEN length(text) % 3 = 0 THEN l ELSE list_transform(l, lambda x, i: '[00:' || lpad(CAST((i - 1) % 60 AS VARCHAR), 2, '0') || '.00]' || x) END AS l FROM l),
+f AS (SELECT doc_id, list_filter(l, lambda x: NOT regexp_full_match(x, '\[[a-zA-Z]+:.*\]')) AS l FROM m)
+SELECT doc_id, CASE WHEN len(l) > 0 AND len(list_filter(l, lambda x: NOT regexp_matches(x, '{_STAMP}'))) = 0
+ THEN coalesce(array_to_string(list_transform(list_filter(l, lambda x: trim(regexp_replace(x, '{_STAMP}', '')) <> ''), lambda x: trim(regexp_replace(x, '[\s\p{{Z}}]+', ' ', 'g'))), chr(10)), '') ELSE '' END AS letra FROM f""")
 def synced_lyrics(t: Tables) -> DataFrame:
     """Documents as timed lyrics: a time is put before each line, every third document loses it."""
     timed = F.array_join(F.transform(V.lines_of(F.col("text")), lambda x, i: F.concat(F.lit("[00:"), F.lpad(F.pmod(i, F.lit(60)).cast("string"), 2, "0"), F.lit(".00]"), x)), "\n")

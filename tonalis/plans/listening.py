@@ -79,7 +79,18 @@ def liked_albums(t: Tables) -> DataFrame:
     return t.albums.join(per, F.col("id") == F.col("album_id")).select("id", "titulo", "favoritas", "puntaje").orderBy(F.desc("puntaje"), "id").limit(12)
 
 
-@query()
+def _home_sql() -> str:
+    q = query.sql
+    parts = {
+        "listas": f"SELECT 'lista' AS tipo, lista_id AS id, nombre FROM ({q['top_playlists']})", "pistas": f"SELECT 'pista', pista_id, titulo FROM ({q['top_tracks']})",
+        "albumes": f"SELECT 'album', id, titulo FROM ({q['top_albums']})", "artistas": f"SELECT 'artista', id, nombre FROM ({q['top_artists']})",
+    }
+    rows = " UNION ALL ".join(f"SELECT *, {k} AS s, '{n}' AS fuente FROM ({x}) AS x{k}(tipo, id, nombre)" for k, (n, x) in enumerate(parts.items()))
+    return f"""WITH a AS ({rows}), o AS (SELECT * FROM a QUALIFY row_number() OVER (PARTITION BY tipo, id ORDER BY s) = 1), p AS (SELECT *, s > 0 AS otra, row_number() OVER (PARTITION BY s > 0 ORDER BY md5('7|' || tipo || '|' || id), tipo, id) - 1 AS i FROM o)
+SELECT tipo, id, nombre, fuente, CAST(CASE WHEN otra THEN 3 * (i // 2) + 1 + i % 2 ELSE i * 3 END AS INT) AS lugar FROM p WHERE i < 24 ORDER BY lugar LIMIT 24"""
+
+
+@query(_home_sql())
 def home_mix(t: Tables) -> DataFrame:
     """Four sources mixed: playlists, most played tracks, albums and artists."""
     parts = [

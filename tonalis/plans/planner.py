@@ -81,7 +81,10 @@ def transition_scores(t: Tables) -> DataFrame:
     return x.select("lista_id", "posicion", "pista_id", "siguiente", *[F.round(c, 8).alias(c) for c in ("puntaje", "f_bpm", "f_tono", "f_energia")], "distancia")
 
 
-@query()
+_HARMONIC = "0.25 * fb + 0.55 * fk + 0.20 * CASE WHEN energy IS NULL OR e2 IS NULL THEN 0.5 ELSE 1.0 - least(1.0, abs(e2 - energy)) END"
+
+
+@query(_SEQUENCE + f""", h AS (SELECT *, {_HARMONIC} AS p FROM s) SELECT lista_id, posicion, CASE WHEN p >= 0.80 AND dist <= 1 AND fb >= 0.85 THEN 'mix_armonico' ELSE 'crossfade' END AS tecnica, CAST(CASE WHEN p >= 0.80 AND dist <= 1 AND fb >= 0.85 THEN 8.0 WHEN p >= 0.6 THEN 5.0 ELSE 3.0 END AS DOUBLE) AS solape, round(p, 8) AS puntaje FROM h""")
 def transition_techniques(t: Tables) -> DataFrame:
     """Technique and overlap of every step in the harmonic style."""
     return G.with_transition(_sequence(t), "harmonic").select("lista_id", "posicion", "tecnica", "solape", F.round("puntaje", 8).alias("puntaje"))
@@ -126,8 +129,9 @@ def mix_points(t: Tables) -> DataFrame:
 def session_plans(t: Tables) -> DataFrame:
     """A greedy order for every session, from its best scored tracks."""
     s = t.score_detalle.filter("score_total is not null and not isnan(score_total) and not coalesce(descartada, false)").groupBy("sesion_id", "pista_id").agg(F.max("score_total").alias("score_total"))
-    p = t.pista_candidata.select(F.col("id").alias("pista_id"), "artista_id", "duracion_seg", "energy")
-    return G.plan_sessions(s.join(p, "pista_id"))
+    p = t.pista_candidata.select(F.col("id").alias("pista_id"), "artista_id", "duracion_seg")
+    axes = t.ejes_pista.select("pista_id", *[F.col("valores")[a].alias(a) for a in G.PHASE_AXES])
+    return G.plan_sessions(s.join(p, "pista_id").join(axes, "pista_id", "left"))
 
 
 _ALIASES = [("noche", "noche"), ("noche", "de noche"), ("noche", "night"), ("manejar", "manejar"), ("manejar", "para manejar"), ("piano", "piano"), ("tranquilo", "algo tranquilo"), ("tranquilo", "tranquilo"), ("fiesta", "fiesta"), ("entrenar", "entrenar"), ("cena", "cenar")]

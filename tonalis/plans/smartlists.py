@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tonalis.materialise import materialise
 from tonalis.operators import smartlists as R
 from tonalis.operators.listening import as_of
 from tonalis.plans.listening import AS_OF, WITH_PLAYS
@@ -127,9 +128,10 @@ def smart_hamming(t: Tables) -> DataFrame:
 
 @query()
 def smart_distinct_covers(t: Tables) -> DataFrame:
-    """Up to four tracks of each album whose 16-bit hashes differ by more than six bits."""
-    i = t.pistas.filter("album_id is not null").select("album_id", "id", F.col("id").alias("orden"), (F.col("id") * F.lit(2654435761) % 65536).alias("h"))
-    return R.pick_distinct(i, "album_id", "id", "orden", "h")
+    """Up to four pictures of each label whose perceptual hashes differ by more than six bits; the pictures are the vectors of 64 numbers."""
+    h = R.picture_hash(F.transform("embedding", lambda x: x.cast("double")), F.lit(0), F.lit(0), F.lit(0))
+    i = t.embeddings.filter("label is not null").select("label", "vec_id", F.col("vec_id").alias("orden"), h["forma"].alias("h"))
+    return R.pick_distinct(materialise(i, "hashes"), "label", "vec_id", "orden", "h")
 
 
 @query(f"""SELECT regla, n, n >= m AS basta FROM (SELECT 'favoritas' AS regla, least(50, count(*) FILTER (favorita = 1 AND plays > 0)) AS n, 12 AS m FROM {_C} UNION ALL SELECT 'nuevas', least(50, count(*) FILTER (plays = 0)), 20 FROM {_C} UNION ALL SELECT 'descubrir', least(50, count(*) FILTER (plays < 10)), 25 FROM {_C})""")

@@ -37,7 +37,9 @@ def stream_first_seen(t: Tables) -> DataFrame:
     return out.groupBy("event_type").agg(F.count("*").alias("n"))
 
 
-@query()
+@query("""WITH e AS (SELECT user_id, ts, ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) >= INTERVAL 1 DAY AS nueva FROM events), s AS (SELECT user_id, ts, sum(coalesce(nueva, true)::INT) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM e),
+w AS (SELECT user_id, min(ts) AS desde, max(ts) + INTERVAL 1 DAY AS hasta, count(*) AS n FROM s GROUP BY user_id, k) SELECT desde, hasta, user_id, n FROM w WHERE hasta <= (SELECT max(ts) - INTERVAL 10 MINUTE FROM events)""")
 def stream_sessions(t: Tables) -> DataFrame:
     """Runs of events of a user without a pause of a day, as far as the watermark closed them."""
-    return E.run_once(E.session_windows(_stream(t), "ts", "user_id", "1 day"), _folder(t))
+    out = E.run_once(E.session_windows(_stream(t), "ts", "user_id", "1 day"), _folder(t))
+    return out.select(F.col("desde").cast("timestamp_ntz").alias("desde"), F.col("hasta").cast("timestamp_ntz").alias("hasta"), "user_id", "n")

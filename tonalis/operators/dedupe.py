@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tonalis.functions.text import compare_form, isrc_code
+from tonalis.operators.library import number_rows
 
 # Fixed value: seconds by which two durations may differ and still be equal.
 TOLERANCE = 3.0
@@ -84,5 +85,5 @@ def identity_repeats(tracks: DataFrame, gain: float = 0.08) -> DataFrame:
 
 
 def ranked(tracks: DataFrame, key: Column) -> DataFrame:
-    """Tracks with their place in the keeping order of their key (for small groups; see observable_losers for large ones)."""
-    return tracks.withColumn("puesto", F.row_number().over(Window.partitionBy(key).orderBy(*keep_rank())))
+    """Tracks with their place in the keeping order of their key; a hot key is cut over several tasks."""
+    return number_rows(tracks.withColumn("_key", key), ["_key"], keep_rank(), "puesto").drop("_key").withColumn("puesto", F.col("puesto").cast("int"))

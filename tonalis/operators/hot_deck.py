@@ -100,13 +100,17 @@ def usable(field: str) -> Column:
     return F.coalesce(c.isNotNull() & ~F.isnan(c) & (c > low if field == "bpm" else c >= low) & (c <= high), F.lit(False))
 
 
-def fill_tracks(tracks: DataFrame) -> DataFrame:
+#: Where a donor is looked for, in this order.
+LEVELS = (("artista", "artista_id", ("album_id",)), ("album", "album_id", ()), ("tiempo", None, ()))
+
+
+def fill_tracks(tracks: DataFrame, levels: Sequence[tuple[str, str | None, Sequence[str]]] = LEVELS) -> DataFrame:
     """``bpm``, ``energy`` and ``mood_sad`` of ``pista_candidata``: from the same artist (album first, then time), else the
     same album, else the track analysed nearest in time."""
     return hot_deck(
         tracks,
         id_col="id",
         fields={c: usable(c) for c in USABLE},
-        levels=[("artista", "artista_id", ["album_id"]), ("album", "album_id", []), ("tiempo", None, [])],
+        levels=levels,
         time="analizado_en",
     )

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tonalis.operators.hot_deck import fill_tracks
+from tonalis.operators.hot_deck import LEVELS, fill_tracks
 from tonalis.plans.registry import Registry
 from tonalis.tables import Tables
 
@@ -23,7 +23,7 @@ AND EXISTS (SELECT 1 FROM pista_candidata d WHERE d.artista_id = p.artista_id AN
 @query(_CASE)
 def p2_found(t: Tables) -> DataFrame:
     """The cells filled from the same artist."""
-    return fill_tracks(t.pista_candidata).filter("nivel = 'artista'").select(F.col("id").alias("pista_id"), "campo").distinct()
+    return fill_tracks(t.pista_candidata, LEVELS[:1]).filter("nivel = 'artista'").select(F.col("id").alias("pista_id"), "campo").distinct()
 
 
 _LONG = " UNION ALL ".join(f"SELECT id, artista_id, album_id, analizado_en AS t, '{c}' AS campo, CASE WHEN NOT isnan({c}) AND {ok} THEN CAST({c} AS VARCHAR) END AS v FROM pista_candidata" for c, ok in _OK.items())

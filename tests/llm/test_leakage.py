@@ -1,6 +1,6 @@
 import random
 
-from tonalis.llm.leakage import ItemIndex, find_leaks, words
+from tonalis.llm.leakage import BLOCK, RUN, ItemIndex, find_leaks, words
 
 D, I = "doc_id long, text string, item_id string", "item_id long, text string, doc_id string"
 
@@ -58,8 +58,15 @@ def test_against_brute_force_with_common_words(spark):
 
 
 def test_thresholds_bound_every_run():
-    index = ItemIndex([(1, [f"a{k % 9}" for k in range(40)]), (2, [f"b{k}" for k in range(9)])])
-    assert all((w.sum(axis=0) > 0).any() for w in index.weight)
+    """The weights of any run of eight words of an item add up to its threshold or more, and its weakest run just reaches it."""
+    items = [(1, [f"a{k % 9}" for k in range(40)]), (2, [f"b{k}" for k in range(9)]), (3, [f"a{k}" for k in range(5)] + [f"c{k}" for k in range(30)])]
+    index = ItemIndex(items)
+    for k, (_, words) in enumerate(items):
+        block, place = divmod(k, BLOCK)
+        at = index.local[block]
+        sums = [sum(index.weight[block][at[index.terms[w]], place] for w in set(words[s : s + RUN])) for s in range(len(words) - RUN + 1)]
+        assert min(sums) > 0.999999 and abs(min(sums) - 1) < 1e-9
+        assert all(index.bound[index.terms[w], block] >= index.weight[block][at[index.terms[w]], place] - 1e-6 for w in set(words))
 
 
 def test_a_very_long_text(spark):

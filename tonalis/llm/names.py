@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tonalis.materialise import materialise, spread, task_count
+from tonalis.materialise import discard, materialise, spread, task_count
 from tonalis.operators.components import connected_components
 
 #: Least Jaro-Winkler similarity of two core names, and of a mistyped known word to the word.
@@ -29,33 +29,34 @@ TYPED_LENGTH, CODE_LENGTH = 24, 32
 
 # Given names with their familiar forms.
 NICKNAMES = {
-    "alejandro": "alex ale jandro jano", "angela": "angie angelita", "beatriz": "bea beti", "catherine": "cate cathy cat",
-    "concepcion": "concha conchi conchita", "dolores": "lola loli lolita", "eduardo": "edu lalo eddy", "ekaterina": "katia katya katiusha",
-    "elizabeth": "betty beth liz eliza lisa", "enrique": "kike quique", "francisco": "paco pancho fran kiko curro", "friedrich": "fritz fred",
-    "gabriela": "gabi gaby", "gerard": "gege gerry", "guadalupe": "lupe lupita", "hernan": "nano", "ignacio": "nacho",
-    "isabel": "chabela isa chavela", "jesus": "chuy chus", "joao": "joca joaozinho", "jose": "pepe pepito", "katherine": "kate kathy katy",
-    "leonardo": "leo nardo", "luis": "lula lucho luisito", "manuel": "manolo manu lolo nano", "margaret": "peggy maggie meg marge",
-    "maria": "ma mari maruja mary", "natalia": "nata nati natasha", "nikolai": "kolia kolya nico", "oswaldo": "wally waldo osvaldo valdo",
-    "patricia": "paty patri pati", "robert": "bob bobby rob robbie", "roberto": "beto tito", "santiago": "chago santi yago",
-    "teresa": "tere teresita", "theodore": "ted theo teddy", "ursula": "uxi uschi ursi", "valentina": "vale valen tina",
-    "william": "bill will billy wally willy", "xavier": "javi xavi javier", "yolanda": "yoli yola", "zacarias": "zaca zac",
+    "alejandro": ("alex", "ale", "jandro", "jano"), "angela": ("angie", "angelita"), "beatriz": ("bea", "beti"), "catherine": ("cate", "cathy", "cat"),
+    "concepcion": ("concha", "conchi", "conchita"), "dolores": ("lola", "loli", "lolita"), "eduardo": ("edu", "lalo", "eddy"),
+    "ekaterina": ("katia", "katya", "katiusha"), "elizabeth": ("betty", "beth", "liz", "eliza", "lisa"), "enrique": ("kike", "quique"),
+    "francisco": ("paco", "pancho", "fran", "kiko", "curro"), "friedrich": ("fritz", "fred"), "gabriela": ("gabi", "gaby"), "gerard": ("gege", "gerry"),
+    "guadalupe": ("lupe", "lupita"), "hernan": ("nano",), "ignacio": ("nacho",), "isabel": ("chabela", "isa", "chavela"), "jesus": ("chuy", "chus"),
+    "joao": ("joca", "joaozinho"), "jose": ("pepe", "pepito"), "katherine": ("kate", "kathy", "katy"), "leonardo": ("leo", "nardo"), "luis": ("lula", "lucho", "luisito"),
+    "manuel": ("manolo", "manu", "lolo", "nano"), "margaret": ("peggy", "maggie", "meg", "marge"), "maria": ("ma", "mari", "maruja", "mary"),
+    "natalia": ("nata", "nati", "natasha"), "nikolai": ("kolia", "kolya", "nico"), "oswaldo": ("wally", "waldo", "osvaldo", "valdo"),
+    "patricia": ("paty", "patri", "pati"), "robert": ("bob", "bobby", "rob", "robbie"), "roberto": ("beto", "tito"), "santiago": ("chago", "santi", "yago"),
+    "teresa": ("tere", "teresita"), "theodore": ("ted", "theo", "teddy"), "ursula": ("uxi", "uschi", "ursi"), "valentina": ("vale", "valen", "tina"),
+    "william": ("bill", "will", "billy", "wally", "willy"), "xavier": ("javi", "xavi", "javier"), "yolanda": ("yoli", "yola"), "zacarias": ("zaca", "zac"),
 }
 # Words for kinds of performers with their short forms; articles; marks of channels. Other additions are learned.
 KINDS = {
-    "banda": "bda", "conjunto": "conj cjto cto", "coro": "", "grupo": "gpo grup gr", "hermanos": "hnos hnas hermanas", "orquesta": "orq orkesta",
-    "trio": "3o", "dj": "deejay", "mc": "emcee", "don": "dn", "lady": "leidy",
+    "banda": ("bda",), "conjunto": ("conj", "cjto", "cto"), "coro": (), "grupo": ("gpo", "grup", "gr"), "hermanos": ("hnos", "hnas", "hermanas"),
+    "orquesta": ("orq", "orkesta"), "trio": ("3o",), "dj": ("deejay",), "mc": ("emcee",), "don": ("dn",), "lady": ("leidy",),
 }
-ARTICLES = "the los las el la l lo"
-ADDED = "oficial official topic"
-CONNECTORS = "y e i and con with et und &"
-NO_ONE = "variosartistas variousartists varios various vvaa vva va unknown unknownartist artistadesconocido desconocido desconocida anonimo anonymous interpretesvarios sinartista sinnombre nn na none null"
+ARTICLES = ("the", "los", "las", "el", "la", "l", "lo")
+ADDED = ("oficial", "official", "topic")
+CONNECTORS = ("y", "e", "i", "and", "con", "with", "et", "und", "&")
+NO_ONE = ("variosartistas", "variousartists", "varios", "various", "vvaa", "vva", "va", "unknown", "unknownartist", "artistadesconocido", "desconocido", "desconocida", "anonimo", "anonymous", "interpretesvarios", "sinartista", "sinnombre", "nn", "na", "none", "null")
 
 _WORDS: dict[str, frozenset[str]] = {}
 for _table in (NICKNAMES, KINDS):
     for _full, _short in _table.items():
-        for _w in (_full, *_short.split()):
+        for _w in (_full, *_short):
             _WORDS[_w] = _WORDS.get(_w, frozenset()) | {_full}
-_KINDS, _ARTICLES, _ADDED, _LINKS, _NO_ONE = set(KINDS), set(ARTICLES.split()), set(ADDED.split()), set(CONNECTORS.split()), set(NO_ONE.split())
+_KINDS, _ARTICLES, _ADDED, _LINKS, _NO_ONE = set(KINDS), set(ARTICLES), set(ADDED), set(CONNECTORS), set(NO_ONE)
 _LONG = sorted((w for w in [*NICKNAMES, *KINDS] if len(w) >= 4), key=len, reverse=True)
 _QUOTED = re.compile(r"[«“\"„‘‚‹](.*?)[»”\"“’‘›]")
 _PIECE = re.compile(r"[^\W_]+\.?|[&,()]")
@@ -276,8 +277,8 @@ def _tokens(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame(rows, columns=["nombre", "words", "whole"])
 
 
-def learn_words(names: DataFrame) -> DataFrame:
-    """(nombre, known, additions): the words of each name that the whole collection shows to be common, by what they are.
+def learn_words(names: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
+    """(nombre, known, additions), and the written tables that it reads: the words of each name that the whole collection shows to be common, by what they are.
 
     A word's names are looked at from their rarest word (the last one of several). A word beside COMPANIONS different rarer
     words is common. It is an addition if it mostly follows the rare word, or if most of its names also occur
@@ -296,7 +297,7 @@ def learn_words(names: DataFrame) -> DataFrame:
     stats = per.groupBy("word").agg(F.count("*").alias("beside"), (F.sum("after") / F.sum("n")).alias("after"), (F.sum("spared") / F.sum("n")).alias("spared"))
     common = materialise(stats.filter((F.col("beside") >= COMPANIONS) | (F.col("beside") >= FEW) & (F.col("spared") >= NEARLY_ALL)).select("word", ((F.col("after") >= TRAILING) | (F.col("spared") >= SPARED)).alias("addition")), "common")
     by = beside.select("nombre", "word").distinct().join(common, "word").groupBy("nombre").agg(F.collect_list(F.when(~F.col("addition"), F.col("word"))).alias("known"), F.collect_list(F.when(F.col("addition"), F.col("word"))).alias("additions"))
-    return by
+    return by, [split, common]
 
 
 def _less(word: str, most: int) -> set[str]:
@@ -400,21 +401,25 @@ def link_spellings(spellings: DataFrame, column: str = "nombre") -> DataFrame:
     runs inside the join; abbreviations meet one row per key (min and max of the owners) or per key, core and head, never all pairs.
     """
     names = materialise(spellings.select(F.col(column).alias("nombre")).filter(F.col("nombre").isNotNull()).distinct(), "names")
-    learned = learn_words(spread(names, "nombre"))
+    learned, made = learn_words(spread(names, "nombre"))
     parsed = materialise(names.join(learned, "nombre", "left").repartition(task_count(names.sparkSession), "nombre").mapInPandas(_parse, "nombre string, core string, heads string, duo boolean, initials boolean, keys array<string>, glued string"), "parsed")
     by_form = ["core", "heads", "duo"]
     forms = materialise(parsed.groupBy(*by_form).agg(F.first("initials").alias("initials"), F.first("keys").alias("keys")).withColumn("form", F.xxhash64(*by_form)), "forms")
     block = forms.select("form", "core", "heads", "duo", F.explode("keys").alias("key"))
     a, b = (block.select(F.col("key"), F.col("duo"), *[F.col(c).alias(f"{c}_{s}") for c in ("form", "core", "heads")]) for s in "ab")
     pairs = a.join(b, ["key", "duo"]).filter((F.col("form_a") < F.col("form_b")) & (F.col("key").startswith("#") | (F.levenshtein("core_a", "core_b", 4) >= 0))).select(F.col("form_a").alias("a"), F.col("form_b").alias("b"), "core_a", "heads_a", "core_b", "heads_b").distinct()
-    links = _nearest(materialise(pairs.repartition(task_count(names.sparkSession), "a", "b").mapInPandas(_accept, "a long, b long, cost double"), "accepted"))
+    accepted = materialise(pairs.repartition(task_count(names.sparkSession), "a", "b").mapInPandas(_accept, "a long, b long, cost double"), "accepted")
+    links = _nearest(accepted)
     # the same letters with other blanks between them ("LosNirvindo") are one form: a star to the smallest, no pairs
     joined = parsed.select("glued", F.xxhash64(*by_form).alias("a")).distinct()
     stars = joined.join(joined.groupBy("glued").agg(F.min("a").alias("b")), "glued").select("a", "b").filter("a <> b")
     roots = connected_components(links.unionByName(stars))
     owned = materialise(forms.join(roots.withColumnRenamed("node", "form"), "form", "left").withColumn("root", F.coalesce("root", "form")), "owned")
-    final = _resolve(owned)
-    return parsed.join(final, by_form).select("nombre", F.col("entidad"))
+    final, used = _resolve(owned)
+    out = materialise(parsed.join(final, by_form).select("nombre", F.col("entidad")), "spellings")
+    for table in (names, *made, parsed, forms, accepted, owned, *used):
+        discard(table)
+    return out
 
 
 def _near_keys(core: str) -> set[str]:
@@ -469,8 +474,8 @@ def _agree(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield batch.loc[keep, ["root", "rank", "lo", "hi", "what", "of"]]
 
 
-def _resolve(owned: DataFrame) -> DataFrame:
-    """(core, heads, duo, entidad): abbreviated forms take the artist they can only mean."""
+def _resolve(owned: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
+    """(core, heads, duo, entidad), and the written tables that it reads: abbreviated forms take the artist they can only mean."""
     full = owned.filter(~F.col("initials")).select("core", "heads", "duo", "root")
     offers = spread(full, "core", "heads").mapInPandas(_offers, "key string, root long, what string, of string")
     owner = offers.filter(~F.col("key").startswith("~")).groupBy("key").agg(F.min("root").alias("owner"), F.min("what").alias("w1"), F.max("what").alias("w2")).filter("w1 = w2").select("key", "owner")
@@ -488,7 +493,7 @@ def _resolve(owned: DataFrame) -> DataFrame:
     # an owner may itself be short for another one: from an initial to a given name to a given and a middle name
     whole = connected_components(to, "root", "owner")
     final = owned.join(whole.select(F.col("node").alias("root"), F.col("root").alias("entidad")), "root", "left")
-    return final.select("core", "heads", "duo", F.coalesce("entidad", "root").alias("entidad"))
+    return final.select("core", "heads", "duo", F.coalesce("entidad", "root").alias("entidad")), [asks, to]
 
 
 def spelling_pairs(linked: DataFrame) -> DataFrame:

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tonalis.llm.top_groups import rank_limit
-from tonalis.materialise import materialise, spread
+from tonalis.materialise import discard, materialise, spread
 
 #: The axes of a track's vector (fixed values of the project).
 AXES = (
@@ -25,6 +25,8 @@ NEUTRAL = 0.5
 FIT_ROWS, MAX_CENTRES = 50_000, 4096
 #: Vectors of a list on average: the number of lists grows with the table, the work for a vector does not.
 LIST_ROWS = 1024
+#: Lists up to which the table of their pieces (a row a list) is broadcast.
+BROADCAST_LISTS = 200_000
 #: Lists that a vector is looked for in; half-width of the error bound in standard deviations.
 PROBES, WIDTH = 10, 2.5
 #: Bits of a code, bits of a query's coordinate; index rows and queries of one task.
@@ -209,7 +211,8 @@ def nearest(vectors: DataFrame, *, id_col: str, vector: Column, k: int = 5) -> D
     spark = vectors.sparkSession
     base = vectors.select(F.col(id_col).cast("long").alias("id"), vector.alias("vec")).filter(F.col("id").isNotNull() & F.col("vec").isNotNull())
     few = rank_limit(base.distinct(), ["vec"], [F.asc("id")], k + 1)
-    classes = spread(materialise(few.groupBy("vec").agg(F.sort_array(F.collect_list("id")).alias("ids")).select("vec", "ids", F.col("ids")[0].alias("cls")), "classes"), "cls")
+    kept = materialise(few.groupBy("vec").agg(F.sort_array(F.collect_list("id")).alias("ids")).select("vec", "ids", F.col("ids")[0].alias("cls")), "classes")
+    classes = spread(kept, "cls")
     total = classes.count()
     sample = [r.vec for r in classes.select("vec", F.xxhash64("cls").alias("h"), "cls").orderBy("h", "cls").limit(FIT_ROWS).collect()]
     least = [r.id for r in base.select("id").distinct().orderBy("id").limit(k + 1).collect()]
@@ -224,7 +227,8 @@ def nearest(vectors: DataFrame, *, id_col: str, vector: Column, k: int = 5) -> D
     ask = coded.select(F.col("cls").alias("asked"), F.col("unit").alias("of"), F.explode("probes").alias("list"))
     # a row a list: how many pieces its vectors and its queries are cut into
     cuts = at.groupBy("list").agg(F.ceil(F.count("*") / CHUNK).cast("int").alias("pieces")).join(ask.groupBy("list").agg(F.ceil(F.count("*") / QUERIES).cast("int").alias("blocks")), "list")
-    cuts = F.broadcast(materialise(cuts, "cuts"))
+    written = materialise(cuts, "cuts")
+    cuts = F.broadcast(written) if written.count() <= BROADCAST_LISTS else written
     index = at.join(cuts, "list").select("cls", "ids", "code", "norm", "align", "unit", "list", F.expr("pmod(xxhash64(cls, 1), pieces)").cast("int").alias("piece"), F.explode(F.expr("sequence(0, blocks - 1)")).alias("block"))
     wanted = ask.join(cuts, "list").select("asked", "of", "list", F.explode(F.expr("sequence(0, pieces - 1)")).alias("piece"), F.expr("pmod(xxhash64(asked, 2), blocks)").cast("int").alias("block"))
 
@@ -241,6 +245,8 @@ def nearest(vectors: DataFrame, *, id_col: str, vector: Column, k: int = 5) -> D
     zero = F.array(*[F.struct(F.lit(0.0).alias("n"), F.lit(i).cast("long").alias("id")) for i in least]) if least else F.col("best")
     best = coded.select("cls", F.col("ids").alias("own"), "vec", F.forall("vec", lambda x: x == 0).alias("flat")).join(merged, "cls").withColumn("best", F.when(F.col("flat"), zero).otherwise(F.col("best")))
     best = materialise(best.select("own", "vec", "best"), "best")
+    for table in (kept, coded, written):
+        discard(table)
     mine = best.select(F.explode("own").alias("id"), "best")
     # classes with more members than the list holds: the rest are joined by vector, salted because one class may be a third of all
     salts = 32

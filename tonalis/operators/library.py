@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -116,3 +116,22 @@ def free_names(wanted: DataFrame, taken: DataFrame) -> DataFrame:
     first = ranked.groupBy("nombre").agg(F.coalesce(F.min(F.when(F.col("k") != F.col("_due"), F.col("_due"))), F.max("k") + 1).alias("n"))
     j = want.join(names.withColumn("_taken", F.lit(True)), "nombre", "left").join(first, "nombre", "left")
     return j.select("nombre", F.when(F.col("_taken").isNull(), F.col("nombre")).otherwise(F.concat_ws(" ", "nombre", F.coalesce("n", F.lit(2)).cast("string"))).alias("libre"))
+
+
+def track_order(name: str, key: Callable[[str], Column]) -> list[Column]:
+    """The sort keys of a track listing by name, ending with the id; unknown names sort by title. ``key`` gives the sort key of a text column."""
+    number, zero = F.coalesce("track_number", F.lit(9999)), F.lit(0)
+    title, artist, album = key("titulo"), key("artista_nombre"), key("album_titulo")
+    year, length, plays = F.coalesce("anio", zero), F.coalesce("duracion_seg", F.lit(0.0)), F.coalesce("veces_reproducida", zero)
+    table = {
+        "titulo": [title.asc(), artist.asc()], "titulo_desc": [title.desc(), artist.asc()], "artista": [artist.asc(), album.asc(), number.asc()], "artista_desc": [artist.desc(), album.asc(), number.asc()],
+        "album": [album.asc(), number.asc(), title.asc()], "album_desc": [album.desc(), number.asc(), title.asc()], "anio": [year.desc(), title.asc()], "anio_asc": [year.asc(), title.asc()],
+        "duracion": [length.desc(), title.asc()], "duracion_asc": [length.asc(), title.asc()], "reproducida": [plays.desc(), title.asc()], "reproducida_asc": [plays.asc(), title.asc()],
+        "reciente": [F.desc_nulls_last("ultimo_acceso"), F.desc_nulls_last("actualizado_en")], "reciente_asc": [F.asc_nulls_first("ultimo_acceso"), F.asc_nulls_first("actualizado_en")],
+    }
+    return [*table.get(name, [title.asc()]), F.asc("id")]
+
+
+def track_page(tracks: DataFrame, order: str, key: Callable[[str], Column], limit: int, offset: int = 0, predicates: Sequence[Column] = ()) -> DataFrame:
+    """A page of the library in one of the orders of :func:`track_order`: the sort stops at the page (top-k), nothing is sorted whole."""
+    return page(in_library(tracks).filter(all_of(predicates)), track_order(order, key), limit, offset)

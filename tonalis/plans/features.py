@@ -173,3 +173,22 @@ SELECT pista_id, round(((CASE WHEN m IS NULL OR isnan(m) THEN 0.5 ELSE m END - 0
 def axes_fit(t: Tables) -> DataFrame:
     """How well every track fits wanted axes."""
     return t.ejes_pista.filter("valores is not null").select("pista_id", F.round(U.axes_score(F.col("valores"), _WANTED), 8).alias("puntaje"))
+
+
+_LABEL = "CASE intencion " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in U.INTENT_LABELS.items()) + " END"
+
+
+@query(f"WITH x AS (SELECT id, {cmp_sql('prompt_original')} AS q FROM dj_sesiones), w AS (SELECT * FROM (" + " UNION ALL ".join(f"SELECT id, '{k}' AS intencion, CAST({_weight(k)} AS DOUBLE) AS peso FROM x" for k in U.KEYWORDS) + f""") WHERE peso > 0),
+g AS (SELECT id, count(*) AS n, min(intencion) AS una, string_agg({_LABEL}, ' + ' ORDER BY intencion) AS nombres FROM w GROUP BY id) SELECT x.id, CASE WHEN g.n IS NULL THEN 'generic' WHEN g.n = 1 THEN g.una ELSE 'mixed' END AS intencion, CASE WHEN g.n IS NULL THEN 'Selección musical general' ELSE 'Selección ' || nombres END AS etiqueta FROM x LEFT JOIN g USING (id)""")
+def prompt_summaries(t: Tables) -> DataFrame:
+    """What every prompt asks for in one word, with a label; prompts without an intent are generic."""
+    return t.dj_sesiones.select("id", U.intent_summary(compare_form(F.col("prompt_original"))).alias("s")).select("id", "s.intencion", "s.etiqueta")
+
+
+@query(f"""SELECT id, {clip_sql('round(x * 1.5, 6)')} AS mood_sad, {clip_sql('round(v, 6)')} AS valence, CASE WHEN id % 3 = 0 THEN NULL ELSE 200 END AS embeddings_dim FROM (SELECT id, {known_sql('mood_sad')} AS x, {known_sql('valence')} AS v FROM pista_candidata WHERE mood_sad IS NOT NULL AND valence IS NOT NULL)""")
+def model_columns(t: Tables) -> DataFrame:
+    """The outputs of models as JSON turned into columns; here made from the stored features."""
+    rows = t.pista_candidata.filter("mood_sad is not null and valence is not null")
+    real = lambda c: F.when(~F.isnan(c), c)
+    out = F.to_json(F.struct(F.struct(real(F.round(F.col("mood_sad") * 1.5, 6)).alias("score")).alias("mood_sad"), F.struct(real(F.round("valence", 6)).alias("valence")).alias("arousal_valence"), F.when(F.col("id") % 3 != 0, F.struct(F.lit(200).alias("dim"))).alias("msd_musicnn_embeddings")))
+    return rows.select("id", U.model_fields(out).alias("m")).select("id", "m.mood_sad", "m.valence", "m.embeddings_dim")

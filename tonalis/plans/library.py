@@ -184,3 +184,32 @@ def latest_biography(t: Tables) -> DataFrame:
     """The latest document of a kind for each entity."""
     d = t.documents.filter("artista_id is not null and tipo = 'biografia'")
     return d.groupBy("artista_id").agg(F.max_by("doc_id", F.struct("creado_en", "doc_id")).alias("doc_id"), F.max("creado_en").alias("creado_en"), F.count("*").alias("n"))
+
+
+_KEY = lambda c: f"CASE WHEN {c} IS NULL OR trim({c}) = '' THEN '3' WHEN regexp_matches({cmp_sql(c)}, '^[0-9]') THEN '0' WHEN regexp_matches({cmp_sql(c)}, '^[a-z]') THEN '1' ELSE '2' END || coalesce({cmp_sql(c)}, '')"
+_ORDERS = {
+    "titulo": "kt, ka", "titulo_desc": "kt DESC, ka", "artista": "ka, kb, n", "artista_desc": "ka DESC, kb, n", "album": "kb, n, kt", "album_desc": "kb DESC, n, kt", "anio": "coalesce(anio, 0) DESC, kt", "anio_asc": "coalesce(anio, 0), kt",
+    "duracion": "coalesce(duracion_seg, 0) DESC, kt", "duracion_asc": "coalesce(duracion_seg, 0), kt", "reproducida": "coalesce(veces_reproducida, 0) DESC, kt", "reproducida_asc": "coalesce(veces_reproducida, 0), kt",
+    "reciente": "ultimo_acceso DESC NULLS LAST, actualizado_en DESC NULLS LAST", "reciente_asc": "ultimo_acceso NULLS FIRST, actualizado_en NULLS FIRST",
+}
+
+
+@query(f"WITH k AS (SELECT *, {_KEY('titulo')} AS kt, {_KEY('artista_nombre')} AS ka, {_KEY('album_titulo')} AS kb, coalesce(track_number, 9999) AS n FROM pistas WHERE estado = 'biblioteca') " + " UNION ALL ".join(f"(SELECT '{o}' AS orden, id FROM k ORDER BY {s}, id LIMIT 6 OFFSET 2)" for o, s in _ORDERS.items()))
+def tracks_orders(t: Tables) -> DataFrame:
+    """A page of the library in each of its fourteen orders."""
+    key = lambda c: L.sort_key(F.col(c), X.compare_form(F.col(c)))
+    out = None
+    for o in _ORDERS:
+        one = L.track_page(t.pistas, o, key, 6, 2).select(F.lit(o).alias("orden"), "id")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+@query("""SELECT id, titulo, CASE WHEN isrc IS NULL THEN 'sin_codigo' WHEN mb_recording_id IS NULL THEN 'sin_identidad' ELSE 'otra' END AS causa, CAST(indexado_en AS DATE) AS sesion FROM pistas WHERE estado IN ('revision', 'cuarentena')
+AND CASE WHEN isrc IS NULL THEN 'sin_codigo' WHEN mb_recording_id IS NULL THEN 'sin_identidad' ELSE 'otra' END = 'sin_codigo' AND contains(lower(titulo || ' ' || artista_nombre), 'a') AND CAST(indexado_en AS DATE) >= DATE '2020-01-01'""")
+def pending_filtered(t: Tables) -> DataFrame:
+    """Pending tracks of one cause, from a session on, that hold a text."""
+    cause = F.when(F.col("isrc").isNull(), "sin_codigo").when(F.col("mb_recording_id").isNull(), "sin_identidad").otherwise("otra")
+    rows = t.pistas.filter(F.col("estado").isin("revision", "cuarentena")).withColumns({"causa": cause, "sesion": F.to_date("indexado_en")})
+    rules = [F.col("causa") == "sin_codigo", L.contains_text("a", "titulo", "artista_nombre"), F.col("sesion") >= F.lit("2020-01-01").cast("date")]
+    return rows.filter(L.all_of(rules)).select("id", "titulo", "causa", "sesion")

@@ -138,3 +138,64 @@ def source_permutation(t: Tables) -> DataFrame:
 @query("SELECT id, coalesce(nullif(trim(isrc), ''), nullif(trim(mb_recording_id), ''), nullif(trim(titulo), '')) AS clave FROM pistas")
 def source_first_present(t: Tables) -> DataFrame:
     return t.pistas.select("id", J.first_present("isrc", "mb_recording_id", "titulo").alias("clave"))
+
+
+@query("""WITH a AS (SELECT album_id, id AS pista_id, titulo, indexado_en AS t, [genero] AS g, 0 AS n FROM pistas WHERE album_id IS NOT NULL AND genero IS NOT NULL UNION ALL SELECT album_id, id, titulo || ' *', actualizado_en, [estado], 1 FROM pistas WHERE album_id IS NOT NULL AND genero IS NOT NULL AND estado <> 'biblioteca')
+SELECT album_id, pista_id, arg_max(titulo, (t, n)) AS titulo, max(t) AS t, list_sort(list_distinct(flatten(list(g)))) AS etiquetas FROM a GROUP BY 1, 2""")
+def source_merge(t: Tables) -> DataFrame:
+    """Album manifests merged by track, their sets united."""
+    own = t.pistas.filter("album_id is not null and genero is not null")
+    old = own.select("album_id", F.col("id").alias("pista_id"), "titulo", F.col("indexado_en").alias("t"), F.array("genero").alias("etiquetas"))
+    new = own.filter("estado <> 'biblioteca'").select("album_id", F.col("id").alias("pista_id"), F.concat("titulo", F.lit(" *")).alias("titulo"), F.col("actualizado_en").alias("t"), F.array("estado").alias("etiquetas"))
+    return C.merged_entries(old, new, "album_id", "pista_id", "t", ["etiquetas"])
+
+
+_SA = "coalesce(nullif(" + _SLUG.format("album_titulo") + ", ''), 'sin_titulo')"
+
+
+@query(f"""WITH w AS (SELECT DISTINCT artista_id, {_SA} AS titulo_slug FROM pistas WHERE artista_id IS NOT NULL), h AS (SELECT artista_id, titulo_slug, min(id) AS id FROM albums GROUP BY 1, 2), n AS (SELECT w.*, row_number() OVER (ORDER BY w.artista_id, encode(w.titulo_slug)) AS k FROM w LEFT JOIN h USING (artista_id, titulo_slug) WHERE h.id IS NULL)
+SELECT w.artista_id, w.titulo_slug, coalesce(h.id, (SELECT max(id) FROM albums) + n.k) AS id, h.id IS NULL AS nueva FROM w LEFT JOIN h USING (artista_id, titulo_slug) LEFT JOIN n USING (artista_id, titulo_slug)""")
+def source_assign_albums(t: Tables) -> DataFrame:
+    """The album of every track by artist and slug, with new numbers for those without one."""
+    rows = t.pistas.select("artista_id", slug(F.col("album_titulo")).alias("titulo_slug"))
+    return C.assign_keys(rows, t.albums, ["artista_id", "titulo_slug"], "id").select("artista_id", "titulo_slug", "id", "nueva")
+
+
+@query("""WITH g AS (SELECT id FROM pistas WHERE estado = 'cuarentena') SELECT 'historial' AS tabla, count(*) AS n FROM historial WHERE pista_id IS NULL OR pista_id NOT IN (SELECT id FROM g) UNION ALL SELECT 'score_detalle', count(*) FROM score_detalle WHERE pista_id NOT IN (SELECT id FROM g)
+UNION ALL SELECT 'ejes_pista', count(*) FROM ejes_pista WHERE pista_id NOT IN (SELECT id FROM g) UNION ALL SELECT 'pista_candidata', count(*) FROM pista_candidata WHERE id NOT IN (SELECT id FROM g) UNION ALL SELECT 'lapidas', count(*) FROM g""")
+def source_cascade_all(t: Tables) -> DataFrame:
+    """The rows of every dependent table after tracks in quarantine are removed, and their tombstones."""
+    children = {"historial": (t.historial, "pista_id"), "score_detalle": (t.score_detalle, "pista_id"), "ejes_pista": (t.ejes_pista, "pista_id"), "pista_candidata": (t.pista_candidata, "id")}
+    left, tombs = C.cascade(t.pistas.filter("estado = 'cuarentena'"), "id", children, 1)
+    out = tombs.agg(F.lit("lapidas").alias("tabla"), F.count("*").alias("n")).select("tabla", "n")
+    for name, df in left.items():
+        out = out.unionByName(df.agg(F.lit(name).alias("tabla"), F.count("*").alias("n")).select("tabla", "n"))
+    return out
+
+
+@query("""WITH p AS (SELECT user_id, event_type, count(*) AS n, sum(value) AS s FROM events GROUP BY 1, 2) SELECT user_id, CAST(sum(n) AS BIGINT) AS total, round(sum(s), 3) AS segundos, CAST(sum(n) FILTER (event_type = 'error') AS BIGINT) AS errores FROM p GROUP BY 1""")
+def source_report(t: Tables) -> DataFrame:
+    """Reports of runs written as JSON lines and read back; here a user is a run and an event type a state."""
+    path = f"{shared_folder(t.spark)}/tonalis-reports/{uuid.uuid4().hex}"
+    J.write_jsonl(C.run_report(t.events, "user_id", "event_type", "value"), path)
+    back = J.read_jsonl(t.spark, path, "user_id bigint, informe string")
+    r = F.from_json("informe", "total bigint, segundos double, estados map<string,bigint>")
+    return back.select("user_id", r["total"].alias("total"), r["segundos"].alias("segundos"), r["estados"]["error"].alias("errores"))
+
+
+@query("SELECT artista_id, count(*) AS n, round(sum(duracion_seg), 2) AS duracion FROM pistas WHERE artista_id IS NOT NULL GROUP BY 1")
+def source_swap(t: Tables) -> DataFrame:
+    """A table replaced whole, twice, and read back."""
+    path = f"{shared_folder(t.spark)}/tonalis-swap/{uuid.uuid4().hex}"
+    per = t.pistas.filter("artista_id is not null").groupBy("artista_id").agg(F.count("*").alias("n"), F.round(F.sum("duracion_seg"), 2).alias("duracion"))
+    C.swap_in(per.filter("n > 1"), path)
+    C.swap_in(per, path)
+    return t.spark.read.schema(per.schema).parquet(path)
+
+
+@query("""SELECT nombre, extension FROM (VALUES ('albums.parquet', '.parquet'), ('artistas.parquet', '.parquet'), ('documents.parquet', '.parquet'), ('historial.parquet', '.parquet'), ('pistas.parquet', '.parquet')) AS v(nombre, extension)""")
+def source_scan(t: Tables) -> DataFrame:
+    """The table files of the library by name, extension and least size: a scan that reads no content."""
+    f = S.scan_files(t.spark, t.folder).withColumn("extension", S.extension(F.col("nombre")))
+    wanted = F.col("nombre").isin("albums.parquet", "artistas.parquet", "documents.parquet", "historial.parquet", "pistas.parquet", "nada.parquet")
+    return f.filter(F.col("extension").isin(".parquet", ".mp3") & (F.col("bytes") >= 100) & wanted).select("nombre", "extension").orderBy("nombre")

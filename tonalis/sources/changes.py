@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -82,3 +84,45 @@ def next_index(index: Column, length: Column, repeat: str) -> Column:
         return index
     step = index + 1
     return F.when(length <= 0, None).otherwise(F.pmod(step, length) if repeat == "all" else F.when(step < length, step))
+
+
+def merged_entries(old: DataFrame, new: DataFrame, group: str, entry: str, time: str, sets: Sequence[str] = ()) -> DataFrame:
+    """Manifests merged entry by entry: of each (group, entry) the later row of both sides, the new one on equal times; the array columns ``sets``
+    become the union of both sides, sorted."""
+    rest = [c for c in old.columns if c not in (group, entry, *sets)]
+    both = old.withColumn("_new", F.lit(0)).unionByName(new.withColumn("_new", F.lit(1)))
+    unions = [F.array_sort(F.array_distinct(F.flatten(F.collect_list(F.coalesce(F.col(c), F.array().cast("array<string>")))))).alias(c) for c in sets]  # at most two rows a key
+    return both.groupBy(group, entry).agg(F.max_by(F.struct(*rest), F.struct(time, "_new")).alias("_r"), *unions).select(group, entry, *[f"_r.{c}" for c in rest], *sets)
+
+
+def cascade(removed: DataFrame, key: str, children: dict[str, tuple[DataFrame, str]], version: int) -> tuple[dict[str, DataFrame], DataFrame]:
+    """The tables without what belongs to removed rows, and their tombstones (entidad, entidad_id, version).
+
+    ``children``: name -> (table, column that holds the key). Every table is one anti join; rows without a parent stay.
+    """
+    gone = removed.select(key).filter(F.col(key).isNotNull()).distinct()
+    left = {name: without(df, gone, column, key) for name, (df, column) in children.items()}
+    return left, gone.select(F.lit("pista").alias("entidad"), F.col(key).alias("entidad_id"), F.lit(version).cast("bigint").alias("version"))
+
+
+def swap_in(df: DataFrame, path: str) -> None:
+    """Replace the table at ``path`` whole: written beside it first, then renamed; readers see the old or the new table, and a failed write changes nothing."""
+    spark = df.sparkSession
+    jvm = spark.sparkContext._jvm
+    at, new, old = (jvm.org.apache.hadoop.fs.Path(path.rstrip("/") + end) for end in ("", "._new", "._old"))
+    fs = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    df.write.mode("overwrite").parquet(new.toString())
+    fs.delete(old, True)
+    if fs.exists(at):
+        fs.rename(at, old)
+    if not fs.rename(new, at):
+        fs.rename(old, at)
+        raise OSError(f"could not replace {path}")
+    fs.delete(old, True)
+
+
+def run_report(log: DataFrame, run: str, state: str, seconds: str) -> DataFrame:
+    """(run, informe): a JSON report of each run: how many of each state, in all, and the seconds taken; what a sink of JSON lines writes."""
+    per = log.groupBy(run, state).agg(F.count("*").alias("_n"), F.sum(seconds).alias("_s"))
+    all_states = F.map_from_entries(F.array_sort(F.collect_list(F.struct(F.coalesce(state, F.lit("")).alias("k"), F.col("_n").alias("v")))))
+    return per.groupBy(run).agg(all_states.alias("estados"), F.sum("_n").alias("total"), F.round(F.sum("_s"), 3).alias("segundos")).select(run, F.to_json(F.struct("total", "segundos", "estados")).alias("informe"))

@@ -320,3 +320,100 @@ def test_bounded_ratio_equals_the_sequence_ratio_from_its_limit_on():
     for a, b in product(("cancion", "canson", "", "mar azul", "luz"), repeat=2):
         r = SequenceMatcher(None, a, b).ratio()
         assert bounded_ratio(a, b, 0.8) == (r if r >= 0.8 and (a or b) else 0.0)
+
+
+def test_manifests_merge_by_entry_and_unite_sets(spark):
+    schema = "g long, e long, v string, t long, s array<string>"
+    old = spark.createDataFrame([(1, 1, "a", 5, ["x"]), (1, 2, "b", 5, ["y"])], schema)
+    new = spark.createDataFrame([(1, 1, "A", 5, ["z", "x"]), (1, 2, "B", 4, None), (2, 9, "C", 1, [])], schema)
+    got = {(r.g, r.e): (r.v, r.s) for r in changes.merged_entries(old, new, "g", "e", "t", ["s"]).collect()}
+    assert got == {(1, 1): ("A", ["x", "z"]), (1, 2): ("b", ["y"]), (2, 9): ("C", [])}
+
+
+def test_a_table_is_replaced_whole_and_a_failed_write_changes_nothing(spark, tmp_path):
+    path = str(tmp_path / "t")
+    changes.swap_in(spark.range(3), path)
+    changes.swap_in(spark.range(5), path)
+    assert spark.read.parquet(path).count() == 5
+    with pytest.raises(Exception, match="(?i)divi"):
+        changes.swap_in(spark.range(2).select((F.lit(1) / (F.col("id") * 0)).alias("x")), path)
+    assert spark.read.parquet(path).count() == 5
+
+
+def test_cascade_keeps_rows_without_a_parent_and_leaves_tombstones(spark):
+    plays = spark.createDataFrame([(1, 7), (2, None), (3, 8)], "id long, pista_id long")
+    left, tombs = changes.cascade(spark.createDataFrame([(7,), (7,), (None,)], "id long"), "id", {"h": (plays, "pista_id")}, 42)
+    assert sorted(r.id for r in left["h"].collect()) == [2, 3] and [tuple(r) for r in tombs.collect()] == [("pista", 7, 42)]
+
+
+def test_smoothed_and_queue_estimates(spark):
+    steps = spark.createDataFrame([("r", 1, 2.0, 6), ("r", 2, 4.0, 6), ("r", 3, 9.0, 6), ("s", 1, 1.0, 3), ("u", 1, 1.0, 2), ("u", 2, 8.0, 2)], "run string, k int, e double, total int")
+    got = {r.run: (r.hechos, r.resto) for r in jobs.smoothed_rest(steps, "run", "k", "e", "total").collect()}
+    mean = 0.25 * 3.0 + 0.75 * 2.0  # after two items 4 s / 2, after three 9 s / 3
+    assert got == {"r": (3, round(mean * 3)), "s": (1, None), "u": (2, None)}
+    n = lambda *x: one(spark, jobs.queue_rest(*[F.lit(v) for v in x]))
+    assert n(2, 5, 20.0, 0.0, 0.0) == 30.0 and n(0, 3, 0.0, 0.5, 10.0) == 50.0 and n(0, 3, 0.0, 0.01, 10.0) is None
+
+
+def test_sources_are_fused(spark):
+    rows = [(1, "Luz", "Ana", None, "Luz", "Ana", None, 0.95), (2, None, "", None, "Mar", "Eva", "US-ABC-12-34567", None), (3, "Luz", "Ana", None, None, None, None, 0.8), (4, "Luz", "Ana", None, "Otra", "Nadie", None, None)]
+    df = spark.createDataFrame(rows, "id long, titulo string, artista_nombre string, isrc string, x_titulo string, x_artista string, x_isrc string, huella double")
+    got = {r.id: r for r in resolve.fused(df).collect()}
+    assert got[1].confianza == 0.55 and got[3].confianza == 0.15 and got[4].confianza == 0.0
+    assert (got[2].titulo, got[2].artista, got[2].fuente_titulo, got[2].isrc, got[2].confianza) == ("Mar", "Eva", "externa", "USABC1234567", 0.30)
+
+
+def test_hints_and_third_look(spark):
+    assert one(spark, resolve.hint_evidence(F.lit(1.0), F.lit(1.0), F.lit(3.0), F.lit(True))) == 1.0
+    assert one(spark, resolve.hint_evidence(F.lit(0.5), F.lit(0.0), F.lit(None).cast("double"), F.lit(None).cast("boolean"))) == 0.275
+    ev = spark.createDataFrame([(1, 1, 0.95, True), (1, 2, 0.80, True), (2, 3, 0.95, True), (3, 4, 0.95, True), (3, 5, 0.85, True)], "id long, c_id long, evidencia double, fuerte boolean")
+    hints = spark.createDataFrame([(1, 0.8), (2, 0.79), (3, 0.9)], "id long, pista double")
+    assert [r.id for r in resolve.third_look(ev, hints).collect()] == [1]
+
+
+def test_picture_hashes_volumes_and_phases(spark):
+    grey = F.array(*[F.lit(float(v)) for v in [10] * 32 + [200] * 32])
+    h = one(spark, smartlists.picture_hash(grey, F.lit(255), F.lit(16), F.lit(0)))
+    assert h.forma == 2**32 - 1 and h.color == 0xF10
+    v = one(spark, planner.volumes(F.lit("harmonic_mix"), F.lit(0.5)))
+    assert (v.sale, v.entra) == (0.7, 0.7) and one(spark, planner.volumes(F.lit("hard_cut"), F.lit(0.5))).entra == 1.0
+    assert planner.phase_at("stable", 0.0) == ("warmup", planner.PHASE_TARGETS["warmup"]) and planner.phase_at("stable", 1.0)[0] == "cooldown"
+    name, target = planner.phase_at("stable", 0.0999999)  # the end of a phase is the next one's target
+    assert name == "warmup" and target == pytest.approx(planner.PHASE_TARGETS["groove"], abs=1e-4)
+
+
+def test_playlists_close_over_tracks_albums_and_artists(spark):
+    t = tracks(spark, [dict(id=1, album_id=10, artista_id=100), dict(id=2, album_id=None, artista_id=None), dict(id=3)])
+    lists = spark.createDataFrame([(5,), (6,)], "id long")
+    members = spark.createDataFrame([(5, 1), (5, 2), (6, 3), (5, 99)], "lista_id long, pista_id long")
+    got = {(r.entidad, r.entidad_id) for r in sync.playlist_closure(t, lists, members, [5]).collect()}
+    assert got == {("pista", 1), ("pista", 2), ("album", 10), ("artista", 100), ("lista", 5)}
+    rows = spark.createDataFrame([(1, 0, 5), (2, 1, 9)], "id long, f int, version long")
+    assert {r.id: (r.f, r.version) for r in sync.toggled(rows, spark.createDataFrame([(1,), (1,)], "id long"), "f").collect()} == {1: (1, 10), 2: (1, 9)}
+
+
+def test_rules_dispatch_by_name_and_broken_ones_give_nothing(spark):
+    lists = {"a": spark.createDataFrame([(k, k) for k in range(1, 80)], "id long, puesto int")}
+    rules = spark.createDataFrame([(1, '{"regla": "a", "limite": 2}'), (2, '{"regla": "a"}'), (3, '{"regla": "b"}'), (4, "{"), (5, None)], "regla_id int, regla_json string")
+    got = {}
+    for r in smartlists.dispatched(rules, lists).collect():
+        got.setdefault(r.regla_id, []).append(r.id)
+    assert sorted(got[1]) == [1, 2] and len(got[2]) == 50 and set(got) == {1, 2}
+
+
+def test_never_pool_falls_back_and_lacking_names_what_is_missing(spark):
+    t = tracks(spark, [dict(id=1, veces_reproducida=1), dict(id=2, veces_reproducida=9)])
+    none = spark.createDataFrame([], "pista_id long")
+    assert [r.id for r in quality.never_pool(t, none).collect()] == [1]
+    t = tracks(spark, [dict(id=1), dict(id=2), dict(id=3, veces_reproducida=1)])
+    assert [r.id for r in quality.never_pool(t, spark.createDataFrame([(1,)], "pista_id long")).collect()] == [2]
+    df = spark.createDataFrame([(1, None, "x"), (2, "y", "x")], "id long, a string, b string")
+    assert [(r.id, r.faltan) for r in quality.lacking(df, "id", {"A": "a", "B": "b"}).collect()] == [(1, ["A"])]
+
+
+def test_model_fields_of_broken_json_are_null(spark):
+    m = one(spark, features.model_fields(F.lit('{"danceability": {"score": 1.4}, "audioset_vggish_embeddings": {"dim": 128}}')))
+    assert m.danceability_model == 1.0 and m.embeddings_dim == 128 and m.mood_sad is None
+    assert one(spark, features.model_fields(F.lit("{"))).danceability_model is None
+    s = one(spark, features.intent_summary(F.lit("algo")))
+    assert (s.intencion, s.etiqueta) == ("generic", "Selección musical general")

@@ -78,7 +78,7 @@ def smoothed_rest(steps: DataFrame, run: str, order: str, elapsed: str, total: s
     ranked = usable.join(done.select(run, "hechos"), run).join(first, run)
     weight = F.pow(F.lit(1 - share), F.col("hechos") - F.col("_k")) * F.when(F.col("_k") == F.col("_f"), 1.0).otherwise(share)
     mean = ranked.groupBy(run).agg(F.sum(F.col("_v") * weight).alias("_m"))
-    rest = F.when(F.col("_t") > F.col("hechos"), F.greatest(F.lit(1), F.round(F.col("_m") * (F.col("_t") - F.col("hechos"))).cast("int")))
+    rest = F.when((F.col("_t") > F.col("hechos")) & F.col("_m").isNotNull(), F.greatest(F.lit(1), F.round(F.col("_m") * (F.col("_t") - F.col("hechos"))).cast("int")))
     return done.join(mean, run, "left").select(run, F.col("hechos").cast("int").alias("hechos"), rest.alias("resto"))
 
 

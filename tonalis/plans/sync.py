@@ -189,7 +189,7 @@ _RUNS = """s AS (SELECT user_id, ts, epoch_us(ts) / 1e6 - min(epoch_us(ts)) OVER
 
 @query(f"""WITH {_RUNS}, n AS (SELECT s.user_id, e, total, row_number() OVER (PARTITION BY s.user_id ORDER BY ts, e) AS k FROM s JOIN t ON t.user_id = s.user_id), u AS (SELECT *, e / k AS v, row_number() OVER (PARTITION BY user_id ORDER BY k DESC) - 1 AS b, count(*) OVER (PARTITION BY user_id) AS n FROM n WHERE e >= 3 AND k >= 2),
 m AS (SELECT user_id, sum(v * pow(0.75, b) * CASE WHEN b = n - 1 THEN 1.0 ELSE 0.25 END) AS m FROM u GROUP BY 1), d AS (SELECT user_id, max(k) AS hechos, max(total) AS total FROM n GROUP BY 1)
-SELECT d.user_id, CAST(hechos AS INT) AS hechos, CASE WHEN total > hechos THEN greatest(1, CAST(round(m * (total - hechos)) AS INT)) END AS resto FROM d LEFT JOIN m ON m.user_id = d.user_id""")
+SELECT d.user_id, CAST(hechos AS INT) AS hechos, CASE WHEN total > hechos AND m IS NOT NULL THEN greatest(1, CAST(round(m * (total - hechos)) AS INT)) END AS resto FROM d LEFT JOIN m ON m.user_id = d.user_id""")
 def import_eta(t: Tables) -> DataFrame:
     """What every run still needs by a smoothed mean; here a user is a run and an error an item that is still to be done."""
     start = t.events.filter("event_type <> 'error'").groupBy("user_id").agg(F.min("ts").alias("_s"))

@@ -43,3 +43,23 @@ def test_ambiguity_never_sinks_a_score_from_review_on_below_it(spark):
     df = spark.createDataFrame([(9, 1, 0.60), (9, 2, 0.58), (8, 1, 0.54), (8, 2, 0.50), (7, 1, 0.05)], "id long, c_id long, puntaje double")
     got = {r.id: (r.puntaje, r.ruta) for r in E.decided(df).collect()}
     assert got == {9: (0.55, "revision"), 8: (0.39, "cuarentena"), 7: (0.05, "cuarentena")}
+
+
+def test_releases_cost_by_their_type_and_what_the_title_says(spark):
+    from pyspark.sql import functions as F
+
+    rows = [("Compilation", None, 0.2, 0.25), ("Live", None, 0.2, 0.20), (" live ", "Live", 0.65, 0.06), ("Album", "Live", 1.0, 0.0), (None, None, 0.4, 0.0), ("otro", None, 0.5, 0.0)]
+    df = spark.createDataFrame([(k, v) for k, v, _, _ in rows], "k string, v string").select(E.release_score(F.col("k"), F.col("v")).alias("s"), E.release_penalty(F.col("k"), F.col("v")).alias("p"))
+    assert [(r.s, round(r.p, 6)) for r in df.collect()] == [(s, p) for _, _, s, p in rows]
+
+
+def test_titles_albums_and_causes_of_scored_pairs(spark):
+    cols = "id long, titulo string, artista_nombre string, album_titulo string, duracion_seg double, track_number int, anio int, isrc string, mb_recording_id string, tipo string"
+    base = ("Ana", 200.0, 1, 2000, None, None)
+    rows = [(1, "luz", base[0], None, *base[1:], "Album"), (2, "luz", base[0], "disco", *base[1:], "Compilation")]
+    df = spark.createDataFrame([(i, t, a, b, *r) for i, t, a, b, *r in rows], cols)
+    got = {(r.id, r.c_id): r for r in E.scored(E.block_pairs(df, df), True).collect()}
+    assert got[1, 2].s_album == 0.5 and got[2, 1].s_album == 0.2 and got[1, 2].s_tipo_release == 0.2
+    assert abs(got[2, 1].puntaje - (0.28 + 0.23 + 0.18 + 0.02 + 0.07 + 0.07 + 0.035 + 0.04)) < 1e-6
+    assert abs(got[1, 2].puntaje - (0.28 + 0.23 + 0.18 + 0.05 + 0.07 + 0.014 + 0.035 + 0.04 - 0.25)) < 1e-6
+    assert {(r.id, r.causa) for r in E.causes(E.scored(E.block_pairs(df, df), True)).collect()} == {(1, "tipo_dudoso")}

@@ -12,6 +12,8 @@ WEIGHTS = {"titulo": 0.28, "artista": 0.23, "duracion": 0.18, "album": 0.10, "tr
 ACCEPT, REVIEW, GAP, PENALTY_GAP = 0.82, 0.55, 0.10, 0.15
 ACCEPTED_TYPES = ("Album", "Single", "EP")
 YEAR, CODE = 0.04, 0.22
+PENALTY_COMPILATION, PENALTY_VARIANT = 0.25, 0.20
+ODD_TYPES = ("compilation", "live", "remix", "dj-mix")
 #: Candidates of a block whose records one task takes; beyond that they are dealt over several.
 HOT_BLOCK = 256
 
@@ -27,9 +29,19 @@ def number_score(a: Column, b: Column) -> Column:
     return F.coalesce(F.when(a == b, 1.0).when(F.abs(a - b) == 1, 0.4).when((a - b).isNotNull(), 0.0), F.lit(0.5))
 
 
-def release_score(kind: Column) -> Column:
+def release_score(kind: Column, variant: Column | None = None) -> Column:
+    """How usual a type of release is; an unusual one is tolerated if the record's title names the same variant."""
     k = F.lower(F.trim(kind))
-    return F.when(k.isin("album", "single", "ep"), 1.0).when(k.isin("compilation", "live", "remix", "dj-mix"), 0.2).when(F.coalesce(k, F.lit("")) == "", 0.4).otherwise(0.5)
+    odd = k.isin(*ODD_TYPES)
+    same = F.lit(False) if variant is None else F.coalesce(F.lower(variant) == k, F.lit(False))
+    return F.when(k.isin("album", "single", "ep"), 1.0).when(odd & same, 0.65).when(odd, 0.2).when(F.coalesce(k, F.lit("")) == "", 0.4).otherwise(0.5)
+
+
+def release_penalty(kind: Column, variant: Column) -> Column:
+    """What a compilation, and a live or remixed release costs; the latter little if the record's title names the same variant."""
+    k = F.lower(F.trim(kind))
+    same = F.coalesce(F.lower(variant) == k, F.lit(False))
+    return F.when(k == "compilation", PENALTY_COMPILATION).when(k.isin("live", "remix", "dj-mix"), F.when(same, PENALTY_VARIANT * 0.30).otherwise(PENALTY_VARIANT)).otherwise(0.0)
 
 
 def code_score(a: Column, b: Column) -> Column:
@@ -68,15 +80,24 @@ def block_pairs(records: DataFrame, candidates: DataFrame) -> DataFrame:
 
 
 def scored(pairs: DataFrame, exact: bool = False) -> DataFrame:
-    """Pairs with the score of each criterion and ``puntaje``."""
+    """Pairs with the score of each criterion and ``puntaje``: the weighted sum with bonuses for year and code, less the penalties of the release.
+
+    Titles are compared without their version first; a weak match may be made up for by the whole titles. An album that the record lacks is
+    neutral, one that only the candidate lacks is a weak sign against it.
+    """
     c = F.col
+    base = similarity(strip_version(c("titulo")), strip_version(c("c_titulo")), exact)
+    full = similarity(c("titulo"), c("c_titulo"), exact) * 0.95
+    own_album, other_album = (compare_form(F.coalesce(c(x), F.lit(""))) for x in ("album_titulo", "c_album_titulo"))
+    album = F.when(own_album == "", 0.5).when(other_album == "", 0.2).otherwise(similarity(strip_version(c("album_titulo")), strip_version(c("c_album_titulo")), exact))
+    variant = variant_type(c("titulo"))
     parts = {
-        "s_titulo": similarity(strip_version(c("titulo")), strip_version(c("c_titulo")), exact), "s_artista": similarity(c("artista_nombre"), c("c_artista_nombre"), exact),
-        "s_album": similarity(c("album_titulo"), c("c_album_titulo"), exact), "s_duracion": duration_score(c("duracion_seg"), c("c_duracion_seg")), "s_track_number": number_score(c("track_number"), c("c_track_number")),
-        "s_tipo_release": release_score(c("c_tipo")), "s_isrc": code_score(c("isrc"), c("c_isrc")),
+        "s_titulo": F.when(base < 0.7, F.greatest(base, full)).otherwise(base), "s_artista": similarity(c("artista_nombre"), c("c_artista_nombre"), exact),
+        "s_album": album, "s_duracion": duration_score(c("duracion_seg"), c("c_duracion_seg")), "s_track_number": number_score(c("track_number"), c("c_track_number")),
+        "s_tipo_release": release_score(c("c_tipo"), variant), "s_isrc": code_score(c("isrc"), c("c_isrc")),
     }
     df = pairs.withColumns(parts)
-    total = sum((F.col(f"s_{k}") * w for k, w in WEIGHTS.items()), F.lit(0.0)) + year_bonus(c("anio"), c("c_anio")) + F.coalesce(F.when(c("isrc") == c("c_isrc"), CODE), F.lit(0.0))
+    total = sum((F.col(f"s_{k}") * w for k, w in WEIGHTS.items()), F.lit(0.0)) + year_bonus(c("anio"), c("c_anio")) + F.coalesce(F.when(c("isrc") == c("c_isrc"), CODE), F.lit(0.0)) - release_penalty(c("c_tipo"), variant)
     return df.withColumn("puntaje", F.round(F.least(F.lit(1.0), F.greatest(F.lit(0.0), total)), 6))
 
 

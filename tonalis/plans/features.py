@@ -192,3 +192,13 @@ def model_columns(t: Tables) -> DataFrame:
     real = lambda c: F.when(~F.isnan(c), c)
     out = F.to_json(F.struct(F.struct(real(F.round(F.col("mood_sad") * 1.5, 6)).alias("score")).alias("mood_sad"), F.struct(real(F.round("valence", 6)).alias("valence")).alias("arousal_valence"), F.when(F.col("id") % 3 != 0, F.struct(F.lit(200).alias("dim"))).alias("msd_musicnn_embeddings")))
     return rows.select("id", U.model_fields(out).alias("m")).select("id", "m.mood_sad", "m.valence", "m.embeddings_dim")
+
+
+@query(f"""SELECT p.id, p.titulo, b.titulo AS album, round(({_INTENT_SQL['focus']})::DOUBLE, 6) AS puntaje FROM pistas p JOIN (SELECT id AS cid, * EXCLUDE (id, titulo, album_id, artista_nombre, artista_id, genero, duracion_seg) FROM pista_candidata WHERE energy IS NOT NULL AND NOT isnan(energy)) c ON c.cid = p.id LEFT JOIN albums b ON b.id = p.album_id
+WHERE p.estado = 'biblioteca' AND round(({_INTENT_SQL['focus']})::DOUBLE, 6) >= 0.35 ORDER BY puntaje DESC, p.id LIMIT 30""")
+def discovery_library(t: Tables) -> DataFrame:
+    """Library tracks that were analysed, with their album, for one intent from a threshold on."""
+    c = t.pista_candidata.filter("energy is not null and not isnan(energy)").select("id", F.round(U.intent_score("focus"), 6).alias("puntaje")).filter("puntaje >= 0.35")
+    p = t.pistas.filter("estado = 'biblioteca'").select("id", "titulo", "album_id")
+    b = t.albums.select(F.col("id").alias("album_id"), F.col("titulo").alias("album"))
+    return p.join(c, "id").join(b, "album_id", "left").select("id", "titulo", "album", "puntaje").orderBy(F.desc("puntaje"), "id").limit(30)

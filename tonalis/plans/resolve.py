@@ -24,15 +24,16 @@ _CODE = r"CASE WHEN regexp_matches(upper(regexp_replace(isrc, '[\s\-]', '', 'g')
 _PAIRS = f"""WITH r AS (SELECT p.id, titulo, artista_nombre, album_titulo, duracion_seg, track_number, p.anio, {_CODE} AS isrc, mb_recording_id, b.tipo FROM pistas p LEFT JOIN (SELECT id, tipo FROM albums) b ON b.id = p.album_id),
 k AS (SELECT *, 'i:' || isrc AS block FROM r WHERE isrc IS NOT NULL UNION ALL SELECT *, 't:' || {cmp_sql(strip_sql('titulo'))} || '|' || {cmp_sql('artista_nombre')} FROM r),
 q AS (SELECT DISTINCT a.id, b.id AS c_id FROM k a JOIN k b ON a.block = b.block WHERE a.id <> b.id),
-t AS (SELECT *, {tokens_sql(strip_sql('titulo'))} AS tt, {tokens_sql('artista_nombre')} AS ta, {tokens_sql('album_titulo')} AS tb FROM r),
-s AS (SELECT q.id, q.c_id, {jaccard_sql('a.tt', 'b.tt')} AS s_titulo, {jaccard_sql('a.ta', 'b.ta')} AS s_artista, {jaccard_sql('a.tb', 'b.tb')} AS s_album, abs(a.duracion_seg - b.duracion_seg) AS d, a.track_number - b.track_number AS n,
- CASE WHEN lower(trim(b.tipo)) IN ('album', 'single', 'ep') THEN 1.0 WHEN lower(trim(b.tipo)) IN ('compilation', 'live', 'remix', 'dj-mix') THEN 0.2 WHEN coalesce(lower(trim(b.tipo)), '') = '' THEN 0.4 ELSE 0.5 END AS s_tipo,
+t AS (SELECT *, {tokens_sql(strip_sql('titulo'))} AS tt, {tokens_sql('titulo')} AS tf, {tokens_sql('artista_nombre')} AS ta, {tokens_sql(strip_sql('album_titulo'))} AS tb, {cmp_sql("coalesce(album_titulo, '')")} AS fb, lower({VARIANT_SQL}) AS lv, lower(trim(tipo)) AS lt FROM r),
+s AS (SELECT q.id, q.c_id, CASE WHEN {jaccard_sql('a.tt', 'b.tt')} < 0.7 THEN greatest({jaccard_sql('a.tt', 'b.tt')}, {jaccard_sql('a.tf', 'b.tf')} * 0.95) ELSE {jaccard_sql('a.tt', 'b.tt')} END AS s_titulo, {jaccard_sql('a.ta', 'b.ta')} AS s_artista, CASE WHEN a.fb = '' THEN 0.5 WHEN b.fb = '' THEN 0.2 ELSE {jaccard_sql('a.tb', 'b.tb')} END AS s_album, abs(a.duracion_seg - b.duracion_seg) AS d, a.track_number - b.track_number AS n,
+ CASE WHEN b.lt IN ('album', 'single', 'ep') THEN 1.0 WHEN b.lt IN ('compilation', 'live', 'remix', 'dj-mix') THEN CASE WHEN a.lv = b.lt THEN 0.65 ELSE 0.2 END WHEN coalesce(b.lt, '') = '' THEN 0.4 ELSE 0.5 END AS s_tipo,
+ CASE WHEN b.lt = 'compilation' THEN 0.25 WHEN b.lt IN ('live', 'remix', 'dj-mix') THEN CASE WHEN a.lv = b.lt THEN 0.20 * 0.30 ELSE 0.20 END ELSE 0.0 END AS pena,
  CASE WHEN a.isrc IS NOT NULL AND b.isrc IS NOT NULL THEN CASE WHEN a.isrc = b.isrc THEN 1.0 ELSE 0.1 END WHEN a.isrc IS NOT NULL THEN 0.4 ELSE 0.5 END AS s_isrc,
  coalesce(CASE WHEN a.anio = b.anio THEN 0.04 WHEN abs(a.anio - b.anio) <= 1 THEN 0.02 END, 0) + coalesce(CASE WHEN a.isrc = b.isrc THEN 0.22 END, 0) AS extra,
  (a.isrc = b.isrc) AS same_code, (a.mb_recording_id = b.mb_recording_id) AS same_id FROM q JOIN t a ON a.id = q.id JOIN t b ON b.id = q.c_id),
 f AS (SELECT *, CAST(coalesce(CASE WHEN d <= 3 THEN 1.0 WHEN d <= 10 THEN round_even(1.0 - 0.5 * ((d - 3) / 7), 4) WHEN d <= 30 THEN round_even(greatest(0.05, 0.5 - 0.45 * ((d - 10) / 20)), 4) WHEN d IS NOT NULL THEN 0.0 END, 0.5) AS DOUBLE) AS s_duracion,
  CAST(coalesce(CASE WHEN n = 0 THEN 1.0 WHEN abs(n) = 1 THEN 0.4 WHEN n IS NOT NULL THEN 0.0 END, 0.5) AS DOUBLE) AS s_numero FROM s),
-p AS (SELECT *, round(CAST(least(1.0, greatest(0.0, s_titulo * 0.28 + s_artista * 0.23 + s_duracion * 0.18 + s_album * 0.10 + s_numero * 0.07 + s_tipo * 0.07 + s_isrc * 0.07 + extra)) AS DOUBLE), 6) AS puntaje FROM f)
+p AS (SELECT *, round(CAST(least(1.0, greatest(0.0, s_titulo * 0.28 + s_artista * 0.23 + s_duracion * 0.18 + s_album * 0.10 + s_numero * 0.07 + s_tipo * 0.07 + s_isrc * 0.07 + extra - pena)) AS DOUBLE), 6) AS puntaje FROM f)
 """
 
 

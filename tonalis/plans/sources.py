@@ -199,3 +199,15 @@ def source_scan(t: Tables) -> DataFrame:
     f = S.scan_files(t.spark, t.folder).withColumn("extension", S.extension(F.col("nombre")))
     wanted = F.col("nombre").isin("albums.parquet", "artistas.parquet", "documents.parquet", "historial.parquet", "pistas.parquet", "nada.parquet")
     return f.filter(F.col("extension").isin(".parquet", ".mp3") & (F.col("bytes") >= 100) & wanted).select("nombre", "extension").orderBy("nombre")
+
+
+@query("""WITH b AS (SELECT id AS pista_id, genero AS tag, 'genero' AS fuente, 0.5::DOUBLE AS puntaje, indexado_en AS t, 0 AS n FROM pistas WHERE genero IS NOT NULL UNION ALL SELECT id, tag, 'genero', 0.9::DOUBLE, analizado_en, 1 FROM (SELECT id, unnest(vibe_tags) AS tag, analizado_en FROM pista_candidata)
+UNION ALL SELECT id, genero, 'genero', 0.7::DOUBLE, analizado_en, 1 FROM pista_candidata WHERE genero IS NOT NULL) SELECT pista_id, tag, fuente, arg_max(puntaje, (t, n, puntaje)) AS puntaje, max(t) AS t FROM b GROUP BY 1, 2, 3""")
+def source_upsert_tags(t: Tables) -> DataFrame:
+    """Tags written over older ones: the key is track, tag and source; of repeated writes the higher score stays."""
+    row = lambda df, tag, score, time: df.select(F.col("id").alias("pista_id"), tag.alias("tag"), F.lit("genero").alias("fuente"), F.lit(score).alias("puntaje"), F.col(time).alias("t"))
+    old = row(t.pistas.filter("genero is not null"), F.col("genero"), 0.5, "indexado_en")
+    new = row(t.pista_candidata.select("id", "analizado_en", F.explode("vibe_tags").alias("g")), F.col("g"), 0.9, "analizado_en").unionByName(row(t.pista_candidata.filter("genero is not null"), F.col("genero"), 0.7, "analizado_en"))
+    keys = ["pista_id", "tag", "fuente"]
+    once = new.groupBy(*keys, "t").agg(F.max("puntaje").alias("puntaje"))
+    return C.upsert(old.select(*keys, "puntaje", "t"), once.select(*keys, "puntaje", "t"), keys, "t")

@@ -135,3 +135,20 @@ def track_order(name: str, key: Callable[[str], Column]) -> list[Column]:
 def track_page(tracks: DataFrame, order: str, key: Callable[[str], Column], limit: int, offset: int = 0, predicates: Sequence[Column] = ()) -> DataFrame:
     """A page of the library in one of the orders of :func:`track_order`: the sort stops at the page (top-k), nothing is sorted whole."""
     return page(in_library(tracks).filter(all_of(predicates)), track_order(order, key), limit, offset)
+
+
+def listing_order(name: str, key: Callable[[str], Column], names: dict[str, str], extra: dict[str, list[Column]] | None = None) -> list[Column]:
+    """The sort keys of a listing by the name of its order, ending with the id: ``names`` maps an order to the column that leads it (texts by ``key``,
+    numbers falling), each with ``_asc`` or ``_desc`` as its reverse; ``extra`` holds orders of their own. Unknown names take the first text."""
+    texts = [c for c in names.values() if c in ("titulo", "nombre", "artista")]
+    tie = key(texts[0])
+    base, _, turn = name.rpartition("_")
+    lead = names.get(name, names.get(base if turn in ("asc", "desc") else name))
+    if extra and name in extra:
+        return [*extra[name], F.asc("id")]
+    if lead is None:
+        return [tie.asc(), F.asc("id")]
+    if lead in ("titulo", "nombre", "artista"):
+        return [key(lead).desc() if turn == "desc" else key(lead).asc(), F.asc("id")]
+    value = F.coalesce(F.col(lead), F.lit(0))
+    return [value.asc() if turn == "asc" else value.desc(), tie.asc(), F.asc("id")]

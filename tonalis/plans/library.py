@@ -213,3 +213,34 @@ def pending_filtered(t: Tables) -> DataFrame:
     rows = t.pistas.filter(F.col("estado").isin("revision", "cuarentena")).withColumns({"causa": cause, "sesion": F.to_date("indexado_en")})
     rules = [F.col("causa") == "sin_codigo", L.contains_text("a", "titulo", "artista_nombre"), F.col("sesion") >= F.lit("2020-01-01").cast("date")]
     return rows.filter(L.all_of(rules)).select("id", "titulo", "causa", "sesion")
+
+
+_ALBUM_ORDERS = {
+    "artista": "ka, coalesce(anio, 0), kt", "artista_desc": "ka DESC, coalesce(anio, 0) DESC, kt", "titulo": "kt", "titulo_desc": "kt DESC", "anio": "coalesce(anio, 0) DESC, kt", "anio_asc": "coalesce(anio, 0), kt",
+    "duracion": "duracion DESC, kt", "duracion_asc": "duracion, kt", "pistas": "pistas DESC, kt", "pistas_asc": "pistas, kt",
+}
+_ARTIST_ORDERS = {"nombre": "kt", "nombre_desc": "kt DESC", "num_pistas": "pistas DESC, kt", "num_pistas_asc": "pistas, kt", "num_albums": "albumes DESC, kt", "num_albums_asc": "albumes, kt", "duracion": "duracion DESC, kt", "duracion_asc": "duracion, kt"}
+
+
+@query(f"WITH l AS (SELECT * FROM ({_ALBUMS})), k AS (SELECT *, {_KEY('titulo')} AS kt, {_KEY('artista')} AS ka FROM l) " + " UNION ALL ".join(f"(SELECT '{o}' AS orden, id FROM k ORDER BY {s}, id LIMIT 6)" for o, s in _ALBUM_ORDERS.items()))
+def albums_orders(t: Tables) -> DataFrame:
+    """A page of the albums in each of their ten orders."""
+    key = lambda c: L.sort_key(F.col(c), X.compare_form(F.col(c)))
+    year = F.coalesce("anio", F.lit(0))
+    extra = {"artista": [key("artista").asc(), year.asc(), key("titulo").asc()], "artista_desc": [key("artista").desc(), year.desc(), key("titulo").asc()]}
+    rows, out = L.album_listing(t.artistas, t.albums, t.pistas), None
+    for o in _ALBUM_ORDERS:
+        one = L.page(rows, L.listing_order(o, key, {"titulo": "titulo", "anio": "anio", "duracion": "duracion", "pistas": "pistas"}, extra), 6).select(F.lit(o).alias("orden"), "id")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+@query(f"WITH l AS (SELECT * FROM ({_ARTISTS})), k AS (SELECT *, {_KEY('nombre')} AS kt FROM l) " + " UNION ALL ".join(f"(SELECT '{o}' AS orden, id FROM k ORDER BY {s}, id LIMIT 6)" for o, s in _ARTIST_ORDERS.items()))
+def artists_orders(t: Tables) -> DataFrame:
+    """A page of the artists in each of their eight orders."""
+    key = lambda c: L.sort_key(F.col(c), X.compare_form(F.col(c)))
+    rows, out = L.artist_listing(t.artistas, t.albums, t.pistas), None
+    for o in _ARTIST_ORDERS:
+        one = L.page(rows, L.listing_order(o, key, {"nombre": "nombre", "num_pistas": "pistas", "num_albums": "albumes", "duracion": "duracion"}), 6).select(F.lit(o).alias("orden"), "id")
+        out = one if out is None else out.unionByName(one)
+    return out

@@ -113,7 +113,19 @@ def discovery_rank(t: Tables) -> DataFrame:
     return t.pista_candidata.select("id", "titulo", s.alias("puntaje")).filter("puntaje >= 0.35").orderBy(F.desc("puntaje"), "id").limit(30)
 
 
-@query()
+_SECTIONS = {"Más fiesteras": clip_sql("party_score_proxy", "0.0"), "Más bailables": clip_sql("danceability_proxy", "0.0"), "Energía alta": clip_sql("energy", "0.0")}
+
+
+def _sections_sql() -> str:
+    ctes, used = [], []
+    for k, (name, s) in enumerate(_SECTIONS.items()):
+        free = f"WHERE id NOT IN ({' UNION ALL '.join(f'SELECT id FROM s{u}' for u in used)})" if used else ""
+        ctes.append(f"s{k} AS (SELECT '{name}' AS seccion, CAST(row_number() OVER (ORDER BY round({s}, 6) DESC, id) AS INT) AS puesto, id, round({s}, 6) AS puntaje FROM pista_candidata {free} QUALIFY puesto <= 8)")
+        used.append(k)
+    return f"WITH {', '.join(ctes)} " + " UNION ALL ".join(f"SELECT * FROM s{k}" for k in used)
+
+
+@query(_sections_sql())
 def discovery_sections(t: Tables) -> DataFrame:
     """Three sections of a party, no track twice."""
     specs = {"Más fiesteras": U.clip(F.col("party_score_proxy"), 0.0), "Más bailables": U.clip(F.col("danceability_proxy"), 0.0), "Energía alta": U.clip(F.col("energy"), 0.0)}

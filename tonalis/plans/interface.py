@@ -22,7 +22,11 @@ def suggestion_scores(t: Tables) -> DataFrame:
     return t.pistas.select("id", F.round(V.suggestion_score(), 8).alias("puntaje"))
 
 
-@query()
+@query(f"""WITH rec AS (SELECT pista_id FROM (SELECT pista_id, max(reproducido_en) AS u FROM historial WHERE pista_id IS NOT NULL GROUP BY 1 ORDER BY u DESC, pista_id LIMIT 30)), cur AS (SELECT artista_id, album_id FROM pistas WHERE estado = 'biblioteca' AND id = 1),
+sc AS (SELECT id, round(CAST({_SCORE} AS DOUBLE), 6) AS puntaje, id NOT IN (SELECT pista_id FROM rec) AS fresh, coalesce(artista_id <> (SELECT artista_id FROM cur), true) AS oa, coalesce(album_id <> (SELECT album_id FROM cur), true) AS ob FROM pistas WHERE estado = 'biblioteca' AND id <> 1),
+f1 AS (SELECT * FROM sc WHERE fresh OR NOT EXISTS (SELECT 1 FROM sc WHERE fresh)), f2 AS (SELECT * FROM f1 WHERE oa OR NOT EXISTS (SELECT 1 FROM f1 WHERE oa)), f3 AS (SELECT * FROM f2 WHERE ob OR NOT EXISTS (SELECT 1 FROM f2 WHERE ob)),
+tp AS (SELECT id, puntaje, 41 - row_number() OVER (ORDER BY puntaje DESC, id) AS k FROM f3 ORDER BY puntaje DESC, id LIMIT 40), dr AS (SELECT id, puntaje, -ln((CAST('0x' || substr(md5('7|' || id), 1, 8) AS BIGINT) + 1) / 4294967297.0) / k AS d FROM tp)
+SELECT id, puntaje, CAST(row_number() OVER (ORDER BY d, id) AS INT) AS puesto FROM dr""")
 def suggestion_draw(t: Tables) -> DataFrame:
     """The candidates for the track after the first one, with a weighted draw."""
     recent = V.recent_list(t.historial, "pista_id", "reproducido_en", 30)

@@ -126,7 +126,16 @@ def smart_hamming(t: Tables) -> DataFrame:
     return t.pistas.select("id", R.hamming(F.col("id") * F.lit(2654435761), F.col("tamano_bytes")).alias("distancia"))
 
 
-@query()
+def _distinct_sql(picks: int = 4) -> str:
+    ctes = ["e AS (SELECT label, vec_id, embedding, list_avg(list_transform(embedding, lambda x: x::DOUBLE)) AS m FROM embeddings WHERE label IS NOT NULL)", "l0 AS (SELECT label, vec_id, list_transform(embedding, lambda x: (x::DOUBLE >= m)::INT) AS b FROM e)"]
+    for k in range(picks):
+        ctes.append(f"p{k} AS (SELECT label, min(vec_id) AS vec_id FROM l{k} GROUP BY label)")
+        if k + 1 < picks:
+            ctes.append(f"l{k + 1} AS (SELECT l.* FROM l{k} l JOIN p{k} p ON p.label = l.label JOIN l{k} q ON q.label = p.label AND q.vec_id = p.vec_id WHERE list_sum(list_transform(range(1, 65), lambda i: (l.b[i] <> q.b[i])::INT)) > 6)")
+    return f"WITH {', '.join(ctes)} " + " UNION ALL ".join(f"SELECT label, CAST({k + 1} AS INT) AS puesto, vec_id FROM p{k}" for k in range(picks))
+
+
+@query(_distinct_sql())
 def smart_distinct_covers(t: Tables) -> DataFrame:
     """Up to four pictures of each label whose perceptual hashes differ by more than six bits; the pictures are the vectors of 64 numbers."""
     h = R.picture_hash(F.transform("embedding", lambda x: x.cast("double")), F.lit(0), F.lit(0), F.lit(0))

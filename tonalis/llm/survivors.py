@@ -53,15 +53,15 @@ def _values() -> Column:
 
 
 def _summaries(rows: DataFrame) -> DataFrame:
-    """Per (identifiers, state, bitrate) what any choice needs; a row for each, however many tracks share them."""
+    """Per (shared identifiers, state, bitrate) what any choice needs; a row for each, however many tracks share them."""
     minus = (-F.col("id")).alias("i")
-    full = F.struct(sum((F.col(c).isNotNull().cast("int") for c in (*IDENTIFIERS, "bitrate_kbps")), F.lit(0)).alias("n"), F.coalesce("bitrate_kbps", F.lit(-1)).alias("b"), F.col("_t").alias("t"), minus)
-    return rows.groupBy(*NODES, "_state", "bitrate_kbps").agg(
+    full = F.struct(sum((F.col(c).isNotNull().cast("int") for c in (*NODES, "bitrate_kbps")), F.lit(0)).alias("n"), F.coalesce("bitrate_kbps", F.lit(-1)).alias("b"), F.col("_t").alias("t"), minus)
+    return rows.groupBy("_nodes", "_state", "bitrate_kbps").agg(
         F.min("id").alias("low"),
         F.max("id").alias("high"),
         F.min("_t").alias("since"),
-        *[F.max(F.when(F.col(c).isNotNull() & F.col("_t").isNotNull(), F.struct(F.col("_t").alias("t"), minus))).alias(f"dated_{c}") for c in IDENTIFIERS],
-        *[F.max(F.when(F.col(c).isNotNull() & F.col("_t").isNull(), -F.col("id"))).alias(f"undated_{c}") for c in IDENTIFIERS],
+        *[F.max(F.when(F.col(n).isNotNull() & F.col("_t").isNotNull(), F.struct(F.col("_t").alias("t"), minus))).alias(f"dated_{c}") for c, n in zip(IDENTIFIERS, NODES)],
+        *[F.max(F.when(F.col(n).isNotNull() & F.col("_t").isNull(), -F.col("id"))).alias(f"undated_{c}") for c, n in zip(IDENTIFIERS, NODES)],
         F.max(F.when(F.col("bitrate_kbps").isNotNull(), F.struct(F.col("bitrate_kbps").alias("b"), F.col("_t").alias("t"), minus))).alias("bit"),
         F.max(full).alias("full"),
     )
@@ -112,17 +112,23 @@ def group_orders(values: DataFrame, order: DataFrame) -> DataFrame:
 def grouped(tracks: DataFrame, time: str = "actualizado_en") -> DataFrame:
     """The summaries of :func:`_summaries` with the ``root`` of their duplicate group, materialised.
 
-    Tracks are linked through identifiers: an identifier is a node, a track links the identifiers it has. One pass over the tracks; only
-    one row per (identifiers, state, bitrate) is linked and joined to the components.
+    Tracks are linked through identifiers: an identifier is a node, a track links the identifiers it has. Identifiers of a single track link
+    nothing and go first: what follows runs over the tracks that share one. Of these only one row per (shared identifiers, state,
+    bitrate) is linked and joined to the components.
     """
     rows = with_identifiers(tracks, time)
-    keyed = rows.select("*", *[F.when(F.col(c).isNotNull(), _node(c)).alias(n) for c, n in zip(IDENTIFIERS, NODES)]).filter(F.coalesce(*NODES).isNotNull())
-    per_key = materialise(_summaries(keyed).withColumn("_key", F.coalesce(*NODES)), "summaries")
-    links = per_key.select(F.col("_key").alias("a"), F.explode(F.array_compact(F.array(*NODES))).alias("b")).filter("a <> b").distinct()
+    nodes = [F.when(F.col(c).isNotNull(), _node(c)).alias(n) for c, n in zip(IDENTIFIERS, NODES)]
+    keyed = materialise(rows.select("id", "bitrate_kbps", "_t", "_state", *nodes).filter(F.coalesce(*NODES).isNotNull()), "keyed")
+    each = keyed.select("id", F.explode(F.array_compact(F.array(*NODES))).alias("node"))
+    shared = materialise(each.groupBy("node").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).filter("lo < hi").select("node"), "shared")
+    linked = each.join(shared, "node").groupBy("id").agg(F.array_sort(F.collect_set("node")).alias("_nodes"))  # three a row of the track
+    per_key = materialise(_summaries(keyed.join(linked, "id")).withColumn("_key", F.col("_nodes")[0]), "summaries")
+    links = per_key.select(F.col("_key").alias("a"), F.explode("_nodes").alias("b")).filter("a <> b").distinct()
     roots = connected_components(links)
-    out = per_key.drop(*NODES).join(roots.withColumnRenamed("node", "_key"), "_key", "left").withColumn("root", F.coalesce("root", "_key"))
+    out = per_key.drop("_nodes").join(roots.withColumnRenamed("node", "_key"), "_key", "left").withColumn("root", F.coalesce("root", "_key"))
     made = materialise(out, "grouped")
-    discard(per_key)
+    for table in (keyed, shared, per_key):
+        discard(table)
     return made
 
 

@@ -63,3 +63,13 @@ def test_titles_albums_and_causes_of_scored_pairs(spark):
     assert abs(got[2, 1].puntaje - (0.28 + 0.23 + 0.18 + 0.02 + 0.07 + 0.07 + 0.035 + 0.04)) < 1e-6
     assert abs(got[1, 2].puntaje - (0.28 + 0.23 + 0.18 + 0.05 + 0.07 + 0.014 + 0.035 + 0.04 - 0.25)) < 1e-6
     assert {(r.id, r.causa) for r in E.causes(E.scored(E.block_pairs(df, df), True)).collect()} == {(1, "tipo_dudoso")}
+
+
+def test_prepared_records_score_like_plain_ones(spark):
+    cols = "id long, titulo string, artista_nombre string, album_titulo string, duracion_seg double, track_number int, anio int, isrc string, mb_recording_id string, tipo string"
+    rows = [(1, "Luz (Live)", "Ana", "Uno", 200.0, 1, 2000, "A", None, "Live"), (2, "luz", "ana", None, 210.0, 2, 2001, "A", None, "Compilation"), (3, "Lúz [Remix]", "Eva", "", None, None, None, "A", None, None), (4, "otra", None, "Uno", 1.0, 1, 1, "A", None, "EP")]
+    df = spark.createDataFrame(rows, cols)
+    keep = ["id", "c_id", "s_titulo", "s_artista", "s_album", "s_tipo_release", "puntaje"]
+    plain = sorted(map(tuple, E.scored(E.block_pairs(df, df), True).select(keep).collect()))
+    ready = E.prepared(df)
+    assert sorted(map(tuple, E.scored(E.block_pairs(ready, ready), True).select(keep).collect())) == plain and len(plain) == 12

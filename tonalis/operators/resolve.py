@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tonalis.functions.text import combined_similarity, compare_form, isrc_code, strip_version, token_jaccard, variant_type
+from tonalis.functions.text import array_jaccard, combined_similarity, compare_form, isrc_code, strip_version, token_jaccard, tokens, variant_type
 
 # Weights of the criteria, thresholds, bonuses.
 WEIGHTS = {"titulo": 0.28, "artista": 0.23, "duracion": 0.18, "album": 0.10, "track_number": 0.07, "tipo_release": 0.07, "isrc": 0.07}
@@ -79,20 +79,30 @@ def block_pairs(records: DataFrame, candidates: DataFrame) -> DataFrame:
     return dealt.join(every, ["_block", "_part"]).filter((F.col("id") != F.col("c_id")) & once).drop("_block", "_part")
 
 
+def prepared(records: DataFrame) -> DataFrame:
+    """Records with the words that :func:`scored` compares (``f_*``): made once a record instead of once a pair."""
+    c = F.col
+    forms = {"f_titulo": tokens(strip_version(c("titulo"))), "f_entero": tokens(c("titulo")), "f_artista": tokens(c("artista_nombre")), "f_album": tokens(strip_version(c("album_titulo")))}
+    return records.withColumns(forms | {"f_sin_album": compare_form(F.coalesce(c("album_titulo"), F.lit(""))) == "", "f_variante": variant_type(c("titulo"))})
+
+
 def scored(pairs: DataFrame, exact: bool = False) -> DataFrame:
     """Pairs with the score of each criterion and ``puntaje``: the weighted sum with bonuses for year and code, less the penalties of the release.
 
     Titles are compared without their version first; a weak match may be made up for by the whole titles. An album that the record lacks is
-    neutral, one that only the candidate lacks is a weak sign against it.
+    neutral, one that only the candidate lacks is a weak sign against it. Pairs of :func:`prepared` records are compared by their words.
     """
     c = F.col
-    base = similarity(strip_version(c("titulo")), strip_version(c("c_titulo")), exact)
-    full = similarity(c("titulo"), c("c_titulo"), exact) * 0.95
-    own_album, other_album = (compare_form(F.coalesce(c(x), F.lit(""))) for x in ("album_titulo", "c_album_titulo"))
-    album = F.when(own_album == "", 0.5).when(other_album == "", 0.2).otherwise(similarity(strip_version(c("album_titulo")), strip_version(c("c_album_titulo")), exact))
-    variant = variant_type(c("titulo"))
+    ready = exact and "f_titulo" in pairs.columns
+    alike = (lambda _, f: array_jaccard(c(f), c(f"c_{f}"))) if ready else (lambda x, _: similarity(x(""), x("c_"), exact))
+    base = alike(lambda p: strip_version(c(f"{p}titulo")), "f_titulo")
+    full = alike(lambda p: c(f"{p}titulo"), "f_entero") * 0.95
+    artist = alike(lambda p: c(f"{p}artista_nombre"), "f_artista")
+    none, other_none = (c(f"{p}f_sin_album") if ready else compare_form(F.coalesce(c(f"{p}album_titulo"), F.lit(""))) == "" for p in ("", "c_"))
+    album = F.when(none, 0.5).when(other_none, 0.2).otherwise(alike(lambda p: strip_version(c(f"{p}album_titulo")), "f_album"))
+    variant = c("f_variante") if ready else variant_type(c("titulo"))
     parts = {
-        "s_titulo": F.when(base < 0.7, F.greatest(base, full)).otherwise(base), "s_artista": similarity(c("artista_nombre"), c("c_artista_nombre"), exact),
+        "s_titulo": F.when(base < 0.7, F.greatest(base, full)).otherwise(base), "s_artista": artist,
         "s_album": album, "s_duracion": duration_score(c("duracion_seg"), c("c_duracion_seg")), "s_track_number": number_score(c("track_number"), c("c_track_number")),
         "s_tipo_release": release_score(c("c_tipo"), variant), "s_isrc": code_score(c("isrc"), c("c_isrc")),
     }

@@ -68,8 +68,6 @@ class ItemIndex:
         for b in range(blocks):
             part = range(b * BLOCK, min(n, (b + 1) * BLOCK))
             own = np.unique(np.concatenate([coded[k] for k in part]))
-            at = np.full(size + 1, len(own), dtype=np.int32)  # a term that is in none of them points at the last row, all zeros
-            at[own] = np.arange(len(own))
             w = np.zeros((len(own) + 1, len(part)), dtype=np.float64)
             for j, k in enumerate(part):
                 t, tf = np.unique(coded[k], return_counts=True)
@@ -78,13 +76,19 @@ class ItemIndex:
                 full[t] = score
                 runs = np.lib.stride_tricks.sliding_window_view(coded[k], RUN)
                 least = min(full[np.unique(r)].sum() for r in runs)
-                w[at[t], j] = score / least
+                w[np.searchsorted(own, t), j] = score / least
                 self.grams.append({r.tobytes() for r in runs})
                 self.marks.append(np.unique(_marks_of(coded[k])))
-            self.local.append(at)
+            self.local.append(own)
             self.weight.append(w)
             self.bound[own, b] = w[:-1].max(axis=1)
 
+    def rows(self, block: int, terms: np.ndarray) -> np.ndarray:
+        """The rows of a block's weights for terms; a term that none of its items has points at the last row, all zeros."""
+        own = self.local[block]
+        at = np.searchsorted(own, terms)
+        return np.where(own[np.minimum(at, len(own) - 1)] == terms, at, len(own))
+
     def search(self, docs: list[np.ndarray]) -> dict[tuple[int, int], set[int]]:
         """(position in docs, position in ids) -> positions of the document's words inside shared runs.
 
@@ -114,7 +118,7 @@ class ItemIndex:
             p, b = np.nonzero(bound >= 0.999)
             for block in np.unique(b):
                 mine = p[b == block]
-                score = self.weight[block][self.local[block][terms[mine]]].sum(axis=1)
+                score = self.weight[block][self.rows(block, terms[mine])].sum(axis=1)
                 for j in range(score.shape[1]):
                     k, asked = int(block) * BLOCK + j, mine[score[:, j] >= 0.999]
                     runs = first[asked][:, None] + np.arange(step)

@@ -17,6 +17,7 @@ MINOR = {"A": 8, "A#": 3, "B": 10, "C": 5, "C#": 12, "D": 7, "D#": 2, "E": 9, "F
 STYLES = {"smooth": (0.45, 0.30, 0.25), "harmonic": (0.25, 0.55, 0.20), "energetic": (0.40, 0.15, 0.45), "aggressive": (0.25, 0.15, 0.60), "cinematic": (0.20, 0.30, 0.50)}
 BPM_NEAR, BPM_FAR = 8.0, 30.0
 PER_ARTIST, POOL, OVER = 2, 200, 1.05
+MOST_PHASES = 1000
 # The phases of each curve with their share of the time; what each phase asks of the axes; the axes' shares in the distance.
 CURVES = {
     "progressive": (("warmup", 0.15), ("groove", 0.35), ("peak", 0.30), ("release", 0.15), ("cooldown", 0.05)),
@@ -121,6 +122,8 @@ def phase_targets(times: DataFrame, phases: DataFrame, t: str) -> DataFrame:
 
     ``phases`` (fase, desde, hasta, objetivo) is a profile of a few rows and is broadcast.
     """
+    if phases.limit(MOST_PHASES + 1).count() > MOST_PHASES:
+        raise ValueError(f"more than {MOST_PHASES} phases: a profile is a small table")
     w = Window.orderBy("desde")
     p = phases.withColumn("_next", F.lead("objetivo").over(w)).withColumn("_last", F.lead("desde").over(w).isNull())
     x = F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.col(t)))
@@ -292,3 +295,10 @@ def volumes(technique: Column, progress: Column) -> Column:
     out = F.when(technique == "hard_cut", F.when(p < 0.5, 1.0).otherwise(0.0)).when(technique == "energy_blend", F.sqrt(1 - p)).when(technique == "harmonic_mix", F.greatest(F.lit(0.0), 1 - p * 0.6)).otherwise(1 - p)
     come = F.when(technique == "hard_cut", F.when(p < 0.5, 0.0).otherwise(1.0)).when(technique == "energy_blend", F.sqrt(p)).when(technique == "harmonic_mix", F.least(F.lit(1.0), 0.4 + p * 0.6)).otherwise(p)
     return F.struct(out.alias("sale"), come.alias("entra"))
+
+
+def session_log(events: DataFrame, who: str, props: str, session: int | None = None) -> DataFrame:
+    """(who, event_id, k, ts): events with their JSON parsed; of one session in order if ``session`` names it."""
+    rows = events if session is None else events.filter(F.col(who) == session)
+    out = rows.select(who, "event_id", F.from_json(props, "k int")["k"].alias("k"), "ts")
+    return out if session is None else out.orderBy("ts", "event_id")

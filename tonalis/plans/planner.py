@@ -209,10 +209,10 @@ def mix_techniques(t: Tables) -> DataFrame:
     return s.select("lista_id", "posicion", G.technique(phase, F.col("bpm"), F.col("sig_bpm"), F.col("f_bpm"), F.col("f_tono"), F.col("posicion") % 2 == 0).alias("tecnica"))
 
 
-@query("SELECT event_id, CAST(json_extract(props, '$.k') AS INT) AS k, ts FROM events WHERE user_id = 7")
+@query("SELECT user_id, event_id, CAST(json_extract(props, '$.k') AS INT) AS k, ts FROM events")
 def session_events(t: Tables) -> DataFrame:
-    """The events of one session in order, their JSON parsed."""
-    return t.events.filter("user_id = 7").select("event_id", F.from_json("props", "k int")["k"].alias("k"), "ts").orderBy("ts", "event_id")
+    """The events of every session (here a user), their JSON parsed."""
+    return G.session_log(t.events, "user_id", "props")
 
 
 _AXES = [("noche", "night_score", 0.8), ("noche", "darkness", 0.4), ("tranquilo", "calmness", 0.7), ("tranquilo", "energy", -0.4), ("manejar", "focus_score", 0.5), ("manejar", "energy", 0.2)]

@@ -1,6 +1,6 @@
 import random
 
-from tonalis.llm.names import core_cost, edits, jaro_winkler, link_spellings, parse, sound, spelling_pairs, typing_cost
+from tonalis.llm.names import core_cost, edits, jaro_winkler, link_spellings, parse, sound, spelling_pairs, typing_cost, within_edits
 
 
 def groups(spark, names):
@@ -95,3 +95,18 @@ def test_recall_and_precision_on_planted_variants(spark):
     hit = sum(found[x] == found[y] for v in true.values() for x in v for y in v if x < y)
     assert hit / whole >= 0.97, hit / whole
     assert all(len(v) == 1 for v in by.values())
+
+
+def test_long_cores_are_compared_in_a_band():
+    long = "pneumo" * 2000
+    assert within_edits(long, long[:5000] + "x" + long[5000:9000] + long[9001:], 2) and not within_edits(long, "x" + long[:-3], 2)
+    assert core_cost(long, long[:7] + "q" + long[8:]) is not None and core_cost(long, long[::-1]) is None
+    rng = random.Random(4)
+    for _ in range(300):
+        a, b = ("".join(rng.choice("ab") for _ in range(rng.randrange(7))) for _ in range(2))
+        plain = [list(range(len(b) + 1))]
+        for i, x in enumerate(a, 1):
+            plain.append([i])
+            for j, y in enumerate(b, 1):
+                plain[i].append(min(plain[i - 1][j] + 1, plain[i][j - 1] + 1, plain[i - 1][j - 1] + (x != y)))
+        assert all(within_edits(a, b, k) == (plain[-1][-1] <= k) for k in range(4))

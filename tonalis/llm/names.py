@@ -26,6 +26,8 @@ COMPANIONS, TRAILING, SPARED = 10, 0.8, 0.5
 FEW, NEARLY_ALL = 4, 0.9
 #: Longest core whose forms less two letters are block keys; longest code whose forms less one sound are (halves beyond).
 TYPED_LENGTH, CODE_LENGTH = 24, 32
+#: Cores longer than this agree by two edits at most, whatever their similarity.
+LONG_CORE = 64
 
 # Given names with their familiar forms.
 NICKNAMES = {
@@ -348,10 +350,29 @@ def _reordered(core_a: str, heads_a: str, core_b: str, heads_b: str) -> bool:
     return all(map(alike, a, b))
 
 
+def within_edits(a: str, b: str, most: int) -> bool:
+    """Whether at most so many insertions, deletions and substitutions turn ``a`` into ``b``: a band along the diagonal, so the time grows with the length and not with its square."""
+    if abs(len(a) - len(b)) > most:
+        return False
+    row = {j: j for j in range(min(len(b), most) + 1)}
+    for i, x in enumerate(a, 1):
+        last, row = row, {}
+        for j in range(max(0, i - most), min(len(b), i + most) + 1):
+            best = last.get(j, most) + 1
+            if j:
+                best = min(best, row.get(j - 1, most) + 1, last.get(j - 1, most) + (x != b[j - 1]))
+            row[j] = best
+        if min(row.values()) > most:
+            return False
+    return row.get(len(b), most + 1) <= most
+
+
 def core_cost(a: str, b: str) -> float | None:
     """What the difference of two core names costs in slips of typing, or None if they are different names."""
     if a == b:
         return 0.0
+    if max(len(a), len(b)) > LONG_CORE:
+        return SURE if within_edits(a, b, 2) else None
     cost, near, short = typing_cost(a, b), jaro_winkler(a, b), min(len(a), len(b))
     allowed = 2 if short > 7 or sound(a) == sound(b) and short > 4 else 1
     if near >= CORE_JW and edits(a, b) <= allowed:

@@ -86,8 +86,9 @@ class ItemIndex:
     def rows(self, block: int, terms: np.ndarray) -> np.ndarray:
         """The rows of a block's weights for terms; a term that none of its items has points at the last row, all zeros."""
         own = self.local[block]
-        at = np.searchsorted(own, terms)
-        return np.where(own[np.minimum(at, len(own) - 1)] == terms, at, len(own))
+        at = np.full(len(self.terms) + 1, len(own), dtype=np.int32)
+        at[own] = np.arange(len(own))
+        return at[terms]
 
     def search(self, docs: list[np.ndarray]) -> dict[tuple[int, int], set[int]]:
         """(position in docs, position in ids) -> positions of the document's words inside shared runs.

@@ -110,3 +110,17 @@ def test_long_cores_are_compared_in_a_band():
             for j, y in enumerate(b, 1):
                 plain[i].append(min(plain[i - 1][j] + 1, plain[i][j - 1] + 1, plain[i - 1][j - 1] + (x != y)))
         assert all(within_edits(a, b, k) == (plain[-1][-1] <= k) for k in range(4))
+
+
+def test_a_slip_that_many_names_share_is_no_head_of_its_own(spark):
+    rng = random.Random(9)
+    part = lambda: rng.choice("bdfgklmnprstvz") + rng.choice("aeiou")
+    cores = list({(c := part() + part() + part() + part())[:4]: c.title() for _ in range(4000)}.values())[:300]
+    names = [f"Alejandro {c}" for c in cores] + [f"Alejanrdo {c}" for c in cores[:14]]
+    found = {r.nombre: r.entidad for r in link_spellings(spark.createDataFrame([(n, 1) for n in names], "nombre string, entidad int")).collect()}
+    assert all(found[f"Alejanrdo {c}"] == found[f"Alejandro {c}"] for c in cores[:14])
+
+
+def test_an_abbreviation_with_a_mistyped_core_takes_the_nearest_one(spark):
+    names = ["Gérard Runchorux", "Gabriela Runchoruz", "G. Runchroux"]
+    assert groups(spark, names) == [["G. Runchroux", "Gérard Runchorux"], ["Gabriela Runchoruz"]]

@@ -73,3 +73,24 @@ def test_prepared_records_score_like_plain_ones(spark):
     plain = sorted(map(tuple, E.scored(E.block_pairs(df, df), True).select(keep).collect()))
     ready = E.prepared(df)
     assert sorted(map(tuple, E.scored(E.block_pairs(ready, ready), True).select(keep).collect())) == plain and len(plain) == 12
+
+
+def test_prepared_records_have_the_full_similarity_of_plain_ones(spark):
+    cols = "id long, titulo string, artista_nombre string, album_titulo string, duracion_seg double, track_number int, anio int, isrc string, mb_recording_id string, tipo string"
+    texts = [("Luz (Live)", "Ana", "Uno"), ("luz", "ána b", None), ("Lúz [Remix]", "Eva", "x" * 70), ("ab", None, "Uno (Remix)"), ("", "-", "Unó dos"), ("风 sous la pluie", "Ana Luz", "x" * 60 + "y")]
+    df = spark.createDataFrame([(k, *t, 200.0 + k, k, 2000, "A", None, "Live" if k % 2 else "Album") for k, t in enumerate(texts)], cols)
+    keep = ["id", "c_id", "s_titulo", "s_artista", "s_album", "puntaje"]
+    plain = sorted(map(tuple, E.scored(E.block_pairs(df, df)).select(keep).collect()))
+    ready = E.prepared(df, False)
+    assert sorted(map(tuple, E.scored(E.block_pairs(ready, ready)).select(keep).collect())) == plain and len(plain) == 30
+
+
+def test_matching_blocks_of_many_pairs_are_those_of_the_sequence_matcher():
+    import random
+    from difflib import SequenceMatcher
+
+    from tonalis.functions.text import matched_characters
+
+    rng = random.Random(3)
+    a, b = (["".join(rng.choice("abñ 风") for _ in range(rng.randrange(1, 64))) for _ in range(400)] for _ in range(2))
+    assert matched_characters(a, b).tolist() == [sum(m.size for m in SequenceMatcher(None, x, y).get_matching_blocks()) for x, y in zip(a, b)]

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tonalis.functions.text import array_jaccard, combined_similarity, compare_form, isrc_code, strip_version, token_jaccard, tokens, variant_type
+from tonalis.functions.text import array_jaccard, combined_forms, combined_similarity, compare_form, isrc_code, strip_version, token_jaccard, tokens, variant_type
 
 # Weights of the criteria, thresholds, bonuses.
 WEIGHTS = {"titulo": 0.28, "artista": 0.23, "duracion": 0.18, "album": 0.10, "track_number": 0.07, "tipo_release": 0.07, "isrc": 0.07}
@@ -79,10 +79,11 @@ def block_pairs(records: DataFrame, candidates: DataFrame) -> DataFrame:
     return dealt.join(every, ["_block", "_part"]).filter((F.col("id") != F.col("c_id")) & once).drop("_block", "_part")
 
 
-def prepared(records: DataFrame) -> DataFrame:
-    """Records with the words that :func:`scored` compares (``f_*``): made once a record instead of once a pair."""
+def prepared(records: DataFrame, exact: bool = True) -> DataFrame:
+    """Records with what :func:`scored` compares, made once a record instead of once a pair: words (``f_*``), or for the full similarity comparison forms (``g_*``)."""
     c = F.col
-    forms = {"f_titulo": tokens(strip_version(c("titulo"))), "f_entero": tokens(c("titulo")), "f_artista": tokens(c("artista_nombre")), "f_album": tokens(strip_version(c("album_titulo")))}
+    texts = {"titulo": strip_version(c("titulo")), "entero": c("titulo"), "artista": c("artista_nombre"), "album": strip_version(c("album_titulo"))}
+    forms = {f"f_{k}": tokens(t) for k, t in texts.items()} if exact else {f"g_{k}": compare_form(t) for k, t in texts.items()}
     return records.withColumns(forms | {"f_sin_album": compare_form(F.coalesce(c("album_titulo"), F.lit(""))) == "", "f_variante": variant_type(c("titulo"))})
 
 
@@ -93,8 +94,16 @@ def scored(pairs: DataFrame, exact: bool = False) -> DataFrame:
     neutral, one that only the candidate lacks is a weak sign against it. Pairs of :func:`prepared` records are compared by their words.
     """
     c = F.col
-    ready = exact and "f_titulo" in pairs.columns
-    alike = (lambda _, f: array_jaccard(c(f), c(f"c_{f}"))) if ready else (lambda x, _: similarity(x(""), x("c_"), exact))
+    ready = ("f_titulo" if exact else "g_titulo") in pairs.columns
+    if ready and exact:
+        alike = lambda _, f: array_jaccard(c(f), c(f"c_{f}"))
+    elif ready:
+        alike = lambda _, f: combined_forms(c(f"g{f[1:]}"), c(f"c_g{f[1:]}"))
+        # a whole title that is the one without version can't be more alike than that: it is not compared again
+        again = (c("g_titulo") != c("g_entero")) | (c("c_g_titulo") != c("c_g_entero"))
+        pairs = pairs.withColumn("g_entero", F.when(again, c("g_entero")))
+    else:
+        alike = lambda x, _: similarity(x(""), x("c_"), exact)
     base = alike(lambda p: strip_version(c(f"{p}titulo")), "f_titulo")
     full = alike(lambda p: c(f"{p}titulo"), "f_entero") * 0.95
     artist = alike(lambda p: c(f"{p}artista_nombre"), "f_artista")

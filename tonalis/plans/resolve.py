@@ -43,7 +43,7 @@ def _records(t: Tables) -> DataFrame:
 
 
 def _pairs(t: Tables, exact: bool) -> DataFrame:
-    r = E.prepared(_records(t)) if exact else _records(t)
+    r = E.prepared(_records(t), exact)
     return E.scored(E.block_pairs(r, r), exact)
 
 

@@ -94,3 +94,50 @@ def test_matching_blocks_of_many_pairs_are_those_of_the_sequence_matcher():
     rng = random.Random(3)
     a, b = (["".join(rng.choice("abñ 风") for _ in range(rng.randrange(1, 64))) for _ in range(400)] for _ in range(2))
     assert matched_characters(a, b).tolist() == [sum(m.size for m in SequenceMatcher(None, x, y).get_matching_blocks()) for x, y in zip(a, b)]
+
+
+RECORD = "id long, titulo string, artista_nombre string, album_titulo string, duracion_seg double, track_number int, anio int, isrc string, mb_recording_id string, tipo string"
+
+
+def odd_records(n):
+    import random
+
+    rng = random.Random(5)
+    titles = ["Luz (Live)", "luz", "Lúz [Remix]", "ab", "", "风 sous la pluie", "Luz (Remastered)", "x" * 64 + " y", "la la la"]
+    artists, albums = ["Ana", "ána b", "Eva", None, "-", "Guadalupe Fitanbel", "guadalupe fitenbal"], ["Uno", None, "", "Uno (Remix)", "Unó dos", "x" * 70, "-"]
+    seconds, kinds = [200.0, 203.5, 207.01, 214.2, 229.99, 260.0, None, float("nan")], ["Album", " live ", "Compilation", "Remix", None, "", "otro"]
+    pick = rng.choice
+    return [(k, pick(titles), pick(artists), pick(albums), pick(seconds), pick([1, 2, 5, None]), pick([1999, 2000, 2002, None]), pick(["A", "A", "B", f"C{k}", None]), None, pick(kinds)) for k in range(n)]
+
+
+def test_full_scores_are_those_of_the_joined_pairs(spark, monkeypatch):
+    monkeypatch.setattr(E, "TILE", 16)
+    df = spark.createDataFrame(odd_records(150), RECORD)
+    joined = sorted(map(tuple, E.scored(E.block_pairs(df, df)).select("id", "c_id", "puntaje").collect()))
+    assert sorted(map(tuple, E.full_scores(df).collect())) == joined and len(joined) > 5000
+
+
+def test_two_texts_are_compared_once_however_many_pairs_have_them(monkeypatch):
+    import numpy as np
+    import pyarrow as pa
+
+    n, met = 600, []
+    text = lambda name, m: [f"{name} {k % m}" for k in range(n)]
+    columns = {"_block": ["i:A"] * n, "_tile": [0] * n, "_side": [1] * n, "id": list(range(n)), "isrc": ["A"] * n, "g_titulo": text("luz", 3), "g_entero": text("luz", 3), "g_artista": text("ana", 5), "g_album": text("uno", 2), "f_sin_album": [False] * n, "_tipo": ["album"] * n}
+    columns |= {"_variante": pa.array([None] * n, pa.string())} | {x: [0.0] * n for x in ("_s_igual", "_s_otro", "_p_igual", "_p_otro", "duracion_seg")} | {x: [1] * n for x in ("track_number", "anio")}
+    real = E.form_similarities
+    monkeypatch.setattr(E, "form_similarities", lambda forms, a, b: met.append(len(a)) or real(forms, a, b))
+    table = pa.table(columns)
+    out = pa.Table.from_batches(E._scored_tiles(iter(table.to_batches(max_chunksize=70))))
+    assert len(out) == n * (n - 1) and sorted(met) == [4, 9, 25]
+    assert len(np.unique(out["id"].to_numpy() * n + out["c_id"].to_numpy())) == len(out)
+
+
+def test_pairs_with_long_runs_are_matched_beside_others():
+    from difflib import SequenceMatcher
+
+    from tonalis.functions.text import matched_characters
+
+    a = ["guadalupe fitanbel", "fitanbel guadalupe", "abcabcabcabc", "aaaaabaaaaa", "x", "a" * 63, "abcdefghijklmnopqrstuvwxyz0123456", "ab"]
+    pairs = [(x, y) for x in a for y in a]
+    assert matched_characters(*map(list, zip(*pairs))).tolist() == [sum(m.size for m in SequenceMatcher(None, x, y).get_matching_blocks()) for x, y in pairs]

@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
-from tonalis.functions.text import array_jaccard, combined_forms, combined_similarity, compare_form, isrc_code, strip_version, token_jaccard, tokens, variant_type
+from tonalis.functions.text import array_jaccard, combined_forms, combined_similarity, compare_form, form_similarities, isrc_code, rounded, strip_version, token_jaccard, tokens, variant_type
+from tonalis.materialise import task_count
 
 # Weights of the criteria, thresholds, bonuses.
 WEIGHTS = {"titulo": 0.28, "artista": 0.23, "duracion": 0.18, "album": 0.10, "track_number": 0.07, "tipo_release": 0.07, "isrc": 0.07}
@@ -16,6 +22,8 @@ PENALTY_COMPILATION, PENALTY_VARIANT = 0.25, 0.20
 ODD_TYPES = ("compilation", "live", "remix", "dj-mix")
 #: Candidates of a block whose records one task takes; beyond that they are dealt over several.
 HOT_BLOCK = 256
+#: Records of a block that meet as many others at a time in :func:`full_scores`, the pairs that are scored at a time, and the texts that are compared at a time.
+TILE, PAIRS, TEXTS = 3072, 1 << 18, 1 << 20
 
 
 def duration_score(a: Column, b: Column) -> Column:
@@ -120,6 +128,151 @@ def scored(pairs: DataFrame, exact: bool = False) -> DataFrame:
     return df.withColumn("puntaje", F.round(F.least(F.lit(1.0), F.greatest(F.lit(0.0), total)), 6))
 
 
+def full_scores(records: DataFrame) -> DataFrame:
+    """(id, c_id, puntaje) of every blocked pair of records with the full similarity: what :func:`scored` makes of their :func:`block_pairs`.
+
+    Pairs are made beside the texts of their block, so that two texts are compared once however many pairs have them, and no text is joined to a
+    pair. A block of more than TILE records is cut into parts, by artist; each pair of parts is a tile of its own.
+    """
+    c = F.col
+    kind = F.trim(c("tipo"))
+    ready = prepared(records, False).withColumns({
+        "_tipo": F.lower(kind), "_variante": F.lower("f_variante"), "_s_igual": release_score(c("tipo"), kind), "_s_otro": release_score(c("tipo")),
+        "_p_igual": release_penalty(c("tipo"), kind), "_p_otro": release_penalty(c("tipo"), F.lit(None).cast("string")), "_block": F.explode(blocks()),
+    })
+    w = Window.partitionBy("_block").orderBy("g_artista", "id")
+    n, parts = c("_n"), F.ceil(c("_n") / TILE).cast("int")
+    ready = ready.withColumns({"_n": F.count("*").over(Window.partitionBy("_block")), "_place": F.row_number().over(w)}).filter(n > 1)
+    ready = ready.withColumns({"_parts": parts, "_part": F.floor((c("_place") - 1) * parts / n).cast("int")})
+    # a tile's records come first, then those that are candidates too (the tile of a part with itself), then the other candidates
+    tile = lambda q: F.struct((c("_part") * c("_parts") + q).alias("_tile"), F.when(q == c("_part"), 1).otherwise(0).alias("_side"))
+    other = lambda q: F.struct((q * c("_parts") + c("_part")).alias("_tile"), F.lit(2).alias("_side"))
+    every = F.sequence(F.lit(0), c("_parts") - 1)
+    rows = ready.withColumn("_t", F.explode(F.concat(F.transform(every, tile), F.transform(F.filter(every, lambda q: q != c("_part")), other)))).select(
+        "_block", "_t._tile", "_t._side", "id", "isrc", "g_titulo", "g_entero", "g_artista", "g_album", "f_sin_album", "_tipo", "_variante", "_s_igual", "_s_otro", "_p_igual", "_p_otro",
+        c("duracion_seg").cast("double").alias("duracion_seg"), c("track_number").cast("long").alias("track_number"), c("anio").cast("long").alias("anio"),
+    )
+    rows = rows.repartition(4 * task_count(records.sparkSession), "_block", "_tile").sortWithinPartitions("_block", "_tile", "_side")
+    key = records.schema["id"].dataType
+    return rows.mapInArrow(_scored_tiles, StructType([StructField("id", key), StructField("c_id", key), StructField("puntaje", DoubleType())]))
+
+
+def _scored_tiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The scores of rows that are sorted by tile; several small tiles are taken at a time."""
+    rest = None
+    for batch in batches:
+        table = pa.Table.from_batches([batch])
+        table = (pa.concat_tables([rest, table]) if rest is not None else table).combine_chunks()
+        starts = _tile_starts(table)
+        yield from _scored_pieces(table.slice(0, starts[-1]), starts)
+        rest = table.slice(starts[-1])
+    if rest is not None:
+        yield from _scored_pieces(rest, np.array([0, len(rest)]))
+
+
+def _tile_starts(table: pa.Table) -> np.ndarray:
+    block, tile = _codes(table["_block"])[1], table["_tile"].to_numpy()
+    return np.concatenate([[0], np.flatnonzero((block[1:] != block[:-1]) | (tile[1:] != tile[:-1])) + 1])
+
+
+def _scored_pieces(table: pa.Table, starts: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """``starts``: of the tiles, and the end of the last one."""
+    k = 0
+    while k < len(starts) - 1:
+        end = max(k + 1, int(np.searchsorted(starts, starts[k] + TILE, "right")) - 1)
+        yield from _scored_piece(table.slice(starts[k], starts[end] - starts[k]).combine_chunks(), starts[k : end + 1] - starts[k])
+        k = end
+
+
+def _codes(*columns: pa.ChunkedArray) -> tuple[list[str], ...]:
+    """The distinct texts of some columns, and of each column the places of its rows among them; -1 for null."""
+    coded = pa.concat_arrays([x for column in columns for x in column.chunks]).dictionary_encode()
+    return coded.dictionary.to_pylist(), *np.split(coded.indices.fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64), len(columns))
+
+
+def _scored_piece(table: pa.Table, starts: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """The scores of some whole tiles; the same sum as in :func:`scored`, term by term."""
+    side = table["_side"].to_numpy()
+    tile = np.repeat(np.arange(len(starts) - 1), np.diff(starts))
+    low = (starts[:-1] + np.bincount(tile, side == 0, len(starts) - 1).astype(np.int64))[tile]  # a record's first candidate
+    meets = np.where(side < 2, starts[1:][tile] - low, 0)
+
+    def slices() -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        upto, k = np.cumsum(meets), 0
+        while k < len(meets):
+            end = max(k + 1, int(np.searchsorted(upto, (upto[k - 1] if k else 0) + PAIRS, "right")))
+            m = meets[k:end]
+            r = np.repeat(np.arange(k, end), m)
+            yield r, np.arange(len(r)) - np.repeat(np.cumsum(m) - m, m) + low[r]
+            k = end
+
+    alike = {name: _similarities(*_codes(*(table[x] for x in columns)), side=side, pairs=int(meets.sum()), slices=slices) for name, columns in {"titulo": ("g_titulo", "g_entero"), "artista": ("g_artista",), "album": ("g_album",)}.items()}
+    numbers = {}
+    for x in ("duracion_seg", "track_number", "anio"):
+        numbers[x] = table[x].fill_null(0).to_numpy(), ~table[x].is_null().to_numpy()
+    flat = {x: table[x].to_numpy() for x in ("f_sin_album", "_s_igual", "_s_otro", "_p_igual", "_p_otro")}
+    _, kind, variant = _codes(table["_tipo"], table["_variante"])
+    _, code = _codes(table["isrc"])
+    by_code = np.array([x.startswith("i:") for x in table["_block"].take(pa.array(starts[:-1])).to_pylist()], dtype=bool)[tile]
+    ids = pa.concat_arrays(table["id"].chunks)
+
+    def apart(x: str, r: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        value, there = numbers[x]
+        return np.abs(value[r] - value[c]), there[r] & there[c]
+
+    _, who = _codes(pa.chunked_array([ids]))
+    for r, c in slices():
+        same_code = (code[r] == code[c]) & (code[r] >= 0)
+        keep = (who[r] != who[c]) & (by_code[r] | ~same_code)
+        r, c, same_code = r[keep], c[keep], same_code[keep]
+        if not len(r):
+            continue
+        title = alike["titulo"](0, r, c)
+        title = np.where(title < 0.7, np.maximum(title, alike["titulo"](1, r, c) * 0.95), title)
+        album = np.where(flat["f_sin_album"][r], 0.5, np.where(flat["f_sin_album"][c], 0.2, alike["album"](0, r, c)))
+        d, known = apart("duracion_seg", r, c)
+        length = np.where(known, 0.0, 0.5)
+        length[known & (d <= 3)] = 1.0
+        for some, score in ((known & (d > 3) & (d <= 10), lambda d: 1.0 - 0.5 * ((d - 3) / 7)), (known & (d > 10) & (d <= 30), lambda d: np.maximum(0.05, 0.5 - 0.45 * ((d - 10) / 20)))):
+            length[some] = rounded(score(d[some]), 4, True)
+        d, known = apart("track_number", r, c)
+        number = np.where(known, np.where(d == 0, 1.0, np.where(d == 1, 0.4, 0.0)), 0.5)
+        same = (variant[r] == kind[c]) & (kind[c] >= 0)
+        release, penalty = (np.where(same, flat[f"_{x}_igual"][c], flat[f"_{x}_otro"][c]) for x in "sp")
+        identity = np.where(code[r] >= 0, np.where(code[c] >= 0, np.where(same_code, 1.0, 0.1), 0.4), 0.5)
+        scores = {"titulo": title, "artista": alike["artista"](0, r, c), "duracion": length, "album": album, "track_number": number, "tipo_release": release, "isrc": identity}
+        d, known = apart("anio", r, c)
+        total = sum((scores[k] * v for k, v in WEIGHTS.items()), 0.0) + np.where(known & (d <= 1), np.where(d == 0, YEAR, YEAR * 0.5), 0.0) + np.where(same_code, CODE, 0.0) - penalty
+        yield pa.RecordBatch.from_arrays([ids.take(pa.array(r)), ids.take(pa.array(c)), pa.array(rounded(np.clip(total, 0.0, 1.0), 6, False))], ["id", "c_id", "puntaje"])
+
+
+def _similarities(forms: list[str], *codes: np.ndarray, side: np.ndarray, pairs: int, slices: Callable) -> Callable[[int, np.ndarray, np.ndarray], np.ndarray]:
+    """The similarity of the texts of rows r and c by one of ``codes``, looked up: every two texts that meet are compared once."""
+    places = []
+    for rows in (side < 2, side > 0):
+        used = np.unique(np.concatenate([x[rows] for x in codes]))
+        place = np.zeros(len(forms), dtype=np.int64)
+        place[used] = np.arange(len(used))
+        places.append((used, [place[x] for x in codes]))
+    (lefts, left), (rights, right) = places
+    cells = len(lefts) * len(rights)
+    at = lambda k, r, c: left[k][r] * len(rights) + right[k][c]
+    dense = cells <= 4 * pairs
+    if dense:
+        met = np.zeros(cells, dtype=bool)
+        for r, c in slices():
+            for k in range(len(codes)):
+                met[at(k, r, c)] = True
+        need = np.flatnonzero(met)
+    else:
+        need = np.unique(np.concatenate([at(k, r, c) for r, c in slices() for k in range(len(codes))] or [np.zeros(0, dtype=np.int64)]))
+    values = np.zeros(cells if dense else len(need), dtype=np.int16)  # four digits
+    for k in range(0, len(need), TEXTS):
+        some = need[k : k + TEXTS]
+        values[some if dense else slice(k, k + len(some))] = np.rint(form_similarities(forms, lefts[some // len(rights)], rights[some % len(rights)]) * 1e4)
+    return (lambda k, r, c: values[at(k, r, c)] / 1e4) if dense else (lambda k, r, c: values[np.searchsorted(need, at(k, r, c))] / 1e4)
+
+
 def decided(pairs: DataFrame) -> DataFrame:
     """The best candidate of each record, its gap to the second, and the route: aceptado, revision or cuarentena.
 

@@ -81,7 +81,7 @@ def match_causes(t: Tables) -> DataFrame:
 @query()
 def match_score_full(t: Tables) -> DataFrame:
     """The same pairs with the full similarity of texts (sequence ratio in Arrow batches)."""
-    return _pairs(t, False).select("id", "c_id", "puntaje")
+    return E.full_scores(_records(t))
 
 
 @query(_PAIRS + """SELECT id, c_id, round_even(CAST(s_titulo * 0.28 + s_artista * 0.26 + coalesce(CASE WHEN d <= 2 THEN 1.0 WHEN d <= 5 THEN 0.8 WHEN d <= 12 THEN 0.6 WHEN d IS NOT NULL THEN 0.2 END, 0.5) * 0.18 + coalesce(same_code::INT, 0) * 0.18 + coalesce(same_id::INT, 0) * 0.10 AS DOUBLE), 4) AS evidencia FROM p""")
